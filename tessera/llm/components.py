@@ -16,8 +16,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     count and a checksum. Rounds grow with the logarithm of the longest chain.
     Self links and null ends are ignored; nodes without a link have no row.
     """
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    e = cut(e.where(F.col("u") != F.col("v")).where(edges["u"].isNotNull() & edges["v"].isNotNull()).distinct())
+    e = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    e = cut(e.distinct())
     before = None
     while True:
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
