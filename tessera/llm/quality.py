@@ -52,9 +52,9 @@ def repeat_words(h: Column, window: int = 5) -> Column:
     return F.when(F.size(h) <= window, F.lit(0)).otherwise(let(windows, count)).cast("long")
 
 
-def base_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def base_counts(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("h", word_hashes(F.col("text")))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *carry).withColumn("h", word_hashes(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return d.select(
         "doc_id",
@@ -64,6 +64,7 @@ def base_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.length(F.regexp_replace("text", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("h")).alias("n_repeat_words"),
+        *carry,
     )
 
 
@@ -93,10 +94,10 @@ def log_ratio(docs: DataFrame, labels: DataFrame, n: int, most: int, id_col: str
 
 
 def quality_rules(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = 1 << 16, trusted_docs: int = 20_000, threshold: float = -0.2
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = 1 << 16, trusted_docs: int = 20_000, threshold: float = -0.2, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, score, kept.
+    n_repeat_words, base_failed, score, kept, and the columns to ``carry``.
 
     ``score`` is the mean over a document's words and word pairs of the log ratio
     between trusted and raw multinomials over ``n_buckets`` hash buckets; documents
@@ -111,7 +112,7 @@ def quality_rules(
     w = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")  # folded to one constant
     total = F.aggregate(buckets(F.col("h"), n_buckets), F.lit(0).cast("long"), lambda a, b: a + F.get(w, b.cast("int")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    d = base_counts(docs, id_col, text_col).withColumn("base_failed", failed)
+    d = base_counts(docs, id_col, text_col, carry).withColumn("base_failed", failed)
     d = d.withColumn("score", total / (1000 * F.greatest(2 * F.col("n_words") - 1, F.lit(1)))).drop("h")
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 

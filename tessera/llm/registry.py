@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, quality, simhash, substring, suffix, tokenfile, urls
+from . import bpe, exact, mixing, perplexity, quality, simhash, substring, suffix, tokenfile, urls
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_simhash": simhash.op3_simhash,
     "op4_url_rules": urls.op4_url_rules,
+    "op5_perplexity": perplexity.op5_perplexity,
     "op6_token_files": tokenfile.op6_token_files,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_suffix_dedup": suffix.op8_suffix_dedup,
     "op9_substring_dedup": substring.op9_substring_dedup,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE = {"op1_exact_dedup": exact.OP1_SQL, "op4_url_rules": urls.OP4_SQL}
