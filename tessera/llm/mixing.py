@@ -12,7 +12,7 @@ from .common import cut, stored, table
 
 DOMAINS = ("good", "poor", "toxic")
 #: Shares of the mix's tokens.
-WEIGHTS = {"good": 0.90, "poor": 0.06, "toxic": 0.04}
+WEIGHTS = {"good": 0.96, "poor": 0.03, "toxic": 0.01}
 
 
 def words(text: Column) -> Column:
@@ -75,7 +75,7 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = 25, close:
     return best[1], best[2]
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, head: float = 1.25, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, head: float = 2.0, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per document: doc_id, n_tokens, p_good, p_poor, p_toxic, rate, copies.
 
     ``rate`` is how often a document is to be taken so that the expected tokens of
