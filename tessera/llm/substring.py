@@ -46,8 +46,9 @@ def alive(codes: np.ndarray, levels: list[int], rare: list[np.ndarray]) -> tuple
     return starts, h[at] if len(starts) else np.empty(0, dtype=np.uint64), at
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, start: int = 10) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text.
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, start: int = 10, contents: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256 and, with
+    ``contents``, kept_text.
 
     Removes each word that a window of ``window`` words covers whose words also
     start earlier (smaller id, or same document and earlier start), judged on the
@@ -56,7 +57,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The first level counts, per document, the hashes of ``start``-word windows that
     anchor a full window; documents learn which of those no other document has.
     Only windows around the others go on to the next level, twice as long, until
-    the full length, whose 128-bit hashes name the document that has each first.
+    the full length, whose 96-bit hashes name the document that has each first.
     What goes back are the hashes that *one* document has (alone or first), so a
     passage that any number of documents share is one row after the map-side
     combine, and no key is hot. Text is shuffled by id and reused for the last pass.
@@ -112,7 +113,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     hi, first = np.unique(h, return_index=True)
                     # the zero pair with the id says that the document has candidates
                     his.append(np.append(hi, np.uint64(0)).view(np.int64))
-                    los.append(np.append(gram_hash(c, window, 1)[s[first]], np.uint64(k)).view(np.int64))
+                    los.append(np.append(gram_hash(c, window, 1)[s[first]] >> np.uint64(32), np.uint64(k)).view(np.int64))
                     ks.append(np.full(len(hi) + 1, k))
             if his:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (his, los, ks)], ["hi", "lo", "key"])
@@ -135,11 +136,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     gone = covered(s[~(mine & member(h, as_set(firsts, i)))], window, len(words))
                     kept = [w for w, x in zip(words, gone) if not x]
                 text = b" ".join(kept)
-                out.append((None if k == LAST else k, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "replace")))
+                out.append((None if k == LAST else k, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "replace") if contents else None))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())[: 4 + contents]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + contents])
 
-    return known.join(first, "key", "left").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return known.join(first, "key", "left").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * contents)
 
 
 def as_set(column: pa.Array, i: int) -> np.ndarray:
@@ -149,4 +151,4 @@ def as_set(column: pa.Array, i: int) -> np.ndarray:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+    return substring_dedup(table(spark, sf_dir, "documents"), contents=False)
