@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 from .substring import LAST, as_set
-from .windows import alone, anchors, covered, gram_hash, member
+from .windows import alone, anchors, byte_hash, covered, member
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -129,7 +129,7 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     the position before; only the other positions compare symbols, four at a time.
     """
     n = len(t)
-    phi = np.full(n, -1, dtype=np.int64)
+    phi = np.full(n, -1, dtype=np.int32)
     phi[sa[1:]] = sa[:-1]
     back = np.append(np.uint16(0), t[:-1])
     fresh = (phi <= 0) | (back != back[phi])
@@ -137,16 +137,17 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     pad = np.concatenate((t, np.zeros(8, dtype=t.dtype))).astype(np.uint64)
     four = pad[:-3] | (pad[1:-2] << np.uint64(16)) | (pad[2:-1] << np.uint64(32)) | (pad[3:] << np.uint64(48))
     i = np.flatnonzero(fresh & (phi >= 0))
-    lcp = np.zeros(n, dtype=np.int64)
+    lcp = np.zeros(n, dtype=np.int32)
     j, at, off = phi[i], i, 0
     while len(at):
         x = four[np.minimum(at + off, n)] ^ four[np.minimum(j + off, n)]
         end = x != 0
         low = x[end] & (~x[end] + np.uint64(1))
-        lcp[at[end]] = off + (np.bitwise_count(low - np.uint64(1)).astype(np.int64) >> 4)
+        lcp[at[end]] = off + (np.bitwise_count(low - np.uint64(1)).astype(np.int32) >> 4)
         at, j, off = at[~end], j[~end], off + 4
-    last = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    return phi, np.maximum(lcp[last] - (np.arange(n) - last), 0)
+    place = np.arange(n, dtype=np.int32)
+    last = np.maximum.accumulate(np.where(fresh, place, np.int32(0)))
+    return phi, np.maximum(lcp[last] - (place - last), 0)
 
 
 def repeated(segments: list[bytes], length: int) -> list[np.ndarray]:
@@ -174,15 +175,16 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def candidates(text: bytes, length: int, gram: int, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Window starts whose anchor is not the document's alone, the anchors' places, gram hashes."""
-    h = gram_hash(np.frombuffer(text, dtype=np.uint8).astype(np.uint64), gram)
+    h = byte_hash(text, gram)
     at = anchors(h, length - gram + 1)
     values = h[at]
     go = ~member(values, rare) | member(values, alone(h, at)[1])
     return np.flatnonzero(go), at[go], h
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 40, block: int = 2 << 20, hot: int = 2000) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary).
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 32, block: int = 3 << 19, crowd: int = 20_000, contents: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and,
+    with ``contents``, kept (binary).
 
     Removes each byte that a ``length``-byte string covers which also starts
     anywhere else; overlaps count; strings are judged on the input.
@@ -193,9 +195,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
        segments are combined before and after the shuffle by anchor.
     3. Shards of whole anchors, about ``block`` bytes each, get a suffix array by
        induced sorting and permuted common prefixes; windows found once go back to
-       the one document that has them. An anchor with more than ``hot`` different
-       segments is dealt by its windows' 128-bit hashes instead, so that no shard
-       has to hold an unbounded group.
+       the one document that has them. The segments of an anchor that more than
+       ``crowd`` documents have are dealt by their windows' 128-bit hashes instead,
+       so that no task has to hold an unbounded group.
     4. Documents drop what their other candidate windows cover.
 
     Null text counts as empty, a null id is passed through. Rows that share an id
@@ -211,14 +213,19 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for k, t in zip(b.column(0).to_pylist(), b.column(1)):
                 t = t.as_py() or b""
                 if len(t) >= length:
-                    h = gram_hash(np.frombuffer(t, dtype=np.uint8).astype(np.uint64), gram)
+                    h = byte_hash(t, gram)
                     hs.append(alone(h, anchors(h, length - gram + 1))[0].view(np.int64))
                     ks.append(np.full(len(hs[-1]), k))
             if hs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(ks))], ["h", "key"])
 
-    own = texts.mapInArrow(anchor_rows, "h long, key long").groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
-    rare = cut(own.groupBy("key").agg(F.collect_list("h").alias("rare")))
+    own = texts.mapInArrow(anchor_rows, "h long, key long").groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("key"))
+    own = own.where((F.col("n") == 1) | (F.col("n") > crowd)).withColumn("crowded", F.col("n") > crowd)
+    whose = F.when(F.col("crowded"), F.pmod("h", F.lit(4096))).otherwise(F.col("key")).alias("key")
+    lists = cut(own.groupBy("crowded", whose).agg(F.collect_list("h").alias("rare")))
+    rare = lists.where("not crowded").select("key", "rare")
+    crowded = lists.where("crowded").select(F.explode("rare").alias("h"))
+    n_crowded = crowded.count()
     known = texts.join(rare, "key", "left")
 
     def segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,10 +248,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     segments = known.mapInArrow(segment_rows, "h long, seg binary, key long, s long")
     distinct = segments.groupBy("h", "seg").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("s").alias("s"))
-    distinct = cut(distinct)
-    crowded = cut(distinct.groupBy("h").agg(F.count("*").alias("of")).where(F.col("of") > hot).select("h"))
-    any_hot = crowded.limit(1).count() > 0
-
     def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(rows: list[tuple]) -> pa.RecordBatch:
             out = [(k, -1, -1) for _, _, _, k, s in rows if s < 0]
@@ -267,16 +270,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 size += len(r[1])
         yield solve(rows)
 
-    cool = distinct.join(crowded, "h", "left_anti") if any_hot else distinct
+    if 0 < n_crowded <= 100_000:  # under a megabyte; more are joined by a shuffle
+        crowded = F.broadcast(crowded)
+    cool = distinct.join(crowded, "h", "left_anti") if n_crowded else distinct
     single = cool.select("h", "seg", "n", "key", "s").repartition("h").sortWithinPartitions("h").mapInArrow(shard_rows, "key long, a long, z long")
-    if any_hot:
+    if n_crowded:
 
         def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 cols = [[], [], [], [], []]
                 for _, seg, n, k, s in zip(*(c.to_pylist() for c in b.columns)):
-                    codes = np.frombuffer(seg, dtype=np.uint8).astype(np.uint64)
-                    hi, lo = (gram_hash(codes, length, lane).view(np.int64) for lane in (0, 1))
+                    hi, lo = (byte_hash(seg, length, lane).view(np.int64) for lane in (0, 1))
                     for c, x in zip(cols, (hi, lo, np.full(len(hi), n), np.full(len(hi), k), s + np.arange(len(hi)))):
                         c.append(x)
                 if cols[0]:
@@ -302,14 +306,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     s = s[np.cumsum(edge)[s] == 0]
                     gone = covered(s, length, len(t))
                     kept, spans = np.frombuffer(t, dtype=np.uint8)[~gone].tobytes(), len(runs(gone)[0])
-                out.append((None if k == LAST else k, len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
+                out.append((None if k == LAST else k, len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if contents else None))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())[: 5 + contents]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + contents])
 
     return known.join(back, "key", "left").select("key", "text", "rare", "a", "z").mapInArrow(
-        remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * contents
     )
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup(table(spark, sf_dir, "documents"), contents=False)

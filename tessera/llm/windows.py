@@ -29,12 +29,23 @@ def mix(a: np.ndarray, b: np.ndarray, lane: int = 0) -> np.ndarray:
 
 def gram_hash(codes: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
     """Hash of ``codes[i : i + length]`` for every i, by doubling the length."""
-    if len(codes) < length:
+    return _double(codes, 1, length, lane) if len(codes) >= length else np.empty(0, dtype=U)
+
+
+def byte_hash(text: bytes, length: int, lane: int = 0) -> np.ndarray:
+    """The same over bytes, from loads of eight bytes at every place."""
+    if len(text) < length:
         return np.empty(0, dtype=U)
-    h, n = codes, 1
+    if length < 8:
+        return _double(np.frombuffer(text, dtype=np.uint8).astype(U), 1, length, lane)
+    return _double(np.ndarray((len(text) - 7,), dtype="<u8", buffer=text, strides=(1,)).copy(), 8, length, lane)
+
+
+def _double(h: np.ndarray, n: int, length: int, lane: int) -> np.ndarray:
+    """From hashes of n symbols to those of ``length``."""
     while 2 * n <= length:
         h, n = mix(h[:-n], h[n:], lane), 2 * n
-    return mix(h[: len(codes) - length + 1], h[length - n :][: len(codes) - length + 1], lane) if n < length else h
+    return mix(h[: n - length], h[length - n :], lane) if n < length else h
 
 
 def anchors(h: np.ndarray, grams: int) -> np.ndarray:

@@ -69,7 +69,7 @@ def test_suffix(docs, rows):
 
 
 def test_suffix_with_crowded_anchors_and_small_shards(docs, rows):
-    assert as_set(suffix_dedup(docs, length=60, gram=8, block=500, hot=2).drop("kept")) == brute.bytes_dedup(rows, 60)
+    assert as_set(suffix_dedup(docs, length=60, gram=8, block=500, crowd=2).drop("kept")) == brute.bytes_dedup(rows, 60)
 
 
 def test_empty_tables(nothing):
