@@ -1,6 +1,23 @@
-"""The reference's own operators as named queries over the given tables."""
+"""The operators as named queries over the given tables, each with its oracle SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of (spark, sf_dir) under its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+from . import corpus, evaluation, graph, search, trace  # noqa: E402, F401
