@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -16,12 +14,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import SPACE
 from .common import stored, table
 
 BLOCK = 1 << 16  # ids of a block
-#: Where the vocabulary's own pattern always splits: before a last space, around other white space.
-PIECE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
 def pack(ids: np.ndarray, level: int = 1) -> tuple[bytes, list[int]]:
@@ -61,26 +56,33 @@ class Pieces(dict):
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.end, self.most = np.array([end_id], dtype="<u4").tobytes(), most
 
-    def learn(self, pieces: list[str]) -> None:
-        if len(self) + len(pieces) > self.most:
+    def learn(self, pieces: set[str]) -> None:
+        """Pieces are what is between single spaces, with a line's end at the front."""
+        new = [p for p in pieces if p not in self]
+        if len(self) + len(new) > self.most:
             self.clear()
-        for p, e in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False)):
+            new = list(pieces)
+        whole = [p if p[:1] == "\n" else f" {p}" for p in new]
+        for p, e in zip(new, self.library.encode_batch_fast(whole, add_special_tokens=False)):
             self[p] = np.array(e.ids, dtype="<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Ids of the text and the end id. Texts with a special token's string, whose
-        white space the library cuts differently, go through it whole."""
-        if any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() + self.end
-        pieces = PIECE.findall(text)
-        found = list(map(self.get, pieces, repeat(None)))
-        if None in found:
-            new = list({p for p, x in zip(pieces, found) if x is None})
-            known = dict(zip(pieces, found))  # learning may forget them
-            self.learn(new)
-            found = [known[p] or self[p] for p in pieces]
-        found.append(self.end)
-        return b"".join(found)
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text and the end id. Where all white space is single spaces and
+        line ends between words, the vocabulary's pattern always splits before it, so
+        pieces are looked up; other texts and those with a special token's string go
+        through the library whole."""
+        split: list[list[str] | None] = []
+        for t in texts:
+            plain = len(t.split()) == t.count(" ") + t.count("\n") + 1 and not any(s in t for s in self.special)
+            split.append(t.replace("\n", " \n").split(" ") if plain else None)
+        self.learn(set().union(*(s[1:] for s in split if s)))
+        out = []
+        for t, s in zip(texts, split):
+            out.append(b"".join([self.whole(s[0]), *map(self.__getitem__, s[1:]), self.end]) if s else self.whole(t) + self.end)
+        return out
 
 
 def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", chunk_ids: int = 1 << 20) -> DataFrame:
@@ -106,9 +108,9 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 2, id_c
             names = ["part", "chunk", "before", "n_ids", "doc_ids", "lens", "data", "index"]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], names)
 
-        for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = pieces.encode(t.as_py() or "")
+        texts = ((b.column(0).slice(i, 500).to_pylist(), b.column(1).slice(i, 500).to_pylist()) for b in batches for i in range(0, b.num_rows, 500))
+        for ks, ts in texts:
+            for k, ids in zip(ks, pieces.encode([t or "" for t in ts])):
                 keys.append(k)
                 lens.append(len(ids) // 4)
                 parts.append(ids)
