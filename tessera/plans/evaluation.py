@@ -1 +1,99 @@
+"""Labels, splits, classification and retrieval metrics."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tessera.sources import views as v
+
+from . import search
+from .registry import query
+
+_CLAUSES = "clauses AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'high' WHEN quality = 0 THEN 'medium' ELSE 'low' END AS risk FROM labels)"
+
+
+def _clauses(spark, d):
+    risk = F.when(F.col("toxic") == 1, "high").when(F.col("quality") == 0, "medium").otherwise("low")
+    return v.table(spark, d, "labels").select("doc_id", risk.alias("risk"))
+
+
+@query(f"WITH {_CLAUSES} SELECT * FROM clauses")
+def map_labels(spark, d):
+    return _clauses(spark, d)
+
+
+@query(f"WITH {_CLAUSES} SELECT risk, count(*) AS n FROM clauses GROUP BY risk")
+def class_distribution(spark, d):
+    return _clauses(spark, d).groupBy("risk").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_CLAUSES} SELECT level AS risk, count(doc_id) AS n FROM (VALUES ('high'), ('medium'), ('low'), ('none')) l(level) LEFT JOIN clauses ON risk = level GROUP BY level")
+def risk_summary(spark, d):
+    levels = spark.createDataFrame([(x,) for x in ("high", "medium", "low", "none")], "risk string")
+    return levels.join(class_distribution(spark, d), "risk", "left").select("risk", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+_SPLIT = f"{_CLAUSES}, parts AS (SELECT doc_id, risk, row_number() OVER (PARTITION BY risk ORDER BY md5('7' || doc_id), doc_id) <= floor(0.2 * count(*) OVER (PARTITION BY risk)) AS test FROM clauses)"
+
+
+@query(f"WITH {_SPLIT} SELECT * FROM parts")
+def stratified_split(spark, d):
+    n = class_distribution(spark, d)
+    w = Window.partitionBy("risk").orderBy(F.md5(F.concat(F.lit("7"), F.col("doc_id").cast("string"))), "doc_id")
+    return _clauses(spark, d).withColumn("r", F.row_number().over(w)).join(F.broadcast(n), "risk").select("doc_id", "risk", (F.col("r") <= F.floor(0.2 * F.col("n"))).alias("test"))
+
+
+@query(f"WITH {_SPLIT} SELECT doc_id, risk, (SELECT mode(risk) FROM parts WHERE NOT test) AS predicted FROM parts WHERE test")
+def majority_baseline(spark, d):
+    parts = stratified_split(spark, d)
+    most = parts.where("not test").groupBy("risk").count().orderBy(F.desc("count"), "risk").limit(1).select(F.col("risk").alias("predicted"))
+    return parts.where("test").select("doc_id", "risk").crossJoin(F.broadcast(most))
+
+
+@query(f"""WITH {_SPLIT}, p AS (SELECT risk, CASE WHEN doc_id % 5 = 0 THEN 'low' ELSE risk END AS predicted FROM parts)
+  SELECT l AS risk, round(coalesce(tp / nullif(np, 0), 0), 6)::DOUBLE AS precision, round(coalesce(tp / nullif(nr, 0), 0), 6)::DOUBLE AS recall FROM (SELECT l, count(*) FILTER (risk = l AND predicted = l)::DOUBLE AS tp,
+  count(*) FILTER (predicted = l) AS np, count(*) FILTER (risk = l) AS nr FROM p, (VALUES ('high'), ('medium'), ('low')) x(l) GROUP BY l)""")
+def classification_report(spark, d):
+    p = _clauses(spark, d).withColumn("predicted", F.when(F.col("doc_id") % 5 == 0, "low").otherwise(F.col("risk")))
+    cells = p.groupBy("risk", "predicted").agg(F.count("*").alias("n"))
+    levels = spark.createDataFrame([("high",), ("medium",), ("low",)], "l string")
+    at = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    hit, said, real = F.col("predicted") == F.col("l"), F.col("predicted") == F.col("l"), F.col("risk") == F.col("l")
+    s = cells.crossJoin(F.broadcast(levels)).groupBy("l").agg(at(hit & real).alias("tp"), at(said).alias("np"), at(real).alias("nr"))
+    ratio = lambda n: F.round(F.when(F.col(n) > 0, F.col("tp") / F.col(n)).otherwise(0.0), 6)
+    return s.select(F.col("l").alias("risk"), ratio("np").alias("precision"), ratio("nr").alias("recall"))
+
+
+_SCORES = f"""{search.HYBRID}, scores AS (SELECT query_id, coalesce(sum((document_id = query_id)::INT), 0) / 8.0 AS p, max(CASE WHEN document_id = query_id THEN 1.0 / rank ELSE 0 END) AS rr
+  FROM queries LEFT JOIN (SELECT query_id, rank, document_id FROM hybrid JOIN chunks USING (chunk_id)) h USING (query_id) GROUP BY query_id)"""
+
+
+@query(f"WITH{_SCORES[4:]} SELECT query_id, round(p, 6)::DOUBLE AS precision, round(coalesce(rr, 0), 6)::DOUBLE AS rr, (coalesce(rr, 0) > 0) AS hit FROM scores")
+def score_queries(spark, d):
+    hits = search.hybrid_search(spark, d).join(v.chunks(spark, d).select("chunk_id", "document_id"), "chunk_id")
+    rel = F.col("document_id") == F.col("query_id")
+    s = hits.groupBy("query_id").agg((F.count_if(rel) / 8.0).alias("p"), F.max(F.when(rel, 1.0 / F.col("rank")).otherwise(0.0)).alias("rr"))
+    q = v.queries(spark, d).select("query_id").join(s, "query_id", "left").na.fill(0.0)
+    return q.select("query_id", F.round("p", 6).alias("precision"), F.round("rr", 6).alias("rr"), (F.col("rr") > 0).alias("hit"))
+
+
+@query(f"WITH{_SCORES[4:]} SELECT round(avg(p), 6)::DOUBLE AS precision, round(avg(coalesce(rr, 0)), 6)::DOUBLE AS mrr, round(avg((coalesce(rr, 0) > 0)::INT), 6)::DOUBLE AS hit_rate FROM scores")
+def aggregate_metrics(spark, d):
+    s = score_queries(spark, d)
+    return s.agg(F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("hit_rate"))
+
+
+@query(f"WITH{_SCORES[4:]} SELECT query_id FROM scores WHERE coalesce(rr, 0) = 0")
+def missed_queries(spark, d):
+    return score_queries(spark, d).where("not hit").select("query_id")
+
+
+@query("SELECT event_type AS stage, round(list_sort(list(value))[len(list(value)) // 2 + 1], 6) AS p50, round(list_sort(list(value))[least(floor(len(list(value)) * 0.95)::INT, len(list(value)) - 1) + 1], 6) AS p95, count(*) AS n FROM events GROUP BY event_type")
+def latency_summary(spark, d):
+    """Percentiles by place among sorted values, found by row numbers, not collected lists."""
+    e = v.table(spark, d, "events").select(F.col("event_type").alias("stage"), "value")
+    n = e.groupBy("stage").agg(F.count("value").alias("n"))
+    ranked = e.withColumn("r", F.row_number().over(Window.partitionBy("stage").orderBy("value")) - 1).join(F.broadcast(n), "stage")
+    at = lambda i: F.round(F.max(F.when(F.col("r") == i, F.col("value"))), 6)
+    return ranked.groupBy("stage").agg(at(F.floor(F.col("n") / 2)).alias("p50"), at(F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)).alias("p95"), F.max("n").alias("n"))

@@ -1 +1,87 @@
+"""Citation graph: references, edges, resolution and authority."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tessera.sources import views as v
+
+from .registry import query
+
+_CITED = """cited AS (SELECT doc_id, left(text, 100) || CASE doc_id % 3 WHEN 0 THEN ' See [1955] 1 S.C.R. 313 and AIR 1954 SC 229.' WHEN 1 THEN ' See (1997) 6 SCC 241.' ELSE ' none' END AS text FROM documents)"""
+
+
+def _cited(spark, d):
+    m = F.col("doc_id") % 3
+    tail = F.when(m == 0, " See [1955] 1 S.C.R. 313 and AIR 1954 SC 229.").when(m == 1, " See (1997) 6 SCC 241.").otherwise(" none")
+    return v.table(spark, d, "documents").select("doc_id", F.concat(F.left("text", F.lit(100)), tail).alias("text"))
+
+
+_SCR = r"\[([0-9]{4})\]\s*([0-9]+)\s*S\.?\s*C\.?\s*R\.?\s*([0-9]+)"
+_AIR = r"AIR\s*([0-9]{4})\s*SC\s*([0-9]+)"
+_SCC = r"\(([0-9]{4})\)\s*([0-9]+)\s*SCC\s*([0-9]+)"
+_REFS = f"""refs AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '{_SCR}')), '{_SCR}', 'SCR-\\1-\\2-\\3') AS target_ref FROM cited
+  UNION ALL SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '{_AIR}')), '{_AIR}', 'AIR-\\1-\\2') FROM cited
+  UNION ALL SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '{_SCC}')), '{_SCC}', 'SCC-\\1-\\2-\\3') FROM cited)"""
+
+
+@query(f"WITH {_CITED}, {_REFS} SELECT * FROM refs")
+def extract_reporter_refs(spark, d):
+    found = lambda pattern, to: F.transform(F.regexp_extract_all("text", F.lit(f"({pattern})"), 1), lambda x: F.regexp_replace(x, pattern, to))
+    all_refs = F.concat(found(_SCR, "SCR-$1-$2-$3"), found(_AIR, "AIR-$1-$2"), found(_SCC, "SCC-$1-$2-$3"))
+    return _cited(spark, d).select("doc_id", F.explode(all_refs).alias("target_ref"))
+
+
+@query(f"WITH {_CITED}, {_REFS} SELECT doc_id, count(DISTINCT target_ref) AS n FROM refs GROUP BY doc_id")
+def dedupe_refs(spark, d):
+    return extract_reporter_refs(spark, d).dropDuplicates(["doc_id", "target_ref"]).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+_NODES = "nodes AS (SELECT doc_id AS target_id, 'CASE-' || doc_id AS target_ref FROM documents)"
+_RESOLVED = f"{v.EDGES}, {_NODES}, resolved AS (SELECT source_id, target_ref, CASE WHEN target_id <> source_id THEN target_id END AS target_id FROM edges LEFT JOIN nodes USING (target_ref))"
+
+
+@query(f"WITH {_RESOLVED} SELECT * FROM resolved")
+def resolve_targets(spark, d):
+    nodes = v.table(spark, d, "documents").select(F.col("doc_id").alias("target_id"), F.concat(F.lit("CASE-"), "doc_id").alias("target_ref"))
+    own = F.when(F.col("target_id") != F.col("source_id"), F.col("target_id")).alias("target_id")
+    return v.edges(spark, d).join(nodes, "target_ref", "left").select("source_id", "target_ref", own)
+
+
+@query(f"WITH {v.EDGES} SELECT DISTINCT source_id, target_ref FROM edges")
+def add_edges(spark, d):
+    """Adding all edges to those of even documents adds the odd ones' only."""
+    e = v.edges(spark, d).dropDuplicates(["source_id", "target_ref"])
+    have = e.where("source_id % 2 = 0")
+    return have.unionByName(e.join(have, ["source_id", "target_ref"], "left_anti"))
+
+
+@query(f"WITH {_RESOLVED} SELECT source_id, count(*) AS n FROM resolved GROUP BY source_id")
+def cites(spark, d):
+    return resolve_targets(spark, d).groupBy("source_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_RESOLVED} SELECT target_id, source_id FROM resolved WHERE target_id = 3")
+def cited_by(spark, d):
+    return resolve_targets(spark, d).where("target_id = 3").select("target_id", "source_id")
+
+
+@query(f"WITH {_RESOLVED} SELECT doc_id, count(source_id) AS authority FROM documents LEFT JOIN resolved ON target_id = doc_id GROUP BY doc_id")
+def authority_counts(spark, d):
+    n = resolve_targets(spark, d).where("target_id is not null").groupBy(F.col("target_id").alias("doc_id")).agg(F.count("*").alias("n"))
+    return v.table(spark, d, "documents").select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("authority"))
+
+
+@query(f"WITH {_RESOLVED} SELECT target_ref, count(*) AS n FROM resolved WHERE target_id IS NULL GROUP BY target_ref")
+def dangling_report(spark, d):
+    return resolve_targets(spark, d).where("target_id is null").groupBy("target_ref").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_RESOLVED} SELECT * FROM (SELECT source_id, target_id, row_number() OVER (PARTITION BY source_id ORDER BY target_ref) AS r FROM resolved
+  WHERE target_id IS NOT NULL AND target_id % 7 <> 0) WHERE r <= 3""")
+def expand_via_graph(spark, d):
+    seen = v.table(spark, d, "documents").where("doc_id % 7 = 0").select(F.col("doc_id").alias("target_id"))
+    new = resolve_targets(spark, d).where("target_id is not null").join(seen, "target_id", "left_anti")
+    w = Window.partitionBy("source_id").orderBy("target_ref")
+    return new.select("source_id", "target_id", F.row_number().over(w).alias("r")).where("r <= 3")

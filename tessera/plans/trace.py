@@ -1 +1,66 @@
+"""Event traces, as batches and as a stream."""
 
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tessera.sources import views as v
+
+from .registry import query
+
+
+@query(f"WITH {v.TRACES} SELECT event_id, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY run))::BIGINT AS elapsed_us FROM traces")
+def trace_elapsed(spark, d):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return v.traces(spark, d).select("event_id", (us - F.min(us).over(Window.partitionBy("run"))).alias("elapsed_us"))
+
+
+@query(f"WITH {v.TRACES} SELECT event_id, lead(event_id) OVER (PARTITION BY run, node ORDER BY event_id) AS closed_by FROM traces")
+def node_spans(spark, d):
+    return v.traces(spark, d).select("event_id", F.lead("event_id").over(Window.partitionBy("run", "node").orderBy("event_id")).alias("closed_by"))
+
+
+@query(f"WITH {v.TRACES} SELECT run, max_by(CASE WHEN failed THEN 'error' ELSE 'ok' END, event_id) AS status, count(*) AS n FROM traces GROUP BY run")
+def run_status(spark, d):
+    return v.traces(spark, d).groupBy("run").agg(F.max_by(F.when(F.col("failed"), "error").otherwise("ok"), "event_id").alias("status"), F.count("*").alias("n"))
+
+
+_COUNTERS = f"WITH {v.TRACES} SELECT run, count(*) FILTER (failed) AS retries, count(*) FILTER (NOT failed) AS completed FROM traces GROUP BY run"
+
+
+def _counters(t):
+    return t.groupBy("run").agg(F.count_if(F.col("failed")).alias("retries"), F.count_if(~F.col("failed")).alias("completed"))
+
+
+@query(_COUNTERS)
+def trace_counters(spark, d):
+    return _counters(v.traces(spark, d))
+
+
+@query(f"WITH {v.TRACES} SELECT event_id, node FROM traces WHERE run = 5 ORDER BY ts, event_id")
+def audit_for_run(spark, d):
+    return v.traces(spark, d).where("run = 5").orderBy("ts", "event_id").select("event_id", "node")
+
+
+@query(_COUNTERS)
+def stream_trace_counters(spark, d):
+    """The same counts kept by a stream over the events' files, run until all are read."""
+    static = v.table(spark, d, "events")
+    events = spark.readStream.schema(static.schema).parquet(f"{d}/events.parquet*")
+    t = events.select(F.col("user_id").alias("run"), (F.col("event_id") % 7 == 0).alias("failed"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-")
+    at = f"{base.rstrip('/')}/stream-{static.sparkSession.sparkContext.applicationId}-{abs(hash(d))}-{spark.sql('select uuid()').first()[0]}"
+
+    def keep(batch, _):
+        batch.write.mode("overwrite").parquet(f"{at}/out")
+
+    _counters(t).writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out")
+
+
+@query("SELECT role AS model, sum(length(text) // 4)::BIGINT AS tokens FROM conversations GROUP BY role")
+def token_usage(spark, d):
+    return v.table(spark, d, "conversations").groupBy(F.col("role").alias("model")).agg(F.sum(F.floor(F.length("text") / 4)).alias("tokens"))
