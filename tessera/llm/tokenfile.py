@@ -45,7 +45,7 @@ def unpack(data: bytes, index: list[int], begin: int = 0, end: int | None = None
 class Pieces(dict):
     """Piece of text -> its ids as bytes, by the tokenizers library, with a bounded memory."""
 
-    def __init__(self, path: str, end_id: int, most: int = 300_000):
+    def __init__(self, path: str, end_id: int, most: int = 1_000_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -63,8 +63,13 @@ class Pieces(dict):
             self.clear()
             new = list(pieces)
         whole = [p if p[:1] == "\n" else f" {p}" for p in new]
-        for p, e in zip(new, self.library.encode_batch_fast(whole, add_special_tokens=False)):
-            self[p] = np.array(e.ids, dtype="<u4").tobytes()
+        if not new:
+            return
+        found = self.library.encode("".join(whole), add_special_tokens=False)  # it splits before each piece
+        begin = np.cumsum([0, *map(len, whole)])
+        at = np.searchsorted(np.array([a for a, _ in found.offsets]), begin) * 4
+        raw = np.array(found.ids, dtype="<u4").tobytes()
+        self.update((p, raw[a:z]) for p, a, z in zip(new, at[:-1].tolist(), at[1:].tolist()))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
