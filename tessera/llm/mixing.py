@@ -31,9 +31,15 @@ def posteriors(docs: DataFrame, labels: DataFrame, most: int = 10_000, features:
     """(id, n_tokens, p array<double>) for every document: the class probabilities of
     a logistic regression on which hashed words a text has, learnt from at most
     ``most`` labelled documents. Maps only; the sample's bound lets it be broadcast."""
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.transform(words(F.col(text_col)), F.lower).alias("words"))
+    def split(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("words", F.transform(words(F.col("text")), F.lower))
+
+    raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    d = split(raw)
     tf = HashingTF(inputCol="words", outputCol="features", numFeatures=features, binary=True)
-    sample = cut(tf.transform(d.join(F.broadcast(labelled_sample(labels, most)), "id")).select("label", "features"))
+    # split after the join, or Spark would split every text to keep a few
+    own = split(raw.join(F.broadcast(labelled_sample(labels, most)), "id"))
+    sample = cut(tf.transform(own).select("label", "features"))
     seen = sorted(r.label for r in sample.select("label").distinct().collect())
     n = F.size("words").cast("long").alias("n_tokens")
     if len(seen) < 2:  # nothing to tell apart
