@@ -12,6 +12,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -21,7 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Recent, table
 
 #: Unicode's White_Space; Python's str.split also splits at \x1c-\x1f.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -59,13 +60,17 @@ class Vocabulary:
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word: the lowest-ranked pair is merged until none is left."""
-        s = [self.letter[b] for b in word.encode()]
+        s, none, rank = [self.letter[b] for b in word.encode()], 1 << 30, self.rank.get
         s[-1] += self.suffix
-        while len(s) > 1:
-            rank, i = min((self.rank.get(p, 1 << 30), i) for i, p in enumerate(zip(s, s[1:])))
-            if rank == 1 << 30:
-                break
+        ranks = [rank(p, none) for p in zip(s, s[1:])]  # of each symbol with the next
+        while ranks and (low := min(ranks)) < none:
+            i = ranks.index(low)
             s[i : i + 2] = [s[i] + s[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((s[i - 1], s[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((s[i], s[i + 1]), none)
         return [self.ids[x] for x in s]
 
 
@@ -145,34 +150,37 @@ class Lexicon:
         return list(self.out[self.ends[rank] : self.ends[rank + 1]]) if self.final[s] else None
 
 
-class Encoder(dict):
+class Words(Recent):
+    """Word -> ids, from the automaton or, for words it lacks, from the merges, exactly."""
+
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, most: int = 300_000):
+        super().__init__(most)
+        self.vocabulary, self.lexicon = vocabulary, lexicon
+
+    def find(self, word: str) -> list[int]:
+        return (self.lexicon and self.lexicon.get(word.encode())) or self.vocabulary.merge(word)
+
+
+class Encoder(Recent):
     """Piece without white space -> (ids, ids as text, tokens as text).
 
     White space never is part of a token here, so a text is the sequence of its
-    pieces. Past pieces are remembered up to a bound; words of others come from the
-    automaton, and words it lacks from the merges, exactly.
+    pieces. Recent pieces and words are remembered up to a bound.
     """
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, most: int = 400_000):
-        super().__init__()
-        self.vocabulary, self.lexicon, self.most = vocabulary, lexicon, most
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, most: int = 600_000):
+        super().__init__(most)
+        self.vocabulary, self.words = vocabulary, Words(vocabulary, lexicon)
 
-    def ids(self, piece: str) -> list[int]:
-        v, out = self.vocabulary, []
+    def find(self, piece: str) -> tuple[int, str, str]:
+        v, ids = self.vocabulary, []
         for i, part in enumerate(v.parts(piece) if "<" in piece else (piece,)):
             if i % 2:
-                out.append(v.special[part])
+                ids.append(v.special[part])
                 continue
             for word in v.words(v.normal(part)):
-                out += (self.lexicon and self.lexicon.get(word.encode())) or v.merge(word)
-        return out
-
-    def __missing__(self, piece: str) -> tuple[int, str, str]:
-        if len(self) >= self.most:
-            self.clear()
-        ids = self.ids(piece)
-        found = self[piece] = (len(ids), " ".join(map(str, ids)), " ".join(self.vocabulary.tokens[i] for i in ids))
-        return found
+                ids += self.words[word]
+        return len(ids), " ".join(map(str, ids)), " ".join([v.tokens[i] for i in ids])
 
     def encode(self, text: str) -> tuple[int, str, str]:
         """How many ids, the ids and the decoded text (each joined by one space)."""
@@ -181,12 +189,24 @@ class Encoder(dict):
         return sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
 
 
+@lru_cache(maxsize=1)
+def worker_vocabulary(path: str) -> Vocabulary:
+    """One for all tasks of a Python worker."""
+    return Vocabulary(path)
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str, lexicon: str) -> Encoder:
+    """One for all tasks of a Python worker, so that they share what it remembers."""
+    return Encoder(worker_vocabulary(path), Lexicon(SparkFiles.get(lexicon)))
+
+
 def frequent_words(docs: DataFrame, path: str, text_col: str = "text", most: int = 50_000) -> list[str]:
     """The ``most`` most frequent words of all texts, ties by word. Counted in full:
     per task first, then by word; only the top ones reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, words = Vocabulary(path), Counter()
+        v, words = worker_vocabulary(path), Counter()
 
         def flush():
             rows = pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["w", "n"])
@@ -239,7 +259,7 @@ def bpe_round_trip(
     name = ship_lexicon(docs, path, text_col, lexicon_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(Vocabulary(path), Lexicon(SparkFiles.get(name)))
+        e = worker_encoder(path, name)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
             out = [e.encode(t.as_py() or "") for t in b.column(1)]
