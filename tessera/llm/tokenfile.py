@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -14,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import Recent, stored, table
 
 BLOCK = 1 << 16  # ids of a block
 
@@ -42,11 +43,11 @@ def unpack(data: bytes, index: list[int], begin: int = 0, end: int | None = None
     return ids[begin - first * BLOCK : None if end is None else end - first * BLOCK]
 
 
-class Pieces(dict):
+class Pieces(Recent):
     """Piece of text -> its ids as bytes, by the tokenizers library, with a bounded memory."""
 
     def __init__(self, path: str, end_id: int, most: int = 1_000_000):
-        super().__init__()
+        super().__init__(most)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -54,14 +55,16 @@ class Pieces(dict):
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.end, self.most = np.array([end_id], dtype="<u4").tobytes(), most
+        self.end = np.array([end_id], dtype="<u4").tobytes()
 
     def learn(self, pieces: set[str]) -> None:
         """Pieces are what is between single spaces, with a line's end at the front."""
         new = [p for p in pieces if p not in self]
-        if len(self) + len(new) > self.most:
-            self.clear()
+        if 2 * (len(self) + len(new)) > self.most:
+            self.turn()
             new = list(pieces)
+        self.update((p, self.old[p]) for p in new if p in self.old)
+        new = [p for p in new if p not in self.old]
         whole = [p if p[:1] == "\n" else f" {p}" for p in new]
         if not new:
             return
@@ -90,6 +93,12 @@ class Pieces(dict):
         return out
 
 
+@lru_cache(maxsize=1)
+def worker_pieces(path: str, end_id: int) -> Pieces:
+    """One for all tasks of a Python worker, so that they share what it remembers."""
+    return Pieces(path, end_id)
+
+
 def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", chunk_ids: int = 1 << 20) -> DataFrame:
     """The chunks, written to the shared folder and read as a table.
 
@@ -102,7 +111,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 2, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, chunk, before = TaskContext.get().partitionId(), 0, 0
-        pieces = Pieces(path, end_id)
+        pieces = worker_pieces(path, end_id)
         keys, lens, parts, size = [], [], [], 0
 
         def flush():
