@@ -52,11 +52,12 @@ def posteriors(docs: DataFrame, labels: DataFrame, most: int = 10_000, features:
     return out.select("id", "n_tokens", F.array(*pad).alias("p"))
 
 
-def fit_rates(members: DataFrame, targets: list[float], steps: int = 25, close: float = 1e-6) -> tuple[Column, list[float]]:
+def fit_rates(members: DataFrame, targets: list[float], steps: int = 25, close: float = 1e-6, ceiling: float | None = None) -> tuple[Column, list[float]]:
     """The rate of each row of (n_tokens, p) as a column, and the totals it gives.
 
     Minimises the squared misses of the domain totals sum(rate * n_tokens * p), each
-    over its present total, by projected gradient from rate 1; the metric weighs
+    over its present total, by projected gradient from rate 1 onto rates of 0 to
+    ``ceiling`` (at least 1; none by default); the metric weighs
     documents by their tokens, in which a step of 1 cannot overshoot. A rate depends
     on its document and on the few misses of earlier steps, so a step moves nothing
     but as many sums as there are domains.
@@ -78,16 +79,19 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = 25, close:
             break
         step = sum((x * F.lit(m) for x, m in zip(p, miss)), F.lit(0.0))
         rate = F.greatest(F.lit(0.0), rate - step)
+        rate = rate if ceiling is None else F.least(F.lit(float(ceiling)), rate)
     return best[1], best[2]
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, head: float = 2.0, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, head: float = 2.0, ceiling: float | None = None, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per document: doc_id, n_tokens, p_good, p_poor, p_toxic, rate, copies.
 
     ``rate`` is how often a document is to be taken so that the expected tokens of
     each domain are its weight times ``budget`` (default: ``head`` times the tokens
     at which the first domain's present total has its weight). ``copies`` is the rate
-    rounded up or down by a hash of the id, up as often as its fraction says.
+    rounded up or down by a hash of the id, up as often as its fraction says. With a
+    ``ceiling`` no rate is above it, and a domain whose tokens don't suffice at that
+    rate stays short of its weight.
 
     Null or empty texts have no tokens and the classifier's prior. A null id hashes
     like any other value; repeated rows get the same answer. With fewer than two
@@ -98,7 +102,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     if budget is None:
         first = members.agg(F.coalesce(F.sum(F.col("n_tokens") * F.get("p", F.lit(0))), F.lit(0.0)).alias("t")).first().t
         budget = head * first / w[DOMAINS[0]]
-    rate, _ = fit_rates(members, [w[d] * budget for d in DOMAINS])
+    rate, _ = fit_rates(members, [w[d] * budget for d in DOMAINS], ceiling=ceiling)
     out = members.withColumn("rate", rate)
     chance = F.pmod(F.xxhash64("id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")
