@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .quality import trusted_ids
 from .windows import U, WordCodes, mix
 
 GRAM, CONTEXT = 0, 1  # what a key of the model stands for
@@ -43,7 +42,7 @@ def training_grams(docs: DataFrame, ids: DataFrame, order: int, id_col: str, tex
             rows = np.concatenate(rows)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(order)], [f"w{i}" for i in range(order)])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).join(F.broadcast(ids), "doc_id", "left_semi")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).join(ids, "doc_id", "left_semi")
     grams = own.select("t").mapInArrow(run, ", ".join(f"w{i} long" for i in range(order)))
     return grams.groupBy(*grams.columns).agg(F.count("*").alias("n"))
 
@@ -116,18 +115,17 @@ def may_be_known(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[place >> U(3)] >> (place & U(7)).astype(np.uint8)) & 1 > 0
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, order: int = 3, train_docs: int = 1000, hot_terms: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def perplexities(docs: DataFrame, labels: DataFrame, order: int = 3, hot_terms: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang, n_words, perplexity) of every document.
 
-    The model learns from at most ``train_docs`` labelled trusted documents. Its
+    The model learns from all labelled trusted documents of ``training_ids``. Its
     ``hot_terms`` most frequent terms, a fixed number, go to every task; all others
     stay a sharded table. Documents send only the keys that a fixed-size filter
     takes for known, once per document with their number, and these rows meet the
     table in an equi join; sums per document are combined before their shuffle.
     """
     spark = docs.sparkSession
-    ids = trusted_ids(labels.where(learns(F.col("doc_id").cast("long"))), train_docs)
-    model, unknown = kneser_ney(training_grams(docs, ids, order, id_col, text_col), order)
+    model, unknown = kneser_ney(training_grams(docs, training_ids(labels), order, id_col, text_col), order)
     top = model.orderBy(F.desc("n"), "key").limit(hot_terms).select("key", "value").toArrow()
     hot = np.sort(top["key"].to_numpy().view(np.uint64))
     value = top["value"].to_numpy()[np.argsort(top["key"].to_numpy().view(np.uint64))]
@@ -181,6 +179,11 @@ def learns(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit("train")), F.lit(2)) == 0
 
 
+def training_ids(labels: DataFrame) -> DataFrame:
+    """The ids of all labelled trusted documents that train the model, each once."""
+    return labels.where("quality = 1 and toxic = 0").select(F.col("doc_id").cast("long")).where(learns(F.col("doc_id"))).distinct()
+
+
 def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, slack: float = 1.5, **how) -> DataFrame:
     """One row per document: doc_id, lang, n_words, perplexity, threshold, kept.
 
