@@ -15,7 +15,7 @@ _CITED = """cited AS (SELECT doc_id, left(text, 100) || CASE doc_id % 3 WHEN 0 T
 def _cited(spark, d):
     m = F.col("doc_id") % 3
     tail = F.when(m == 0, " See [1955] 1 S.C.R. 313 and AIR 1954 SC 229.").when(m == 1, " See (1997) 6 SCC 241.").otherwise(" none")
-    return v.table(spark, d, "documents").select("doc_id", F.concat(F.left("text", F.lit(100)), tail).alias("text"))
+    return v.table(spark, d, "documents").select("doc_id", F.concat("text", tail).alias("text"))
 
 
 _SCR = r"\[([0-9]{4})\]\s*([0-9]+)\s*S\.?\s*C\.?\s*R\.?\s*([0-9]+)"
