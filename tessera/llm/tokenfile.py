@@ -15,7 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Recent, stored, table
+from .common import stored, table
+from .pieces import Ragged, Remembered, cut_pieces, slices, white
 
 BLOCK = 1 << 16  # ids of a block
 
@@ -43,54 +44,63 @@ def unpack(data: bytes, index: list[int], begin: int = 0, end: int | None = None
     return ids[begin - first * BLOCK : None if end is None else end - first * BLOCK]
 
 
-class Pieces(Recent):
-    """Piece of text -> its ids as bytes, by the tokenizers library, with a bounded memory."""
+class Pieces:
+    """Ids of texts by the tokenizers library, which gets each distinct piece once.
 
-    def __init__(self, path: str, end_id: int, most: int = 1_000_000):
-        super().__init__(most)
+    The vocabulary's pattern always splits where white space follows anything else, and
+    looks no further than the white space and the word after it, so a text's ids are
+    those of its pieces (``cut_pieces``), whatever white space they have.
+    """
+
+    def __init__(self, path: str, end_id: int, most: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.end = np.array([end_id], dtype="<u4").tobytes()
-
-    def learn(self, pieces: set[str]) -> None:
-        """Pieces are what is between single spaces, with a line's end at the front."""
-        new = [p for p in pieces if p not in self]
-        if 2 * (len(self) + len(new)) > self.most:
-            self.turn()
-            new = list(pieces)
-        self.update((p, self.old[p]) for p in new if p in self.old)
-        new = [p for p in new if p not in self.old]
-        whole = [p if p[:1] == "\n" else f" {p}" for p in new]
-        if not new:
-            return
-        found = self.library.encode("".join(whole), add_special_tokens=False)  # it splits before each piece
-        begin = np.cumsum([0, *map(len, whole)])
-        at = np.searchsorted(np.array([a for a, _ in found.offsets]), begin) * 4
-        raw = np.array(found.ids, dtype="<u4").tobytes()
-        self.update((p, raw[a:z]) for p, a, z in zip(new, at[:-1].tolist(), at[1:].tolist()))
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text and the end id. Where all white space is single spaces and
-        line ends between words, the vocabulary's pattern always splits before it, so
-        pieces are looked up; other texts and those with a special token's string go
-        through the library whole."""
-        split: list[list[str] | None] = []
-        for t in texts:
-            plain = len(t.split()) == t.count(" ") + t.count("\n") + 1 and not any(s in t for s in self.special)
-            split.append(t.replace("\n", " \n").split(" ") if plain else None)
-        self.learn(set().union(*(s[1:] for s in split if s)))
-        out = []
-        for t, s in zip(texts, split):
-            out.append(b"".join([self.whole(s[0]), *map(self.__getitem__, s[1:]), self.end]) if s else self.whole(t) + self.end)
-        return out
+        vocabulary = self.library.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # bytes of each token
+        self.size[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.remembered, self.end_id = Remembered(self.find, most), end_id
+
+    def find(self, pieces: list[bytes]) -> Ragged:
+        """Pieces with white space at the front only are encoded end to end, since the
+        library splits them there, and told apart by the bytes that tokens stand for;
+        the others, at a text's begin or end, one by one."""
+        edge = white(np.frombuffer(b"".join(p[:1] + p[-1:] for p in pieces), dtype=np.uint8)).reshape(-1, 2)
+        plain = (b"<" not in p and (p[-1] < 128 or not p.decode().isspace()) for p in pieces)
+        inner = edge[:, 0] & ~edge[:, 1] & np.fromiter(plain, dtype=bool, count=len(pieces))
+        flat, sizes = [np.empty(0, dtype=np.int32)], np.zeros(len(pieces), dtype=np.int64)
+        order = []
+        joined = np.flatnonzero(inner)
+        for i in range(0, len(joined), 10_000):
+            some = joined[i : i + 10_000]
+            own = [pieces[k] for k in some.tolist()]
+            ids = np.array(self.library.encode_batch_fast([b"".join(own).decode()], add_special_tokens=False)[0].ids, dtype=np.int32)
+            cut = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(p) for p in own]))
+            sizes[some] = np.diff(cut + 1, prepend=0)
+            flat.append(ids)
+            order.append(some)
+        single = np.flatnonzero(~inner)
+        for i in range(0, len(single), 10_000):
+            some = single[i : i + 10_000]
+            found = [x.ids for x in self.library.encode_batch_fast([pieces[k].decode() for k in some.tolist()], add_special_tokens=False)]
+            sizes[some] = [len(x) for x in found]
+            flat.append(np.array([x for ids in found for x in ids], dtype=np.int32))
+            order.append(some)
+        order = np.concatenate(order)
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        return Ragged(np.concatenate(flat), sizes[order]).take(back)
+
+    def encode(self, texts: pa.Array) -> Ragged:
+        """Ids of each text and the end id."""
+        distinct, number, edge = cut_pieces(texts)
+        ids = self.remembered.of(distinct).join(Ragged(np.array([self.end_id], dtype=np.int32), np.ones(1, dtype=np.int64)))
+        number = np.insert(number.astype(np.int64), edge[1:], len(distinct))
+        out = ids.take(number)
+        return Ragged(out.flat, np.diff(out.ends[edge + np.arange(len(edge))]))
 
 
 @lru_cache(maxsize=1)
@@ -115,20 +125,23 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 2, id_c
         keys, lens, parts, size = [], [], [], 0
 
         def flush():
-            ids = np.frombuffer(b"".join(parts), dtype="<u4")
+            ids = np.concatenate(parts)
             data, index = pack(ids)
             row = [[part], [chunk], [before], [len(ids)], [keys], [lens], [data], [index]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
             names = ["part", "chunk", "before", "n_ids", "doc_ids", "lens", "data", "index"]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], names)
 
-        texts = ((b.column(0).slice(i, 500).to_pylist(), b.column(1).slice(i, 500).to_pylist()) for b in batches for i in range(0, b.num_rows, 500))
-        for ks, ts in texts:
-            for k, ids in zip(ks, pieces.encode([t or "" for t in ts])):
-                keys.append(k)
-                lens.append(len(ids) // 4)
-                parts.append(ids)
-                size += lens[-1]
+        for s in (s for b in batches for s in slices(b, 1)):
+            ids, own, at = pieces.encode(s.column(1)), s.column(0).to_pylist(), 0
+            while at < len(own):
+                # up to the document with which the chunk is full
+                end = min(len(own), int(np.searchsorted(ids.ends, ids.ends[at] + chunk_ids - size)))
+                keys += own[at:end]
+                lens += np.diff(ids.ends[at : end + 1]).tolist()
+                parts.append(ids.flat[ids.ends[at] : ids.ends[end]])
+                size += len(parts[-1])
+                at = end
                 if size >= chunk_ids:
                     yield flush()
                     chunk, before = chunk + 1, before + size
@@ -138,7 +151,8 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 2, id_c
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     rows = rows.repartitionByRange("id").sortWithinPartitions("id", "t")
-    return stored(rows.mapInArrow(run, "part int, chunk int, before long, n_ids long, doc_ids array<long>, lens array<long>, data binary, index array<long>"))
+    kinds = "part int, chunk int, before long, n_ids long, doc_ids array<long>, lens array<long>, data binary, index array<long>"
+    return stored(rows.mapInArrow(run, kinds), "uncompressed")  # planes are compressed already
 
 
 def read_tokens(chunks: DataFrame, contents: bool = False) -> DataFrame:
