@@ -5,9 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import mmap
-import os
 import struct
-import tempfile
 import unicodedata
 import uuid
 from collections import Counter
@@ -17,17 +15,17 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Recent, table
+from .common import shared_dir, stored, table
+from .pieces import Ragged, Remembered, cut_pieces, slices
 
-#: Unicode's White_Space; Python's str.split also splits at \x1c-\x1f.
+#: Unicode's White_Space.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-ODD = regex.compile("[\x1c-\x1f]")
-SPACES = regex.compile(f"[{SPACE}]+")
 
 
 def byte_letters() -> list[str]:
@@ -58,10 +56,14 @@ class Vocabulary:
         text = unicodedata.normalize("NFC", text)
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
-    def merge(self, word: str) -> list[int]:
-        """Ids of one word: the lowest-ranked pair is merged until none is left."""
-        s, none, rank = [self.letter[b] for b in word.encode()], 1 << 30, self.rank.get
+    def symbols(self, word: bytes) -> list[str]:
+        s = [self.letter[b] for b in word]
         s[-1] += self.suffix
+        return s
+
+    def merge(self, word: bytes) -> list[int]:
+        """Ids of one word: the lowest-ranked pair is merged until none is left."""
+        s, none, rank = self.symbols(word), 1 << 30, self.rank.get
         ranks = [rank(p, none) for p in zip(s, s[1:])]  # of each symbol with the next
         while ranks and (low := min(ranks)) < none:
             i = ranks.index(low)
@@ -74,6 +76,72 @@ class Vocabulary:
         return [self.ids[x] for x in s]
 
 
+class Merges:
+    """The same merges for many words at once, as arrays."""
+
+    NONE = np.int32(1 << 30)
+
+    def __init__(self, vocabulary: Vocabulary, longest: int = 32):
+        v = self.vocabulary = vocabulary
+        self.longest = longest  # longer words are rare and merged one by one
+        pairs = np.array([(v.ids[a] << 32 | v.ids[b], v.ids[a + b], rank) for (a, b), rank in v.rank.items()], dtype=np.int64).reshape(-1, 3)
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        self.pair, self.merged, self.rank = pairs[:, 0], np.empty(len(pairs), dtype=np.int32), pairs[:, 2].astype(np.int32)
+        self.merged[self.rank] = pairs[:, 1]
+        self.inner = np.array([v.ids.get(x, -1) for x in v.letter], dtype=np.int32)
+        self.last = np.array([v.ids.get(x + v.suffix, -1) for x in v.letter], dtype=np.int32)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.rank[at], self.NONE)
+
+    def of(self, words: list[bytes]) -> Ragged:
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        order, flat, sizes = [], [], []
+
+        def add(which: np.ndarray, ids: np.ndarray) -> None:
+            order.append(which)
+            flat.append(ids.ravel())
+            sizes.append(np.full(len(which), ids.shape[1]))
+
+        for n in np.unique(size).tolist():
+            which = np.flatnonzero(size == n)
+            if n > self.longest:
+                for i in which.tolist():
+                    add(np.array([i]), np.array([self.vocabulary.merge(words[i])], dtype=np.int32))
+                continue
+            letters = np.frombuffer(b"".join([words[i] for i in which.tolist()]), dtype=np.uint8).reshape(-1, n)
+            s = np.concatenate((self.inner[letters[:, :-1]], self.last[letters[:, -1:]]), axis=1)
+            r = self.ranks(s[:, :-1], s[:, 1:])
+            while n > 1:  # each round merges one pair of every word that still has one
+                at = r.argmin(axis=1)
+                low = r[np.arange(len(r)), at]
+                over = low == self.NONE
+                if over.any():
+                    add(which[over], s[over])
+                    go = ~over
+                    which, s, r, at, low = which[go], s[go], r[go], at[go], low[go]
+                if not len(which):
+                    break
+                row, n = np.arange(len(which)), n - 1
+                s = np.take_along_axis(s, np.arange(n) + (np.arange(n) > at[:, None]), axis=1)
+                r = np.take_along_axis(r, np.arange(n - 1) + (np.arange(n - 1) >= at[:, None]), axis=1)
+                s[row, at] = self.merged[low]
+                k = np.flatnonzero(at > 0)
+                r[k, at[k] - 1] = self.ranks(s[k, at[k] - 1], s[k, at[k]])
+                k = np.flatnonzero(at < n - 1)
+                r[k, at[k]] = self.ranks(s[k, at[k]], s[k, at[k] + 1])
+            if len(which):
+                add(which, s)
+        if not order:
+            return Ragged(np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64))
+        order = np.concatenate(order)
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        return Ragged(np.concatenate(flat), np.concatenate(sizes)).take(back)
+
+
 def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
     """A minimal acyclic automaton of the words, as flat arrays.
 
@@ -150,43 +218,62 @@ class Lexicon:
         return list(self.out[self.ends[rank] : self.ends[rank + 1]]) if self.final[s] else None
 
 
-class Words(Recent):
-    """Word -> ids, from the automaton or, for words it lacks, from the merges, exactly."""
-
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, most: int = 300_000):
-        super().__init__(most)
-        self.vocabulary, self.lexicon = vocabulary, lexicon
-
-    def find(self, word: str) -> list[int]:
-        return (self.lexicon and self.lexicon.get(word.encode())) or self.vocabulary.merge(word)
-
-
-class Encoder(Recent):
-    """Piece without white space -> (ids, ids as text, tokens as text).
-
-    White space never is part of a token here, so a text is the sequence of its
-    pieces. Recent pieces and words are remembered up to a bound.
-    """
-
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, most: int = 600_000):
-        super().__init__(most)
-        self.vocabulary, self.words = vocabulary, Words(vocabulary, lexicon)
-
-    def find(self, piece: str) -> tuple[int, str, str]:
-        v, ids = self.vocabulary, []
-        for i, part in enumerate(v.parts(piece) if "<" in piece else (piece,)):
-            if i % 2:
-                ids.append(v.special[part])
-                continue
-            for word in v.words(v.normal(part)):
-                ids += self.words[word]
-        return len(ids), " ".join(map(str, ids)), " ".join([v.tokens[i] for i in ids])
-
-    def encode(self, text: str) -> tuple[int, str, str]:
-        """How many ids, the ids and the decoded text (each joined by one space)."""
-        pieces = SPACES.split(text) if ODD.search(text) else text.split()
-        found = [x for x in map(self.__getitem__, pieces) if x[0]]
-        return sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+class Encoder:
+    """Ids of texts. White space never is part of a token here, so a text is the sequence
+    of its pieces, and each distinct piece is taken apart once."""
+
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, most: int = 1_000_000):
+        self.vocabulary, self.lexicon, self.merges = vocabulary, lexicon, Merges(vocabulary)
+        self.remembered = Remembered(self.find, most)
+        top = max(vocabulary.tokens) + 1
+        self.number, self.token = pa.array(map(str, range(top))), pa.array([vocabulary.tokens.get(i, "") for i in range(top)])
+
+    def words(self, words: list[bytes]) -> Ragged:
+        """From the automaton or, for words it lacks, from the merges, exactly."""
+        get = self.lexicon.get if self.lexicon else lambda w: None
+        found = [get(w) for w in words]
+        known = [i for i, ids in enumerate(found) if ids]
+        unseen = [i for i, ids in enumerate(found) if not ids]
+        flat = np.array([x for i in known for x in found[i]], dtype=np.int32)
+        ids = Ragged(flat, np.array([len(found[i]) for i in known], dtype=np.int64)).join(self.merges.of([words[i] for i in unseen]))
+        back = np.empty(len(words), dtype=np.int64)
+        back[known + unseen] = np.arange(len(words))
+        return ids.take(back)
+
+    def find(self, pieces: list[bytes]) -> Ragged:
+        v, place, number, sizes = self.vocabulary, {}, [], []
+        for piece in pieces:
+            n = len(number)
+            for i, part in enumerate(v.parts(piece.decode()) if b"<" in piece else (piece.decode(),)):
+                if i % 2:
+                    number.append(-1 - v.special[part])
+                else:
+                    number += [place.setdefault(w, len(place)) for w in v.words(v.normal(part))]
+            sizes.append(len(number) - n)
+        number = np.array(number, dtype=np.int64)
+        own = self.words([w.encode() for w in place])
+        # a special token is a list of one id after those of the words
+        special = np.unique(number[number < 0])
+        ids = own.join(Ragged((-1 - special).astype(np.int32), np.ones(len(special), dtype=np.int64)))
+        number = np.where(number < 0, len(place) + np.searchsorted(special, number), number)
+        out = ids.take(number)
+        edge = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        return Ragged(out.flat, np.diff(out.ends[edge]))
+
+    def encode(self, texts: pa.Array) -> Ragged:
+        distinct, number, edge = cut_pieces(texts)
+        out = self.remembered.of(distinct).take(number)
+        return Ragged(out.flat, np.diff(out.ends[edge]))
+
+    def joined(self, ids: Ragged, names: pa.Array, most: int = 2_000_000) -> Iterator[bytes]:
+        """Each text's ids or tokens, joined by one space; ``most`` ids at a time, so that memory stays bounded."""
+        at, texts = 0, len(ids.ends) - 1
+        while at < texts:
+            end = max(at + 1, int(np.searchsorted(ids.ends, ids.ends[at] + most, side="right")) - 1)
+            own = names.take(pa.array(ids.flat[ids.ends[at] : ids.ends[end]]))
+            lists = pa.LargeListArray.from_arrays(pa.array(ids.ends[at : end + 1] - ids.ends[at]), own)
+            yield from (x.as_py().encode() for x in pc.binary_join(lists, " "))
+            at = end
 
 
 @lru_cache(maxsize=1)
@@ -202,8 +289,10 @@ def worker_encoder(path: str, lexicon: str) -> Encoder:
 
 
 def frequent_words(docs: DataFrame, path: str, text_col: str = "text", most: int = 50_000) -> list[str]:
-    """The ``most`` most frequent words of all texts, ties by word. Counted in full:
-    per task first, then by word; only the top ones reach the driver."""
+    """The most frequent words of all texts, at most ``most``: all seen twice or more that are at least as
+    frequent as a cut-off, which is exact to nine bits. Words are counted in full, per
+    task first and then by word; a histogram of the counts, of bounded size, tells
+    the cut-off, and only the words above it reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, words = worker_vocabulary(path), Counter()
@@ -213,31 +302,39 @@ def frequent_words(docs: DataFrame, path: str, text_col: str = "text", most: int
             words.clear()
             return rows
 
-        for b in batches:
-            pieces = Counter()
-            for t in b.column(0):
-                pieces.update((t.as_py() or "").split())
-            for piece, n in pieces.items():
-                for w in v.words(v.normal(piece)):
+        for s in (s for b in batches for s in slices(b, 0)):
+            distinct, number, _ = cut_pieces(s.column(0))
+            for piece, n in zip(distinct, np.bincount(number, minlength=len(distinct)).tolist()):
+                for w in v.words(v.normal(piece.decode())):
                     words[w] += n
             if len(words) > 300_000:
                 yield flush()
         yield flush()
 
-    counts = docs.select(text_col).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return [r.w for r in counts.orderBy(F.desc("n"), "w").limit(most).collect()]
+    counts = docs.select(text_col).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
+    low = F.greatest(F.lit(0), F.length(F.bin("n")) - 9)
+    coarse = stored(counts.select("w", F.call_function("shiftleft", F.call_function("shiftright", F.col("n"), low), low).alias("coarse")))
+    left, least = most, None
+    for r in coarse.groupBy("coarse").agg(F.count("*").alias("words")).orderBy(F.desc("coarse")).collect():  # at most 256 for each power of two
+        if r.words > left:
+            break
+        left, least = left - r.words, r.coarse
+    return [] if least is None else [r.w for r in coarse.where(F.col("coarse") >= least).select("w").collect()]
 
 
 def ship_lexicon(docs: DataFrame, path: str, text_col: str = "text", most: int = 50_000) -> str:
-    """Compile the frequent words' automaton; Spark gives its file to each executor,
-    also to those that join later. Returns the file's name there."""
+    """Compile the frequent words' automaton and write it to the shared folder; Spark
+    gives its file to each executor, also to those that join later. Returns the file's
+    name there."""
     v = Vocabulary(path)
-    data = compile_lexicon((w.encode(), v.merge(w)) for w in frequent_words(docs, path, text_col, most))
-    name = f"lexicon-{uuid.uuid4().hex}.fst"
-    at = os.path.join(tempfile.mkdtemp(), name)
-    with open(at, "wb") as f:
-        f.write(data)
-    docs.sparkSession.sparkContext.addFile(at)
+    words = [w.encode() for w in frequent_words(docs, path, text_col, most)]
+    data = compile_lexicon((w, v.merge(w)) for w in words)
+    name, sc = f"lexicon-{uuid.uuid4().hex}.fst", docs.sparkSession.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(docs.sparkSession).rstrip('/')}/{name}")
+    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(data))
+    out.close()
+    sc.addFile(at.toString())
     return name
 
 
@@ -260,16 +357,13 @@ def bpe_round_trip(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = worker_encoder(path, name)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for b in batches:
-            out = [e.encode(t.as_py() or "") for t in b.column(1)]
-            cols = [
-                b.column(0), pa.array([n for n, _, _ in out], pa.int64()),
-                pa.array([sha(i) for _, i, _ in out], pa.string()), pa.array([sha(d) for _, _, d in out], pa.string()),
-            ]
+        sha = lambda texts: pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
+        for b in (s for b in batches for s in slices(b, 1)):
+            ids = e.encode(b.column(1))
+            cols = [b.column(0), pa.array(np.diff(ids.ends)), sha(e.joined(ids, e.number)), sha(e.joined(ids, e.token))]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if contents:
-                cols += [pa.array([list(map(int, i.split())) for _, i, _ in out], pa.list_(pa.int32())), pa.array([d for _, _, d in out], pa.string())]
+                cols += [pa.ListArray.from_arrays(pa.array(ids.ends.astype(np.int32)), pa.array(ids.flat)), pa.array([t.decode() for t in e.joined(ids, e.token)], pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(cols, names)
 

@@ -50,25 +50,3 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-class Recent(dict):
-    """What ``find`` gave for each key, remembered for ``most`` keys at most. When half
-    of them are new, the older half goes, so keys that keep coming stay."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
-
-    def turn(self) -> None:
-        self.old = dict(self)
-        self.clear()
-
-    def __missing__(self, key):
-        found = self.old.get(key)
-        if found is None:
-            found = self.find(key)
-        if 2 * len(self) >= self.most:
-            self.turn()
-        self[key] = found
-        return found

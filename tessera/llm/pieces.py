@@ -32,7 +32,7 @@ def white(data: np.ndarray) -> np.ndarray:
     return w
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = 24 << 20) -> Iterator[pa.RecordBatch]:
     """Rows of the batch with about ``most`` bytes of text at a time, one row at least."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0

@@ -1,8 +1,10 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -14,6 +16,36 @@ EXTRA = [
 ]
 
 
+SPACES = [" ", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\u2009", "\x85", "\x1c", "\x1f", "\u180e", "\u200b", "\ufeff", "\u3000"]
+BITS = ["a", "b", "hello", "world's", "l'été", "É", "12", "3.14", "漢字", "👍🏽", "<|endoftext|>", "<|startoftext|>", "<|endoftext", "'s", "...", "ß", "x\u0301", "ΑΣ", "İ", "ab" * 40, "qzxvbnmlk"]
+
+
+def odd_texts(n, seed=1):
+    r = random.Random(seed)
+    return ["a\n\n\nb\xa0c\xa0d", "hello \n\n world\u2009x\u2009y z\x85w", "", None] + ["".join(r.choice(SPACES if r.random() < 0.5 else BITS) for _ in range(r.randrange(30))) for _ in range(n)]
+
+
+def test_odd_white_space_and_special_tokens():
+    texts = odd_texts(3000)
+    for path, encoder, end in (
+        (public_tokenizers.path("byte_bpe_50k.json"), tokenfile.Pieces(public_tokenizers.path("byte_bpe_50k.json"), 2, most=500), [2]),
+        (public_tokenizers.path("word_bpe_49k.json"), bpe.Encoder(bpe.Vocabulary(public_tokenizers.path("word_bpe_49k.json")), most=500), []),
+    ):
+        library = Tokenizer.from_file(path)
+        for i in range(0, len(texts), 300):
+            ids = encoder.encode(pa.array(texts[i : i + 302]).slice(2))
+            for k, t in enumerate(texts[i + 2 : i + 302]):
+                assert ids.flat[ids.ends[k] : ids.ends[k + 1]].tolist() == library.encode(t or "", add_special_tokens=False).ids + end, t
+
+
+def test_array_merges():
+    v = bpe.Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghét漢") for _ in range(r.randrange(1, 40))).encode() for _ in range(2000)]
+    got = bpe.Merges(v, longest=20).of(words)
+    assert [got.flat[a:z].tolist() for a, z in zip(got.ends, got.ends[1:])] == [v.merge(w) for w in words]
+
+
 @pytest.fixture(scope="module")
 def more(spark, rows):
     r = rows[:60] + EXTRA
@@ -67,3 +99,16 @@ def test_empty_and_null_ids(nothing, spark):
     d = spark.createDataFrame([(None, "b"), (None, "a"), (1, None)], "doc_id long, text string")
     assert [tuple(r)[:3] for r in tokenfile.token_files(d).orderBy("start").collect()] == [(None, 0, 2), (None, 2, 2), (1, 4, 1)]
     assert bpe.bpe_round_trip(d).count() == 3
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    d = spark.createDataFrame([(1, "b c", 5, "x", 7), (1, "b c", 5, "x", 7)], "doc_id long, text string, id int, ids string, part int")
+    assert [tuple(r)[:3] for r in tokenfile.token_files(d).orderBy("start").collect()] == [(1, 0, 3), (1, 3, 3)]
+    assert {r.n_tokens for r in bpe.bpe_round_trip(d).collect()} == {2}
+
+
+def test_frequent_words(spark):
+    d = spark.createDataFrame([(1, "x " * 700 + "y " * 600 + "z z once"), (2, None), (3, "z y")], "doc_id long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert sorted(bpe.frequent_words(d, path)) == ["x", "y", "z"]
+    assert bpe.frequent_words(d, path, most=1) == ["x"] and bpe.frequent_words(d, path, most=0) == []
