@@ -7,13 +7,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
 from .windows import WordCodes, alone, anchors, covered, gram_hash, member
 
-LAST = (1 << 63) - 1  # stands for a null id
+NULLS = 1 << 62  # from here on, keys stand for null ids, by text
+
+
+def keys(id_col: str, text_col: str) -> Column:
+    """The id; for a null one, a number above all ids that only equal texts share, so that
+    rows without an id neither mix nor meet in one group."""
+    own = F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
+    return F.coalesce(F.col(id_col).cast("long"), own.bitwiseAND(F.lit(NULLS - 1)).bitwiseOR(F.lit(NULLS)))
 
 
 def level_lengths(start: int, target: int) -> list[int]:
@@ -63,13 +70,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     combine, and no key is hot. Text is shuffled by id and reused for the last pass.
 
     Null text counts as empty, a null id as larger than any other (null in the
-    result). Rows that share an id count as occurrences of one document, each of
-    which keeps its first ones. Texts shorter than a window lose nothing; empty
+    result); ids must be below 2^62. Rows that share an id, or have no id and the same
+    text, count as occurrences of one document, each of which keeps its first ones. Texts shorter than a window lose nothing; empty
     tables give no rows; other columns are unread.
     """
     levels = level_lengths(min(start, window), window)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    texts = docs.select(key.alias("key"), F.col(text_col).cast("binary").alias("text"))
+    texts = docs.select(keys(id_col, text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
 
     def hashes(rows: DataFrame, level: int) -> DataFrame:
         """(h, key): distinct hashes of each document's windows at ``level``."""
@@ -136,7 +142,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     gone = covered(s[~(mine & member(h, as_set(firsts, i)))], window, len(words))
                     kept = [w for w, x in zip(words, gone) if not x]
                 text = b" ".join(kept)
-                out.append((None if k == LAST else k, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "replace") if contents else None))
+                out.append((None if k >= NULLS else k, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "replace") if contents else None))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())[: 4 + contents]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + contents])

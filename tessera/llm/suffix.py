@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .substring import LAST, as_set
+from .substring import NULLS, as_set, keys
 from .windows import alone, anchors, byte_hash, covered, member
 
 
@@ -200,12 +200,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
        so that no task has to hold an unbounded group.
     4. Documents drop what their other candidate windows cover.
 
-    Null text counts as empty, a null id is passed through. Rows that share an id
-    must share their text; repeated rows count as copies. Texts under ``length``
+    Null text counts as empty, a null id is passed through; ids must be below 2^62.
+    Rows that share an id must share their text (rows without one need not);
+    repeated rows count as copies. Texts under ``length``
     bytes lose nothing. Empty tables give no rows; other columns are unread.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    texts = docs.select(key.alias("key"), F.col(text_col).cast("binary").alias("text"))
+    texts = docs.select(keys(id_col, text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
 
     def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -306,7 +306,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     s = s[np.cumsum(edge)[s] == 0]
                     gone = covered(s, length, len(t))
                     kept, spans = np.frombuffer(t, dtype=np.uint8)[~gone].tobytes(), len(runs(gone)[0])
-                out.append((None if k == LAST else k, len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if contents else None))
+                out.append((None if k >= NULLS else k, len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if contents else None))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())[: 5 + contents]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + contents])

@@ -50,12 +50,15 @@ def _double(h: np.ndarray, n: int, length: int, lane: int) -> np.ndarray:
 
 def anchors(h: np.ndarray, grams: int) -> np.ndarray:
     """For each window of ``grams`` consecutive gram hashes, its anchor's position."""
+    k = len(h) - grams + 1
+    most = (1 << 28) - grams  # a position has 28 bits; longer texts go by parts
+    if k > most:
+        return np.concatenate([anchors(h[i : i + most + grams - 1], grams) + i for i in range(0, k, most)])
     m = ((h >> _POS) << _POS) | np.arange(len(h), dtype=U)
     n = 1
     while 2 * n <= grams:
         m, n = np.minimum(m[:-n], m[n:]), 2 * n
     if n < grams:
-        k = len(h) - grams + 1
         m = np.minimum(m[:k], m[grams - n :][:k])
     return (m & _LOW).astype(np.int64)
 

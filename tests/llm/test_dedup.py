@@ -1,12 +1,15 @@
 import hashlib
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
 from tessera.llm.exact import exact_dedup
 from tessera.llm.simhash import near_duplicates, near_links
 from tessera.llm.substring import substring_dedup
-from tessera.llm.suffix import suffix_dedup
+from tessera.llm.suffix import suffix_array, suffix_dedup
+from tessera.llm.windows import anchors
 
 from . import brute
 
@@ -81,3 +84,33 @@ def test_clashing_columns_and_null_ids(spark):
     d = spark.createDataFrame([(None, "a b c " * 30, 1, 2), (1, "a b c " * 30, 3, 4)], "doc_id long, text string, key long, h long")
     for f in (exact_dedup, near_duplicates, substring_dedup, suffix_dedup):
         assert f(d).count() == 2
+
+
+def test_different_texts_without_ids(spark):
+    r = random.Random(9)
+    letters = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    p, q = letters(400), letters(400)
+    rows = [(None, letters(300) + q), (None, p + q + letters(200)), (1, letters(10) + p), (None, None), (2, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for f, plain in ((suffix_dedup, brute.bytes_dedup), (substring_dedup, brute.words_dedup)):
+        named = [(k if k is not None else 1000 + i, t) for i, (k, t) in enumerate(rows)]
+        want = plain(named)
+        got = f(d).collect()
+        own = lambda x: tuple(x)[1:5] if f is suffix_dedup else tuple(x)[1:4]
+        if f is suffix_dedup:
+            assert sorted(map(own, got)) == sorted(w[1:] for w in want)
+        assert len(got) == len(rows) and sum(x.doc_id is None for x in got) == 3
+
+
+def test_anchors_of_equal_windows_are_equal():
+    h = np.random.default_rng(1).integers(0, 50, 3000, dtype=np.uint64) << np.uint64(40)
+    at = anchors(h, 60)
+    assert all(at[i] == i + int(np.argmin(h[i : i + 60])) for i in range(len(at)))
+
+
+def test_suffix_arrays():
+    r = random.Random(6)
+    for alphabet in (1, 2, 5, 200):
+        for n in (0, 1, 2, 40, 500):
+            t = np.array([r.randrange(1, alphabet + 1) for _ in range(n)] + [0], dtype=np.uint16)
+            assert suffix_array(t).tolist() == sorted(range(n + 1), key=lambda i: t[i:].tolist())
