@@ -66,7 +66,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame | list | None = None, id_col:
     """
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
-        rules = spark.createDataFrame(RULES if rules is None else rules, "action string, host string, path string")
+        own = [F.struct(*[F.lit(x).alias(c) for c, x in zip(("action", "host", "path"), r)]) for r in (RULES if rules is None else rules)]
+        none = F.array().cast("array<struct<action:string,host:string,path:string>>")
+        rules = spark.range(1, numPartitions=1).select(F.inline(F.array(*own) if own else none))
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host")))
