@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -52,57 +55,105 @@ def posteriors(docs: DataFrame, labels: DataFrame, most: int = 10_000, features:
     return out.select("id", "n_tokens", F.array(*pad).alias("p"))
 
 
-def fit_rates(members: DataFrame, targets: list[float], steps: int = 25, close: float = 1e-6, ceiling: float | None = None) -> tuple[Column, list[float]]:
-    """The rate of each row of (n_tokens, p) as a column, and the totals it gives.
+def fit_rates(members: DataFrame, features: list[Column], targets: list[float], close: list[float], ceiling: float | None = None, steps: int = 60) -> tuple[Column, list[float], list[float]]:
+    """The rate of each row of ``members`` as a column, its totals, and the multipliers.
 
-    Minimises the squared misses of the domain totals sum(rate * n_tokens * p), each
-    over its present total, by projected gradient from rate 1 onto rates of 0 to
-    ``ceiling`` (at least 1; none by default); the metric weighs
-    documents by their tokens, in which a step of 1 cannot overshoot. A rate depends
-    on its document and on the few misses of earlier steps, so a step moves nothing
-    but as many sums as there are domains.
+    Least squares by projected gradient: the rates nearest to 1 (squares weighed by
+    ``n_tokens``) between 0 and ``ceiling`` for which each total
+    sum(rate * n_tokens * feature) is its target, to within ``close``. A step moves all
+    rates along the features and projects them into their bounds:
+    rate = clip(1 - sum(x * feature)). The gradient of the k numbers x is what the
+    totals miss; it is preconditioned by the k x k Gram matrix of the rows that are
+    not at a bound, and shortened until the (convex) objective falls. A step moves
+    nothing but k + k(k+1)/2 + 1 sums, and a rate depends on its row and x alone.
     """
-    k = len(targets)
-    p = [F.get("p", F.lit(i)) for i in range(k)]
-    rate: Column = F.lit(1.0)
-    size: list[float] = []
-    best = None
+    k = len(features)
+    x = np.zeros(k)
+
+    def rate(at: np.ndarray) -> tuple[Column, Column]:
+        free = F.lit(1.0) - sum((f * F.lit(float(v)) for f, v in zip(features, at)), F.lit(0.0))
+        inside = F.greatest(F.lit(0.0), free)
+        return (inside if ceiling is None else F.least(F.lit(float(ceiling)), inside)), free
+
+    def sums(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        r, free = rate(at)
+        n = F.col("n_tokens").cast("double")
+        loose = F.when((free > 0) & (free < (1e308 if ceiling is None else ceiling)) | (free == r), n).otherwise(0.0)
+        rows = members.select(n.alias("n"), r.alias("r"), free.alias("u"), loose.alias("loose"), *[f.alias(f"f{i}") for i, f in enumerate(features)])
+        total = [F.sum(F.col("n") * F.col("r") * F.col(f"f{i}")) for i in range(k)]
+        gram = [F.sum(F.col("loose") * F.col(f"f{i}") * F.col(f"f{j}")) for i in range(k) for j in range(i + 1)]
+        # integral of the clipped rate over the free one
+        row = rows.agg(F.sum(F.col("n") * (F.col("r") * F.col("u") - F.col("r") * F.col("r") / 2)), *total, *gram).first()
+        row = [float(v or 0) for v in row]
+        g = np.zeros((k, k))
+        g[np.tril_indices(k)] = row[1 + k :]
+        return row[0] + float(at @ np.array(targets)), np.array(row[1 : 1 + k]), g + np.tril(g, -1).T
+
+    value, totals, gram = sums(x)
     for _ in range(steps):
-        row = members.agg(*[F.coalesce(F.sum(rate * F.col("n_tokens") * x), F.lit(0.0)).alias(f"t{i}") for i, x in enumerate(p)]).first()
-        totals = [float(x) for x in row]
-        size = size or [max(t, 1e-9) for t in totals]
-        miss = [(t - goal) / s for t, goal, s in zip(totals, targets, size)]
-        loss = sum(s * m * m for s, m in zip(size, miss)) / max(sum(size), 1e-9)
-        if best is None or loss < best[0]:
-            best = (loss, rate, totals)
-        if loss < close:
+        miss = totals - np.array(targets)
+        if (abs(miss) <= np.array(close)).all():
             break
-        step = sum((x * F.lit(m) for x, m in zip(p, miss)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - step)
-        rate = rate if ceiling is None else F.least(F.lit(float(ceiling)), rate)
-    return best[1], best[2]
-
-
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, head: float = 2.0, ceiling: float | None = None, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+        step = np.linalg.lstsq(gram + np.eye(k) * 1e-9 * max(gram.trace(), 1e-9), miss, rcond=None)[0]
+        size = 1.0
+        while True:
+            new = sums(x + size * step)
+            if new[0] < value or size < 1e-6:
+                break
+            size /= 2
+        if size < 1e-6 and abs(new[1] - targets).sum() >= abs(miss).sum():
+            break  # no step helps: the targets can't be met
+        x, (value, totals, gram) = x + size * step, new
+    return rate(x)[0], totals.tolist(), x.tolist()
+
+
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, head: float = 2.0, ceiling: float | None = None, within: float = 1e-4, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per document: doc_id, n_tokens, p_good, p_poor, p_toxic, rate, copies.
 
     ``rate`` is how often a document is to be taken so that the expected tokens of
     each domain are its weight times ``budget`` (default: ``head`` times the tokens
-    at which the first domain's present total has its weight). ``copies`` is the rate
-    rounded up or down by a hash of the id, up as often as its fraction says. With a
-    ``ceiling`` no rate is above it, and a domain whose tokens don't suffice at that
-    rate stays short of its weight.
+    at which the first domain's present total has its weight); of all such rates,
+    those nearest to 1. ``copies`` is the rate rounded up or down by a hash of the
+    id, up as often as its fraction says.
+
+    With a ``ceiling`` no rate is above it, and there is no budget: rates are lowered
+    until no domain but the first has more than its weight among all tokens, and as
+    little as that needs. A domain that has less than its weight to begin with
+    stays short of it.
+
+    A target is met when the total is within the share ``within`` of it. Where that
+    can't be (no tokens of a domain with a weight), a warning names the domains.
 
     Null or empty texts have no tokens and the classifier's prior. A null id hashes
     like any other value; repeated rows get the same answer. With fewer than two
-    labelled domains all documents are in one. Empty tables give no rows.
+    labelled domains all documents are in one, and all are taken once. Empty tables
+    give no rows.
     """
     w = weights or WEIGHTS
     members = stored(posteriors(docs, labels, id_col=id_col, text_col=text_col, **how))
-    if budget is None:
-        first = members.agg(F.coalesce(F.sum(F.col("n_tokens") * F.get("p", F.lit(0))), F.lit(0.0)).alias("t")).first().t
-        budget = head * first / w[DOMAINS[0]]
-    rate, _ = fit_rates(members, [w[d] * budget for d in DOMAINS], ceiling=ceiling)
+    p = [F.get("p", F.lit(i)) for i in range(len(DOMAINS))]
+    have = [float(t or 0) for t in members.agg(*[F.sum(F.col("n_tokens") * x) for x in p]).first()]
+    share = [w[d] for d in DOMAINS]
+    if sum(t > 0 for t in have) < 2:
+        rate, short = F.lit(1.0), []
+    elif ceiling is None:
+        goal = [x * (head * have[0] / share[0] if budget is None else budget) for x in share]
+        rate, totals, _ = fit_rates(members, p, goal, [within * g for g in goal])
+        short = [d for d, t, g in zip(DOMAINS, totals, goal) if abs(t - g) > max(within, 1e-3) * g]
+    else:
+        # total of a domain less its weight of all tokens: zero where it has just that
+        over = [x - F.lit(s) for x, s in zip(p, share)]
+        held = [i for i in range(1, len(DOMAINS)) if have[i] > share[i] * sum(have)]
+        rate, short = F.lit(min(1.0, float(ceiling))), []
+        while held:
+            rate, totals, x = fit_rates(members, [over[i] for i in held], [0.0] * len(held), [within * share[i] * sum(have) * 0.1 for i in held], ceiling)
+            if all(v >= 0 for v in x):
+                break
+            held = [i for i, v in zip(held, x) if v >= 0]  # one that needs no lowering of its own
+        if held:
+            short = [DOMAINS[i] for i, t in zip(held, totals) if abs(t) > 1e-3 * share[i] * sum(have)]
+    if short:
+        warnings.warn(f"targets not met: {', '.join(short)}", stacklevel=2)
     out = members.withColumn("rate", rate)
     chance = F.pmod(F.xxhash64("id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")
