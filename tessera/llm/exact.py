@@ -12,7 +12,7 @@ def md5_128(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest=md5_128) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest=md5_128, row_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z. Of equal texts the row
@@ -27,25 +27,35 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text counts as empty. A null id never is ``keep_id`` unless the whole
     group has null ids; then ``keep_id`` is null and its rows are kept. Rows that
-    repeat id and text get the same decision. No rows in, no rows out; other
-    columns are unread.
+    repeat id and text get the same decision, unless ``row_col`` names a column that
+    numbers the rows: then one row of each group is kept, of equal ids the one with
+    the smallest number, and the column is returned too. No rows in, no rows out;
+    other columns are unread.
     """
     best = F.min if keep == "smallest" else F.max
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
+    number = F.lit(0).cast("long") if row_col is None else F.col(row_col).cast("long")
+    if keep != "smallest":
+        number = -number
+    lacks = F.lit(keep == "smallest") == F.col("doc_id").isNull()  # sorts null ids last, or first for the largest
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), number.alias("row"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
     rows = rows.withColumn("h", digest(F.col("norm")))
-    texts = rows.groupBy("h", "norm").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = cut(
-        texts.groupBy("h").agg(F.count("*").alias("n_texts"), best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    )
-    slim = rows.select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256"))
+    # as longs and booleans, which hash aggregates can update in place, where rows aren't numbered
+    first = best("doc_id").alias("first") if row_col is None else best(F.struct(lacks.alias("lacks"), "doc_id", "row")).alias("first")
+    again = best("first").alias("first")
+    texts = rows.groupBy("h", "norm").agg(first, F.count("*").alias("group_size"))
+    groups = cut(texts.groupBy("h").agg(F.count("*").alias("n_texts"), again, F.sum("group_size").alias("group_size")))
+    slim = rows.select("doc_id", "row", "h", F.sha2("norm", 256).alias("text_sha256"))
     out = slim.join(groups.where("n_texts = 1").drop("n_texts"), "h").drop("h")
     if groups.where("n_texts > 1").limit(1).count():
         clash = groups.where("n_texts > 1").select("h")
-        own = rows.join(clash, "h", "left_semi").groupBy("h", "norm").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        own = rows.join(clash, "h", "left_semi").groupBy("h", "norm").agg(first, F.count("*").alias("group_size"))
         out = out.unionByName(
-            rows.join(clash, "h", "left_semi").join(own, ["h", "norm"]).select("doc_id", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
+            rows.join(clash, "h", "left_semi").join(own, ["h", "norm"]).select("doc_id", "row", F.sha2("norm", 256).alias("text_sha256"), "first", "group_size")
         )
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    keep_id = F.col("first") if row_col is None else F.col("first.doc_id")
+    kept = F.col("doc_id").eqNullSafe(keep_id) if row_col is None else F.col("row") == F.col("first.row")
+    number = [] if row_col is None else [(F.col("row") if keep == "smallest" else -F.col("row")).alias(row_col)]
+    return out.select("doc_id", keep_id.alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", *number)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

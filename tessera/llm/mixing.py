@@ -30,14 +30,14 @@ def labelled_sample(labels: DataFrame, most: int) -> DataFrame:
     return own.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, most: int = 10_000, features: int = 1 << 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def posteriors(docs: DataFrame, labels: DataFrame, most: int = 10_000, features: int = 1 << 14, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_tokens, p array<double>) for every document: the class probabilities of
     a logistic regression on which hashed words a text has, learnt from at most
     ``most`` labelled documents. Maps only; the sample's bound lets it be broadcast."""
     def split(rows: DataFrame) -> DataFrame:
         return rows.withColumn("words", F.transform(words(F.col("text")), F.lower))
 
-    raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carry)
     d = split(raw)
     tf = HashingTF(inputCol="words", outputCol="features", numFeatures=features, binary=True)
     # split after the join, or Spark would split every text to keep a few
@@ -47,12 +47,12 @@ def posteriors(docs: DataFrame, labels: DataFrame, most: int = 10_000, features:
     n = F.size("words").cast("long").alias("n_tokens")
     if len(seen) < 2:  # nothing to tell apart
         only = seen[0] if seen else 0
-        return d.select("id", n, F.array(*[F.lit(float(i == only)) for i in range(len(DOMAINS))]).alias("p"))
+        return d.select("id", *carry, n, F.array(*[F.lit(float(i == only)) for i in range(len(DOMAINS))]).alias("p"))
     model: LogisticRegressionModel = LogisticRegression(maxIter=25, regParam=0.003, family="multinomial").fit(sample)
     p = vector_to_array("probability")
-    out = model.transform(tf.transform(d)).select("id", n, p.alias("p"))
+    out = model.transform(tf.transform(d)).select("id", *carry, n, p.alias("p"))
     pad = [F.when(F.lit(i < max(seen) + 1), F.get("p", F.lit(i))).otherwise(F.lit(0.0)) for i in range(len(DOMAINS))]
-    return out.select("id", "n_tokens", F.array(*pad).alias("p"))
+    return out.select("id", *carry, "n_tokens", F.array(*pad).alias("p"))
 
 
 def fit_rates(members: DataFrame, features: list[Column], targets: list[float], close: list[float], ceiling: float | None = None, steps: int = 60) -> tuple[Column, list[float], list[float]]:
@@ -107,8 +107,9 @@ def fit_rates(members: DataFrame, features: list[Column], targets: list[float],
     return rate(x)[0], totals.tolist(), x.tolist()
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, head: float = 2.0, ceiling: float | None = None, within: float = 1e-4, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row per document: doc_id, n_tokens, p_good, p_poor, p_toxic, rate, copies.
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, head: float = 2.0, ceiling: float | None = None, within: float = 1e-4, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), **how) -> DataFrame:
+    """One row per document: doc_id, n_tokens, p_good, p_poor, p_toxic, rate, copies, and
+    the columns to ``carry``.
 
     ``rate`` is how often a document is to be taken so that the expected tokens of
     each domain are its weight times ``budget`` (default: ``head`` times the tokens
@@ -130,7 +131,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     give no rows.
     """
     w = weights or WEIGHTS
-    members = stored(posteriors(docs, labels, id_col=id_col, text_col=text_col, **how))
+    members = stored(posteriors(docs, labels, id_col=id_col, text_col=text_col, carry=carry, **how))
     p = [F.get("p", F.lit(i)) for i in range(len(DOMAINS))]
     have = [float(t or 0) for t in members.agg(*[F.sum(F.col("n_tokens") * x) for x in p]).first()]
     share = [w[d] for d in DOMAINS]
@@ -157,7 +158,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     out = members.withColumn("rate", rate)
     chance = F.pmod(F.xxhash64("id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")
-    return out.select(F.col("id").alias("doc_id"), "n_tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", copies.alias("copies"))
+    return out.select(F.col("id").alias("doc_id"), "n_tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", copies.alias("copies"), *carry)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

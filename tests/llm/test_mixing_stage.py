@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from tessera.llm.common import stored
 from tessera.llm.mixing import DOMAINS, WEIGHTS
 
 from .conftest import DOCS
@@ -18,7 +19,7 @@ def test_tokens_of_the_stage_have_the_weights(spark, tmp_path):
     texts = [(i, k, " ".join(r.choice(own[k] if r.random() < 0.5 else common) for _ in range(n))) for i, k, n in rows]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, _, t in texts], DOCS)
     spark.createDataFrame([(i, int(k == 0), int(k == 2)) for i, k, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    out = corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)).collect()
+    out = corpus_pipeline.mixing_stage(spark, stored(docs), str(tmp_path)).collect()
     kept = {x.doc_id for x in out}
     assert len(kept) == len(out)
     tokens = [sum(n for i, k, n in rows if k == d and i in kept) for d in range(3)]
