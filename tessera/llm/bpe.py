@@ -21,7 +21,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table
+from .common import most_frequent, shared_dir, stored, table
 from .pieces import Ragged, Remembered, cut_pieces, slices
 
 #: Unicode's White_Space.
@@ -289,10 +289,9 @@ def worker_encoder(path: str, lexicon: str) -> Encoder:
 
 
 def frequent_words(docs: DataFrame, path: str, text_col: str = "text", most: int = 50_000) -> list[str]:
-    """The most frequent words of all texts, at most ``most``: all seen twice or more that are at least as
-    frequent as a cut-off, which is exact to nine bits. Words are counted in full, per
-    task first and then by word; a histogram of the counts, of bounded size, tells
-    the cut-off, and only the words above it reach the driver."""
+    """The most frequent words of all texts, at most ``most``, none that is seen once.
+    Words are counted in full, per task first and then by word; only those above the
+    cut-off reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, words = worker_vocabulary(path), Counter()
@@ -311,15 +310,8 @@ def frequent_words(docs: DataFrame, path: str, text_col: str = "text", most: int
                 yield flush()
         yield flush()
 
-    counts = docs.select(text_col).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
-    low = F.greatest(F.lit(0), F.length(F.bin("n")) - 9)
-    coarse = stored(counts.select("w", F.call_function("shiftleft", F.call_function("shiftright", F.col("n"), low), low).alias("coarse")))
-    left, least = most, None
-    for r in coarse.groupBy("coarse").agg(F.count("*").alias("words")).orderBy(F.desc("coarse")).collect():  # at most 256 for each power of two
-        if r.words > left:
-            break
-        left, least = left - r.words, r.coarse
-    return [] if least is None else [r.w for r in coarse.where(F.col("coarse") >= least).select("w").collect()]
+    counts = docs.select(text_col).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return [r.w for r in most_frequent(stored(counts.where("n > 1")), most).select("w").collect()]
 
 
 def ship_lexicon(docs: DataFrame, path: str, text_col: str = "text", most: int = 50_000) -> str:
