@@ -57,7 +57,7 @@ def training_grams(docs: DataFrame, ids: DataFrame, order: int, id_col: str, tex
             g, n = np.unique(grams_ending(data, order)[place >= order - 1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], ["g", "n"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).join(ids, "doc_id", "left_semi")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).join(ids.hint("merge"), "doc_id", "left_semi")  # ids grow with the labels: never broadcast
     return own.select("t").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
