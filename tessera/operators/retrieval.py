@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,19 +29,56 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn_join(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Queries, a small stated set, travel to the chunks; ranks keep k rows per query
-    in each task before anything is shuffled."""
+def only(chunks: DataFrame, kind: str | None = None, document_id=None) -> DataFrame:
+    """Chunks of one kind or one document; a filter that is not given is not there."""
+    if kind is not None:
+        chunks = chunks.where(F.col("kind") == kind)
+    return chunks if document_id is None else chunks.where(F.col("document_id") == document_id)
+
+
+def knn_join(queries: DataFrame, chunks: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """The k chunks with the largest cosine for each query; chunks and queries without a
+    vector are left out.
+
+    Queries go to all tasks as one matrix, ``block`` of them at a time, so what is
+    broadcast is bounded; chunks are scored in Arrow batches by a matrix product. A
+    batch gives k rows per query and a task again k, before anything is shuffled."""
+    spark = chunks.sparkSession
+    q = queries.select("query_id", "vector").where("vector is not null")
+    blocks = max(1, -(-q.count() // block))
+    kinds = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
     c = chunks.where("embedding is not null").select("chunk_id", "embedding")
-    q = queries.select("query_id", "vector")
-    scored = c.crossJoin(q).select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("score"))
-    return top(scored, k)
+    out = None
+    for i in range(blocks):
+        own = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()
+        matrix = np.array(own["vector"].to_pylist(), dtype=np.float64).reshape(own.num_rows, -1)
+        shared = spark.sparkContext.broadcast((own["query_id"].combine_chunks(), matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))))
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, unit = shared.value
+            for b in batches:
+                if not b.num_rows or not len(ids):
+                    continue
+                v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                s = np.floor((v / np.sqrt((v * v).sum(axis=1, keepdims=True))) @ unit.T * 1e6 + 0.5) / 1e6
+                least = np.partition(s, max(len(s) - k, 0), axis=0)[max(len(s) - k, 0)]
+                row, col = np.nonzero(s >= least)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(col)), b.column(0).take(pa.array(row)), pa.array(s[row, col])], ["query_id", "chunk_id", "score"])
+
+        rows = c.mapInArrow(score, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+        out = rows if out is None else out.union(rows)
+    return top(out, k)
+
+
+def chunk_terms(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, term): each occurrence in label and content, without stop words."""
+    text = [c for c in ("label", "content") if c in chunks.columns]
+    return chunks.select("chunk_id", F.explode(terms(F.concat_ws(" ", *text))).alias("term")).where(~F.col("term").isin(STOP))
 
 
 def lexical_index(chunks: DataFrame) -> DataFrame:
-    """Postings (chunk_id, term, tf) without stop words."""
-    t = chunks.select("chunk_id", F.explode(terms(F.col("content"))).alias("term")).where(~F.col("term").isin(STOP))
-    return t.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    """Postings (chunk_id, term, tf)."""
+    return chunk_terms(chunks).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -45,9 +86,10 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return t.where(~F.col("term").isin(STOP))
 
 
-def lexical_search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """Any term matches; the score is the matched terms' frequency."""
-    hit = query_terms(queries).join(index, "term").groupBy("query_id", "chunk_id").agg(F.sum("tf").cast("double").alias("score"))
+def lexical_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """Any term matches; the score is the frequency of the terms that match. Terms of the
+    chunks meet the queries' before they are counted, so only those asked for are shuffled."""
+    hit = chunk_terms(chunks).join(query_terms(queries), "term").groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))
     return top(hit, k)
 
 
@@ -64,8 +106,7 @@ def rrf_fuse(arms: list[tuple[str, DataFrame, float]], limit: int, k: int = 60)
     return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("first")
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int = 8, weights: tuple[float, float] = (1.0, 0.1)) -> DataFrame:
-    per_arm = max(3 * limit, 20)
-    v = knn_join(queries, chunks, per_arm)
-    x = lexical_search(queries, lexical_index(chunks), min(per_arm, 3))
-    return rrf_fuse([("vector", v, weights[0]), ("lexical", x, weights[1])], limit)
+def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int = 8, weights: tuple[float, float] = (1.0, 0.1), kind: str | None = None, document_id=None) -> DataFrame:
+    chunks, per_arm = only(chunks, kind, document_id), max(3 * limit, 20)
+    arms = [("vector", knn_join(queries, chunks, per_arm), weights[0]), ("lexical", lexical_search(queries, chunks, min(per_arm, 3)), weights[1])]
+    return rrf_fuse(arms, limit)

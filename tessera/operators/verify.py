@@ -9,18 +9,37 @@ from tessera.functions.text import fold_quote, strip
 
 
 def quote_run_ratio(quote: Column, source: Column, shortest: int = 4) -> Column:
-    """1 for a contained quote; else the longest run of its words found, over its words."""
+    """1 for a contained quote; else the longest run of its words found, over its words; 0
+    for an empty quote or one of fewer than ``shortest`` words that isn't contained.
+
+    Runs are tried from the longest down, and only until one is found."""
     words = F.split(quote, " ")
     n = F.size(words)
-    run = lambda i: F.transform(F.sequence(F.lit(1), n - i), lambda k: F.when(F.contains(source, F.array_join(F.slice(words, i + 1, k), " ")), k).otherwise(0))
-    best = F.array_max(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_max(run(i))))
-    return F.when(F.contains(source, quote), 1.0).when(n < shortest, 0.0).otherwise(F.round(best / n, 6))
+
+    def found(k: Column) -> Column:
+        return F.exists(F.sequence(F.lit(1), n - k + 1), lambda i: F.contains(source, F.array_join(F.slice(words, i, k), " ")))
+
+    best = F.aggregate(F.sequence(F.greatest(n - 1, F.lit(1)), F.lit(1), F.lit(-1)), F.lit(0), lambda acc, k: F.when((acc == 0) & found(k), k).otherwise(acc))
+    return F.when(quote == "", 0.0).when(F.contains(source, quote), 1.0).when(n < shortest, 0.0).otherwise(F.round(best / n, 6))
 
 
-def verify_claims(claims: DataFrame, chunks: DataFrame, shortest: int = 4, least: float = 0.85) -> DataFrame:
-    """Adds ratio and verdict: unknown_chunk, quote_too_short, quote_not_found or verified, tested in this order."""
-    c = claims.withColumn("chunk_id", strip(F.col("chunk_id"))).withColumn("q", fold_quote(F.col("quote")))
-    s = chunks.select("chunk_id", fold_quote(F.col("content")).alias("s"), F.lit(True).alias("known"))
-    j = c.join(s, "chunk_id", "left").withColumn("ratio", F.when(F.col("known"), quote_run_ratio(F.col("q"), F.col("s"), shortest)))
+def verify_claims(claims: DataFrame, hits: DataFrame, shortest: int = 4, least: float = 0.85) -> DataFrame:
+    """Adds ratio and verdict: unknown_chunk, quote_too_short, quote_not_found or verified,
+    tested in this order.
+
+    A claim (run, chunk_id, quote) is held against what its run retrieved: ``hits`` has
+    (run, chunk_id, content). A chunk of the corpus that the run did not retrieve is
+    unknown. Only the hits that claims name are folded. Nulls count as empty."""
+    c = claims.withColumn("chunk_id", strip(F.coalesce("chunk_id", F.lit("")))).withColumn("q", fold_quote(F.coalesce("quote", F.lit(""))))
+    named = hits.select("run", "chunk_id", "content").join(c.select("run", "chunk_id").distinct(), ["run", "chunk_id"], "left_semi").dropDuplicates(["run", "chunk_id"])
+    s = named.select("run", "chunk_id", fold_quote(F.coalesce("content", F.lit(""))).alias("s"), F.lit(True).alias("known"))
+    j = c.join(s, ["run", "chunk_id"], "left").withColumn("ratio", F.when(F.col("known"), quote_run_ratio(F.col("q"), F.col("s"), shortest)))
     verdict = F.when(F.col("known").isNull(), "unknown_chunk").when(F.size(F.split("q", " ")) < shortest, "quote_too_short").when(F.col("ratio") < least, "quote_not_found").otherwise("verified")
     return j.withColumn("verdict", verdict).drop("q", "s", "known")
+
+
+def groundedness(verified: DataFrame) -> DataFrame:
+    """(real, rate, n, failing): the share of real claims accepted and of made-up ones
+    rejected, and how many were judged wrongly."""
+    ok = (F.col("verdict") == "verified") == F.col("real")
+    return verified.groupBy("real").agg(F.round(F.avg(ok.cast("double")), 6).alias("rate"), F.count("*").alias("n"), F.count_if(~ok).alias("failing"))

@@ -23,7 +23,8 @@ def scan_parquet_corpus(spark, d):
 def judgment_batches(spark, d):
     long = v.table(spark, d, "documents").where(F.length(t.strip(F.col("text"))) >= 1000).select("doc_id")
     # positions by ranges of id: counts per range, then numbers inside it, so no single task orders all
-    ranged = long.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id())
+    # a fixed number of ranges, which adaptive execution leaves alone, so both branches cut alike
+    ranged = long.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").withColumn("part", F.spark_partition_id())
     size = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = size.alias("a").join(size.alias("b"), F.expr("b.part < a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
     own = ranged.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) - 1).join(F.broadcast(before), "part")
@@ -95,7 +96,7 @@ def citation_label(spark, d):
     return v.chunks(spark, d).select("chunk_id", F.concat_ws(", ", "title", label).alias("citation"))
 
 
-@query("""SELECT page_id, coalesce(nullif(left(trim(regexp_replace(regexp_replace(regexp_extract(url, '([^/\\\\]*)$', 1), '(?i)\\.pdf$', ''), '\\s+', ' ', 'g')), 200), ''), 'Untitled document') AS title FROM pages""")
+@query("""SELECT page_id, coalesce(nullif(left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '([^/\\\\]*)$', 1), '(?i)\\.pdf$', ''), '[\\x00-\\x1f\\x7f]', '', 'g'), '\\s+', ' ', 'g')), 200), ''), 'Untitled document') AS title FROM pages""")
 def safe_title(spark, d):
     return v.table(spark, d, "pages").select("page_id", t.safe_title(F.col("url")).alias("title"))
 
@@ -107,8 +108,9 @@ def section_of(spark, d):
 
 
 _NORM = "text"
-for _p, _to in ((r"\r\n?", "' || chr(10) || '"), (chr(160), " "), (r"([A-Za-z])-\n([a-z])", r"\1\2"), (r"(?m)^[ \t]*[0-9]{1,4}[ \t]*$", ""), (r"\.{4,}", " "), (r"[ \t]+", " "), (r"\n{3,}", "' || chr(10) || chr(10) || '")):
-    _NORM = f"regexp_replace({_NORM}, '{_p}', '{_to}', 'g')"
+for _p, _to in t.REPAIRS:
+    _p = _p.replace("(?U)", "").replace("(\\w)-\\n(\\w)", "([\\pL\\pN_])-\\n([\\pL\\pN_])")
+    _NORM = f"regexp_replace({_NORM}, '{_p}', '{_to.replace('$', chr(92))}', 'g')" if chr(10) not in _to else f"regexp_replace({_NORM}, '{_p}', {' || '.join(['chr(10)'] * len(_to))}, 'g')"
 NORM = _STRIP.format(c=_NORM)
 
 
@@ -123,28 +125,6 @@ def token_estimate(spark, d):
     return v.table(spark, d, "documents").select("doc_id", t.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query(f"WITH {v.CHUNKS} SELECT chunk_id, 'Section ' || (ordinal + 1) AS label, content FROM chunks")
-def split_sections(spark, d):
-    """Headings are put before each line, then the text is cut at them again."""
-    docs = v.table(spark, d, "documents")
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(x.rlike(r"\S"), F.concat((i + 1).cast("string"), F.lit(". "), x)))
-    text = F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")
-    marked = F.regexp_replace(text, r"(?m)^(?=[0-9]{1,5}\. )", "\x01")
-    part = docs.select("doc_id", F.explode(F.split(marked, "\x01")).alias("part")).where("part <> ''")
-    number = F.regexp_extract("part", r"^([0-9]+)\. ", 1)
-    body = F.regexp_replace(F.regexp_replace("part", r"^[0-9]+\. ", ""), r"\n$", "")
-    return part.select(F.concat_ws("-", "doc_id", (number.cast("int") - 1).cast("string")).alias("chunk_id"), F.concat(F.lit("Section "), number).alias("label"), body.alias("content"))
-
-
-@query(f"WITH {v.CHUNKS} SELECT chunk_id, max(CASE WHEN ordinal % 10 = 0 THEN 'CHAPTER ' || (ordinal // 10) END) OVER (PARTITION BY document_id, ordinal // 10) AS chapter FROM chunks")
-def tag_chapter(spark, d):
-    """The latest chapter at or before a line; a chapter begins at every tenth line."""
-    c = v.chunks(spark, d)
-    heads = F.when(F.col("ordinal") % 10 == 0, F.concat(F.lit("CHAPTER "), F.floor(F.col("ordinal") / 10))).alias("head")
-    w = Window.partitionBy("document_id", F.floor(F.col("ordinal") / 10)).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    return c.select("*", heads).select("chunk_id", F.last("head", ignorenulls=True).over(w).alias("chapter"))
-
-
 @query(f"""WITH {v.CHUNKS}, x AS (SELECT *, length(regexp_replace(content, '[^\\p{{L}}]', '', 'g')) AS n, count(*) OVER (PARTITION BY document_id) AS spans FROM chunks)
   SELECT chunk_id FROM x WHERE spans = 1 OR (n >= 80 AND n >= 0.45 * length(content))""")
 def substance_filter(spark, d):
@@ -158,20 +138,6 @@ def assign_ordinal(spark, d):
     return v.chunks(spark, d).select("chunk_id", (F.row_number().over(w) - 1).cast("long").alias("position"))
 
 
-@query()
-def pack_sentences(spark, d):
-    """Greedy windows of at most 128 tokens; a fold over each document's sentences."""
-    s = v.table(spark, d, "documents").select("doc_id", F.split("text", r"(?<=[.!?])\s+").alias("s"))
-    empty = F.array().cast("array<string>")
-
-    def step(acc, x):
-        fits = F.length(acc.now) + F.length(x) < 4 * 128
-        return F.struct(F.when(fits, acc.out).otherwise(F.concat(acc.out, F.array(acc.now))).alias("out"), F.when(fits, F.concat_ws(" ", F.nullif(acc.now, F.lit("")), x)).otherwise(x).alias("now"))
-
-    out = F.aggregate("s", F.struct(empty.alias("out"), F.lit("").alias("now")), step, lambda a: F.filter(F.concat(a.out, F.array(a.now)), lambda x: x != ""))
-    return s.select("doc_id", F.posexplode(out).alias("part", "content")).select("doc_id", F.concat(F.lit("[part "), F.col("part") + 1, F.lit("]")).alias("label"), "content")
-
-
 @query(f"SELECT doc_id, {_COLLAPSE.format(c='text')} AS text FROM documents WHERE length({_COLLAPSE.format(c='text')}) BETWEEN 40 AND 2000")
 def collapse_whitespace(spark, d):
     return v.table(spark, d, "documents").select("doc_id", t.collapse_whitespace(F.col("text")).alias("text")).where("length(text) between 40 and 2000")
@@ -208,24 +174,39 @@ def detect_changes(spark, d):
     return _changes(spark, d)
 
 
-@query(f"WITH {_CHANGES} SELECT doc_id, CASE change WHEN 'unchanged' THEN 1 WHEN 'changed' THEN 2 ELSE 1 END AS version FROM changes")
+@query(f"WITH {_CHANGES} SELECT doc_id, sha256(text) AS hash, CASE change WHEN 'new' THEN 2 ELSE 1 END AS created, CASE change WHEN 'unchanged' THEN 1 ELSE 2 END AS updated FROM changes JOIN documents USING (doc_id)")
 def upsert_documents(spark, d):
-    c = _changes(spark, d)
-    kept = c.where("change = 'unchanged'").select("doc_id", F.lit(1).alias("version"))
-    return kept.unionByName(c.where("change <> 'unchanged'").select("doc_id", F.when(F.col("change") == "changed", 2).otherwise(1).alias("version")))
+    """The corpus after the incoming rows: hashes rewritten where the text changed, the first
+    run's ``created`` kept, ``updated`` by the second run only for what is new or changed."""
+    docs = v.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    current = docs.where("doc_id % 10 <> 9").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.lit("old")).otherwise(F.col("hash")).alias("hash"), F.lit(1).alias("created"), F.lit(1).alias("updated"))
+    touched = docs.join(current.select("doc_id", "hash"), ["doc_id", "hash"], "left_anti")
+    kept = current.join(touched.select("doc_id"), "doc_id", "left_anti")
+    fresh = touched.join(current.select("doc_id", "created"), "doc_id", "left")
+    return kept.unionByName(fresh.select("doc_id", "hash", F.coalesce("created", F.lit(2)).alias("created"), F.lit(2).alias("updated")))
 
 
-@query(f"WITH {v.CHUNKS}, {_CHANGES} SELECT chunk_id, CASE WHEN change = 'unchanged' THEN 0 ELSE 1 END AS fresh FROM chunks JOIN changes ON doc_id = document_id")
+@query(f"""WITH {v.CHUNKS}, {_CHANGES} SELECT chunk_id, CASE WHEN change = 'unchanged' THEN 0 ELSE 1 END AS fresh FROM chunks JOIN changes ON doc_id = document_id
+  UNION ALL SELECT chunk_id || '-old', 0 FROM chunks JOIN changes ON doc_id = document_id WHERE change = 'unchanged' AND ordinal % 2 = 0""")
 def replace_chunks(spark, d):
-    c, ch = v.chunks(spark, d).select("chunk_id", "document_id"), _changes(spark, d).where("change <> 'unchanged'").select(F.col("doc_id").alias("document_id"))
-    return c.join(ch, "document_id", "left_anti").select("chunk_id", F.lit(0).alias("fresh")).unionByName(c.join(ch, "document_id", "left_semi").select("chunk_id", F.lit(1).alias("fresh")))
+    """The stored chunks have stale ones besides (every second, with another id): those of
+    changed documents go, those of unchanged ones stay."""
+    now = v.chunks(spark, d).select("chunk_id", "document_id", "ordinal")
+    stored = now.unionByName(now.where("ordinal % 2 = 0").withColumn("chunk_id", F.concat("chunk_id", F.lit("-old"))))
+    touched = _changes(spark, d).where("change <> 'unchanged'").select(F.col("doc_id").alias("document_id"))
+    kept = stored.join(touched, "document_id", "left_anti")
+    return kept.select("chunk_id", F.lit(0).alias("fresh")).unionByName(now.join(touched, "document_id", "left_semi").select("chunk_id", F.lit(1).alias("fresh")))
 
 
-@query(f"WITH {v.CHUNKS}, {v.EDGES} SELECT (SELECT count(*) FROM chunks WHERE document_id % 10 <> 0) AS chunks_left, (SELECT count(*) FROM edges WHERE source_id % 10 <> 0) AS edges_left")
+@query(f"""WITH {v.EDGES} SELECT source_id, target_ref, CASE WHEN target_ref LIKE 'CASE-%' AND substr(target_ref, 6)::BIGINT % 10 <> 0 THEN substr(target_ref, 6)::BIGINT END AS target_id FROM edges WHERE source_id % 10 <> 0""")
 def delete_document(spark, d):
+    """Edges after every tenth document is deleted: its own go with it, and those that lead
+    to it lose their target."""
     gone = v.table(spark, d, "documents").where("doc_id % 10 = 0").select("doc_id")
-    c = v.chunks(spark, d).join(gone, F.col("document_id") == F.col("doc_id"), "left_anti").agg(F.count("*").alias("chunks_left"))
-    return c.crossJoin(v.edges(spark, d).join(gone, F.col("source_id") == F.col("doc_id"), "left_anti").agg(F.count("*").alias("edges_left")))
+    e = v.edges(spark, d).withColumn("target_id", F.when(F.col("target_ref").startswith("CASE-"), F.substr("target_ref", F.lit(6)).try_cast("long")))
+    left = e.join(gone, F.col("source_id") == F.col("doc_id"), "left_anti")
+    dead = gone.select(F.col("doc_id").alias("target_id"), F.lit(True).alias("dead"))
+    return left.join(dead, "target_id", "left").select("source_id", "target_ref", F.when(F.col("dead").isNull(), F.col("target_id")).alias("target_id"))
 
 
 @query(f"""WITH {v.CHUNKS}, {v.EDGES} SELECT 'unique_chunk' AS rule, count(*) AS violations FROM (SELECT 1 FROM chunks GROUP BY document_id, ordinal HAVING count(*) > 1)

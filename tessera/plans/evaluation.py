@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import IDF, CountVectorizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators.assess import order_of as a_order
 from tessera.sources import views as v
 
 from . import search
@@ -39,9 +43,18 @@ _SPLIT = f"{_CLAUSES}, parts AS (SELECT doc_id, risk, row_number() OVER (PARTITI
 
 @query(f"WITH {_SPLIT} SELECT * FROM parts")
 def stratified_split(spark, d):
-    n = class_distribution(spark, d)
-    w = Window.partitionBy("risk").orderBy(F.md5(F.concat(F.lit("7"), F.col("doc_id").cast("string"))), "doc_id")
-    return _clauses(spark, d).withColumn("r", F.row_number().over(w)).join(F.broadcast(n), "risk").select("doc_id", "risk", (F.col("r") <= F.floor(0.2 * F.col("n"))).alias("test"))
+    """Of each class, the fifth with the smallest hashes is for testing. Which hash that
+    is, counts by the hashes' first four digits tell; only the one bucket where the
+    cut-off lies is sorted, so no task orders a class."""
+    c = _clauses(spark, d).withColumn("h", F.md5(F.concat(F.lit("7"), F.col("doc_id").cast("string")))).withColumn("b", F.left("h", F.lit(4)))
+    sizes = c.groupBy("risk", "b").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("risk").orderBy("b")
+    edge = sizes.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("goal", F.floor(0.2 * F.sum("n").over(Window.partitionBy("risk"))))
+    edge = edge.where("before <= goal and goal < before + n").select("risk", F.col("b").alias("at"), (F.col("goal") - F.col("before")).alias("more"))
+    j = c.join(F.broadcast(edge), "risk", "left")  # a row for each class
+    inside = j.where("b = at").withColumn("test", F.row_number().over(Window.partitionBy("risk", "b").orderBy("h", "doc_id")) <= F.col("more"))
+    out = j.where("b <> at or at is null").withColumn("test", F.coalesce(F.col("b") < F.col("at"), F.lit(True)))
+    return out.unionByName(inside).select("doc_id", "risk", "test")
 
 
 @query(f"WITH {_SPLIT} SELECT doc_id, risk, (SELECT mode(risk) FROM parts WHERE NOT test) AS predicted FROM parts WHERE test")
@@ -51,49 +64,173 @@ def majority_baseline(spark, d):
     return parts.where("test").select("doc_id", "risk").crossJoin(F.broadcast(most))
 
 
-@query(f"""WITH {_SPLIT}, p AS (SELECT risk, CASE WHEN doc_id % 5 = 0 THEN 'low' ELSE risk END AS predicted FROM parts)
-  SELECT l AS risk, round(coalesce(tp / nullif(np, 0), 0), 6)::DOUBLE AS precision, round(coalesce(tp / nullif(nr, 0), 0), 6)::DOUBLE AS recall FROM (SELECT l, count(*) FILTER (risk = l AND predicted = l)::DOUBLE AS tp,
-  count(*) FILTER (predicted = l) AS np, count(*) FILTER (risk = l) AS nr FROM p, (VALUES ('high'), ('medium'), ('low')) x(l) GROUP BY l)""")
+@query(f"""WITH {_SPLIT}, p AS (SELECT risk, CASE WHEN doc_id % 5 = 0 THEN 'low' ELSE risk END AS predicted FROM parts), cells AS (SELECT l, count(*) FILTER (risk = l AND predicted = l)::DOUBLE AS tp,
+  count(*) FILTER (predicted = l) AS np, count(*) FILTER (risk = l) AS nr, count(*) FILTER (risk = predicted) AS hits, count(*) AS total FROM p, (VALUES ('high'), ('medium'), ('low')) x(l) GROUP BY l),
+  s AS (SELECT l, coalesce(tp / nullif(np, 0), 0) AS precision, coalesce(tp / nullif(nr, 0), 0) AS recall, coalesce(2 * tp / nullif(np + nr, 0), 0) AS f1, hits / total AS accuracy FROM cells)
+  SELECT l AS risk, round(precision, 6)::DOUBLE AS precision, round(recall, 6)::DOUBLE AS recall, round(f1, 6)::DOUBLE AS f1, round(accuracy, 6)::DOUBLE AS accuracy, round(avg(f1) OVER (), 6)::DOUBLE AS macro_f1 FROM s""")
 def classification_report(spark, d):
+    """Precision, recall and F1 of each class, and accuracy and macro-F1 with each row; what
+    would be divided by zero is 0. The high class's F1 is its row's."""
     p = _clauses(spark, d).withColumn("predicted", F.when(F.col("doc_id") % 5 == 0, "low").otherwise(F.col("risk")))
+    return report(p, ["high", "medium", "low"])
+
+
+def report(p, levels):
     cells = p.groupBy("risk", "predicted").agg(F.count("*").alias("n"))
-    levels = spark.createDataFrame([("high",), ("medium",), ("low",)], "l string")
+    l = F.explode(F.array(*map(F.lit, levels)))
     at = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    hit, said, real = F.col("predicted") == F.col("l"), F.col("predicted") == F.col("l"), F.col("risk") == F.col("l")
-    s = cells.crossJoin(F.broadcast(levels)).groupBy("l").agg(at(hit & real).alias("tp"), at(said).alias("np"), at(real).alias("nr"))
-    ratio = lambda n: F.round(F.when(F.col(n) > 0, F.col("tp") / F.col(n)).otherwise(0.0), 6)
-    return s.select(F.col("l").alias("risk"), ratio("np").alias("precision"), ratio("nr").alias("recall"))
+    said, real = F.col("predicted") == F.col("l"), F.col("risk") == F.col("l")
+    s = cells.select("*", l.alias("l")).groupBy("l").agg(at(said & real).alias("tp"), at(said).alias("np"), at(real).alias("nr"), at(F.col("risk") == F.col("predicted")).alias("hits"), F.sum("n").alias("total"))
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    s = s.select(F.col("l").alias("risk"), ratio(F.col("tp"), F.col("np")).alias("precision"), ratio(F.col("tp"), F.col("nr")).alias("recall"), ratio(2 * F.col("tp"), F.col("np") + F.col("nr")).alias("f1"), ratio(F.col("hits"), F.col("total")).alias("accuracy"))
+    s = s.withColumn("macro_f1", F.avg("f1").over(Window.partitionBy(F.lit(1))))  # a row for each class
+    return s.select("risk", *[F.round(c, 6).alias(c) for c in s.columns[1:]])
+
+
+_SCORES = f"""{search.HYBRID}, h AS (SELECT query_id, rank, document_id FROM hybrid JOIN chunks USING (chunk_id)),
+  scores AS (SELECT query_id, coalesce(sum((document_id = query_id)::INT), 0) / 8.0 AS p, coalesce(max((document_id = query_id)::INT), 0)::DOUBLE AS rec, max(CASE WHEN document_id = query_id THEN 1.0 / rank ELSE 0 END) AS rr
+  FROM queries LEFT JOIN h USING (query_id) GROUP BY query_id)"""
+
 
+def scores(hits, queries, relevant, k=8):
+    """(query_id, precision, recall, rr, hit): hits (query_id, document_id, rank) against
+    (query_id, document_id); a document found twice counts twice for precision, once for
+    recall; a query without hits has zeros."""
+    rel = relevant.select("query_id", "document_id", F.lit(True).alias("good"))
+    n = relevant.groupBy("query_id").agg(F.count_distinct("document_id").alias("wanted"))
+    good = F.coalesce("good", F.lit(False))
+    s = hits.join(rel, ["query_id", "document_id"], "left").groupBy("query_id").agg(
+        (F.count_if(good) / float(k)).alias("p"), F.count_distinct(F.when(good, F.col("document_id"))).alias("found"), F.max(F.when(good, 1.0 / F.col("rank")).otherwise(0.0)).alias("rr")
+    )
+    q = queries.select("query_id").join(s, "query_id", "left").join(n, "query_id", "left").na.fill(0)
+    rec = F.when(F.col("wanted") > 0, F.col("found") / F.col("wanted")).otherwise(0.0)
+    return q.select("query_id", F.round("p", 6).alias("precision"), F.round(rec, 6).alias("recall"), F.round("rr", 6).alias("rr"), (F.col("rr") > 0).alias("hit"))
 
-_SCORES = f"""{search.HYBRID}, scores AS (SELECT query_id, coalesce(sum((document_id = query_id)::INT), 0) / 8.0 AS p, max(CASE WHEN document_id = query_id THEN 1.0 / rank ELSE 0 END) AS rr
-  FROM queries LEFT JOIN (SELECT query_id, rank, document_id FROM hybrid JOIN chunks USING (chunk_id)) h USING (query_id) GROUP BY query_id)"""
 
+def _scored(spark, d, hits):
+    docs = v.chunks(spark, d).select("chunk_id", "document_id")
+    q = v.queries(spark, d)
+    return scores(hits.join(docs, "chunk_id"), q, q.select("query_id", F.col("query_id").alias("document_id")))
 
-@query(f"WITH{_SCORES[4:]} SELECT query_id, round(p, 6)::DOUBLE AS precision, round(coalesce(rr, 0), 6)::DOUBLE AS rr, (coalesce(rr, 0) > 0) AS hit FROM scores")
+
+@query(f"WITH{_SCORES[4:]} SELECT query_id, round(p, 6)::DOUBLE AS precision, round(rec, 6)::DOUBLE AS recall, round(coalesce(rr, 0), 6)::DOUBLE AS rr, (coalesce(rr, 0) > 0) AS hit FROM scores")
 def score_queries(spark, d):
-    hits = search.hybrid_search(spark, d).join(v.chunks(spark, d).select("chunk_id", "document_id"), "chunk_id")
-    rel = F.col("document_id") == F.col("query_id")
-    s = hits.groupBy("query_id").agg((F.count_if(rel) / 8.0).alias("p"), F.max(F.when(rel, 1.0 / F.col("rank")).otherwise(0.0)).alias("rr"))
-    q = v.queries(spark, d).select("query_id").join(s, "query_id", "left").na.fill(0.0)
-    return q.select("query_id", F.round("p", 6).alias("precision"), F.round("rr", 6).alias("rr"), (F.col("rr") > 0).alias("hit"))
+    return _scored(spark, d, search.hybrid_search(spark, d))
 
 
-@query(f"WITH{_SCORES[4:]} SELECT round(avg(p), 6)::DOUBLE AS precision, round(avg(coalesce(rr, 0)), 6)::DOUBLE AS mrr, round(avg((coalesce(rr, 0) > 0)::INT), 6)::DOUBLE AS hit_rate FROM scores")
-def aggregate_metrics(spark, d):
-    s = score_queries(spark, d)
-    return s.agg(F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("hit_rate"))
+def _means(s):
+    return s.agg(F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("hit_rate"))
 
 
-@query(f"WITH{_SCORES[4:]} SELECT query_id FROM scores WHERE coalesce(rr, 0) = 0")
-def missed_queries(spark, d):
-    return score_queries(spark, d).where("not hit").select("query_id")
+@query(f"WITH{_SCORES[4:]} SELECT round(avg(p), 6)::DOUBLE AS precision, round(avg(rec), 6)::DOUBLE AS recall, round(avg(coalesce(rr, 0)), 6)::DOUBLE AS mrr, round(avg((coalesce(rr, 0) > 0)::INT), 6)::DOUBLE AS hit_rate FROM scores")
+def aggregate_metrics(spark, d):
+    return _means(score_queries(spark, d))
 
 
-@query("SELECT event_type AS stage, round(list_sort(list(value))[len(list(value)) // 2 + 1], 6) AS p50, round(list_sort(list(value))[least(floor(len(list(value)) * 0.95)::INT, len(list(value)) - 1) + 1], 6) AS p95, count(*) AS n FROM events GROUP BY event_type")
+@query(f"WITH{_SCORES[4:]} SELECT query_id FROM scores WHERE coalesce(rr, 0) < 1")
+def missed_queries(spark, d):
+    """Queries whose own document is not the first hit."""
+    return score_queries(spark, d).where("rr < 1").select("query_id")
+
+
+_ARMS = f"""{search.HYBRID}, arms AS (SELECT 'vector' AS arm, query_id, rank, document_id FROM knn JOIN chunks USING (chunk_id) WHERE rank <= 8 UNION ALL SELECT 'lexical', query_id, rank, document_id FROM lex JOIN chunks USING (chunk_id) WHERE rank <= 8
+  UNION ALL SELECT 'hybrid', query_id, rank, document_id FROM hybrid JOIN chunks USING (chunk_id)),
+  rr AS (SELECT arm, query_id, coalesce(max(CASE WHEN document_id = query_id THEN 1.0 / rank ELSE 0 END), 0) AS rr FROM queries CROSS JOIN (VALUES ('vector'), ('lexical'), ('hybrid')) x(arm) LEFT JOIN arms USING (arm, query_id) GROUP BY ALL),
+  m AS (SELECT arm, avg(rr)::DOUBLE AS mrr, avg((rr > 0)::INT)::DOUBLE AS recall FROM rr GROUP BY arm)"""
+
+
+@query(f"{_ARMS}, x AS (SELECT max(mrr) FILTER (arm = 'hybrid') - max(mrr) FILTER (arm <> 'hybrid') AS a, max(recall) FILTER (arm = 'hybrid') - max(recall) FILTER (arm <> 'hybrid') AS b FROM m) SELECT round(a, 6) AS mrr_delta, round(b, 6) AS recall_delta, a >= 0 AND b >= 0 AS fusion_pays FROM x")
+def fusion_delta(spark, d):
+    """What fusion adds to the better of its arms."""
+    q, c = v.queries(spark, d), v.embedded(spark, d)
+    arms = {"vector": search.r.knn_join(q, c, 8), "lexical": search.r.lexical_search(q, c, 3), "hybrid": search.hybrid_search(spark, d)}
+    m = None
+    for name, hits in arms.items():
+        one = _scored(spark, d, hits).agg(F.avg("rr").alias("mrr"), F.avg("recall").alias("recall")).withColumn("arm", F.lit(name))
+        m = one if m is None else m.unionByName(one)
+    most = lambda c, own: F.max(F.when((F.col("arm") == "hybrid") == F.lit(own), F.col(c)))
+    x = m.agg((most("mrr", True) - most("mrr", False)).alias("a"), (most("recall", True) - most("recall", False)).alias("b"))
+    return x.select(F.round("a", 6).alias("mrr_delta"), F.round("b", 6).alias("recall_delta"), ((F.col("a") >= 0) & (F.col("b") >= 0)).alias("fusion_pays"))
+
+
+GRID = [(1.0, 0.0), (1.0, 0.1), (1.0, 0.5), (1.0, 1.0)]
+
+
+@query(f"""{search.ALL}, grid AS (SELECT * FROM (VALUES {", ".join(f"({a}, {b})" for a, b in GRID)}) g(wv, wl)), f AS (SELECT wv, wl, query_id, chunk_id, round(sum(s), 9) AS score, min(a * 1000 + rank) AS first FROM (
+  SELECT wv, wl, query_id, chunk_id, 0 AS a, rank, wv / (60 + rank) AS s FROM knn, grid UNION ALL SELECT wv, wl, query_id, chunk_id, 1, rank, wl / (60 + rank) FROM lex, grid) GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY wv, wl, query_id ORDER BY score DESC, first, chunk_id) AS place FROM f),
+  rr AS (SELECT wv, wl, query_id, coalesce(max(CASE WHEN document_id = query_id THEN 1.0 / place ELSE 0 END), 0) AS rr FROM queries CROSS JOIN grid LEFT JOIN (SELECT * FROM r JOIN chunks USING (chunk_id) WHERE place <= 8) x USING (wv, wl, query_id) GROUP BY ALL)
+  SELECT wv::DOUBLE AS wv, wl::DOUBLE AS wl, round(avg(rr), 6)::DOUBLE AS mrr FROM rr GROUP BY ALL""")
+def weight_sweep(spark, d):
+    """Fusion over a grid of weights; the arms' ranks are found once and every weight joins them."""
+    q, c = v.queries(spark, d), v.embedded(spark, d)
+    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("wv"), F.lit(b).alias("wl")) for a, b in GRID])).alias("g")
+    arm = lambda hits, i, w: hits.select("query_id", "chunk_id", "rank", F.lit(i).alias("a"), grid).select("g.*", "query_id", "chunk_id", F.struct("a", "rank").alias("first"), (F.col(f"g.{w}") / (F.col("rank") + 60)).alias("s"))
+    both = arm(search.r.knn_join(q, c, 24), 0, "wv").unionByName(arm(search.r.lexical_search(q, c, 3), 1, "wl"))
+    f = both.groupBy("wv", "wl", "query_id", "chunk_id").agg(F.round(F.sum("s"), 9).alias("score"), F.min("first").alias("first"))
+    w = Window.partitionBy("wv", "wl", "query_id").orderBy(F.desc("score"), "first", "chunk_id")
+    f = f.withColumn("place", F.row_number().over(w)).where("place <= 8").join(v.chunks(spark, d).select("chunk_id", "document_id"), "chunk_id")
+    rr = f.groupBy("wv", "wl", "query_id").agg(F.max(F.when(F.col("document_id") == F.col("query_id"), 1.0 / F.col("place")).otherwise(0.0)).alias("rr"))
+    every = q.select("query_id", grid).select("query_id", "g.*")
+    return every.join(rr, ["wv", "wl", "query_id"], "left").groupBy("wv", "wl").agg(F.round(F.avg(F.coalesce("rr", F.lit(0.0))), 6).alias("mrr"))
+
+
+@query("""SELECT event_type AS stage, round(median(value), 6) AS p50, round(list_sort(list(value))[least(floor(count(value) * 0.95)::INT, count(value) - 1) + 1], 6) AS p95, round(avg(value), 6) AS mean, count(value) AS n,
+  list_sort(list(value))[least(floor(count(value) * 0.95)::INT, count(value) - 1) + 1] <= 300 AS on_target FROM events GROUP BY event_type""")
 def latency_summary(spark, d):
-    """Percentiles by place among sorted values, found by row numbers, not collected lists."""
-    e = v.table(spark, d, "events").select(F.col("event_type").alias("stage"), "value")
-    n = e.groupBy("stage").agg(F.count("value").alias("n"))
-    ranked = e.withColumn("r", F.row_number().over(Window.partitionBy("stage").orderBy("value")) - 1).join(F.broadcast(n), "stage")
-    at = lambda i: F.round(F.max(F.when(F.col("r") == i, F.col("value"))), 6)
-    return ranked.groupBy("stage").agg(at(F.floor(F.col("n") / 2)).alias("p50"), at(F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)).alias("p95"), F.max("n").alias("n"))
+    """Median, nearest-rank 95th percentile, mean, number and verdict per stage. Values are
+    counted first; running counts over (stage, coarse value) tell the few values that the
+    ranks fall into, and only those are ordered, so no task sorts a stage."""
+    e = v.table(spark, d, "events").select(F.col("event_type").alias("stage"), "value").where("value is not null")
+    per = e.groupBy("stage", "value").agg(F.count("*").alias("c")).withColumn("b", F.floor(F.col("value")))
+    n = per.groupBy("stage").agg(F.sum("c").alias("n"), F.round(F.sum(F.col("value") * F.col("c")) / F.sum("c"), 6).alias("mean"))
+    coarse = per.groupBy("stage", "b").agg(F.sum("c").alias("k"))
+    before = Window.partitionBy("stage").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    coarse = coarse.withColumn("first", F.coalesce(F.sum("k").over(before), F.lit(0)))
+    ranks = n.select("stage", "n", F.explode(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2), F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1))).alias("rank")).distinct()
+    near = ranks.join(coarse, "stage").where("first <= rank and rank < first + k").select("stage", "rank", "b", "first")
+    inside = Window.partitionBy("stage", "b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    fine = per.join(near.select("stage", "b").distinct(), ["stage", "b"], "left_semi").withColumn("skip", F.coalesce(F.sum("c").over(inside), F.lit(0)))
+    at = near.join(fine, ["stage", "b"]).where("first + skip <= rank and rank < first + skip + c").select("stage", "rank", "value")
+    x = at.join(n, "stage")
+    pick = lambda r: F.max(F.when(F.col("rank") == r, F.col("value")))
+    p95 = pick(F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1))
+    out = x.groupBy("stage").agg(((pick(F.floor((F.col("n") - 1) / 2)) + pick(F.floor(F.col("n") / 2))) / 2).alias("p50"), p95.alias("p95"), F.max("mean").alias("mean"), F.max("n").alias("n"))
+    return out.select("stage", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "mean", "n", (F.col("p95") <= 300).alias("on_target"))
+
+
+def _baselines(spark, d):
+    parts = stratified_split(spark, d).where("test").select("doc_id", "risk")
+    model = parts.withColumn("predicted", F.when(F.col("doc_id") % 5 == 0, "low").otherwise(F.col("risk")))
+    return report(model, LEVELS).agg(F.max("macro_f1").alias("model")), report(majority_baseline(spark, d), LEVELS).agg(F.max("macro_f1").alias("baseline"))
+
+
+LEVELS = ["high", "medium", "low"]
+_F1 = "(SELECT round(avg(f1), 6)::DOUBLE FROM (SELECT coalesce(2.0 * count(*) FILTER (risk = l AND predicted = l) / nullif(count(*) FILTER (risk = l) + count(*) FILTER (predicted = l), 0), 0) AS f1 FROM {t}, (VALUES ('high'), ('medium'), ('low')) x(l) GROUP BY l))"
+
+
+@query(f"""WITH {_SPLIT}, m AS (SELECT risk, CASE WHEN doc_id % 5 = 0 THEN 'low' ELSE risk END AS predicted FROM parts WHERE test), b AS (SELECT risk, (SELECT mode(risk) FROM parts WHERE NOT test) AS predicted FROM parts WHERE test)
+  SELECT {_F1.format(t='m')} AS model, {_F1.format(t='b')} AS baseline, round({_F1.format(t='m')} - {_F1.format(t='b')}, 6) AS gain, {_F1.format(t='m')} - {_F1.format(t='b')} > 0.02 AS worth_it""")
+def macro_gain(spark, d):
+    model, base = _baselines(spark, d)
+    gain = F.col("model") - F.col("baseline")
+    return model.crossJoin(F.broadcast(base)).select("model", "baseline", F.round(gain, 6).alias("gain"), (gain > 0.02).alias("worth_it"))
+
+
+@query()
+def tfidf_logistic(spark, d):
+    """Words and word pairs in two documents or more, weighed by tf-idf, classes balanced, a
+    logistic regression over all training clauses; the report on the held-out ones."""
+    parts = stratified_split(spark, d).join(v.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
+    rows = parts.withColumn("w", words).where("size(w) > 0").withColumn("grams", F.when(F.size("w") > 1, F.concat("w", pairs)).otherwise(F.col("w")))
+    rows = rows.withColumn("label", a_order("risk", LEVELS) - 1.0).select("doc_id", "risk", "test", "grams", "label")
+    train = rows.where("not test")
+    n = train.groupBy("label").agg(F.count("*").alias("k"))
+    total = n.agg(F.sum("k").alias("all"), F.count("*").alias("classes"))
+    weights = n.crossJoin(F.broadcast(total)).select("label", (F.col("all") / (F.col("classes") * F.col("k"))).alias("weight"))
+    train = train.join(F.broadcast(weights), "label")  # a row for each class
+    model = Pipeline(stages=[CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=50_000, minDF=2), IDF(inputCol="tf", outputCol="features"), LogisticRegression(maxIter=50, regParam=0.01, weightCol="weight")]).fit(train)
+    out = model.transform(rows.where("test")).withColumn("predicted", F.element_at(F.array(*map(F.lit, LEVELS)), F.col("prediction").cast("int") + 1))
+    return report(out.select("risk", "predicted"), LEVELS)

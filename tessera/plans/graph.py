@@ -5,37 +5,57 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import citations as c
+from tessera.operators import retrieval as r
 from tessera.sources import views as v
 
+from . import search
 from .registry import query
 
-_CITED = """cited AS (SELECT doc_id, left(text, 100) || CASE doc_id % 3 WHEN 0 THEN ' See [1955] 1 S.C.R. 313 and AIR 1954 SC 229.' WHEN 1 THEN ' See (1997) 6 SCC 241.' ELSE ' none' END AS text FROM documents)"""
+_SQL = [("SCR", r"\[?(1[89]\d{2}|20\d{2})\]?\s*(?:(\d{1,2})\s*)?S\.?\s*C\.?\s*R\.?\s*(\d{1,4})", r"SCR-\1-\2-\3"), ("AIR", r"A\.?\s*I\.?\s*R\.?\s*\.?\s*(1[89]\d{2}|20\d{2})\s*(?:S\.?\s*C\.?|[A-Z][a-z]{2,})\s*\.?\s*(\d{1,4})", r"AIR-\1-\2"), ("SCC", r"\((1[89]\d{2}|20\d{2})\)\s*(\d{1,2})\s*S\.?\s*C\.?\s*C\.?\s*(\d{1,4})", r"SCC-\1-\2-\3")]
+_REFS = "refs AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, replace(regexp_replace(unnest(regexp_extract_all(text, '(?i){p}')), '(?i){p}', '{to}'), '--', '-') AS target_ref FROM judgments" for k, p, to in _SQL) + ")"
 
 
-def _cited(spark, d):
-    m = F.col("doc_id") % 3
-    tail = F.when(m == 0, " See [1955] 1 S.C.R. 313 and AIR 1954 SC 229.").when(m == 1, " See (1997) 6 SCC 241.").otherwise(" none")
-    return v.table(spark, d, "documents").select("doc_id", F.concat("text", tail).alias("text"))
+@query(f"WITH {v.JUDGMENTS}, {_REFS} SELECT * FROM refs")
+def extract_reporter_refs(spark, d):
+    return c.extract_reporter_refs(v.judgments(spark, d)).select("doc_id", "kind", "target_ref")
 
 
-_SCR = r"\[([0-9]{4})\]\s*([0-9]+)\s*S\.?\s*C\.?\s*R\.?\s*([0-9]+)"
-_AIR = r"AIR\s*([0-9]{4})\s*SC\s*([0-9]+)"
-_SCC = r"\(([0-9]{4})\)\s*([0-9]+)\s*SCC\s*([0-9]+)"
-_REFS = f"""refs AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '{_SCR}')), '{_SCR}', 'SCR-\\1-\\2-\\3') AS target_ref FROM cited
-  UNION ALL SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '{_AIR}')), '{_AIR}', 'AIR-\\1-\\2') FROM cited
-  UNION ALL SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '{_SCC}')), '{_SCC}', 'SCC-\\1-\\2-\\3') FROM cited)"""
+@query(f"WITH {v.JUDGMENTS} SELECT doc_id, unnest(list_filter(regexp_extract_all(text, 'Balmukund vs Motilal|Travancore Rubber Ltd. vs State of Kerala'), lambda x: true)) AS raw FROM judgments")
+def extract_case_names(spark, d):
+    """Names as they stand in the text; the oracle knows the names that the view puts in."""
+    return c.extract_case_names(v.judgments(spark, d)).select("doc_id", F.regexp_extract("raw", "(Balmukund vs Motilal|Travancore Rubber Ltd. vs State of Kerala)$", 1).alias("raw"))
 
 
-@query(f"WITH {_CITED}, {_REFS} SELECT * FROM refs")
-def extract_reporter_refs(spark, d):
-    found = lambda pattern, to: F.transform(F.regexp_extract_all("text", F.lit(f"({pattern})"), 1), lambda x: F.regexp_replace(x, pattern, to))
-    all_refs = F.concat(found(_SCR, "SCR-$1-$2-$3"), found(_AIR, "AIR-$1-$2"), found(_SCC, "SCC-$1-$2-$3"))
-    return _cited(spark, d).select("doc_id", F.explode(all_refs).alias("target_ref"))
+@query("""SELECT doc_id, 'x' || doc_id || ' y' AS party FROM documents""")
+def normalise_party(spark, d):
+    """A party's name with narration, sentence, suffix and article around it."""
+    name = F.concat(F.lit("as was said by the X"), "doc_id", F.lit(" Y  Co. Ltd. governs this and all"))
+    return v.table(spark, d, "documents").select("doc_id", c.normalise_party(name).alias("party"))
+
 
+@query(f"WITH {v.JUDGMENTS} SELECT doc_id, len(regexp_extract_all(text, 'for the Appellant vs The Respondent')) AS dropped FROM judgments")
+def drop_non_parties(spark, d):
+    """How many names of a text have a side that is no party."""
+    raw = F.regexp_extract_all("text", F.lit(c.CASE_NAME), 0)
+    side = lambda x, g: c.is_party(c.normalise_party(F.regexp_extract(x, c.CASE_NAME, g)))
+    return v.judgments(spark, d).select("doc_id", F.size(F.filter(raw, lambda x: ~(side(x, 1) & side(x, 2)))).cast("long").alias("dropped"))
 
-@query(f"WITH {_CITED}, {_REFS} SELECT doc_id, count(DISTINCT target_ref) AS n FROM refs GROUP BY doc_id")
+
+@query(f"WITH {v.JUDGMENTS}, {_REFS} SELECT doc_id, target_ref FROM refs GROUP BY ALL")
 def dedupe_refs(spark, d):
-    return extract_reporter_refs(spark, d).dropDuplicates(["doc_id", "target_ref"]).groupBy("doc_id").agg(F.count("*").alias("n"))
+    refs = c.extract_reporter_refs(v.judgments(spark, d))
+    return c.dedupe_refs(refs).select("doc_id", "target_ref")
+
+
+@query()
+def citation_context(spark, d):
+    return c.extract_citations(v.judgments(spark, d)).select("doc_id", "target_ref", "kind", "raw", "context", "rank")
+
+
+@query()
+def judgment_header(spark, d):
+    return c.judgment_header(v.judgments(spark, d))
 
 
 _NODES = "nodes AS (SELECT doc_id AS target_id, 'CASE-' || doc_id AS target_ref FROM documents)"
@@ -57,9 +77,9 @@ def add_edges(spark, d):
     return have.unionByName(e.join(have, ["source_id", "target_ref"], "left_anti"))
 
 
-@query(f"WITH {_RESOLVED} SELECT source_id, count(*) AS n FROM resolved GROUP BY source_id")
+@query(f"WITH {_RESOLVED} SELECT source_id, target_ref, target_id FROM resolved WHERE source_id = 7")
 def cites(spark, d):
-    return resolve_targets(spark, d).groupBy("source_id").agg(F.count("*").alias("n"))
+    return resolve_targets(spark, d).where("source_id = 7")
 
 
 @query(f"WITH {_RESOLVED} SELECT target_id, source_id FROM resolved WHERE target_id = 3")
@@ -78,10 +98,27 @@ def dangling_report(spark, d):
     return resolve_targets(spark, d).where("target_id is null").groupBy("target_ref").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_RESOLVED} SELECT * FROM (SELECT source_id, target_id, row_number() OVER (PARTITION BY source_id ORDER BY target_ref) AS r FROM resolved
-  WHERE target_id IS NOT NULL AND target_id % 7 <> 0) WHERE r <= 3""")
+_EXPANDED = f"""{search.HYBRID}, {_RESOLVED}, h AS (SELECT query_id, document_id, rank FROM hybrid JOIN chunks USING (chunk_id)),
+  reached AS (SELECT query_id, target_id, min(rank) AS hit, min(target_ref) AS ref FROM h JOIN resolved ON source_id = document_id WHERE rank <= 3 AND target_id IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM h s WHERE s.query_id = h.query_id AND s.document_id = target_id) GROUP BY query_id, target_id),
+  expanded AS (SELECT query_id, target_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hit, ref) AS r FROM reached) WHERE r <= 3),
+  passage AS (SELECT * FROM (SELECT query_id, target_id, chunk_id, {search.COS} AS score, row_number() OVER (PARTITION BY query_id, target_id ORDER BY {search.COS} DESC, chunk_id) AS r
+    FROM expanded JOIN queries USING (query_id) JOIN embedded ON document_id = target_id WHERE embedding IS NOT NULL) WHERE r = 1)"""
+
+
+@query(f"{_EXPANDED} SELECT query_id, target_id, chunk_id, score FROM passage")
 def expand_via_graph(spark, d):
-    seen = v.table(spark, d, "documents").where("doc_id % 7 = 0").select(F.col("doc_id").alias("target_id"))
-    new = resolve_targets(spark, d).where("target_id is not null").join(seen, "target_id", "left_anti")
-    w = Window.partitionBy("source_id").orderBy("target_ref")
-    return new.select("source_id", "target_id", F.row_number().over(w).alias("r")).where("r <= 3")
+    """Documents that a query's three best hits cite and that it has not seen, three at
+    most by hit rank and reference, each with its passage nearest to the query."""
+    chunks = v.embedded(spark, d)
+    hits = search.hybrid_search(spark, d).join(chunks.select("chunk_id", "document_id"), "chunk_id").select("query_id", "document_id", "rank")
+    edges = resolve_targets(spark, d).where("target_id is not null")
+    seen = hits.select("query_id", F.col("document_id").alias("target_id"))
+    reached = hits.where("rank <= 3").join(edges, F.col("document_id") == F.col("source_id")).join(seen, ["query_id", "target_id"], "left_anti")
+    reached = reached.groupBy("query_id", "target_id").agg(F.min("rank").alias("at"), F.min("target_ref").alias("ref"))
+    w = Window.partitionBy("query_id").orderBy("at", "ref")
+    few = reached.withColumn("r", F.row_number().over(w)).where("r <= 3").select("query_id", "target_id")
+    own = few.join(v.queries(spark, d).select("query_id", "vector"), "query_id").join(chunks.where("embedding is not null"), F.col("document_id") == F.col("target_id"))
+    scored = own.select("query_id", "target_id", F.struct((-F.round(r.cosine(F.col("embedding"), F.col("vector")), 6)).alias("less"), "chunk_id").alias("x"))
+    best = scored.groupBy("query_id", "target_id").agg(F.min("x").alias("x"))
+    return best.select("query_id", "target_id", "x.chunk_id", (-F.col("x.less")).alias("score"))

@@ -19,5 +19,3 @@ def query(sql: str | None = None):
 
     return add
 
-
-from . import corpus, evaluation, graph, search, trace  # noqa: E402, F401

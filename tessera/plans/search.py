@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from tessera.operators import retrieval as r
+from tessera.operators.verify import groundedness
 from tessera.operators.verify import verify_claims as verify
+from tessera.functions.text import fold_quote
 from tessera.sources import views as v
 
 from .registry import query
@@ -28,9 +32,8 @@ HYBRID = f"{ALL}, {FUSED.format(wv=1.0, wl=0.1)}"
 
 @query(f"WITH {v.EMBEDDED} SELECT chunk_id, {COS} AS score FROM embedded, (SELECT embedding AS vector FROM embeddings WHERE vec_id = 0) WHERE embedding IS NOT NULL ORDER BY score DESC, chunk_id LIMIT 8")
 def vector_search(spark, d):
-    one = v.table(spark, d, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("vector"))
-    hits = v.embedded(spark, d).where("embedding is not null").crossJoin(F.broadcast(one))
-    return hits.select("chunk_id", F.round(r.cosine(F.col("embedding"), F.col("vector")), 6).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(8)
+    one = v.table(spark, d, "embeddings").where("vec_id = 0").select(F.lit(0).alias("query_id"), F.col("embedding").alias("vector"))
+    return r.knn_join(one, v.embedded(spark, d), 8).select("chunk_id", "score")
 
 
 @query(f"WITH {v.EMBEDDED}, {v.QUERIES}, {KNN} SELECT * FROM knn")
@@ -50,7 +53,7 @@ def lexical_query_terms(spark, d):
 
 @query(f"WITH {v.CHUNKS}, {v.QUERIES}, {INDEX}, {TERMS}, {LEX.format(k=8)} SELECT * FROM lex")
 def lexical_search(spark, d):
-    return r.lexical_search(v.queries(spark, d), r.lexical_index(v.chunks(spark, d)), 8)
+    return r.lexical_search(v.queries(spark, d), v.chunks(spark, d), 8)
 
 
 @query(f"{HYBRID} SELECT * FROM hybrid")
@@ -61,7 +64,7 @@ def hybrid_search(spark, d):
 @query(f"{ALL}, {FUSED.format(wv=1.0, wl=1.0)} SELECT * FROM hybrid")
 def rrf_fuse(spark, d):
     q, c = v.queries(spark, d), v.embedded(spark, d)
-    return r.rrf_fuse([("vector", r.knn_join(q, c, 24), 1.0), ("lexical", r.lexical_search(q, r.lexical_index(c), 3), 1.0)], 8)
+    return r.rrf_fuse([("vector", r.knn_join(q, c, 24), 1.0), ("lexical", r.lexical_search(q, c, 3), 1.0)], 8)
 
 
 @query(f"{HYBRID} SELECT query_id, max(score) AS best FROM queries LEFT JOIN hybrid USING (query_id) GROUP BY ALL HAVING coalesce(max(score), 0) < 0.018")
@@ -84,10 +87,17 @@ def render_context(spark, d):
     return v.queries(spark, d).select("query_id").join(ctx, "query_id", "left").select("query_id", F.coalesce("context", F.lit("No context found.")).alias("context"))
 
 
-_FOLD = "lower(trim(regexp_replace(regexp_replace(translate({c}, '‘’“”–—', '''''\"\"--'), '[^\\p{{L}}\\p{{N}}_\\s''\"-]', ' ', 'g'), '\\s+', ' ', 'g')))"
-VERIFIED = f"""WITH {v.CLAIMS}, j AS (SELECT claim_id, trim(claims.chunk_id) AS chunk_id, run, real, quote, {_FOLD.format(c="quote")} AS q, {_FOLD.format(c="content")} AS s, chunks.chunk_id IS NOT NULL AS known
-  FROM claims LEFT JOIN chunks ON trim(claims.chunk_id) = chunks.chunk_id), w AS (SELECT *, string_split(q, ' ') AS words FROM j),
-ratios AS (SELECT * EXCLUDE (q, s, words, known), CASE WHEN NOT known THEN NULL WHEN contains(s, q) THEN 1.0 WHEN len(words) < 4 THEN 0.0 ELSE
+# letters that decompose into one letter and one mark; the mark becomes a space
+_MARKED = [c for c in map(chr, range(0xC0, 0x180)) if len(x := unicodedata.normalize("NFKD", c)) == 2 and unicodedata.combining(x[1])]
+_PLAIN = "".join(unicodedata.normalize("NFKD", c)[0] for c in _MARKED)
+_MARKED = "".join(_MARKED)
+_FOLD = (
+    "lower(trim(regexp_replace(regexp_replace(translate(translate(regexp_replace({c}, '([" + _MARKED + "])', '\\1 ', 'g'), '" + _MARKED + "', '" + _PLAIN + "'), '‘’“”–—', '''''\"\"--'),"
+    " '[^\\p{{L}}\\p{{N}}_\\s''\"-]', ' ', 'g'), '\\s+', ' ', 'g')))"
+)
+VERIFIED = f"""WITH {v.CLAIMS}, j AS (SELECT claim_id, trim(claims.chunk_id) AS chunk_id, claims.run, real, quote, {_FOLD.format(c="quote")} AS q, {_FOLD.format(c="content")} AS s, hits.chunk_id IS NOT NULL AS known
+  FROM claims LEFT JOIN hits ON claims.run = hits.run AND trim(claims.chunk_id) = hits.chunk_id), w AS (SELECT *, string_split(q, ' ') AS words FROM j),
+ratios AS (SELECT * EXCLUDE (q, s, words, known), CASE WHEN NOT known THEN NULL WHEN q = '' THEN 0.0 WHEN contains(s, q) THEN 1.0 WHEN len(words) < 4 THEN 0.0 ELSE
   round(list_max(list_transform(range(0, len(words)), lambda i: list_max(list_transform(range(1, len(words) - i + 1), lambda k: CASE WHEN contains(s, array_to_string(words[i + 1 : i + k], ' ')) THEN k ELSE 0 END)))) / len(words), 6) END::DOUBLE AS ratio,
   len(words) AS n, known FROM w),
 verified AS (SELECT * EXCLUDE (n, known), CASE WHEN NOT known THEN 'unknown_chunk' WHEN n < 4 THEN 'quote_too_short' WHEN ratio < 0.85 THEN 'quote_not_found' ELSE 'verified' END AS verdict FROM ratios)"""
@@ -95,7 +105,7 @@ verified AS (SELECT * EXCLUDE (n, known), CASE WHEN NOT known THEN 'unknown_chun
 
 @query(f"{VERIFIED} SELECT * FROM verified")
 def verify_claims(spark, d):
-    return verify(v.claims(spark, d), v.chunks(spark, d))
+    return verify(v.claims(spark, d), v.hits(spark, d))
 
 
 @query(f"{VERIFIED} SELECT claim_id, ratio FROM verified")
@@ -109,12 +119,22 @@ def rejection_feedback(spark, d):
     return bad.groupBy("run").agg(F.expr("listagg(line, '\n') within group (order by claim_id)").alias("feedback"))
 
 
-@query(f"{VERIFIED} SELECT verdict, count(*) AS n, count(*) FILTER (run = 2) AS discarded FROM verified WHERE verdict <> 'verified' GROUP BY verdict")
+@query(f"""{VERIFIED} SELECT verdict, count(*) AS n, count(*) FILTER (last) AS discarded FROM (SELECT verdict, chunk_id, run, claim_id, claim_id = max(claim_id) OVER (PARTITION BY run) AS last FROM verified)
+  WHERE verdict <> 'verified' GROUP BY verdict""")
 def rejection_stats(spark, d):
-    return verify_claims(spark, d).where("verdict <> 'verified'").groupBy("verdict").agg(F.count("*").alias("n"), F.count_if(F.col("run") == 2).alias("discarded"))
+    """Rejections by reason; those of a run's last claim are discarded for good."""
+    c = verify_claims(spark, d).select("run", "claim_id", "verdict")
+    last = c.groupBy("run").agg(F.max("claim_id").alias("last"))
+    bad = c.where("verdict <> 'verified'").join(last, "run")
+    return bad.groupBy("verdict").agg(F.count("*").alias("n"), F.count_if(F.col("claim_id") == F.col("last")).alias("discarded"))
 
 
-@query(f"{VERIFIED} SELECT real, round(avg(CASE WHEN (verdict = 'verified') = real THEN 1.0 ELSE 0.0 END), 6) AS rate, count(*) AS n FROM verified GROUP BY real")
+@query(f"""{VERIFIED} SELECT real, round(avg(CASE WHEN (verdict = 'verified') = real THEN 1.0 ELSE 0.0 END), 6) AS rate, count(*) AS n,
+  count(*) FILTER ((verdict = 'verified') <> real) AS failing FROM verified GROUP BY real""")
 def groundedness_rates(spark, d):
-    ok = F.when((F.col("verdict") == "verified") == F.col("real"), 1.0).otherwise(0.0)
-    return verify_claims(spark, d).groupBy("real").agg(F.round(F.avg(ok), 6).alias("rate"), F.count("*").alias("n"))
+    return groundedness(verify_claims(spark, d))
+
+
+@query(f"WITH {v.CHUNKS} SELECT chunk_id, md5({_FOLD.format(c='content')}) AS folded FROM chunks")
+def normalise_quote(spark, d):
+    return v.chunks(spark, d).select("chunk_id", F.md5(fold_quote(F.col("content"))).alias("folded"))

@@ -42,31 +42,71 @@ QUERIES = "queries AS (SELECT item_id AS query_id, text AS query, embedding AS v
 
 
 def edges(spark, d) -> DataFrame:
-    """Each document cites three others by reference; every fifth reference is unknown."""
+    """Each document cites three others by reference, spread over all documents; every
+    fifth reference is unknown."""
     docs = table(spark, d, "documents").select("doc_id")
-    e = docs.select("doc_id", F.explode(F.array(F.lit(3), F.lit(7), F.lit(11))).alias("k"))
-    n = (F.col("doc_id") * F.col("k") + 3) % 1000
-    ref = F.concat(F.when((F.col("doc_id") + F.col("k")) % 5 == 0, "X-").otherwise("CASE-"), n.cast("string"))
+    n = docs.agg(F.count("*").alias("n_docs"))
+    e = docs.select("doc_id", F.explode(F.array(F.lit(3), F.lit(7), F.lit(11))).alias("k")).crossJoin(F.broadcast(n))
+    to = (F.col("doc_id") * F.col("k") + 3) % F.col("n_docs")
+    ref = F.concat(F.when((F.col("doc_id") + F.col("k")) % 5 == 0, "X-").otherwise("CASE-"), to.cast("string"))
     return e.select(F.col("doc_id").alias("source_id"), ref.alias("target_ref"))
 
 
-EDGES = """edges AS (SELECT doc_id AS source_id, CASE WHEN (doc_id + k) % 5 = 0 THEN 'X-' ELSE 'CASE-' END || ((doc_id * k + 3) % 1000) AS target_ref
+EDGES = """edges AS (SELECT doc_id AS source_id, CASE WHEN (doc_id + k) % 5 = 0 THEN 'X-' ELSE 'CASE-' END || ((doc_id * k + 3) % (SELECT count(*) FROM documents)) AS target_ref
   FROM documents, (VALUES (3), (7), (11)) v(k))"""
 
 
 def claims(spark, d) -> DataFrame:
-    """A quote from each first line: whole, with words swapped, or too short, against its own or another chunk."""
-    c = chunks(spark, d).where("ordinal = 0")
+    """A quote of twelve words from each line of every text: as it is, with words turned
+    round, or too short, against its own chunk or none. Ten documents are a run."""
+    c = chunks(spark, d)
     m = F.col("document_id") % 5
     words = F.split("content", " ")
-    quote = F.when(m == 1, F.array_join(F.reverse(F.slice(words, 1, 8)), " ")).when(m == 2, F.array_join(F.slice(words, 1, 2), " ")).otherwise(F.array_join(F.slice(words, 1, 8), " "))
+    quote = F.when(m == 1, F.array_join(F.reverse(F.slice(words, 1, 12)), " ")).when(m == 2, F.array_join(F.slice(words, 1, 2), " ")).otherwise(F.array_join(F.slice(words, 1, 12), " "))
     at = F.when(m == 3, F.lit(" none ")).otherwise(F.concat(F.lit(" "), "chunk_id", F.lit(" ")))
-    return c.select(F.col("document_id").alias("claim_id"), at.alias("chunk_id"), quote.alias("quote"), (F.col("document_id") % 3).alias("run"), F.when(m.isin(0, 4), True).otherwise(False).alias("real"))
+    long = F.size(words) >= 4
+    return c.select(F.col("chunk_id").alias("claim_id"), at.alias("chunk_id"), quote.alias("quote"), F.floor(F.col("document_id") / 10).alias("run"), (m.isin(0, 4) & (F.col("document_id") % 10 != 4) & long).alias("real"))
 
 
-CLAIMS = CHUNKS + """, claims AS (SELECT document_id AS claim_id, CASE WHEN document_id % 5 = 3 THEN ' none ' ELSE ' ' || chunk_id || ' ' END AS chunk_id,
-  CASE document_id % 5 WHEN 1 THEN array_to_string(list_reverse(string_split(content, ' ')[1:8]), ' ') WHEN 2 THEN array_to_string(string_split(content, ' ')[1:2], ' ')
-  ELSE array_to_string(string_split(content, ' ')[1:8], ' ') END AS quote, document_id % 3 AS run, document_id % 5 IN (0, 4) AS real FROM chunks WHERE ordinal = 0)"""
+def hits(spark, d) -> DataFrame:
+    """(run, chunk_id, content): the chunks that each run retrieved, all but those of the
+    documents whose id ends in 4."""
+    return chunks(spark, d).where("document_id % 10 <> 4").select(F.floor(F.col("document_id") / 10).alias("run"), "chunk_id", "content")
+
+
+CLAIMS = CHUNKS + """, claims AS (SELECT chunk_id AS claim_id, CASE WHEN document_id % 5 = 3 THEN ' none ' ELSE ' ' || chunk_id || ' ' END AS chunk_id,
+  CASE document_id % 5 WHEN 1 THEN array_to_string(list_reverse(string_split(content, ' ')[1:12]), ' ') WHEN 2 THEN array_to_string(string_split(content, ' ')[1:2], ' ')
+  ELSE array_to_string(string_split(content, ' ')[1:12], ' ') END AS quote, document_id // 10 AS run, document_id % 5 IN (0, 4) AND document_id % 10 <> 4 AND len(string_split(content, ' ')) >= 4 AS real FROM chunks),
+  hits AS (SELECT document_id // 10 AS run, chunk_id, content FROM chunks WHERE document_id % 10 <> 4)"""
+
+
+def statutes(spark, d) -> DataFrame:
+    """Texts as statutes: a numbered heading before every fifth line or so, sub-provisions
+    between, and a chapter before some sections."""
+    docs = table(spark, d, "documents")
+
+    def line(x, i):
+        at = (i * 7 + F.col("doc_id")) % 5
+        section = F.concat(F.when((i * 7 + F.col("doc_id")) % 15 == 0, F.concat(F.lit("CHAPTER "), i + 1, F.lit("\n"))).otherwise(""), (i + 1).cast("string"), F.lit(". "), x)
+        return F.when(at == 0, section).when(at == 2, F.concat(F.lit("("), i + 1, F.lit(") "), x)).otherwise(x)
+
+    return docs.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+
+
+def judgments(spark, d) -> DataFrame:
+    """Texts with references: sentences that cite stand after every third line."""
+    docs = table(spark, d, "documents")
+    said = F.array(*[F.lit(x) for x in CITING])
+    line = lambda x, i: F.concat(x, F.when((i + F.col("doc_id")) % 3 == 0, F.concat(F.lit(" "), F.element_at(said, ((i + F.col("doc_id")) % len(CITING) + 1).cast("int")))).otherwise(""))
+    return docs.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+
+
+CITING = [
+    "See [1955] 1 S.C. R. 313 and AIR 1954 SC 229.", "As held in (1997) 6 SCC 241.", "The rule in Balmukund vs Motilal governs this.",
+    "Counsel for the Appellant vs The Respondent argued.", "In Travancore Rubber Ltd. vs State of Kerala it was said.", "Appeal No. 73 of 1950 of the Madras High Court.", "Nothing is cited here.",
+]
+JUDGMENTS = f"""judgments AS (SELECT doc_id, list_aggregate(list_transform(string_split(text, chr(10)), lambda x, i: x || CASE WHEN (i - 1 + doc_id) % 3 = 0
+  THEN ' ' || ([{", ".join("'" + x + "'" for x in CITING)}])[(i - 1 + doc_id) % {len(CITING)} + 1] ELSE '' END), 'string_agg', chr(10)) AS text FROM documents)"""
 
 
 def traces(spark, d) -> DataFrame:

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from tessera.plans.registry import ORACLE, QUERIES
+from tessera.plans.catalog import ORACLE, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations events".split()
