@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import most_frequent, shared_dir, stored, table
 from .pieces import Ragged, Remembered, cut_pieces, slices
 
+SLICE = 8 << 20  # bytes of text in work at a time
 #: Unicode's White_Space.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -301,7 +302,7 @@ def frequent_words(docs: DataFrame, path: str, text_col: str = "text", most: int
             words.clear()
             return rows
 
-        for s in (s for b in batches for s in slices(b, 0)):
+        for s in (s for b in batches for s in slices(b, 0, SLICE)):
             distinct, number, _ = cut_pieces(s.column(0))
             for piece, n in zip(distinct, np.bincount(number, minlength=len(distinct)).tolist()):
                 for w in v.words(v.normal(piece.decode())):
@@ -331,10 +332,10 @@ def ship_lexicon(docs: DataFrame, path: str, text_col: str = "text", most: int =
 
 
 def bpe_round_trip(
-    docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 50_000, contents: bool = True
+    docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 50_000, contents: tuple[str, ...] = ("ids", "decoded")
 ) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, with
-    ``contents``, ids (array of int) and decoded.
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, as
+    ``contents`` names them, ids (array of int) and decoded.
 
     Encodes whole texts as the file at ``path`` says (no special tokens added; their
     strings in a text give their ids) and decodes the ids again: without a decoder in
@@ -350,18 +351,20 @@ def bpe_round_trip(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = worker_encoder(path, name)
         sha = lambda texts: pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
-        for b in (s for b in batches for s in slices(b, 1)):
+        for b in (s for b in batches for s in slices(b, 1, SLICE)):
             ids = e.encode(b.column(1))
             cols = [b.column(0), pa.array(np.diff(ids.ends)), sha(e.joined(ids, e.number)), sha(e.joined(ids, e.token))]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if contents:
-                cols += [pa.ListArray.from_arrays(pa.array(ids.ends.astype(np.int32)), pa.array(ids.flat)), pa.array([t.decode() for t in e.joined(ids, e.token)], pa.string())]
-                names += ["ids", "decoded"]
+            if "ids" in contents:
+                cols.append(pa.ListArray.from_arrays(pa.array(ids.ends.astype(np.int32)), pa.array(ids.flat)))
+            if "decoded" in contents:
+                cols.append(pa.array([t.decode() for t in e.joined(ids, e.token)], pa.string()))
+            names += [c for c in ("ids", "decoded") if c in contents]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * contents
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ("ids" in contents) + ", decoded string" * ("decoded" in contents)
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, schema)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_round_trip(table(spark, sf_dir, "documents"), contents=False)
+    return bpe_round_trip(table(spark, sf_dir, "documents"), contents=())
