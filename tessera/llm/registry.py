@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, mixing, perplexity, quality, simhash, substring, suffix, tokenfile, urls
+from . import bpe, exact, mixing, perplexity, quality, simhash, substring, suffix, tokenfile, trie, urls
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix.op8_suffix_dedup,
     "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "op11_prefix_trie": trie.op11_prefix_trie,
 }
 
 ORACLE = {"op1_exact_dedup": exact.OP1_SQL, "op4_url_rules": urls.OP4_SQL}

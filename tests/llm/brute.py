@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import defaultdict
 
 import xxhash
@@ -64,3 +65,26 @@ def bytes_dedup(docs, n=200):
         spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
         out.add((k, len(t), sum(gone), spans, sha(bytes(x for x, g in zip(t, gone) if not g))))
     return out
+
+
+def trie(rows, base=lambda c: c - int(c / 100) * 100, shared=lambda c: zlib.crc32(str(c).encode()) % 6):
+    """Rows (conv_id, turn, role, text) to the trie's rows; no bands, no hashes."""
+    convs = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            convs[c].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [x[2:] for x in sorted(t)] for c, t in convs.items()}
+    whole = {c: own.get(c - base(c), [])[: shared(c)] + t[shared(c) :] for c, t in own.items()}
+    members, children = defaultdict(list), defaultdict(set)
+    for c, t in whole.items():
+        for d in range(len(t) + 1):
+            members[tuple(t[:d])].append(c)
+            if d:
+                children[tuple(t[: d - 1])].add(tuple(t[:d]))
+    leaves, saved = defaultdict(int), defaultdict(int)
+    for x, m in members.items():
+        for d in range(len(x) + 1):
+            leaves[x[:d]] += x not in children
+            saved[x[:d]] += (len(m) - 1) * len(x[-1][1]) if x else 0
+    ends = lambda x: sha(",".join(map(str, sorted(c for c in members[x] if len(whole[c]) == len(x)))).encode())
+    return {(min(m), len(x), min(members[x[:-1]]) if x else None, len(m), len(children[x]), leaves[x], saved[x], ends(x)) for x, m in members.items()}
