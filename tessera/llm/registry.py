@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, mixing, perplexity, quality, simhash, substring, suffix, tokenfile, trie, urls
+from . import bpe, exact, mixing, perplexity, quality, simhash, substring, suffix, tokenfile, topk, trie, urls
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_mixing": mixing.op10_mixing,
     "op11_prefix_trie": trie.op11_prefix_trie,
+    "op12_pivot_topk": topk.op12_pivot_topk,
 }
 
-ORACLE = {"op1_exact_dedup": exact.OP1_SQL, "op4_url_rules": urls.OP4_SQL}
+ORACLE = {"op1_exact_dedup": exact.OP1_SQL, "op4_url_rules": urls.OP4_SQL, "op12_pivot_topk": topk.OP12_SQL}
