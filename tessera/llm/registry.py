@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, mixing, perplexity, quality, simhash, substring, suffix, tokenfile, topk, trie, urls
+from . import bpe, exact, mixing, perplexity, quality, simhash, spelling, substring, suffix, tokenfile, topk, trie, urls
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
     "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_pivot_topk": topk.op12_pivot_topk,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLE = {"op1_exact_dedup": exact.OP1_SQL, "op4_url_rules": urls.OP4_SQL, "op12_pivot_topk": topk.OP12_SQL}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 
@@ -88,3 +89,35 @@ def trie(rows, base=lambda c: c - int(c / 100) * 100, shared=lambda c: zlib.crc3
             saved[x[:d]] += (len(m) - 1) * len(x[-1][1]) if x else 0
     ends = lambda x: sha(",".join(map(str, sorted(c for c in members[x] if len(whole[c]) == len(x)))).encode())
     return {(min(m), len(x), min(members[x[:-1]]) if x else None, len(m), len(children[x]), leaves[x], saved[x], ends(x)) for x, m in members.items()}
+
+
+def spelling(docs, damage=97, shortest=5, least=3, ratio=2):
+    n = defaultdict(int)
+    for k, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = "".join(c.lower() if c < "a" else c for c in run)
+            h = zlib.crc32(f"{'' if k is None else k}:{w}".encode())
+            if h % damage == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            n[w] += len(w) >= shortest
+    n = {w: c for w, c in n.items() if c >= least}
+
+    def one_apart(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    near = {w: [v for v in n if one_apart(w, v)] for w in n}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best and n[best] >= ratio * n[w] else None
+
+    def root(w):
+        while form[w]:
+            w = form[w]
+        return w
+
+    return {(w, form[w], root(w), n[w], len(near[w]), n.get(form[w])) for w in n}
