@@ -13,6 +13,8 @@ ONE = np.zeros(256, dtype=bool)
 ONE[[9, 10, 11, 12, 13, 32]] = True
 TWO = [0xC285, 0xC2A0]
 THREE = [0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080]
+#: The same as characters.
+SPACES = frozenset(map(chr, np.flatnonzero(ONE).tolist())) | {x.to_bytes(n).decode() for some, n in ((TWO, 2), (THREE, 3)) for x in some}
 LEAD = np.zeros(256, dtype=bool)
 LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .pieces import Ragged, Remembered, cut_pieces, slices, white
+from .pieces import SPACES, Ragged, Remembered, cut_pieces, slices
 
 BLOCK = 1 << 16  # ids of a block
 
@@ -68,9 +68,8 @@ class Pieces:
         """Pieces with white space at the front only are encoded end to end, since the
         library splits them there, and told apart by the bytes that tokens stand for;
         the others, at a text's begin or end, one by one."""
-        edge = white(np.frombuffer(b"".join(p[:1] + p[-1:] for p in pieces), dtype=np.uint8)).reshape(-1, 2)
-        plain = (b"<" not in p and (p[-1] < 128 or not p.decode().isspace()) for p in pieces)
-        inner = edge[:, 0] & ~edge[:, 1] & np.fromiter(plain, dtype=bool, count=len(pieces))
+        texts = [p.decode() for p in pieces]
+        inner = np.fromiter((t[0] in SPACES and t[-1] not in SPACES and "<" not in t for t in texts), dtype=bool, count=len(texts))
         flat, sizes = [np.empty(0, dtype=np.int32)], np.zeros(len(pieces), dtype=np.int64)
         order = []
         joined = np.flatnonzero(inner)
@@ -85,7 +84,7 @@ class Pieces:
         single = np.flatnonzero(~inner)
         for i in range(0, len(single), 10_000):
             some = single[i : i + 10_000]
-            found = [x.ids for x in self.library.encode_batch_fast([pieces[k].decode() for k in some.tolist()], add_special_tokens=False)]
+            found = [x.ids for x in self.library.encode_batch_fast([texts[k] for k in some.tolist()], add_special_tokens=False)]
             sizes[some] = [len(x) for x in found]
             flat.append(np.array([x for ids in found for x in ids], dtype=np.int32))
             order.append(some)
@@ -150,7 +149,8 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 2, id_c
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id", "t")
+    # by a hash of the text too, so that rows without an id are spread
+    rows = rows.repartitionByRange("id", F.xxhash64("t")).sortWithinPartitions("id", F.xxhash64("t"), "t")
     kinds = "part int, chunk int, before long, n_ids long, doc_ids array<long>, lens array<long>, data binary, index array<long>"
     return stored(rows.mapInArrow(run, kinds), "uncompressed")  # planes are compressed already
 
@@ -188,7 +188,7 @@ def token_files(docs: DataFrame, contents: bool = False, **how) -> DataFrame:
     """Encode, write and read back; see ``write_tokens`` and ``read_tokens``.
 
     A null text counts as empty: its end id alone. Null ids come first; rows that
-    share an id follow each other by text. Empty tables give no rows.
+    share an id follow each other in order of a hash of their texts. Empty tables give no rows.
     """
     return read_tokens(write_tokens(docs, **how), contents)
 

@@ -26,3 +26,21 @@ def test_tokens_of_the_stage_have_the_weights(spark, tmp_path):
     for d, n in zip(DOMAINS, tokens):
         assert n / sum(tokens) == pytest.approx(WEIGHTS[d], abs=0.006)
     assert tokens[0] > 0.97 * sum(n for _, k, n in rows if k == 0)
+
+
+def test_rows_stay_the_same_when_files_are_cut_otherwise(spark, tmp_path):
+    """Spark cuts a table's files by the cores there are; a stage reads its rows several times."""
+    r = random.Random(9)
+    texts = [" ".join(f"w{r.randrange(500)}" for _ in range(60)) for _ in range(300)]
+    rows = [(i, texts[i % 290], "en", "s", 1) for i in range(400)]
+    spark.createDataFrame(rows, DOCS).repartition(6).write.parquet(f"{tmp_path}/d")
+    key, kept = "spark.sql.leafNodeDefaultParallelism", {}
+    try:
+        for name, stage in (("exact", corpus_pipeline.exact_stage), ("near", corpus_pipeline.near_stage)):
+            spark.conf.set(key, "3")
+            out = stage(spark, spark.read.parquet(f"{tmp_path}/d"), "")
+            spark.conf.set(key, "17")
+            kept[name] = sorted(x.doc_id for x in out.collect())
+    finally:
+        spark.conf.unset(key)
+    assert kept["exact"] == kept["near"] == list(range(290))

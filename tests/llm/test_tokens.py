@@ -112,3 +112,19 @@ def test_frequent_words(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     assert sorted(bpe.frequent_words(d, path)) == ["x", "y", "z"]
     assert bpe.frequent_words(d, path, most=1) == ["x"] and bpe.frequent_words(d, path, most=0) == []
+
+
+def test_every_character_last_in_a_slice():
+    """What ends a slice is looked at as a character, whatever its bytes."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), tokenfile.Pieces(path, 2, most=2000)
+    texts = ["ダ", "“VOILÀ", "plain", "あ一"] + [x for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 for x in ("a " + chr(c),)]
+    want = library.encode_batch(texts, add_special_tokens=False)
+    for i in range(0, len(texts), 37):  # each of these ends a slice of its own
+        ids = encoder.encode(pa.array(texts[max(0, i - 1) : i + 1]))
+        assert ids.flat[: ids.ends[-1]].tolist() == [y for w in want[max(0, i - 1) : i + 1] for y in [*w.ids, 2]]
+    for i in range(0, len(texts), 2000):
+        ids = encoder.encode(pa.array(texts[i : i + 2000]))
+        assert ids.flat.tolist() == [y for w in want[i : i + 2000] for y in [*w.ids, 2]]
+    for last in [chr(c) for c in range(0x80, 0x10000, 11) if not 0xD800 <= c < 0xE000]:
+        assert encoder.find([b"x", last.encode()]).flat.tolist() == [*library.encode("x").ids, *library.encode(last, add_special_tokens=False).ids]
