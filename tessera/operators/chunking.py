@@ -15,7 +15,7 @@ CHAPTER = r"^\s*(CHAPTER\s+(?:[IVXLC]+|\d+)\b[^\n]*)"
 SUBSECTION = r"^\s*\((\d+|[a-z]{1,3}|[ivxl]{1,6})\)\s+"
 SENTENCE_END = r"(?<=[.;:])\s+(?=[A-Z(])"
 
-MARK = ""  # put before each heading, then cut at; in a text it becomes a space
+MARK = "\ue000"  # put before each heading, then cut at; in a text it becomes a space
 
 
 def cut_before(text: Column, pattern: str) -> Column:

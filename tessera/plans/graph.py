@@ -21,10 +21,13 @@ def extract_reporter_refs(spark, d):
     return c.extract_reporter_refs(v.judgments(spark, d)).select("doc_id", "kind", "target_ref")
 
 
-@query(f"WITH {v.JUDGMENTS} SELECT doc_id, unnest(list_filter(regexp_extract_all(text, 'Balmukund vs Motilal|Travancore Rubber Ltd. vs State of Kerala'), lambda x: true)) AS raw FROM judgments")
+_CITED = " ".join(f"WHEN '{raw}' THEN '{ref}'" for raw, ref in v.CITED.items())
+
+
+@query(f"WITH {v.JUDGMENTS} SELECT doc_id, CASE raw {_CITED} END AS target_ref FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{'|'.join(v.CITED)}')) AS raw FROM judgments)")
 def extract_case_names(spark, d):
-    """Names as they stand in the text; the oracle knows the names that the view puts in."""
-    return c.extract_case_names(v.judgments(spark, d)).select("doc_id", F.regexp_extract("raw", "(Balmukund vs Motilal|Travancore Rubber Ltd. vs State of Kerala)$", 1).alias("raw"))
+    """Every case name by identity: what leads in, goes on after it or marks a company is off."""
+    return c.extract_case_names(v.judgments(spark, d)).select("doc_id", "target_ref")
 
 
 @query("""SELECT doc_id, 'x' || doc_id || ' y' AS party FROM documents""")
@@ -34,7 +37,7 @@ def normalise_party(spark, d):
     return v.table(spark, d, "documents").select("doc_id", c.normalise_party(name).alias("party"))
 
 
-@query(f"WITH {v.JUDGMENTS} SELECT doc_id, len(regexp_extract_all(text, 'for the Appellant vs The Respondent')) AS dropped FROM judgments")
+@query(f"WITH {v.JUDGMENTS} SELECT doc_id, len(regexp_extract_all(text, 'For the Respondent vs The Petitioner')) AS dropped FROM judgments")
 def drop_non_parties(spark, d):
     """How many names of a text have a side that is no party."""
     raw = F.regexp_extract_all("text", F.lit(c.CASE_NAME), 0)

@@ -102,9 +102,11 @@ def judgments(spark, d) -> DataFrame:
 
 
 CITING = [
-    "See [1955] 1 S.C. R. 313 and AIR 1954 SC 229.", "As held in (1997) 6 SCC 241.", "The rule in Balmukund vs Motilal governs this.",
-    "Counsel for the Appellant vs The Respondent argued.", "In Travancore Rubber Ltd. vs State of Kerala it was said.", "Appeal No. 73 of 1950 of the Madras High Court.", "Nothing is cited here.",
+    "Reference is made to [1962] 3 S.C. R. 87 and AIR 1949 SC 512.", "(1988) 4 SCC 75 leads elsewhere.", "See Harrow vs Benton on this point.",
+    "For the Respondent vs The Petitioner nothing was filed.", "So too Quillon Timber Ltd. vs Province of Oriel was read.", "Petition No. 41 of 1967 of the Oriel High Court.", "None of this cites anything.",
 ]
+#: The cases among them, as they stand there and by identity.
+CITED = {"See Harrow vs Benton": "CASE-harrow-v-benton", "Quillon Timber Ltd. vs Province of Oriel": "CASE-quillon timber-v-oriel"}
 JUDGMENTS = f"""judgments AS (SELECT doc_id, list_aggregate(list_transform(string_split(text, chr(10)), lambda x, i: x || CASE WHEN (i - 1 + doc_id) % 3 = 0
   THEN ' ' || ([{", ".join("'" + x + "'" for x in CITING)}])[(i - 1 + doc_id) % {len(CITING)} + 1] ELSE '' END), 'string_agg', chr(10)) AS text FROM documents)"""
 
