@@ -23,19 +23,33 @@ def quote_run_ratio(quote: Column, source: Column, shortest: int = 4) -> Column:
     return F.when(quote == "", 0.0).when(F.contains(source, quote), 1.0).when(n < shortest, 0.0).otherwise(F.round(best / n, 6))
 
 
+def folded_hits(hits: DataFrame) -> DataFrame:
+    """(run, chunk_id, s, known): what each run retrieved, folded; of a chunk that a run has
+    twice with different contents, the smallest one."""
+    one = hits.groupBy("run", "chunk_id").agg(F.min(F.coalesce("content", F.lit(""))).alias("content"))
+    return one.select("run", "chunk_id", fold_quote(F.col("content")).alias("s"), F.lit(True).alias("known"))
+
+
+def judge_claims(claims: DataFrame, folded: DataFrame, shortest: int = 4, least: float = 0.85) -> DataFrame:
+    """Adds ratio and verdict to claims, which may be a stream; ``folded`` as of ``folded_hits``."""
+    c = claims.withColumn("chunk_id", strip(F.coalesce("chunk_id", F.lit("")))).withColumn("q", fold_quote(F.coalesce("quote", F.lit(""))))
+    j = c.join(folded, ["run", "chunk_id"], "left").withColumn("ratio", F.when(F.col("known"), quote_run_ratio(F.col("q"), F.col("s"), shortest)))
+    verdict = F.when(F.col("known").isNull(), "unknown_chunk").when(F.size(F.split("q", " ")) < shortest, "quote_too_short").when(F.col("ratio") < least, "quote_not_found").otherwise("verified")
+    return j.withColumn("verdict", verdict).drop("q", "s", "known")
+
+
 def verify_claims(claims: DataFrame, hits: DataFrame, shortest: int = 4, least: float = 0.85) -> DataFrame:
     """Adds ratio and verdict: unknown_chunk, quote_too_short, quote_not_found or verified,
     tested in this order.
 
     A claim (run, chunk_id, quote) is held against what its run retrieved: ``hits`` has
     (run, chunk_id, content). A chunk of the corpus that the run did not retrieve is
-    unknown. Only the hits that claims name are folded. Nulls count as empty."""
-    c = claims.withColumn("chunk_id", strip(F.coalesce("chunk_id", F.lit("")))).withColumn("q", fold_quote(F.coalesce("quote", F.lit(""))))
-    named = hits.select("run", "chunk_id", "content").join(c.select("run", "chunk_id").distinct(), ["run", "chunk_id"], "left_semi").dropDuplicates(["run", "chunk_id"])
-    s = named.select("run", "chunk_id", fold_quote(F.coalesce("content", F.lit(""))).alias("s"), F.lit(True).alias("known"))
-    j = c.join(s, ["run", "chunk_id"], "left").withColumn("ratio", F.when(F.col("known"), quote_run_ratio(F.col("q"), F.col("s"), shortest)))
-    verdict = F.when(F.col("known").isNull(), "unknown_chunk").when(F.size(F.split("q", " ")) < shortest, "quote_too_short").when(F.col("ratio") < least, "quote_not_found").otherwise("verified")
-    return j.withColumn("verdict", verdict).drop("q", "s", "known")
+    unknown. Only the hits that claims name are folded. Null ids, quotes and contents
+    count as empty; a null run has no hits. Repeated claims are judged each; other columns
+    of the claims are carried along, those named ratio and verdict replaced."""
+    named = claims.select("run", strip(F.coalesce("chunk_id", F.lit(""))).alias("chunk_id")).distinct()
+    own = hits.select("run", "chunk_id", "content").join(named, ["run", "chunk_id"], "left_semi")
+    return judge_claims(claims, folded_hits(own), shortest, least)
 
 
 def groundedness(verified: DataFrame) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as t
-from tessera.operators import chunking
+from tessera.operators import chunking, embedding
 from tessera.sources import views as v
+from tessera.sources.store import folder, written
+from tessera.streaming import ingest
 from tessera.streaming import streams as s
 
+from . import search
 from .registry import query
 
 
@@ -16,7 +19,7 @@ from .registry import query
 def metrics_sink(spark, d):
     """Metric rows as JSON lines."""
     m = v.table(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
-    at = s.folder(spark, "metrics")
+    at = folder(spark, "metrics")
     m.write.json(at)
     return spark.read.schema("stage string, n long, mean double").json(at)
 
@@ -25,7 +28,7 @@ def metrics_sink(spark, d):
 def scan_eval_queries(spark, d):
     """A query set in one JSON document, one row per query."""
     q = v.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("query"))
-    at = s.folder(spark, "queries")
+    at = folder(spark, "queries")
     q.select(F.struct(F.lit("queries").alias("name"), F.array(F.struct("id", "query")).alias("queries")).alias("x")).select("x.*").write.json(at)
     read = spark.read.schema("name string, queries array<struct<id: long, query: string>>").json(at)
     return read.select(F.explode("queries").alias("q")).select("q.*")
@@ -34,7 +37,7 @@ def scan_eval_queries(spark, d):
 @query(f"WITH {v.EMBEDDED} SELECT kind, count(*) AS chunks, count(embedding) AS vectors FROM embedded GROUP BY kind")
 def corpus_sink(spark, d):
     """Text first, vectors after it: chunks by kind, then their vectors, joined when read."""
-    e, at = v.embedded(spark, d), s.folder(spark, "corpus")
+    e, at = v.embedded(spark, d), folder(spark, "corpus")
     e.drop("embedding").write.partitionBy("kind").parquet(f"{at}/chunks")
     e.where("embedding is not null").select("chunk_id", "embedding").write.parquet(f"{at}/vectors")
     c = spark.read.parquet(f"{at}/chunks").join(spark.read.parquet(f"{at}/vectors"), "chunk_id", "left")
@@ -78,14 +81,47 @@ def stream_dedup(spark, d):
     return s.stream_dedup(spark, d).select("content_hash", F.lit(True).alias("seen"))
 
 
-@query("SELECT run, count(*) AS n FROM (SELECT user_id AS run, event_id, min(CASE WHEN event_id % 7 = 0 THEN event_id END) OVER (PARTITION BY user_id) AS last FROM events) WHERE last IS NULL OR event_id <= last GROUP BY run")
-def stream_until_done(spark, d):
-    return s.stream_until_done(spark, d).groupBy("run").agg(F.count("*").alias("n"))
-
-
-@query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+@query(f"""WITH {v.RULINGS}, named AS (SELECT source_ref AS target_ref, min(doc_id) AS low, max(doc_id) AS high FROM rulings GROUP BY ALL)
+  SELECT doc_id, sha256(text) AS content_hash, target_ref, CASE WHEN low <> doc_id THEN low WHEN high <> doc_id THEN high END AS target_id FROM rulings LEFT JOIN named USING (target_ref)""")
 def stream_ingest(spark, d):
-    """Replayed once more, which changes nothing."""
-    at = s.folder(spark, "ingest")
-    s.stream_ingest(spark, d, at)
-    return s.stream_ingest(spark, d, at, replay=True).select("doc_id", "content_hash")
+    """Documents with the edges that their references became, after a stream of them into
+    documents, chunks and edges, and a replay, which changes nothing."""
+    at, n = folder(spark, "ingest"), v.table(spark, d, "documents").count()
+    stream = lambda: v.rulings(s.source(spark, d, "documents"), n)
+    ingest.stream_ingest(stream(), at)
+    t = ingest.stream_ingest(stream(), at, source="replay")
+    edges = t.read("edges").select(F.col("source_id").alias("doc_id"), "target_ref", "target_id")
+    return t.read("documents").select("doc_id", "content_hash").join(edges, "doc_id", "left")
+
+
+@query(f"{search.VERIFIED} SELECT claim_id, run, chunk_id, quote, real, ratio, verdict FROM verified")
+def stream_verify(spark, d):
+    """Claims of documents that arrive, judged against what their run retrieved."""
+    claims = v.claims_of(v.lines(s.source(spark, d, "documents")))
+    return s.stream_verify(claims, v.hits(spark, d), folder(spark, "verify"))
+
+
+_HASHED = f"""{v.CHUNKS}, digits AS (SELECT chunk_id, strpos('0123456789abcdef', md5(w)[1:1]) AS i, count(*) AS n FROM (SELECT chunk_id, unnest(string_split(content, ' ')) AS w FROM chunks) WHERE w <> '' GROUP BY ALL),
+  norms AS (SELECT chunk_id, sqrt(sum(n * n)) AS norm FROM digits GROUP BY chunk_id),
+  hashed AS (SELECT chunk_id, list(round((coalesce(n, 0) / norm)::FLOAT, 4)::DOUBLE ORDER BY i) AS embedding FROM norms CROSS JOIN range(1, 17) r(i) LEFT JOIN digits USING (chunk_id, i) GROUP BY chunk_id)"""
+_ROUNDED = F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding")
+
+
+@query(f"WITH {_HASHED} SELECT chunk_id, embedding FROM chunks LEFT JOIN hashed USING (chunk_id) WHERE ordinal > 0")
+def embed_batches(spark, d):
+    """Vectors of the chunks that have none, by an encoder in batches."""
+    pending = v.chunks(spark, d).where("ordinal > 0").select("chunk_id", "content")
+    return embedding.embed_batches(pending, embedding.HashEncoder()).select("chunk_id", _ROUNDED)
+
+
+@query(f"WITH {_HASHED} SELECT chunk_id, embedding FROM chunks LEFT JOIN hashed USING (chunk_id)")
+def reembed_corpus(spark, d):
+    """Vectors of all chunks after a change of model, in two runs, the first of which stops."""
+    at = folder(spark, "reembed")
+    part = F.pmod(F.xxhash64("document_id"), F.lit(8)).cast("int").alias("part")
+    chunks = written(v.embedded(spark, d).select("chunk_id", "content", "embedding", part), f"{at}/chunks")
+    old = chunks.where("embedding is not null").select("chunk_id", F.lit("old").alias("model"), "embedding", "part")
+    written(old, f"{at}/vectors", ("part",))
+    for rounds in (1, None):
+        embedding.reembed_corpus(chunks.drop("embedding"), f"{at}/vectors", embedding.HashEncoder(), at_once=3, rounds=rounds)
+    return spark.read.parquet(f"{at}/vectors").select("chunk_id", _ROUNDED)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import trace
 from tessera.sources import views as v
+from tessera.sources.store import folder
+from tessera.streaming import streams
 
 from .registry import query
 
@@ -18,26 +19,33 @@ def trace_elapsed(spark, d):
     return v.traces(spark, d).select("event_id", (us - F.min(us).over(Window.partitionBy("run"))).alias("elapsed_us"))
 
 
-@query(f"WITH {v.TRACES} SELECT event_id, lead(event_id) OVER (PARTITION BY run, node ORDER BY event_id) AS closed_by FROM traces")
-def node_spans(spark, d):
-    return v.traces(spark, d).select("event_id", F.lead("event_id").over(Window.partitionBy("run", "node").orderBy("event_id")).alias("closed_by"))
+DONE = v.TRACE_EVENTS + """, ended AS (SELECT run, min({'at': "at", 'seq': seq}) AS last FROM trace_events WHERE node IS NULL GROUP BY run),
+  until_done AS (SELECT trace_events.* FROM trace_events LEFT JOIN ended USING (run) WHERE last IS NULL OR {'at': "at", 'seq': seq} <= last)"""
 
 
-@query(f"WITH {v.TRACES} SELECT run, max_by(CASE WHEN failed THEN 'error' ELSE 'ok' END, event_id) AS status, count(*) AS n FROM traces GROUP BY run")
-def run_status(spark, d):
-    return v.traces(spark, d).groupBy("run").agg(F.max_by(F.when(F.col("failed"), "error").otherwise("ok"), "event_id").alias("status"), F.count("*").alias("n"))
+def events(spark, d):
+    return v.trace_events(v.attempts(v.table(spark, d, "events")))
 
 
-_COUNTERS = f"WITH {v.TRACES} SELECT run, count(*) FILTER (failed) AS retries, count(*) FILTER (NOT failed) AS completed FROM traces GROUP BY run"
+@query(f"""WITH {v.TRACE_EVENTS}, s AS (SELECT run, node, attempt, min("at") FILTER (status = 'started') AS first, min({{'at': "at", 'seq': seq, 'status': status}}) FILTER (status IN ('completed', 'failed')) AS last
+  FROM trace_events WHERE node IS NOT NULL GROUP BY ALL) SELECT run, node, attempt, coalesce(last.status, 'open') AS status, last.at - first AS duration_us FROM s""")
+def node_spans(spark, d):
+    return trace.node_spans(events(spark, d))
+
+
+@query(f"""WITH {DONE}, s AS (SELECT run, min({{'at': "at", 'seq': seq, 'status': status}}) FILTER (node IS NULL) AS last, min("at") AS first, count(*) AS n FROM until_done GROUP BY run)
+  SELECT run, coalesce(last.status, 'running') AS status, (last.at - first) // 1000 AS total_ms, n FROM s""")
+def run_status(spark, d):
+    return trace.run_status(events(spark, d))
 
 
-def _counters(t):
-    return t.groupBy("run").agg(F.count_if(F.col("failed")).alias("retries"), F.count_if(~F.col("failed")).alias("completed"))
+_COUNTERS = f"""WITH {v.TRACE_EVENTS} SELECT run, count(*) FILTER (status = 'retrying') AS retries, count(*) FILTER (status = 'completed') AS completed, CASE WHEN count(*) > count(node) THEN 100
+  ELSE least(95, floor(100 * count(*) FILTER (status = 'completed') / greatest(count(node), 1) + 0.5)) END::BIGINT AS progress FROM trace_events GROUP BY run"""
 
 
 @query(_COUNTERS)
 def trace_counters(spark, d):
-    return _counters(v.traces(spark, d))
+    return trace.counters(events(spark, d))
 
 
 @query(f"WITH {v.TRACES} SELECT event_id, node FROM traces WHERE run = 5 ORDER BY ts, event_id")
@@ -48,17 +56,15 @@ def audit_for_run(spark, d):
 @query(_COUNTERS)
 def stream_trace_counters(spark, d):
     """The same counts kept by a stream over the events' files, run until all are read."""
-    static = v.table(spark, d, "events")
-    events = spark.readStream.schema(static.schema).parquet(f"{d}/events.parquet*")
-    t = events.select(F.col("user_id").alias("run"), (F.col("event_id") % 7 == 0).alias("failed"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-")
-    at = f"{base.rstrip('/')}/stream-{static.sparkSession.sparkContext.applicationId}-{abs(hash(d))}-{spark.sql('select uuid()').first()[0]}"
+    return streams.stream_counters(v.trace_events(streams.source(spark, d, "events")), folder(spark, "counters"))
 
-    def keep(batch, _):
-        batch.write.mode("overwrite").parquet(f"{at}/out")
 
-    _counters(t).writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return spark.read.parquet(f"{at}/out")
+@query(f"""WITH {DONE} SELECT run, seq, node, status, "at" FROM until_done WHERE "at" // 1000 < (SELECT max("at") // 1000 FROM trace_events) - 86400000""")
+def stream_until_done(spark, d):
+    """What has been forwarded when all files are read: events of the last day may still be
+    overtaken by others that are late, so they wait."""
+    e = streams.source(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.stream_until_done(v.trace_events(e), folder(spark, "until-done"))
 
 
 @query("SELECT role AS model, sum(length(text) // 4)::BIGINT AS tokens FROM conversations GROUP BY role")

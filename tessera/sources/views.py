@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -10,16 +10,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def chunks(spark, d) -> DataFrame:
-    """Lines of documents; the first line of a document has its vector, if any."""
-    docs = table(spark, d, "documents")
-    lines = docs.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("ordinal", "content")).where(F.col("content").rlike(r"\S"))
-    return lines.select(
+def lines(docs: DataFrame) -> DataFrame:
+    """Lines of documents as chunks; ``docs`` may be a stream."""
+    cut = docs.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("ordinal", "content")).where(F.col("content").rlike(r"\S"))
+    return cut.select(
         F.concat_ws("-", "doc_id", "ordinal").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("source").alias("kind"),
         F.col("lang").alias("title"), "ordinal", "content",
     )
 
 
+def chunks(spark, d) -> DataFrame:
+    """Lines of documents; the first line of a document has its vector, if any."""
+    return lines(table(spark, d, "documents"))
+
+
 CHUNKS = """chunks AS (SELECT doc_id || '-' || ordinal AS chunk_id, doc_id AS document_id, kind, title, ordinal, content FROM (
   SELECT doc_id, source AS kind, lang AS title, unnest(string_split(text, chr(10))) AS content,
          unnest(range(len(string_split(text, chr(10)))))::INT AS ordinal FROM documents) WHERE regexp_matches(content, '\\S'))"""
@@ -56,10 +60,9 @@ EDGES = """edges AS (SELECT doc_id AS source_id, CASE WHEN (doc_id + k) % 5 = 0
   FROM documents, (VALUES (3), (7), (11)) v(k))"""
 
 
-def claims(spark, d) -> DataFrame:
+def claims_of(c: DataFrame) -> DataFrame:
     """A quote of twelve words from each line of every text: as it is, with words turned
     round, or too short, against its own chunk or none. Ten documents are a run."""
-    c = chunks(spark, d)
     m = F.col("document_id") % 5
     words = F.split("content", " ")
     quote = F.when(m == 1, F.array_join(F.reverse(F.slice(words, 1, 12)), " ")).when(m == 2, F.array_join(F.slice(words, 1, 2), " ")).otherwise(F.array_join(F.slice(words, 1, 12), " "))
@@ -68,6 +71,10 @@ def claims(spark, d) -> DataFrame:
     return c.select(F.col("chunk_id").alias("claim_id"), at.alias("chunk_id"), quote.alias("quote"), F.floor(F.col("document_id") / 10).alias("run"), (m.isin(0, 4) & (F.col("document_id") % 10 != 4) & long).alias("real"))
 
 
+def claims(spark, d) -> DataFrame:
+    return claims_of(chunks(spark, d))
+
+
 def hits(spark, d) -> DataFrame:
     """(run, chunk_id, content): the chunks that each run retrieved, all but those of the
     documents whose id ends in 4."""
@@ -111,6 +118,54 @@ JUDGMENTS = f"""judgments AS (SELECT doc_id, list_aggregate(list_transform(strin
   THEN ' ' || ([{", ".join("'" + x + "'" for x in CITING)}])[(i - 1 + doc_id) % {len(CITING)} + 1] ELSE '' END), 'string_agg', chr(10)) AS text FROM documents)"""
 
 
+def rulings(docs: DataFrame, n_docs: int) -> DataFrame:
+    """(doc_id, source_ref, text): texts that are known by a reporter reference, and cite
+    that of another one in a last line; every fifth cites one that nobody has."""
+    ref = lambda k: (F.floor(k / 10_000) % 90 + 10, k % 10_000)
+    volume, page = ref(F.col("doc_id"))
+    to_volume, to_page = ref((F.col("doc_id") * 7 + 3) % n_docs)
+    year = F.when(F.col("doc_id") % 5 == 0, "1977").otherwise("1988")
+    cited = F.concat(F.lit("\nCompare ("), year, F.lit(") "), to_volume, F.lit(" SCC "), to_page, F.lit("."))
+    return docs.select("doc_id", F.concat(F.lit("SCC-1988-"), volume, F.lit("-"), page).alias("source_ref"), F.concat("text", cited).alias("text"))
+
+
+RULINGS = """rulings AS (SELECT doc_id, 'SCC-1988-' || (doc_id // 10000 % 90 + 10) || '-' || (doc_id % 10000) AS source_ref,
+  text || chr(10) || 'Compare (' || CASE WHEN doc_id % 5 = 0 THEN '1977' ELSE '1988' END || ') ' || (k // 10000 % 90 + 10) || ' SCC ' || (k % 10000) || '.' AS text,
+  'SCC-' || CASE WHEN doc_id % 5 = 0 THEN '1977' ELSE '1988' END || '-' || (k // 10000 % 90 + 10) || '-' || (k % 10000) AS target_ref
+  FROM (SELECT *, (doc_id * 7 + 3) % (SELECT count(*) FROM documents) AS k FROM documents))"""
+
+
+def trace_events(events: DataFrame) -> DataFrame:
+    """(run, seq, node, status, at: microseconds): a user's day is a run. Each event is a
+    node that starts and, but for every eleventh, completes, fails or tries again; every
+    fifth ends the run well, every fourteenth with an error. ``events`` may be a stream,
+    without the column ``attempt``."""
+    k, us = F.col("event_id"), F.unix_micros(F.col("ts").cast("timestamp"))
+    over = us + F.round(F.col("value") * 1000).cast("long")
+    row = lambda i, node, status, at: F.struct((k * 3 + i).alias("seq"), node.alias("node"), status.alias("status"), at.alias("at"))
+    rows = F.array(
+        row(0, F.col("event_type"), F.lit("started"), us),
+        F.when(k % 11 != 0, row(1, F.col("event_type"), F.when(k % 7 == 0, "failed").when(k % 13 == 0, "retrying").otherwise("completed"), over)),
+        F.when((k % 5 == 0) | (k % 14 == 0), row(2, F.lit(None).cast("string"), F.when(k % 14 == 0, "error").otherwise("ok"), over)),
+    )
+    run = F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd"))
+    own = [c for c in ("attempt",) if c in events.columns]
+    return events.select(run.alias("run"), *own, F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("x")).select("run", *own, "x.*")
+
+
+def attempts(events: DataFrame) -> DataFrame:
+    """Events with the number of times the run has been at the node by then."""
+    w = Window.partitionBy("user_id", F.to_date("ts"), "event_type").orderBy("event_id")
+    return events.withColumn("attempt", F.row_number().over(w))
+
+
+TRACE_EVENTS = """trace_events AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS run, attempt, x.* FROM (SELECT *, unnest(list_filter([
+  {'seq': event_id * 3, 'node': event_type, 'status': 'started', 'at': us},
+  CASE WHEN event_id % 11 <> 0 THEN {'seq': event_id * 3 + 1, 'node': event_type, 'status': CASE WHEN event_id % 7 = 0 THEN 'failed' WHEN event_id % 13 = 0 THEN 'retrying' ELSE 'completed' END, 'at': us + round(value * 1000)::BIGINT} END,
+  CASE WHEN event_id % 5 = 0 OR event_id % 14 = 0 THEN {'seq': event_id * 3 + 2, 'node': NULL, 'status': CASE WHEN event_id % 14 = 0 THEN 'error' ELSE 'ok' END, 'at': us + round(value * 1000)::BIGINT} END
+  ], lambda x: x IS NOT NULL)) AS x FROM (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id, ts::DATE, event_type ORDER BY event_id) AS attempt FROM events)))"""
+
+
 def traces(spark, d) -> DataFrame:
     e = table(spark, d, "events")
     return e.select(F.col("user_id").alias("run"), "event_id", F.col("event_type").alias("node"), "ts", (F.col("event_id") % 7 == 0).alias("failed"))

@@ -1,26 +1,26 @@
-"""Structured Streaming over the tables' files; each run ends when all files are read."""
+"""Structured Streaming over the tables' files; each run ends when all files are read, and
+the next one with the same folder goes on with the files that are new by then."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tessera.operators.verify import folded_hits, judge_claims
+from tessera.sources.store import folder, listed, written
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one that the session names (a temporary one where it
-    names none, as in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+HOUR = 3_600_000  # milliseconds
 
 
-def source(spark: SparkSession, d: str, table: str) -> DataFrame:
+def source(spark: SparkSession, d: str, table: str, files_at_once: int | None = None) -> DataFrame:
     static = spark.read.parquet(f"{d}/{table}.parquet")
-    return spark.readStream.schema(static.schema).parquet(f"{d}/{table}.parquet*")
+    reader = spark.readStream.schema(static.schema)
+    return (reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader).parquet(f"{d}/{table}.parquet*")
 
 
 def run_to_end(df: DataFrame, at: str, mode: str = "append") -> None:
@@ -32,6 +32,18 @@ def run_to_end(df: DataFrame, at: str, mode: str = "append") -> None:
     df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
 
 
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """Queries that start inside keep their state in RocksDB, which timers need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Each content once, however often it arrives. State is one hash for each content."""
     at = folder(spark, "dedup")
@@ -39,49 +51,129 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out")
 
 
-def stream_until_done(spark: SparkSession, d: str) -> DataFrame:
-    """Events of each run up to its first failed one; the state is one flag per run, which
-    outlives the run so that late events of it stay dropped."""
+def timed(events: DataFrame, delay_ms: int) -> DataFrame:
+    return events.withColumn("time", F.timestamp_micros("at")).withWatermark("time", f"{delay_ms} milliseconds")
 
-    def forward(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.exists and state.get[0]:
-            return
-        rows = pd.concat(list(frames)).sort_values("event_id")
-        over = rows["failed"].to_numpy().nonzero()[0]
-        state.update((bool(len(over)),))
-        yield rows.iloc[: over[0] + 1] if len(over) else rows
-
-    e = source(spark, d, "events").select(F.col("user_id").alias("run"), "event_id", (F.col("event_id") % 7 == 0).alias("failed"))
-    out = e.groupBy("run").applyInPandasWithState(forward, "run long, event_id long, failed boolean", "done boolean", "append", "NoTimeout")
-    at = folder(spark, "until-done")
-    run_to_end(out, at)
-    return spark.read.parquet(f"{at}/out")
 
+class UntilDone(StatefulProcessor):
+    """Holds a run's events back until none that is older can come, then forwards them in
+    order up to the terminal one. What a run is known by goes ``keep`` ms after its end."""
+
+    EVENT = "seq long, node string, status string, at long"
 
-def stream_ingest(spark: SparkSession, d: str, at: str, replay: bool = False) -> DataFrame:
-    """Documents as they arrive: those whose id and hash are stored are skipped, others take
-    the place of their stored row. Each batch writes a new version of the corpus beside
-    the one it reads, so a batch tried again or replayed gives the same."""
-
-    def version(number: int) -> str:
-        return f"{at}/corpus/{number}"
-
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    have = [int(x.getPath().getName()) for x in fs.listStatus(hadoop(f"{at}/corpus"))] if fs.exists(hadoop(f"{at}/corpus")) else []
-    first = max(have, default=-1) + 1
-
-    def ingest(batch: DataFrame, number: int) -> None:
-        new = batch.select("doc_id", F.sha2("text", 256).alias("content_hash"), "text").dropDuplicates(["doc_id"])
-        now = first + number
-        if now:
-            old = spark.read.parquet(version(now - 1))
-            changed = new.join(old.select("doc_id", "content_hash"), ["doc_id", "content_hash"], "left_anti")
-            new = old.join(changed.select("doc_id"), "doc_id", "left_anti").unionByName(changed)
-        new.write.mode("overwrite").parquet(version(now))
-
-    state = f"{at}/state-{first}" if replay else f"{at}/state"
-    q = source(spark, d, "documents").writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(ingest).start()
-    q.awaitTermination()
-    last = max(int(x.getPath().getName()) for x in fs.listStatus(hadoop(f"{at}/corpus")))
-    return spark.read.parquet(version(last))
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.EVENT)
+        self.done = handle.getValueState("done", "done boolean, until long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.done.exists():
+            # rows come before timers, so the time may be over already
+            if timerValues.getCurrentWatermarkInMs() < self.done.get()[1]:
+                return
+            self.done.clear()
+        new = [(int(r.seq), r.node, r.status, int(r.at)) for part in rows for r in part.astype(object).where(part.notna(), None).itertuples()]
+        self.waiting.appendList(new)
+        self.handle.registerTimer(min(at for *_, at in new) // 1000)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        if self.done.exists():
+            # that of the end; timers of events that were dropped with it come earlier
+            if expiredTimerInfo.getExpiryTimeInMs() >= self.done.get()[1]:
+                self.done.clear()
+            return
+        held = sorted(((x[3], x[0], x[1], x[2]) for x in self.waiting.get()) if self.waiting.exists() else [])
+        ready = [x for x in held if x[0] // 1000 < now]
+        end = next((i for i, x in enumerate(ready) if x[2] is None), None)
+        if end is not None:
+            ready = ready[: end + 1]
+            self.waiting.clear()
+            self.done.update((True, now + self.keep))
+            self.handle.registerTimer(now + self.keep)
+        elif later := held[len(ready) :]:
+            self.waiting.put([(seq, node, status, at) for at, seq, node, status in later])
+            self.handle.registerTimer(later[0][0] // 1000)
+        else:
+            self.waiting.clear()
+        if ready:
+            yield pd.DataFrame([(key[0], seq, node, status, at) for at, seq, node, status in ready], columns=["run", "seq", "node", "status", "at"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_until_done(events: DataFrame, at: str, delay_ms: int = 24 * HOUR, keep_ms: int = 24 * HOUR) -> DataFrame:
+    """(run, seq, node, status, at) of a stream of events: each run's in order of (at, seq) up
+    to its first terminal one, however they are dealt over batches.
+
+    An event may be up to ``delay_ms`` late: it waits that long, and what comes later
+    is dropped. A run's state goes ``keep_ms`` after its end, so ids of runs must not be used
+    again sooner; a run that never ends holds only what still waits. Runs must not be null.
+    """
+    spark = events.sparkSession
+    out = timed(events.select("run", "seq", "node", "status", "at"), delay_ms).groupBy("run").transformWithStateInPandas(
+        UntilDone(keep_ms), f"run string, {UntilDone.EVENT}", "Append", "EventTime"
+    )
+    with rocksdb(spark):
+        run_to_end(out, at)
+    return spark.read.schema(f"run string, {UntilDone.EVENT}").parquet(*[f"{at}/out/{x}" for x in listed(spark, f"{at}/out")])
+
+
+class Counters(StatefulProcessor):
+    """A run's counts so far; they go when nothing was heard of it for ``keep`` ms."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getValueState("counts", "retries long, completed long, n long, ends long, last long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        retries, completed, n, ends, last = self.counts.get() if self.counts.exists() else (0, 0, 0, 0, 0)
+        for part in rows:
+            own = part["node"].notna()
+            retries += int((own & (part["status"] == "retrying")).sum())
+            completed += int((own & (part["status"] == "completed")).sum())
+            n, ends, last = n + int(own.sum()), ends + int((~own).sum()), max(last, int(part["at"].max()) // 1000)
+        self.counts.update((retries, completed, n, ends, last))
+        self.handle.registerTimer(last + self.keep)
+        progress = 100 if ends else min(95, int(100 * completed / max(n, 1) + 0.5))
+        yield pd.DataFrame({"run": [key[0]], "retries": [retries], "completed": [completed], "progress": [progress]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.counts.exists() and self.counts.get()[4] + self.keep <= expiredTimerInfo.getExpiryTimeInMs():
+            self.counts.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_counters(events: DataFrame, at: str, delay_ms: int = 24 * HOUR, keep_ms: int = 24 * HOUR) -> DataFrame:
+    """(run, retries, completed, progress) of a stream of events, as ``operators.trace.counters``
+    counts them: a row for each run and batch that hears of it, of which the last is returned."""
+    spark, kind = events.sparkSession, "run string, retries long, completed long, progress long"
+    out = timed(events.select("run", "node", "status", "at"), delay_ms).groupBy("run").transformWithStateInPandas(Counters(keep_ms), kind, "Update", "EventTime")
+    with rocksdb(spark):
+        run_to_end(out, at, "update")
+    rows = spark.read.schema(f"{kind}, batch long").option("basePath", f"{at}/out").parquet(f"{at}/out")
+    return rows.groupBy("run").agg(F.max_by(F.struct("retries", "completed", "progress"), "batch").alias("x")).select("run", "x.*")
+
+
+def stream_verify(claims: DataFrame, hits: DataFrame, at: str) -> DataFrame:
+    """Claims judged as they arrive, against what their run had retrieved when the stream
+    began: the hits are folded once, and every batch joins that table. The file sink
+    commits each batch once. Repeated claims are judged each, as in a batch."""
+    spark = claims.sparkSession
+    folded = folded_hits(hits)
+    folded = spark.read.schema(folded.schema).parquet(f"{at}/hits") if "_SUCCESS" in listed(spark, f"{at}/hits") else written(folded, f"{at}/hits")
+    judged = judge_claims(claims, folded)
+    q = judged.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    q.start().awaitTermination()
+    return spark.read.schema(judged.schema).parquet(f"{at}/out")
