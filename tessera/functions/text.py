@@ -66,6 +66,10 @@ def fold_quote(c: Column) -> Column:
     return F.lower(collapse_whitespace(c))
 
 
+#: Words that are no terms.
+STOP = ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "on", "be", "as", "by", "with"]
+
+
 def terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
 

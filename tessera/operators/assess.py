@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .verify import verify_claims
+
 RISKS = ["high", "medium", "low"]
 STANCES = ["supports", "opposes", "neutral"]
 
@@ -74,3 +76,59 @@ def memo_input(ranked: DataFrame, most: int = 12_000) -> DataFrame:
     rows = ranked.select("run", "rank", line.alias("line")).withColumn("before", F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0))).where(F.col("before") < most)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x.line), "\n")
     return rows.groupBy("run").agg(F.left(text, F.lit(most)).alias("memo"))
+
+
+FINDINGS = "findings array<struct<issue: string, chunk_id: string, quote: string, risk: string>>"
+
+
+def clause_audit(clauses: DataFrame, hits: DataFrame, replies: DataFrame, predictions: DataFrame) -> DataFrame:
+    """(clause_id, status, issue, chunk_id, quote, risk, risk_source, discarded, error): the
+    findings of all clauses in one plan.
+
+    ``hits`` (clause_id, chunk_id, content) are what each clause retrieved, ``replies``
+    (clause_id, text) what the model said in its last attempt, ``predictions`` as of
+    ``override_risk`` with the quote's ``finding_key``. Findings whose quote is not in the chunk they name,
+    among the clause's own hits, are discarded. A clause has a row for each finding that
+    holds (status finding), or else one row that says why it has none: skipped (nothing
+    retrieved), failed (no reply, or none that can be read, with ``error``), clean (the
+    model found nothing), discarded (nothing held). So one bad reply costs one clause.
+    Of several replies of a clause the smallest text counts; null ids join nothing.
+    """
+    had = hits.groupBy("clause_id").agg(F.count("*").alias("n_hits"))
+    one = replies.groupBy("clause_id").agg(F.min("text").alias("text"))
+    read = parse_model_json(clauses.select("clause_id").distinct().join(had, "clause_id", "left").join(one, "clause_id", "left"), FINDINGS, ["findings"])
+    status = F.when(F.col("n_hits").isNull(), "skipped").when(F.col("bad"), "failed").when(F.size("parsed.findings") == 0, "clean").otherwise("discarded")
+    error = F.when(F.col("status") == "failed", F.when(F.col("text").isNull(), "no reply").otherwise("reply is not the JSON asked for"))
+    read = read.withColumn("status", status).withColumn("error", error)
+    said = read.where("status = 'discarded'").select(F.col("clause_id").alias("run"), F.explode("parsed.findings").alias("f")).select("run", "f.*")
+    judged = verify_claims(said, hits.withColumnRenamed("clause_id", "run"))
+    rejected = judged.where("verdict <> 'verified'").groupBy(F.col("run").alias("clause_id")).agg(F.count("*").alias("discarded"))
+    good = judged.where("verdict = 'verified'").select("run", "issue", "chunk_id", "quote", "risk", finding_key(F.col("quote")).alias("key"))
+    found = override_risk(good, predictions).select(F.col("run").alias("clause_id"), F.lit("finding").alias("found"), "issue", "chunk_id", "quote", "risk", "risk_source")
+    out = read.select("clause_id", "status", "error").join(rejected, "clause_id", "left").join(found, "clause_id", "left")
+    return out.select("clause_id", F.coalesce("found", "status").alias("status"), "issue", "chunk_id", "quote", "risk", "risk_source", F.coalesce("discarded", F.lit(0)).alias("discarded"), "error")
+
+
+def finding_key(quote: Column) -> Column:
+    return F.left(F.sha2(quote, 256), F.lit(32))
+
+
+def case_research(hits: DataFrame, graph_hits: DataFrame, assessments: DataFrame, authority: DataFrame) -> DataFrame:
+    """(run, case_id, via_graph, stance, confidence, cited_by, rank, discarded): the cases of
+    each run, those found by the citation graph flagged, verified and ranked.
+
+    Both hits are (run, chunk_id, document_id, content), ``assessments`` (run, chunk_id,
+    stance, confidence, quote), ``authority`` (document_id, cited_by). A hit without an
+    assessment, or with one whose quote isn't in it, is discarded; a run that has none
+    left keeps one row without a case. A chunk that both find is not of the graph.
+    """
+    cols = ["run", "chunk_id", "document_id", "content"]
+    both = hits.select(*cols, F.lit(False).alias("via_graph")).unionByName(graph_hits.select(*cols, F.lit(True).alias("via_graph")))
+    every = both.groupBy("run", "chunk_id").agg(F.min(F.struct("via_graph", "document_id", "content")).alias("x")).select("run", "chunk_id", "x.*")
+    said = assessments.groupBy("run", "chunk_id").agg(F.min(F.struct("stance", "confidence", "quote")).alias("x")).select("run", "chunk_id", "x.*")
+    own = every.select("run", "chunk_id", "via_graph", "document_id").join(said, ["run", "chunk_id"], "left")
+    judged = verify_claims(own, every)
+    discarded = judged.groupBy("run").agg(F.count_if(F.col("verdict") != "verified").alias("discarded"))
+    good = judged.where("verdict = 'verified'").join(authority.select("document_id", "cited_by"), "document_id", "left").na.fill(0, ["cited_by"])
+    ranked = rank_cases(good.withColumnRenamed("chunk_id", "case_id")).select("run", "case_id", "via_graph", "stance", "confidence", "cited_by", "rank")
+    return discarded.join(ranked, "run", "left").select("run", "case_id", "via_graph", "stance", "confidence", "cited_by", "rank", "discarded")

@@ -28,10 +28,14 @@ class Encoder(Protocol):
 
 @dataclass(frozen=True)
 class HashEncoder:
-    """Stands in for a model: words counted by the first hex digit of their MD5, unit length.
-    A text without words has no vector."""
+    """Stands in for a model: words counted by the first byte of their MD5, in ``dims``
+    groups of equal size, at unit length. A text without words has no vector."""
 
-    model: str = "hash-16"
+    dims: int = 16
+
+    @property
+    def model(self) -> str:
+        return f"hash-{self.dims}"
 
     def load(self) -> HashEncoder:
         return self
@@ -39,8 +43,8 @@ class HashEncoder:
     def encode(self, texts: list[str]) -> list[list[float] | None]:
         out = []
         for t in texts:
-            v = np.bincount([int(hashlib.md5(w.encode()).hexdigest()[0], 16) for w in t.split(" ") if w] or [0], minlength=16)
-            out.append((v / np.sqrt((v * v).sum())).tolist() if t.strip(" ") else None)
+            v = np.bincount([hashlib.md5(w.encode()).digest()[0] * self.dims // 256 for w in t.split(" ") if w], minlength=self.dims)
+            out.append((v / np.sqrt((v * v).sum())).tolist() if v.any() else None)
         return out
 
 

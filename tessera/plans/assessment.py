@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators import assess as a
 from tessera.sources import views as v
+from tessera.sources.store import folder, written
 
-from . import search
+from . import graph, search
 from .registry import query
 
 _REPLIES = """replies AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '```json' || chr(10) || j || chr(10) || '```' WHEN 1 THEN 'Here it is: ' || j || ' Thanks.' WHEN 2 THEN j
@@ -59,15 +60,42 @@ def findings_by_risk(spark, d):
     return f.orderBy("place", "claim_id")
 
 
-@query(f"""{FINDINGS}, runs AS (SELECT DISTINCT run FROM claims) SELECT run, count(claim_id) AS findings, count(*) FILTER (risk = 'high') AS high, count(*) FILTER (changed) AS changed, coalesce(any_value(discarded), 0) AS discarded
-  FROM runs LEFT JOIN final USING (run) LEFT JOIN (SELECT run, count(*) AS discarded FROM verified WHERE verdict <> 'verified' GROUP BY run) USING (run) GROUP BY run""")
+_SIX = "array_to_string(string_split(content, ' ')[1:6], ' ')"
+_AUDIT = f"""{search.HYBRID}, hits AS (SELECT query_id AS run, chunk_id, content, rank FROM hybrid JOIN chunks USING (chunk_id)),
+  claims AS (SELECT run || '-' || rank AS claim_id, run, CASE rank WHEN 3 THEN 'none' ELSE chunk_id END AS chunk_id, CASE rank WHEN 2 THEN array_to_string(list_reverse(string_split(content, ' ')[1:6]), ' ') ELSE {_SIX} END AS quote, true AS real
+    FROM hits WHERE rank <= 4 AND run % 5 < 3), {search.JUDGED},
+  held AS (SELECT run, claim_id, chunk_id, quote, ['high', 'medium', 'low'][split_part(claim_id, '-', 2)::INT % 3 + 1] AS said, left(sha256(quote), 32) AS key FROM verified WHERE verdict = 'verified'),
+  found AS (SELECT *, ['high', 'medium', 'low'][ascii(key) % 3 + 1] AS label, ascii(key) % 4 <> 0 AND (ascii(substr(key, 2, 1)) % 10) / 10.0 >= 0.6 AS use FROM held),
+  lost AS (SELECT run, count(*) AS discarded FROM verified WHERE verdict <> 'verified' GROUP BY run)"""
+
+
+def model_replies(hits):
+    """What a model might say of each clause's first four hits (clause_id, chunk_id, content,
+    rank): quotes, one with its words turned round, one of no chunk; of every fifth
+    clause nothing to be read, of another fifth that nothing is wrong."""
+    words = F.split("content", " ")
+    quote = F.array_join(F.when(F.col("rank") == 2, F.reverse(F.slice(words, 1, 6))).otherwise(F.slice(words, 1, 6)), " ")
+    risk = F.element_at(F.array(*map(F.lit, a.RISKS)), (F.col("rank") % 3 + 1).cast("int"))
+    one = F.struct(F.col("rank"), F.concat(F.lit("issue "), F.col("rank")).alias("issue"), F.when(F.col("rank") == 3, "none").otherwise(F.col("chunk_id")).alias("chunk_id"), quote.alias("quote"), risk.alias("risk"))
+    found = hits.where("rank <= 4").groupBy("clause_id").agg(F.sort_array(F.collect_list(one)).alias("findings"))
+    m = F.col("clause_id") % 5
+    said = F.concat(F.lit("```json\n"), F.to_json(F.struct("findings")), F.lit("\n```"))
+    return found.select("clause_id", F.when(m == 4, "I can't say.").when(m == 3, '{"findings": []}').otherwise(said).alias("text"))
+
+
+@query(f"""{_AUDIT}, rows AS (SELECT run AS clause_id, 'finding' AS status, 'issue ' || split_part(claim_id, '-', 2) AS issue, chunk_id, quote, CASE WHEN use THEN label ELSE said END AS risk, CASE WHEN use THEN 'classifier' ELSE 'model' END AS risk_source, NULL AS error FROM found
+  UNION ALL SELECT query_id, CASE WHEN query_id NOT IN (SELECT run FROM hits) THEN 'skipped' WHEN query_id % 5 = 4 THEN 'failed' WHEN query_id % 5 = 3 THEN 'clean' ELSE 'discarded' END, NULL, NULL, NULL, NULL, NULL,
+    CASE WHEN query_id % 5 = 4 AND query_id IN (SELECT run FROM hits) THEN 'reply is not the JSON asked for' END FROM queries WHERE query_id NOT IN (SELECT run FROM found))
+  SELECT rows.*, coalesce(discarded, 0) AS discarded FROM rows LEFT JOIN lost ON run = clause_id""")
 def clause_audit(spark, d):
-    """All clauses at once: retrieved chunks, claims, verification, risk, findings. A run
-    whose claims all fail still has its row."""
-    claims = search.verify_claims(spark, d).select("run", "verdict")
-    n = override_risk(spark, d).groupBy("run").agg(F.count("*").alias("findings"), F.count_if(F.col("risk") == "high").alias("high"), F.count_if("changed").alias("changed"))
-    per = claims.groupBy("run").agg(F.count_if(F.col("verdict") != "verified").alias("discarded"))
-    return per.join(n, "run", "left").na.fill(0).select("run", "findings", "high", "changed", "discarded")
+    """Queries as clauses: their hits, the model's replies, verification, risk, findings."""
+    x = search.Retrieval(spark, d)
+    hits = x.fused.join(x.chunks.select("chunk_id", "content"), "chunk_id").select(F.col("query_id").alias("clause_id"), "chunk_id", "content", "rank")
+    hits = written(hits, folder(spark, "clause-hits"))
+    quotes = model_replies(hits)
+    said = a.parse_model_json(quotes, a.FINDINGS, ["findings"]).select(F.explode("parsed.findings.quote").alias("quote"))
+    clauses = x.queries.select(F.col("query_id").alias("clause_id"))
+    return a.clause_audit(clauses, hits, quotes, predictions(said.select(a.finding_key(F.col("quote")).alias("key"))))
 
 
 CASES = f"""{search.VERIFIED}, {v.EDGES}, authority AS (SELECT target_ref, count(*) AS n FROM edges GROUP BY target_ref),
@@ -102,15 +130,35 @@ def stance_summary(spark, d):
     return a.level_counts(rank_cases(spark, d), "stance", a.STANCES)
 
 
-@query(f"""{CASES} SELECT run, count(*) FILTER (verdict = 'verified') AS assessed, count(*) FILTER (verdict <> 'verified') AS discarded,
-  min(case_id) FILTER (verdict = 'verified' AND case_id IN (SELECT case_id FROM ranked WHERE rank = 1)) AS best FROM cases GROUP BY run""")
+_RESEARCH = f"""{graph.EXPANDED}, both_hits AS (SELECT query_id AS run, chunk_id, false AS via_graph FROM hybrid UNION ALL SELECT query_id, chunk_id, true FROM passage),
+  hits AS (SELECT run, chunk_id, via_graph, document_id, content FROM both_hits JOIN chunks USING (chunk_id)),
+  claims AS (SELECT chunk_id AS claim_id, run, chunk_id, CASE WHEN length(content) % 7 = 3 THEN '' WHEN length(content) % 4 = 0 THEN array_to_string(list_reverse(string_split(content, ' ')[1:6]), ' ') ELSE {_SIX} END AS quote, true AS real FROM hits),
+  {search.JUDGED}, cites AS (SELECT target_id, count(*) AS n FROM resolved GROUP BY target_id),
+  ranked AS (SELECT hits.run, hits.chunk_id AS case_id, via_graph, ['supports', 'opposes', 'neutral'][length(content) % 3 + 1] AS stance, round((length(content) % 100) / 100.0, 2)::DOUBLE AS confidence, coalesce(n, 0) AS cited_by
+    FROM hits JOIN verified ON verified.run = hits.run AND verified.claim_id = hits.chunk_id LEFT JOIN cites ON target_id = document_id WHERE verdict = 'verified'),
+  lost AS (SELECT run, count(*) FILTER (verdict <> 'verified') AS discarded FROM verified GROUP BY run)"""
+
+
+def assessments(hits):
+    """What a model might say of each hit (run, chunk_id, content); of some it says nothing,
+    of others what isn't there."""
+    n, words = F.length("content"), F.slice(F.split("content", " "), 1, 6)
+    quote = F.array_join(F.when(n % 4 == 0, F.reverse(words)).otherwise(words), " ")
+    stance = F.element_at(F.array(*map(F.lit, a.STANCES)), n % 3 + 1)
+    return hits.where(n % 7 != 3).select("run", "chunk_id", stance.alias("stance"), F.round((n % 100) / 100.0, 2).alias("confidence"), quote.alias("quote"))
+
+
+@query(f"""{_RESEARCH} SELECT lost.run, case_id, via_graph, stance, confidence, cited_by,
+  CASE WHEN case_id IS NOT NULL THEN row_number() OVER (PARTITION BY lost.run ORDER BY (stance = 'neutral'), confidence DESC, cited_by DESC, case_id) END AS rank, discarded FROM lost LEFT JOIN ranked USING (run)""")
 def case_research(spark, d):
-    """Per run: cases whose quotes hold, the best of them, and how many were discarded."""
-    c = cases(spark, d)
-    best = a.rank_cases(c.where("verdict = 'verified'")).where("rank = 1").select("run", F.col("case_id").alias("best"))
-    good = F.col("verdict") == "verified"
-    n = c.groupBy("run").agg(F.count_if(good).alias("assessed"), F.count_if(~good).alias("discarded"))
-    return n.join(best, "run", "left")
+    """Queries as fact patterns: their hits and those that the citation graph adds, assessed,
+    verified and ranked."""
+    x, edges = search.Retrieval(spark, d), written(graph.resolve_targets(spark, d), folder(spark, "edges"))
+    own = x.chunks.select("chunk_id", "document_id", "content")
+    as_hits = lambda h: written(h.select(F.col("query_id").alias("run"), "chunk_id").join(own, "chunk_id"), folder(spark, "hits"))
+    near, far = as_hits(x.fused), as_hits(graph.expanded(x, edges))
+    n = edges.where("target_id is not null").groupBy(F.col("target_id").alias("document_id")).agg(F.count("*").alias("cited_by"))
+    return a.case_research(near, far, assessments(near.unionByName(far)), n)
 
 
 @query(f"""{CASES} SELECT run, left(string_agg(concat_ws(' | ', case_id, stance, printf('%.2f', confidence), left(quote, 12000)), chr(10) ORDER BY rank), 12000) AS memo FROM ranked GROUP BY run""")

@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as t
+from tessera.operators import admission
 from tessera.sources import views as v
+from tessera.sources.store import folder
 
 from .registry import query
 
@@ -31,25 +33,39 @@ def judgment_batches(spark, d):
     return own.select(F.concat(F.lit("docs#"), (F.col("before") + F.col("i")).cast("string")).alias("source_ref"), "doc_id")
 
 
-@query("""SELECT page_id, CASE WHEN html IS NULL OR length(html) = 0 THEN 'empty' WHEN length(html) > 20000000 THEN 'too_large'
-  WHEN left(html, 1) <> '<' THEN 'wrong_type' WHEN length(regexp_replace(html, '<[^>]*>', '', 'g')) < 200 THEN 'too_little_text' ELSE 'admitted' END AS verdict FROM pages""")
+@query("""WITH f AS (SELECT page_id, page_id % 5 <> 0 AS pdf, trim(regexp_replace(html, '<[^>]*>', '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM pages WHERE html IS NOT NULL)
+  SELECT page_id, CASE WHEN NOT pdf THEN 'wrong_type' WHEN length(t) < 200 THEN 'too_little_text' ELSE 'admitted' END AS verdict, CASE WHEN pdf AND length(t) >= 200 THEN length(t) END AS chars FROM f""")
 def binary_admission(spark, d):
-    h = F.col("html")
-    verdict = F.when(h.isNull() | (F.length(h) == 0), "empty").when(F.length(h) > 20_000_000, "too_large").when(F.left(h, F.lit(1)) != "<", "wrong_type")
-    return v.table(spark, d, "pages").select("page_id", verdict.when(F.length(F.regexp_replace(h, "<[^>]*>", "")) < 200, "too_little_text").otherwise("admitted").alias("verdict"))
+    """Pages as files, most of them with the first bytes of the type that is asked for, read
+    as files, judged by what is in them and parted into admitted ones and a quarantine."""
+    at = folder(spark, "uploads")
+    html = F.concat(F.when(F.col("page_id") % 5 != 0, "%PDF").otherwise(""), "html")
+    v.table(spark, d, "pages").where("html is not null").select("page_id", html.alias("value")).repartition("page_id").write.partitionBy("page_id").text(f"{at}/files")
+    good, bad = admission.keep(admission.admit(admission.files(spark, f"{at}/files")), f"{at}/kept")
+    page = F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("page_id")
+    return good.select(page, "verdict", F.length("text").alias("chars")).unionByName(bad.select(page, "verdict", F.lit(None).cast("int").alias("chars")))
 
 
-@query("""SELECT page_id, list_filter(regexp_extract_all(html, 'href="([^"]+)"', 1), lambda x: NOT contains(x, '#'))[1] AS link,
-  len(list_distinct(list_filter(regexp_extract_all(html, 'href="([^"]+)"', 1), lambda x: NOT contains(x, '#')))) AS n FROM pages""")
+_LINKS = "list_filter(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1), lambda x: NOT contains(x, '#'))"
+
+
+@query(f"SELECT page_id, {_LINKS}[1] AS link, coalesce(len(list_distinct({_LINKS})), 0) AS n, CASE WHEN coalesce(len({_LINKS}), 0) = 0 THEN 'no link' END AS error FROM pages")
 def pick_links(spark, d):
-    links = F.filter(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)), lambda x: ~F.contains(x, F.lit("#")))
-    return v.table(spark, d, "pages").select("page_id", F.try_element_at(links, F.lit(1)).alias("link"), F.size(links).alias("n"))
+    """The first link of each page that isn't excluded; a page without one says so."""
+    links = F.coalesce(F.filter(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)), lambda x: ~F.contains(x, F.lit("#"))), F.array().cast("array<string>"))
+    return v.table(spark, d, "pages").select("page_id", F.try_element_at(links, F.lit(1)).alias("link"), F.size(links).cast("long").alias("n"), F.when(F.size(links) == 0, "no link").alias("error"))
+
+
+#: Sources with their priorities: a static dimension.
+REGISTRY = [(f"src{i}", f"Source {i}", i % 4 + 1) for i in range(12)]
 
 
-@query("SELECT source AS key, count(*) AS n, dense_rank() OVER (ORDER BY source) AS priority FROM documents GROUP BY source")
+@query(f"""WITH r(key, title, priority) AS (VALUES {", ".join(map(str, REGISTRY))}) SELECT key, title, priority, count(doc_id) AS n FROM r LEFT JOIN documents ON source = key WHERE priority <= 2 GROUP BY ALL ORDER BY priority, key""")
 def statute_registry(spark, d):
-    per = v.table(spark, d, "documents").groupBy(F.col("source").alias("key")).agg(F.count("*").alias("n"))
-    return per.withColumn("priority", F.dense_rank().over(Window.orderBy("key")))
+    """Registered sources up to a priority, with how many documents there are of each."""
+    r = spark.createDataFrame(REGISTRY, "key string, title string, priority int").where("priority <= 2")
+    n = v.table(spark, d, "documents").groupBy(F.col("source").alias("key")).agg(F.count("*").alias("n"))
+    return r.join(n, "key", "left").select("key", "title", "priority", F.coalesce("n", F.lit(0)).alias("n")).orderBy("priority", "key")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 10")

@@ -8,6 +8,7 @@ from pyspark.ml.feature import IDF, CountVectorizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import labels
 from tessera.operators.assess import order_of as a_order
 from tessera.sources import views as v
 
@@ -22,9 +23,14 @@ def _clauses(spark, d):
     return v.table(spark, d, "labels").select("doc_id", risk.alias("risk"))
 
 
-@query(f"WITH {_CLAUSES} SELECT * FROM clauses")
+_TYPES = list(labels.RISK)
+
+
+@query(f"""SELECT doc_id, {_TYPES}[doc_id % {len(_TYPES)} + 1] AS clause_type, CASE WHEN doc_id % {len(_TYPES)} < {len(labels.HIGH)} THEN 'high' WHEN doc_id % {len(_TYPES)} < {len(labels.HIGH) + len(labels.MEDIUM)} THEN 'medium' ELSE 'low' END AS risk FROM labels""")
 def map_labels(spark, d):
-    return _clauses(spark, d)
+    """Labelled documents as clauses of the 41 types, and the risk of each."""
+    own = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("doc_id") % len(_TYPES) + 1).cast("int"))
+    return labels.map_labels(v.table(spark, d, "labels").select("doc_id", own.alias("clause_type")))
 
 
 @query(f"WITH {_CLAUSES} SELECT risk, count(*) AS n FROM clauses GROUP BY risk")
@@ -87,9 +93,11 @@ def report(p, levels):
     return s.select("risk", *[F.round(c, 6).alias(c) for c in s.columns[1:]])
 
 
-_SCORES = f"""{search.HYBRID}, h AS (SELECT query_id, rank, document_id FROM hybrid JOIN chunks USING (chunk_id)),
-  scores AS (SELECT query_id, coalesce(sum((document_id = query_id)::INT), 0) / 8.0 AS p, coalesce(max((document_id = query_id)::INT), 0)::DOUBLE AS rec, max(CASE WHEN document_id = query_id THEN 1.0 / rank ELSE 0 END) AS rr
-  FROM queries LEFT JOIN h USING (query_id) GROUP BY query_id)"""
+_ARMS = f"""{search.HYBRID}, arms AS (SELECT 'vector' AS retriever, query_id, rank, document_id FROM knn JOIN chunks USING (chunk_id) WHERE rank <= 8
+    UNION ALL SELECT 'lexical', query_id, rank, document_id FROM lex JOIN chunks USING (chunk_id) WHERE rank <= 8 UNION ALL SELECT 'hybrid', query_id, rank, document_id FROM hybrid JOIN chunks USING (chunk_id)),
+  good AS (SELECT arms.*, relevance.query_id IS NOT NULL AS good FROM arms LEFT JOIN relevance USING (query_id, document_id)), wanted AS (SELECT query_id, count(*) AS wanted FROM relevance GROUP BY query_id),
+  scores AS (SELECT retriever, query_id, count(*) FILTER (good) / 8.0 AS p, count(DISTINCT document_id) FILTER (good) / any_value(wanted) AS rec, coalesce(max(1.0 / rank) FILTER (good), 0) AS rr
+    FROM queries CROSS JOIN (VALUES ('vector'), ('lexical'), ('hybrid')) x(retriever) JOIN wanted USING (query_id) LEFT JOIN good USING (retriever, query_id) GROUP BY ALL)"""
 
 
 def scores(hits, queries, relevant, k=8):
@@ -107,72 +115,94 @@ def scores(hits, queries, relevant, k=8):
     return q.select("query_id", F.round("p", 6).alias("precision"), F.round(rec, 6).alias("recall"), F.round("rr", 6).alias("rr"), (F.col("rr") > 0).alias("hit"))
 
 
-def _scored(spark, d, hits):
-    docs = v.chunks(spark, d).select("chunk_id", "document_id")
-    q = v.queries(spark, d)
-    return scores(hits.join(docs, "chunk_id"), q, q.select("query_id", F.col("query_id").alias("document_id")))
+def by_arm(x) -> dict:
+    """Scores of each retriever's hits against the query set's documents."""
+    relevant = x.asked.select(F.col("id").alias("query_id"), F.explode("relevant").alias("document_id"))
+    docs = x.chunks.select("chunk_id", "document_id")
+    arms = {"vector": x.arms[0].where("rank <= 8"), "lexical": x.arms[1], "hybrid": x.fused}
+    return {name: scores(hits.join(docs, "chunk_id"), x.queries, relevant) for name, hits in arms.items()}
 
 
-@query(f"WITH{_SCORES[4:]} SELECT query_id, round(p, 6)::DOUBLE AS precision, round(rec, 6)::DOUBLE AS recall, round(coalesce(rr, 0), 6)::DOUBLE AS rr, (coalesce(rr, 0) > 0) AS hit FROM scores")
+@query(f"{_ARMS} SELECT query_id, round(p, 6)::DOUBLE AS precision, round(rec, 6)::DOUBLE AS recall, round(rr, 6)::DOUBLE AS rr, rr > 0 AS hit FROM scores WHERE retriever = 'hybrid'")
 def score_queries(spark, d):
-    return _scored(spark, d, search.hybrid_search(spark, d))
+    return by_arm(search.Retrieval(spark, d))["hybrid"]
+
+
+def means(arms: dict):
+    """(retriever, precision, recall, mrr, hit_rate) of scores by retriever."""
+    out = None
+    for name, s in arms.items():
+        one = s.agg(*[F.round(F.avg(F.col(c).cast("double")), 6).alias(to) for c, to in (("precision", "precision"), ("recall", "recall"), ("rr", "mrr"), ("hit", "hit_rate"))]).withColumn("retriever", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def nearest_ranks(timings, by: str, value: str):
+    """(by, p50, p95) without interpolation: the values at n // 2 and at 95 % of n, from 0, in
+    order; at most the last. Counts of equal values are summed up in order."""
+    per = timings.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
+    n = per.groupBy(by).agg(F.sum("c").alias("n"))
+    upto = per.withColumn("upto", F.sum("c").over(Window.partitionBy(by).orderBy(value))).join(n, by)
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
+    return upto.groupBy(by).agg(at(F.floor(F.col("n") / 2)).alias("p50"), at(F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)).alias("p95"))
 
 
-def _means(s):
-    return s.agg(F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("hit_rate"))
+_TIMINGS = "timings AS (SELECT ['vector', 'lexical', 'hybrid'][event_id % 3 + 1] AS retriever, round(value, 2) AS ms FROM events)"
 
 
-@query(f"WITH{_SCORES[4:]} SELECT round(avg(p), 6)::DOUBLE AS precision, round(avg(rec), 6)::DOUBLE AS recall, round(avg(coalesce(rr, 0)), 6)::DOUBLE AS mrr, round(avg((coalesce(rr, 0) > 0)::INT), 6)::DOUBLE AS hit_rate FROM scores")
+@query(f"""{_ARMS}, {_TIMINGS}, t AS (SELECT retriever, list_sort(list(ms)) AS o FROM timings GROUP BY retriever)
+  SELECT retriever, round(avg(p), 6)::DOUBLE AS precision, round(avg(rec), 6)::DOUBLE AS recall, round(avg(rr), 6)::DOUBLE AS mrr, round(avg((rr > 0)::INT), 6)::DOUBLE AS hit_rate,
+    any_value(o[len(o) // 2 + 1]) AS p50, any_value(o[least(floor(len(o) * 0.95)::INT, len(o) - 1) + 1]) AS p95 FROM scores JOIN t USING (retriever) GROUP BY retriever""")
 def aggregate_metrics(spark, d):
-    return _means(score_queries(spark, d))
+    """Means of each retriever's scores, and its latencies (events stand for what was timed)."""
+    name = F.element_at(F.array(*map(F.lit, ("vector", "lexical", "hybrid"))), (F.col("event_id") % 3 + 1).cast("int"))
+    timings = v.table(spark, d, "events").select(name.alias("retriever"), F.round("value", 2).alias("ms"))
+    return means(by_arm(search.Retrieval(spark, d))).join(nearest_ranks(timings, "retriever", "ms"), "retriever")
 
 
-@query(f"WITH{_SCORES[4:]} SELECT query_id FROM scores WHERE coalesce(rr, 0) < 1")
+@query(f"{_ARMS} SELECT query_id FROM scores WHERE retriever = 'hybrid' AND rr = 0")
 def missed_queries(spark, d):
-    """Queries whose own document is not the first hit."""
-    return score_queries(spark, d).where("rr < 1").select("query_id")
+    """Queries without one relevant document among their hits."""
+    return score_queries(spark, d).where("not hit").select("query_id")
 
 
-_ARMS = f"""{search.HYBRID}, arms AS (SELECT 'vector' AS arm, query_id, rank, document_id FROM knn JOIN chunks USING (chunk_id) WHERE rank <= 8 UNION ALL SELECT 'lexical', query_id, rank, document_id FROM lex JOIN chunks USING (chunk_id) WHERE rank <= 8
-  UNION ALL SELECT 'hybrid', query_id, rank, document_id FROM hybrid JOIN chunks USING (chunk_id)),
-  rr AS (SELECT arm, query_id, coalesce(max(CASE WHEN document_id = query_id THEN 1.0 / rank ELSE 0 END), 0) AS rr FROM queries CROSS JOIN (VALUES ('vector'), ('lexical'), ('hybrid')) x(arm) LEFT JOIN arms USING (arm, query_id) GROUP BY ALL),
-  m AS (SELECT arm, avg(rr)::DOUBLE AS mrr, avg((rr > 0)::INT)::DOUBLE AS recall FROM rr GROUP BY arm)"""
+_DELTA = "round(max({c}) FILTER (retriever = 'hybrid') - max({c}) FILTER (retriever <> 'hybrid'), 6)"
 
 
-@query(f"{_ARMS}, x AS (SELECT max(mrr) FILTER (arm = 'hybrid') - max(mrr) FILTER (arm <> 'hybrid') AS a, max(recall) FILTER (arm = 'hybrid') - max(recall) FILTER (arm <> 'hybrid') AS b FROM m) SELECT round(a, 6) AS mrr_delta, round(b, 6) AS recall_delta, a >= 0 AND b >= 0 AS fusion_pays FROM x")
+@query(f"""{_ARMS}, m AS (SELECT retriever, round(avg(rr), 6)::DOUBLE AS mrr, round(avg(rec), 6)::DOUBLE AS recall FROM scores GROUP BY retriever), x AS (SELECT {_DELTA.format(c='mrr')} AS mrr_delta, {_DELTA.format(c='recall')} AS recall_delta FROM m)
+  SELECT *, CASE WHEN recall_delta > 0 THEN 'adds recall' WHEN mrr_delta >= 0 THEN 'holds ranking' ELSE 'does not pay' END AS verdict FROM x""")
 def fusion_delta(spark, d):
     """What fusion adds to the better of its arms."""
-    q, c = v.queries(spark, d), v.embedded(spark, d)
-    arms = {"vector": search.r.knn_join(q, c, 8), "lexical": search.r.lexical_search(q, c, 3), "hybrid": search.hybrid_search(spark, d)}
-    m = None
-    for name, hits in arms.items():
-        one = _scored(spark, d, hits).agg(F.avg("rr").alias("mrr"), F.avg("recall").alias("recall")).withColumn("arm", F.lit(name))
-        m = one if m is None else m.unionByName(one)
-    most = lambda c, own: F.max(F.when((F.col("arm") == "hybrid") == F.lit(own), F.col(c)))
-    x = m.agg((most("mrr", True) - most("mrr", False)).alias("a"), (most("recall", True) - most("recall", False)).alias("b"))
-    return x.select(F.round("a", 6).alias("mrr_delta"), F.round("b", 6).alias("recall_delta"), ((F.col("a") >= 0) & (F.col("b") >= 0)).alias("fusion_pays"))
+    m = means(by_arm(search.Retrieval(spark, d)))
+    most = lambda c, own: F.max(F.when((F.col("retriever") == "hybrid") == F.lit(own), F.col(c)))
+    x = m.agg(*[F.round(most(c, True) - most(c, False), 6).alias(f"{c}_delta") for c in ("mrr", "recall")])
+    return x.withColumn("verdict", F.when(F.col("recall_delta") > 0, "adds recall").when(F.col("mrr_delta") >= 0, "holds ranking").otherwise("does not pay"))
 
 
-GRID = [(1.0, 0.0), (1.0, 0.1), (1.0, 0.5), (1.0, 1.0)]
+#: Weights of both arms and how deep the lexical one goes.
+GRID = [(wv, wl, depth) for wv, wl in ((1.0, 0.0), (1.0, 0.1), (1.0, 1.0), (0.1, 1.0)) for depth in (1, 3)]
 
 
-@query(f"""{search.ALL}, grid AS (SELECT * FROM (VALUES {", ".join(f"({a}, {b})" for a, b in GRID)}) g(wv, wl)), f AS (SELECT wv, wl, query_id, chunk_id, round(sum(s), 9) AS score, min(a * 1000 + rank) AS first FROM (
-  SELECT wv, wl, query_id, chunk_id, 0 AS a, rank, wv / (60 + rank) AS s FROM knn, grid UNION ALL SELECT wv, wl, query_id, chunk_id, 1, rank, wl / (60 + rank) FROM lex, grid) GROUP BY ALL),
-  r AS (SELECT *, row_number() OVER (PARTITION BY wv, wl, query_id ORDER BY score DESC, first, chunk_id) AS place FROM f),
-  rr AS (SELECT wv, wl, query_id, coalesce(max(CASE WHEN document_id = query_id THEN 1.0 / place ELSE 0 END), 0) AS rr FROM queries CROSS JOIN grid LEFT JOIN (SELECT * FROM r JOIN chunks USING (chunk_id) WHERE place <= 8) x USING (wv, wl, query_id) GROUP BY ALL)
-  SELECT wv::DOUBLE AS wv, wl::DOUBLE AS wl, round(avg(rr), 6)::DOUBLE AS mrr FROM rr GROUP BY ALL""")
+@query(f"""{search.ALL}, grid AS (SELECT * FROM (VALUES {", ".join(map(str, GRID))}) g(wv, wl, depth)), f AS (SELECT wv, wl, depth, query_id, chunk_id, round(sum(s), 9) AS score, min(a * 1000 + rank) AS first FROM (
+  SELECT wv, wl, depth, query_id, chunk_id, 0 AS a, rank, wv / (60 + rank) AS s FROM knn, grid UNION ALL SELECT wv, wl, depth, query_id, chunk_id, 1, rank, wl / (60 + rank) FROM lex, grid WHERE rank <= depth) GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY wv, wl, depth, query_id ORDER BY score DESC, first, chunk_id) AS place FROM f),
+  good AS (SELECT wv, wl, depth, query_id, max(1.0 / place) AS rr FROM r JOIN chunks USING (chunk_id) JOIN relevance USING (query_id, document_id) WHERE place <= 8 GROUP BY ALL)
+  SELECT wv::DOUBLE AS wv, wl::DOUBLE AS wl, depth, round(avg(coalesce(rr, 0)), 6)::DOUBLE AS mrr FROM queries CROSS JOIN grid LEFT JOIN good USING (wv, wl, depth, query_id) GROUP BY ALL""")
 def weight_sweep(spark, d):
-    """Fusion over a grid of weights; the arms' ranks are found once and every weight joins them."""
-    q, c = v.queries(spark, d), v.embedded(spark, d)
-    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("wv"), F.lit(b).alias("wl")) for a, b in GRID])).alias("g")
-    arm = lambda hits, i, w: hits.select("query_id", "chunk_id", "rank", F.lit(i).alias("a"), grid).select("g.*", "query_id", "chunk_id", F.struct("a", "rank").alias("first"), (F.col(f"g.{w}") / (F.col("rank") + 60)).alias("s"))
-    both = arm(search.r.knn_join(q, c, 24), 0, "wv").unionByName(arm(search.r.lexical_search(q, c, 3), 1, "wl"))
-    f = both.groupBy("wv", "wl", "query_id", "chunk_id").agg(F.round(F.sum("s"), 9).alias("score"), F.min("first").alias("first"))
-    w = Window.partitionBy("wv", "wl", "query_id").orderBy(F.desc("score"), "first", "chunk_id")
-    f = f.withColumn("place", F.row_number().over(w)).where("place <= 8").join(v.chunks(spark, d).select("chunk_id", "document_id"), "chunk_id")
-    rr = f.groupBy("wv", "wl", "query_id").agg(F.max(F.when(F.col("document_id") == F.col("query_id"), 1.0 / F.col("place")).otherwise(0.0)).alias("rr"))
-    every = q.select("query_id", grid).select("query_id", "g.*")
-    return every.join(rr, ["wv", "wl", "query_id"], "left").groupBy("wv", "wl").agg(F.round(F.avg(F.coalesce("rr", F.lit(0.0))), 6).alias("mrr"))
+    """Fusion over a grid of weights and depths; the arms' hits are found once and every
+    setting joins them."""
+    x = search.Retrieval(spark, d)
+    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("wv"), F.lit(b).alias("wl"), F.lit(n).alias("depth")) for a, b, n in GRID])).alias("g")
+    arm = lambda hits, i, w: hits.select("query_id", "chunk_id", "rank", F.lit(i).alias("a"), grid).select("g.*", "query_id", "chunk_id", "rank", F.struct("a", "rank").alias("first"), (F.col(f"g.{w}") / (F.col("rank") + 60)).alias("s"))
+    both = arm(x.arms[0], 0, "wv").unionByName(arm(x.arms[1], 1, "wl").where("rank <= depth"))
+    setting = ["wv", "wl", "depth", "query_id"]
+    f = both.groupBy(*setting, "chunk_id").agg(F.round(F.sum("s"), 9).alias("score"), F.min("first").alias("first"))
+    w = Window.partitionBy(*setting).orderBy(F.desc("score"), "first", "chunk_id")
+    f = f.withColumn("place", F.row_number().over(w)).where("place <= 8").join(x.chunks.select("chunk_id", "document_id"), "chunk_id")
+    relevant = x.asked.select(F.col("id").alias("query_id"), F.explode("relevant").alias("document_id"))
+    rr = f.join(relevant, ["query_id", "document_id"]).groupBy(*setting).agg(F.max(1.0 / F.col("place")).alias("rr"))
+    every = x.queries.select("query_id", grid).select("query_id", "g.*")
+    return every.join(rr, setting, "left").groupBy("wv", "wl", "depth").agg(F.round(F.avg(F.coalesce("rr", F.lit(0.0))), 6).alias("mrr"))
 
 
 @query("""SELECT event_type AS stage, round(median(value), 6) AS p50, round(list_sort(list(value))[least(floor(count(value) * 0.95)::INT, count(value) - 1) + 1], 6) AS p95, round(avg(value), 6) AS mean, count(value) AS n,

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import citations as c
-from tessera.operators import retrieval as r
+from tessera.operators import graph as g
 from tessera.sources import views as v
 
 from . import search
@@ -67,9 +66,8 @@ _RESOLVED = f"{v.EDGES}, {_NODES}, resolved AS (SELECT source_id, target_ref, CA
 
 @query(f"WITH {_RESOLVED} SELECT * FROM resolved")
 def resolve_targets(spark, d):
-    nodes = v.table(spark, d, "documents").select(F.col("doc_id").alias("target_id"), F.concat(F.lit("CASE-"), "doc_id").alias("target_ref"))
-    own = F.when(F.col("target_id") != F.col("source_id"), F.col("target_id")).alias("target_id")
-    return v.edges(spark, d).join(nodes, "target_ref", "left").select("source_id", "target_ref", own)
+    named = v.table(spark, d, "documents").select("doc_id", F.concat(F.lit("CASE-"), "doc_id").alias("source_ref"))
+    return g.resolve_targets(v.edges(spark, d), named)
 
 
 @query(f"WITH {v.EDGES} SELECT DISTINCT source_id, target_ref FROM edges")
@@ -101,7 +99,7 @@ def dangling_report(spark, d):
     return resolve_targets(spark, d).where("target_id is null").groupBy("target_ref").agg(F.count("*").alias("n"))
 
 
-_EXPANDED = f"""{search.HYBRID}, {_RESOLVED}, h AS (SELECT query_id, document_id, rank FROM hybrid JOIN chunks USING (chunk_id)),
+EXPANDED = f"""{search.HYBRID}, {_RESOLVED}, h AS (SELECT query_id, document_id, rank FROM hybrid JOIN chunks USING (chunk_id)),
   reached AS (SELECT query_id, target_id, min(rank) AS hit, min(target_ref) AS ref FROM h JOIN resolved ON source_id = document_id WHERE rank <= 3 AND target_id IS NOT NULL
     AND NOT EXISTS (SELECT 1 FROM h s WHERE s.query_id = h.query_id AND s.document_id = target_id) GROUP BY query_id, target_id),
   expanded AS (SELECT query_id, target_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hit, ref) AS r FROM reached) WHERE r <= 3),
@@ -109,19 +107,13 @@ _EXPANDED = f"""{search.HYBRID}, {_RESOLVED}, h AS (SELECT query_id, document_id
     FROM expanded JOIN queries USING (query_id) JOIN embedded ON document_id = target_id WHERE embedding IS NOT NULL) WHERE r = 1)"""
 
 
-@query(f"{_EXPANDED} SELECT query_id, target_id, chunk_id, score FROM passage")
+@query(f"{EXPANDED} SELECT query_id, target_id, chunk_id, score FROM passage")
 def expand_via_graph(spark, d):
     """Documents that a query's three best hits cite and that it has not seen, three at
     most by hit rank and reference, each with its passage nearest to the query."""
-    chunks = v.embedded(spark, d)
-    hits = search.hybrid_search(spark, d).join(chunks.select("chunk_id", "document_id"), "chunk_id").select("query_id", "document_id", "rank")
-    edges = resolve_targets(spark, d).where("target_id is not null")
-    seen = hits.select("query_id", F.col("document_id").alias("target_id"))
-    reached = hits.where("rank <= 3").join(edges, F.col("document_id") == F.col("source_id")).join(seen, ["query_id", "target_id"], "left_anti")
-    reached = reached.groupBy("query_id", "target_id").agg(F.min("rank").alias("at"), F.min("target_ref").alias("ref"))
-    w = Window.partitionBy("query_id").orderBy("at", "ref")
-    few = reached.withColumn("r", F.row_number().over(w)).where("r <= 3").select("query_id", "target_id")
-    own = few.join(v.queries(spark, d).select("query_id", "vector"), "query_id").join(chunks.where("embedding is not null"), F.col("document_id") == F.col("target_id"))
-    scored = own.select("query_id", "target_id", F.struct((-F.round(r.cosine(F.col("embedding"), F.col("vector")), 6)).alias("less"), "chunk_id").alias("x"))
-    best = scored.groupBy("query_id", "target_id").agg(F.min("x").alias("x"))
-    return best.select("query_id", "target_id", "x.chunk_id", (-F.col("x.less")).alias("score"))
+    return expanded(search.Retrieval(spark, d), resolve_targets(spark, d))
+
+
+def expanded(x, edges):
+    hits = x.fused.join(x.chunks.select("chunk_id", "document_id"), "chunk_id").select("query_id", "document_id", "rank")
+    return g.expand_via_graph(hits, edges, x.queries, x.chunks)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as t
 from tessera.operators import chunking, embedding
+from tessera.sources import corpus
 from tessera.sources import views as v
 from tessera.sources.store import folder, written
 from tessera.streaming import ingest
@@ -24,14 +25,10 @@ def metrics_sink(spark, d):
     return spark.read.schema("stage string, n long, mean double").json(at)
 
 
-@query()
+@query(f"SELECT item_id AS id, benchmark.text AS query, list(doc_id ORDER BY doc_id) AS relevant FROM benchmark JOIN documents ON {v.ABOUT} GROUP BY ALL")
 def scan_eval_queries(spark, d):
-    """A query set in one JSON document, one row per query."""
-    q = v.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("query"))
-    at = folder(spark, "queries")
-    q.select(F.struct(F.lit("queries").alias("name"), F.array(F.struct("id", "query")).alias("queries")).alias("x")).select("x.*").write.json(at)
-    read = spark.read.schema("name string, queries array<struct<id: long, query: string>>").json(at)
-    return read.select(F.explode("queries").alias("q")).select("q.*")
+    """A query set in one JSON document over many lines, one row per query."""
+    return corpus.query_set(spark, d)
 
 
 @query(f"WITH {v.EMBEDDED} SELECT kind, count(*) AS chunks, count(embedding) AS vectors FROM embedded GROUP BY kind")
@@ -101,20 +98,18 @@ def stream_verify(spark, d):
     return s.stream_verify(claims, v.hits(spark, d), folder(spark, "verify"))
 
 
-_HASHED = f"""{v.CHUNKS}, digits AS (SELECT chunk_id, strpos('0123456789abcdef', md5(w)[1:1]) AS i, count(*) AS n FROM (SELECT chunk_id, unnest(string_split(content, ' ')) AS w FROM chunks) WHERE w <> '' GROUP BY ALL),
-  norms AS (SELECT chunk_id, sqrt(sum(n * n)) AS norm FROM digits GROUP BY chunk_id),
-  hashed AS (SELECT chunk_id, list(round((coalesce(n, 0) / norm)::FLOAT, 4)::DOUBLE ORDER BY i) AS embedding FROM norms CROSS JOIN range(1, 17) r(i) LEFT JOIN digits USING (chunk_id, i) GROUP BY chunk_id)"""
+_HASHED = f"{v.CHUNKS}, {v.hashed('hashed', 'chunk_id', 'content', 'chunks', 16)}, rounded AS (SELECT chunk_id, list_transform(embedding, lambda x: round(x, 4)::DOUBLE) AS embedding FROM hashed)"
 _ROUNDED = F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding")
 
 
-@query(f"WITH {_HASHED} SELECT chunk_id, embedding FROM chunks LEFT JOIN hashed USING (chunk_id) WHERE ordinal > 0")
+@query(f"WITH {_HASHED} SELECT chunk_id, embedding FROM chunks LEFT JOIN rounded USING (chunk_id) WHERE ordinal > 0")
 def embed_batches(spark, d):
     """Vectors of the chunks that have none, by an encoder in batches."""
     pending = v.chunks(spark, d).where("ordinal > 0").select("chunk_id", "content")
     return embedding.embed_batches(pending, embedding.HashEncoder()).select("chunk_id", _ROUNDED)
 
 
-@query(f"WITH {_HASHED} SELECT chunk_id, embedding FROM chunks LEFT JOIN hashed USING (chunk_id)")
+@query(f"WITH {_HASHED} SELECT chunk_id, embedding FROM chunks LEFT JOIN rounded USING (chunk_id)")
 def reembed_corpus(spark, d):
     """Vectors of all chunks after a change of model, in two runs, the first of which stops."""
     at = folder(spark, "reembed")

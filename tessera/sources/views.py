@@ -15,7 +15,7 @@ def lines(docs: DataFrame) -> DataFrame:
     cut = docs.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("ordinal", "content")).where(F.col("content").rlike(r"\S"))
     return cut.select(
         F.concat_ws("-", "doc_id", "ordinal").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("source").alias("kind"),
-        F.col("lang").alias("title"), "ordinal", "content",
+        F.col("lang").alias("title"), "ordinal", F.when(F.col("ordinal") % 3 == 0, F.concat(F.lit("Section "), "ordinal")).alias("label"), "content",
     )
 
 
@@ -24,7 +24,7 @@ def chunks(spark, d) -> DataFrame:
     return lines(table(spark, d, "documents"))
 
 
-CHUNKS = """chunks AS (SELECT doc_id || '-' || ordinal AS chunk_id, doc_id AS document_id, kind, title, ordinal, content FROM (
+CHUNKS = """chunks AS (SELECT doc_id || '-' || ordinal AS chunk_id, doc_id AS document_id, kind, title, ordinal, CASE WHEN ordinal % 3 = 0 THEN 'Section ' || ordinal END AS label, content FROM (
   SELECT doc_id, source AS kind, lang AS title, unnest(string_split(text, chr(10))) AS content,
          unnest(range(len(string_split(text, chr(10)))))::INT AS ordinal FROM documents) WHERE regexp_matches(content, '\\S'))"""
 
@@ -45,6 +45,36 @@ def queries(spark, d) -> DataFrame:
 QUERIES = "queries AS (SELECT item_id AS query_id, text AS query, embedding AS vector FROM benchmark JOIN embeddings ON vec_id = item_id)"
 
 
+def hashed(name: str, key: str, text: str, source: str, dims: int) -> str:
+    """SQL of what ``HashEncoder`` gives: ``name`` (key, embedding) of the texts in ``source``."""
+    return f"""{name}_n AS (SELECT {key}, ('0x' || md5(w)[1:2])::INT * {dims} // 256 AS i, count(*) AS n FROM (SELECT {key}, unnest(string_split({text}, ' ')) AS w FROM {source}) WHERE w <> '' GROUP BY ALL),
+  {name} AS (SELECT {key}, list((coalesce(n, 0) / norm)::FLOAT ORDER BY i) AS embedding FROM (SELECT {key}, sqrt(sum(n * n)) AS norm FROM {name}_n GROUP BY {key}) CROSS JOIN range({dims}) r(i) LEFT JOIN {name}_n USING ({key}, i) GROUP BY {key})"""
+
+
+DIMS = 64  # of the encoder that evaluation uses
+
+
+def relevance(spark, d) -> DataFrame:
+    """(query_id, document_id): documents that hold the first 60 characters of a benchmark
+    item's first line, if these are three words or more. Windows of three words find them
+    by an equi-join, then the text decides."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    begin = F.left(F.element_at(F.split("text", "\n"), 1), F.lit(60))
+    items = table(spark, d, "benchmark").select("item_id", begin.alias("begin"), F.array_join(F.slice(F.split(begin, r"\s+"), 1, 3), " ").alias("w")).where(F.size(F.split("begin", r"\s+")) >= 3)
+    words = docs.select("doc_id", F.split("text", r"\s+").alias("s"))
+    three = words.where("size(s) > 2").select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("s") - 2), lambda i: F.array_join(F.slice("s", i, 3), " "))).alias("w"))
+    met = three.join(items, "w").select("doc_id", "item_id", "begin").distinct()
+    return met.join(docs, "doc_id").where(F.contains("text", F.col("begin"))).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("document_id"))
+
+
+#: Whether a document is relevant to a benchmark item.
+ABOUT = """(contains(documents.text, left(string_split(benchmark.text, chr(10))[1], 60)) AND len(string_split_regex(left(string_split(benchmark.text, chr(10))[1], 60), '\\s+')) >= 3)"""
+EVAL = f"""{CHUNKS}, {hashed("c_hash", "chunk_id", "content", "chunks", DIMS)}, {hashed("q_hash", "item_id", "text", "benchmark", DIMS)},
+  embedded AS (SELECT chunks.*, embedding FROM chunks LEFT JOIN c_hash USING (chunk_id)),
+  relevance AS (SELECT item_id AS query_id, doc_id AS document_id FROM benchmark JOIN documents ON {ABOUT}),
+  queries AS (SELECT item_id AS query_id, text AS query, embedding AS vector FROM benchmark JOIN q_hash USING (item_id) WHERE item_id IN (SELECT query_id FROM relevance))"""
+
+
 def edges(spark, d) -> DataFrame:
     """Each document cites three others by reference, spread over all documents; every
     fifth reference is unknown."""
