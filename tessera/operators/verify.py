@@ -52,8 +52,30 @@ def verify_claims(claims: DataFrame, hits: DataFrame, shortest: int = 4, least:
     return judge_claims(claims, folded_hits(own), shortest, least)
 
 
+def misjudged(verified: DataFrame) -> DataFrame:
+    """The claims that were judged wrongly: real ones refused, made-up ones accepted."""
+    return verified.where((F.col("verdict") == "verified") != F.col("real"))
+
+
 def groundedness(verified: DataFrame) -> DataFrame:
     """(real, rate, n, failing): the share of real claims accepted and of made-up ones
-    rejected, and how many were judged wrongly."""
+    rejected, and how many were judged wrongly (``misjudged`` has them). Claims whose
+    ``real`` is null are left out."""
     ok = (F.col("verdict") == "verified") == F.col("real")
-    return verified.groupBy("real").agg(F.round(F.avg(ok.cast("double")), 6).alias("rate"), F.count("*").alias("n"), F.count_if(~ok).alias("failing"))
+    return verified.where("real is not null").groupBy("real").agg(F.round(F.avg(ok.cast("double")), 6).alias("rate"), F.count("*").alias("n"), F.count_if(~ok).alias("failing"))
+
+
+def feedback(judged: DataFrame) -> DataFrame:
+    """(run, feedback): a line for each claim of a run that failed, with its issue and why, in
+    order of issue; runs without one have no row. A run's claims are what one reply held."""
+    bad = judged.where("verdict <> 'verified'").select("run", F.struct(F.coalesce("issue", F.lit("no issue")).alias("issue"), "verdict").alias("x"))
+    line = F.transform(F.sort_array(F.collect_list("x")), lambda x: F.concat(F.lit("- "), x["issue"], F.lit(": "), x["verdict"]))
+    return bad.groupBy("run").agg(F.array_join(line, "\n").alias("feedback"))
+
+
+def rejections(judged: DataFrame) -> DataFrame:
+    """(verdict, n, discarded): failed claims by reason, and those of them that came in the
+    last attempt of their run, which nothing mends."""
+    last = judged.groupBy("run").agg(F.max("attempt").alias("last"))
+    bad = judged.where("verdict <> 'verified'").join(last, "run")
+    return bad.groupBy("verdict").agg(F.count("*").alias("n"), F.count_if(F.col("attempt") == F.col("last")).alias("discarded"))

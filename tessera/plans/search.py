@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import retrieval as r
-from tessera.operators.verify import groundedness
+from tessera.operators.verify import feedback, groundedness, misjudged, rejections
 from tessera.operators.verify import verify_claims as verify
 from tessera.functions.text import STOP, fold_quote
 from tessera.sources import corpus
@@ -146,28 +146,39 @@ def quote_run_ratio(spark, d):
     return verify_claims(spark, d).select("claim_id", "ratio")
 
 
-@query(f"{VERIFIED} SELECT run, string_agg(claim_id || ': ' || verdict, chr(10) ORDER BY claim_id) AS feedback FROM verified WHERE verdict <> 'verified' GROUP BY run")
+_ATTEMPT = "(ascii(substr(claim_id, length(claim_id), 1)) % 2 + 1)"
+
+
+@query(f"{VERIFIED} SELECT run, string_agg('- issue ' || claim_id || ': ' || verdict, chr(10) ORDER BY claim_id) AS feedback FROM verified WHERE verdict <> 'verified' AND {_ATTEMPT} = 1 GROUP BY run")
 def rejection_feedback(spark, d):
-    bad = verify_claims(spark, d).where("verdict <> 'verified'").select("run", "claim_id", F.concat_ws(": ", "claim_id", "verdict").alias("line"))
-    return bad.groupBy("run").agg(F.expr("listagg(line, '\n') within group (order by claim_id)").alias("feedback"))
+    """What each run is told after its first attempt: the issues whose quotes failed, and why."""
+    first = verify_claims(spark, d).withColumn("attempt", F.expr(_ATTEMPT)).where("attempt = 1").withColumn("issue", F.concat(F.lit("issue "), "claim_id"))
+    return feedback(first)
 
 
-@query(f"""{VERIFIED} SELECT verdict, count(*) AS n, count(*) FILTER (last) AS discarded FROM (SELECT verdict, chunk_id, run, claim_id, claim_id = max(claim_id) OVER (PARTITION BY run) AS last FROM verified)
-  WHERE verdict <> 'verified' GROUP BY verdict""")
+@query(f"""{VERIFIED}, a AS (SELECT *, {_ATTEMPT} AS attempt FROM verified) SELECT verdict, count(*) AS n, count(*) FILTER (attempt = last) AS discarded
+  FROM (SELECT *, max(attempt) OVER (PARTITION BY run) AS last FROM a) WHERE verdict <> 'verified' GROUP BY verdict""")
 def rejection_stats(spark, d):
-    """Rejections by reason; those of a run's last claim are discarded for good."""
-    c = verify_claims(spark, d).select("run", "claim_id", "verdict")
-    last = c.groupBy("run").agg(F.max("claim_id").alias("last"))
-    bad = c.where("verdict <> 'verified'").join(last, "run")
-    return bad.groupBy("verdict").agg(F.count("*").alias("n"), F.count_if(F.col("claim_id") == F.col("last")).alias("discarded"))
+    """Rejections by reason; those of a run's last attempt are discarded for good, the others
+    went back to the model."""
+    return rejections(verify_claims(spark, d).withColumn("attempt", F.expr(_ATTEMPT)))
 
 
 @query(f"""{VERIFIED} SELECT real, round(avg(CASE WHEN (verdict = 'verified') = real THEN 1.0 ELSE 0.0 END), 6) AS rate, count(*) AS n,
-  count(*) FILTER ((verdict = 'verified') <> real) AS failing FROM verified GROUP BY real""")
+  count(*) FILTER ((verdict = 'verified') <> real) AS failing FROM verified WHERE real IS NOT NULL GROUP BY real""")
 def groundedness_rates(spark, d):
     return groundedness(verify_claims(spark, d))
 
 
+@query(f"{VERIFIED} SELECT (SELECT count(*) FROM verified WHERE real IS NULL) AS open, (SELECT count(*) FROM verified WHERE (verdict = 'verified') <> real) AS failing, (SELECT min(claim_id) FROM verified WHERE (verdict = 'verified') <> real) AS first")
+def groundedness_failures(spark, d):
+    """How many claims can't be told apart from outside, how many of the others are judged
+    wrongly, and the first of these."""
+    verified = written(verify_claims(spark, d), folder(spark, "verified"))
+    bad = misjudged(verified).agg(F.count("*").alias("failing"), F.min("claim_id").alias("first")).withColumn("k", F.lit(1))
+    return verified.agg(F.count_if(F.col("real").isNull()).alias("open")).withColumn("k", F.lit(1)).join(bad, "k").drop("k")
+
+
 @query(f"WITH {v.CHUNKS} SELECT chunk_id, md5({_FOLD.format(c='content')}) AS folded FROM chunks")
 def normalise_quote(spark, d):
     return v.chunks(spark, d).select("chunk_id", F.md5(fold_quote(F.col("content"))).alias("folded"))
