@@ -13,14 +13,21 @@ from pyspark.sql import functions as F
 from .common import cut, table
 from .windows import WordCodes, alone, anchors, covered, gram_hash, member
 
-NULLS = 1 << 62  # from here on, keys stand for null ids, by text
+ID = ["key", "anon", "tkey"]
 
 
-def keys(id_col: str, text_col: str) -> Column:
-    """The id; for a null one, a number above all ids that only equal texts share, so that
-    rows without an id neither mix nor meet in one group."""
+def identity(id_col: str, text_col: str, by_text: bool = False) -> list[Column]:
+    """What tells rows apart. ``key`` is the id, of any value; without one it is a hash of the
+    text and ``anon`` is true, so rows that lack an id neither mix with others nor meet in
+    one group. ``tkey`` also tells rows of one id apart by their text, where asked for."""
     own = F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
-    return F.coalesce(F.col(id_col).cast("long"), own.bitwiseAND(F.lit(NULLS - 1)).bitwiseOR(F.lit(NULLS)))
+    tkey = own if by_text else F.lit(0).cast("long")
+    return [F.coalesce(F.col(id_col).cast("long"), own).alias("key"), F.col(id_col).isNull().alias("anon"), tkey.alias("tkey")]
+
+
+def repeated_ids(rows: list[tuple], sizes: list[int]) -> list[pa.Array]:
+    """The identity columns of ``rows``, each as often as its size says."""
+    return [pa.array(np.repeat(np.array(c, dtype=t), sizes)) for c, t in zip(zip(*rows), (np.int64, bool, np.int64))]
 
 
 def level_lengths(start: int, target: int) -> list[int]:
@@ -70,84 +77,86 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     combine, and no key is hot. Text is shuffled by id and reused for the last pass.
 
     Null text counts as empty, a null id as larger than any other (null in the
-    result); ids must be below 2^62. Rows that share an id, or have no id and the same
-    text, count as occurrences of one document, each of which keeps its first ones. Texts shorter than a window lose nothing; empty
-    tables give no rows; other columns are unread.
+    result). Rows that share an id, or have no id and the same text, count as occurrences
+    of one document, each of which keeps its first ones. Texts shorter than a window lose
+    nothing; empty tables give no rows; other columns are unread.
     """
     levels = level_lengths(min(start, window), window)
-    texts = docs.select(keys(id_col, text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
+    texts = docs.select(*identity(id_col, text_col)[:2], F.col(text_col).cast("binary").alias("text"))
 
     def hashes(rows: DataFrame, level: int) -> DataFrame:
-        """(h, key): distinct hashes of each document's windows at ``level``."""
+        """(h, key, anon): distinct hashes of each document's windows at ``level``."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes = WordCodes()
             for b in batches:
                 hs, ks = [], []
-                lists = [c for c in b.columns[2:]]
-                for i, (k, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
+                lists = [c for c in b.columns[3:]]
+                for i, (*k, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2))):
                     words = (t.as_py() or b"").split()
                     if len(words) < window:
                         continue
                     _, h, at = alive(codes.of(words), levels, [as_set(x, i) for x in lists])
                     if len(h):
                         hs.append(np.unique(h).view(np.int64))
-                        ks.append(np.full(len(hs[-1]), k))
+                        ks.append(k)
                 if hs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(ks))], ["h", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), *repeated_ids(ks, [len(h) for h in hs])], ["h", "key", "anon"])
 
-        return rows.mapInArrow(run, "h long, key long")
+        return rows.mapInArrow(run, "h long, key long, anon boolean")
 
     known = texts
     rare = []
     for level in range(len(levels) - 1):
-        own = hashes(known, level).groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
-        rare.append(cut(own.groupBy("key").agg(F.collect_list("h").alias(f"r{level}"))))
-        known = known.join(rare[-1], "key", "left")
+        own = hashes(known, level).groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("anon").alias("anon")).where("n = 1")
+        rare.append(cut(own.groupBy("key", "anon").agg(F.collect_list("h").alias(f"r{level}"))))
+        known = known.join(rare[-1], ["key", "anon"], "left")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
         for b in batches:
             his, los, ks = [], [], []
-            for i, (k, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
+            for i, (k, anon, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2))):
                 words = (t.as_py() or b"").split()
                 if len(words) < window:
                     continue
                 c = codes.of(words)
-                s, h, _ = alive(c, levels, [as_set(x, i) for x in b.columns[2:]])
+                s, h, _ = alive(c, levels, [as_set(x, i) for x in b.columns[3:]])
                 if len(s):
                     hi, first = np.unique(h, return_index=True)
-                    # the zero pair with the id says that the document has candidates
-                    his.append(np.append(hi, np.uint64(0)).view(np.int64))
-                    los.append(np.append(gram_hash(c, window, 1)[s[first]] >> np.uint64(32), np.uint64(k)).view(np.int64))
-                    ks.append(np.full(len(hi) + 1, k))
+                    # a pair of 0 or 1 and the key says that the document has candidates
+                    his.append(np.append(hi, np.uint64(anon)).view(np.int64))
+                    los.append(np.append(gram_hash(c, window, 1)[s[first]] >> np.uint64(32), np.array([k]).view(np.uint64)).view(np.int64))
+                    ks.append((k, anon))
             if his:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (his, los, ks)], ["hi", "lo", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(his)), pa.array(np.concatenate(los)), *repeated_ids(ks, [len(h) for h in his])], ["hi", "lo", "key", "anon"])
 
-    first = known.mapInArrow(full, "hi long, lo long, key long").groupBy("hi", "lo").agg(F.min("key").alias("key"))
-    first = first.groupBy("key").agg(F.collect_list("hi").alias("first"))
+    # as two longs, which hash aggregates update in place: the smallest id, and the smallest key of rows without
+    owner = [F.min(F.when(c, F.col("key"))).alias(x) for c, x in ((~F.col("anon"), "named"), (F.col("anon"), "other"))]
+    first = known.mapInArrow(full, "hi long, lo long, key long, anon boolean").groupBy("hi", "lo").agg(*owner)
+    first = first.select("hi", F.coalesce("named", "other").alias("key"), F.col("named").isNull().alias("anon")).groupBy("key", "anon").agg(F.collect_list("hi").alias("first"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
         for b in batches:
             out = []
             firsts = b.column(b.num_columns - 1)
-            for i, (k, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
+            for i, (k, anon, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2))):
                 words = (t.as_py() or b"").split()
                 kept = words
                 if firsts[i].is_valid:
-                    s, h, _ = alive(codes.of(words), levels, [as_set(x, i) for x in b.columns[2:-1]])
+                    s, h, _ = alive(codes.of(words), levels, [as_set(x, i) for x in b.columns[3:-1]])
                     mine = np.zeros(len(s), dtype=bool)
                     mine[np.unique(h, return_index=True)[1]] = True  # this document's first
                     gone = covered(s[~(mine & member(h, as_set(firsts, i)))], window, len(words))
                     kept = [w for w, x in zip(words, gone) if not x]
                 text = b" ".join(kept)
-                out.append((None if k >= NULLS else k, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "replace") if contents else None))
+                out.append((None if anon else k, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "replace") if contents else None))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())[: 4 + contents]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + contents])
 
-    return known.join(first, "key", "left").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * contents)
+    return known.join(first, ["key", "anon"], "left").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * contents)
 
 
 def as_set(column: pa.Array, i: int) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .substring import NULLS, as_set, keys
+from .substring import ID, as_set, identity, repeated_ids
 from .windows import alone, anchors, byte_hash, covered, member
 
 
@@ -200,64 +201,68 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
        so that no task has to hold an unbounded group.
     4. Documents drop what their other candidate windows cover.
 
-    Null text counts as empty, a null id is passed through; ids must be below 2^62.
-    Rows that share an id must share their text (rows without one need not);
-    repeated rows count as copies. Texts under ``length``
-    bytes lose nothing. Empty tables give no rows; other columns are unread.
+    Null text counts as empty, a null id is passed through, ids have any value. Rows that
+    share an id, or have none, are documents of their own; repeated rows count as
+    copies. Texts under ``length`` bytes lose nothing. Empty tables give no rows; other
+    columns are unread.
     """
-    texts = docs.select(keys(id_col, text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
+    # ids alone tell rows apart unless one comes twice, which a count over ids says
+    several = not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    texts = docs.select(*identity(id_col, text_col, several), F.col(text_col).cast("binary").alias("text"))
+    kinds = "key long, anon boolean, tkey long"
+    whose = [F.min(x).alias(x) for x in ID]
 
     def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hs, ks = [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1)):
+            for *k, t in zip(*(b.column(j).to_pylist() for j in range(3)), b.column(3)):
                 t = t.as_py() or b""
                 if len(t) >= length:
                     h = byte_hash(t, gram)
                     hs.append(alone(h, anchors(h, length - gram + 1))[0].view(np.int64))
-                    ks.append(np.full(len(hs[-1]), k))
+                    ks.append(k)
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(ks))], ["h", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), *repeated_ids(ks, [len(h) for h in hs])], ["h", *ID])
 
-    own = texts.mapInArrow(anchor_rows, "h long, key long").groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("key"))
+    own = texts.mapInArrow(anchor_rows, f"h long, {kinds}").groupBy("h").agg(F.count("*").alias("n"), *whose)
     own = own.where((F.col("n") == 1) | (F.col("n") > crowd)).withColumn("crowded", F.col("n") > crowd)
-    whose = F.when(F.col("crowded"), F.pmod("h", F.lit(4096))).otherwise(F.col("key")).alias("key")
-    lists = cut(own.groupBy("crowded", whose).agg(F.collect_list("h").alias("rare")))
-    rare = lists.where("not crowded").select("key", "rare")
+    own = own.withColumn("key", F.when(F.col("crowded"), F.pmod("h", F.lit(4096))).otherwise(F.col("key")))
+    lists = cut(own.groupBy("crowded", *ID).agg(F.collect_list("h").alias("rare")))
+    rare = lists.where("not crowded").select(*ID, "rare")
     crowded = lists.where("crowded").select(F.explode("rare").alias("h"))
     n_crowded = crowded.count()
-    known = texts.join(rare, "key", "left")
+    known = texts.join(rare, ID, "left")
 
     def segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for i, (k, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
+            for i, (*k, t) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)), b.column(3))):
                 t = t.as_py() or b""
                 if len(t) < length:
                     continue
-                s, at, h = candidates(t, length, gram, as_set(b.column(2), i))
+                s, at, h = candidates(t, length, gram, as_set(b.column(4), i))
                 if len(s):
                     # says that the document has candidates
-                    out.append((k, int(k).to_bytes(8, "little"), k, -1))
+                    out.append((k[0], struct.pack("<q?q", *k), -1, *k))
                     cut_at = np.flatnonzero((np.diff(s) != 1) | (np.diff(at) != 0)) + 1
                     lo, hi = np.append(0, cut_at), np.append(cut_at, len(s)) - 1
                     hv = h[at[lo]].view(np.int64)
-                    out += [(v, t[x : y + length], k, x) for v, x, y in zip(hv.tolist(), s[lo].tolist(), s[hi].tolist())]
+                    out += [(v, t[x : y + length], x, *k) for v, x, y in zip(hv.tolist(), s[lo].tolist(), s[hi].tolist())]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.int64(), pa.int64()))], ["h", "seg", "key", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()))], ["h", "seg", "s", *ID])
+
+    segments = known.mapInArrow(segment_rows, f"h long, seg binary, s long, {kinds}")
+    distinct = segments.groupBy("h", "seg").agg(F.count("*").alias("n"), F.min("s").alias("s"), *whose)
 
-    segments = known.mapInArrow(segment_rows, "h long, seg binary, key long, s long")
-    distinct = segments.groupBy("h", "seg").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("s").alias("s"))
     def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(rows: list[tuple]) -> pa.RecordBatch:
-            out = [(k, -1, -1) for _, _, _, k, s in rows if s < 0]
-            rows = [r for r in rows if r[4] >= 0]
+            out = [(-1, -1, *k) for _, _, _, s, *k in rows if s < 0]
+            rows = [r for r in rows if r[3] >= 0]
             if rows:
-                for (_, _, n, k, s), hit in zip(rows, repeated([r[1] for r in rows], length)):
+                for (_, _, n, s, *k), hit in zip(rows, repeated([r[1] for r in rows], length)):
                     if n == 1:
-                        a, z = runs(~hit)
-                        out += zip([k] * len(a), (a + s).tolist(), (z + s).tolist())
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else ((), (), ()))], ["key", "a", "z"])
+                        out += [(a, z, *k) for a, z in zip(*((x + s).tolist() for x in runs(~hit)))]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()))], ["a", "z", *ID])
 
         rows, size, last = [], 0, None
         for b in batches:
@@ -273,45 +278,46 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if 0 < n_crowded <= 100_000:  # under a megabyte; more are joined by a shuffle
         crowded = F.broadcast(crowded)
     cool = distinct.join(crowded, "h", "left_anti") if n_crowded else distinct
-    single = cool.select("h", "seg", "n", "key", "s").repartition("h").sortWithinPartitions("h").mapInArrow(shard_rows, "key long, a long, z long")
+    single = cool.select("h", "seg", "n", "s", *ID).repartition("h").sortWithinPartitions("h").mapInArrow(shard_rows, f"a long, z long, {kinds}")
     if n_crowded:
 
         def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                cols = [[], [], [], [], []]
-                for _, seg, n, k, s in zip(*(c.to_pylist() for c in b.columns)):
+                cols, ks = [[], [], [], []], []
+                for _, seg, n, s, *k in zip(*(c.to_pylist() for c in b.columns)):
                     hi, lo = (byte_hash(seg, length, lane).view(np.int64) for lane in (0, 1))
-                    for c, x in zip(cols, (hi, lo, np.full(len(hi), n), np.full(len(hi), k), s + np.arange(len(hi)))):
+                    ks.append(k)
+                    for c, x in zip(cols, (hi, lo, np.full(len(hi), n), s + np.arange(len(hi)))):
                         c.append(x)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["hi", "lo", "n", "key", "s"])
+                if ks:
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in cols), *repeated_ids(ks, [len(x) for x in cols[0]])], ["hi", "lo", "n", "s", *ID])
 
-        windows = distinct.join(crowded, "h", "left_semi").select("h", "seg", "n", "key", "s").mapInArrow(window_rows, "hi long, lo long, n long, key long, s long")
-        once = windows.groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.min("key").alias("key"), F.min("s").alias("s")).where("n = 1")
-        single = single.union(once.select("key", F.col("s").alias("a"), (F.col("s") + 1).alias("z")))
-    back = single.groupBy("key").agg(F.collect_list("a").alias("a"), F.collect_list("z").alias("z"))
+        windows = distinct.join(crowded, "h", "left_semi").select("h", "seg", "n", "s", *ID).mapInArrow(window_rows, f"hi long, lo long, n long, s long, {kinds}")
+        once = windows.groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.min("s").alias("s"), *whose).where("n = 1")
+        single = single.union(once.select(F.col("s").alias("a"), (F.col("s") + 1).alias("z"), *ID))
+    back = single.groupBy(*ID).agg(F.collect_list("a").alias("a"), F.collect_list("z").alias("z"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for i, (k, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
+            for i, (k, anon, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2))):
                 t = t.as_py() or b""
                 kept, spans = t, 0
-                if b.column(3)[i].is_valid:
-                    s, _, _ = candidates(t, length, gram, as_set(b.column(2), i))
+                if b.column(4)[i].is_valid:
+                    s, _, _ = candidates(t, length, gram, as_set(b.column(3), i))
                     edge = np.zeros(len(t) + 2, dtype=np.int64)
-                    a, z = (np.array(b.column(c)[i].as_py()) for c in (3, 4))
+                    a, z = (np.array(b.column(c)[i].as_py()) for c in (4, 5))
                     np.add.at(edge, a[a >= 0], 1)
                     np.add.at(edge, z[a >= 0], -1)
                     s = s[np.cumsum(edge)[s] == 0]
                     gone = covered(s, length, len(t))
                     kept, spans = np.frombuffer(t, dtype=np.uint8)[~gone].tobytes(), len(runs(gone)[0])
-                out.append((None if k >= NULLS else k, len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if contents else None))
+                out.append((None if anon else k, len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if contents else None))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())[: 5 + contents]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + contents])
 
-    return known.join(back, "key", "left").select("key", "text", "rare", "a", "z").mapInArrow(
+    return known.join(back, ID, "left").select("key", "anon", "text", "rare", "a", "z").mapInArrow(
         remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * contents
     )
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
@@ -86,20 +87,41 @@ def test_clashing_columns_and_null_ids(spark):
         assert f(d).count() == 2
 
 
+def letters(r, n):
+    return "".join(r.choice("abcdefgh ") for _ in range(n))
+
+
 def test_different_texts_without_ids(spark):
     r = random.Random(9)
-    letters = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
-    p, q = letters(400), letters(400)
-    rows = [(None, letters(300) + q), (None, p + q + letters(200)), (1, letters(10) + p), (None, None), (2, "")]
+    p, q = letters(r, 400), letters(r, 400)
+    rows = [(None, letters(r, 300) + q), (None, p + q + letters(r, 200)), (1, letters(r, 10) + p), (None, None), (2, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    # rows without an id come last, in order of a hash of their texts
+    order = sorted((t or "" for k, t in rows if k is None), key=lambda t: (h := xxhash.xxh64_intdigest(t.encode(), seed=42)) - (h >> 63 << 64))
+    named = [(k if k is not None else 1000 + order.index(t or ""), t) for k, t in rows]
+    for f, plain in ((suffix_dedup, brute.bytes_dedup), (substring_dedup, brute.words_dedup)):
+        want = sorted(((k if k < 1000 else None, *x) for k, *x in plain(named)), key=str)
+        assert sorted((tuple(x)[:-1] for x in f(d).collect()), key=str) == want
+
+
+def test_ids_of_any_value(spark):
+    r = random.Random(10)
+    shared = [letters(r, 300) for _ in range(2)]
+    ids = [2**62 + 5, 2**62, 2**63 - 1, -1, -(2**63), 0, 7, None]
+    rows = [(k, letters(r, 50 + i) + shared[i % 2] + letters(r, 40)) for i, k in enumerate(ids)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     for f, plain in ((suffix_dedup, brute.bytes_dedup), (substring_dedup, brute.words_dedup)):
-        named = [(k if k is not None else 1000 + i, t) for i, (k, t) in enumerate(rows)]
-        want = plain(named)
-        got = f(d).collect()
-        own = lambda x: tuple(x)[1:5] if f is suffix_dedup else tuple(x)[1:4]
-        if f is suffix_dedup:
-            assert sorted(map(own, got)) == sorted(w[1:] for w in want)
-        assert len(got) == len(rows) and sum(x.doc_id is None for x in got) == 3
+        want = sorted(((k if k < 2**63 else None, *x) for k, *x in plain([(2**63 if k is None else k, t) for k, t in rows])), key=str)
+        assert sorted((tuple(x)[:-1] for x in f(d).collect()), key=str) == want
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    r = random.Random(11)
+    p, q = letters(r, 400), letters(r, 400)
+    rows = [(1, letters(r, 300) + q), (1, p + q + letters(r, 200)), (2, letters(r, 10) + p), (2, letters(r, 10) + p[:150])]
+    got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = sorted(x[1:] for x in brute.bytes_dedup([(i, t) for i, (_, t) in enumerate(rows)]))
+    assert sorted(tuple(x)[1:5] for x in got.collect()) == want and sorted(x.doc_id for x in got.collect()) == [1, 1, 2, 2]
 
 
 def test_anchors_of_equal_windows_are_equal():
