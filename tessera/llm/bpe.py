@@ -36,6 +36,15 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def unassigned():
+    """Looks for a code point that Python's Unicode tables don't know."""
+    codes = [c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    edges = [i for i in range(1, len(codes)) if codes[i] != codes[i - 1] + 1]
+    spans = [(codes[a], codes[z - 1]) for a, z in zip([0, *edges], [*edges, len(codes)])]
+    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in spans) + "]").search
+
+
 class Vocabulary:
     """A byte-level BPE file with word ends: its pattern, ids and ranked merges."""
 
@@ -52,6 +61,21 @@ class Vocabulary:
         self.words = regex.compile(pattern.replace(r"\s", SPACE)).findall
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
         self.letter = byte_letters()
+        self.path, self.library = path, None
+
+    def split(self, text: str) -> list[str]:
+        """The words of a text without special tokens, normalised. Python's tables and the
+        library's class code points alike but for those that Python's lack, so texts with
+        such ones are split by the library."""
+        if text.isascii() or not unassigned()(text):
+            return self.words(self.normal(text))
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.byte = {x: b for b, x in enumerate(self.letter)}
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(self.byte[x] for x in w).decode() for w, _ in found]
 
     def normal(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
@@ -249,7 +273,7 @@ class Encoder:
                 if i % 2:
                     number.append(-1 - v.special[part])
                 else:
-                    number += [place.setdefault(w, len(place)) for w in v.words(v.normal(part))]
+                    number += [place.setdefault(w, len(place)) for w in v.split(part)]
             sizes.append(len(number) - n)
         number = np.array(number, dtype=np.int64)
         own = self.words([w.encode() for w in place])
@@ -305,7 +329,7 @@ def frequent_words(docs: DataFrame, path: str, text_col: str = "text", most: int
         for s in (s for b in batches for s in slices(b, 0, SLICE)):
             distinct, number, _ = cut_pieces(s.column(0))
             for piece, n in zip(distinct, np.bincount(number, minlength=len(distinct)).tolist()):
-                for w in v.words(v.normal(piece.decode())):
+                for w in v.split(piece.decode()):
                     words[w] += n
             if len(words) > 300_000:
                 yield flush()

@@ -128,3 +128,16 @@ def test_every_character_last_in_a_slice():
         assert ids.flat.tolist() == [y for w in want[i : i + 2000] for y in [*w.ids, 2]]
     for last in [chr(c) for c in range(0x80, 0x10000, 11) if not 0xD800 <= c < 0xE000]:
         assert encoder.find([b"x", last.encode()]).flat.tolist() == [*library.encode("x").ids, *library.encode(last, add_special_tokens=False).ids]
+
+
+def test_code_points_that_python_does_not_know():
+    """All below U+30000, alone, after a letter, a digit, a mark and between letters."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), bpe.Encoder(bpe.Vocabulary(path), most=5000)
+    chars = [chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000]
+    texts = [x for c in chars for x in (c, "a" + c, "1" + c, "!" + c, f"É{c}x{c}{c}")]
+    for i in range(0, len(texts), 20_000):
+        some = texts[i : i + 20_000]
+        ids = encoder.encode(pa.array(some))
+        want = [x.ids for x in library.encode_batch(some, add_special_tokens=False)]
+        assert [ids.flat[a:z].tolist() for a, z in zip(ids.ends, ids.ends[1:])] == want
