@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as t
-from tessera.operators import admission
+from tessera.operators import admission, embedding
+from tessera.operators import corpus as c
 from tessera.sources import views as v
 from tessera.sources.store import folder
 
@@ -177,29 +178,28 @@ def upload_ref(spark, d):
 _CHANGES = """changes AS (SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN 'new' WHEN doc_id % 4 = 0 THEN 'changed' ELSE 'unchanged' END AS change FROM documents)"""
 
 
-def _changes(spark, d):
+def _documents(spark, d):
+    """Documents as they come in."""
+    docs = v.table(spark, d, "documents")
+    return docs.select(F.col("doc_id").alias("id"), F.lit("judgment").alias("kind"), F.concat(F.lit("docs#"), "doc_id").alias("source_ref"), F.sha2("text", 256).alias("content_hash"))
+
+
+def _stored(spark, d):
     """The stored corpus lacks every tenth document and has an older text of every fourth."""
-    docs = v.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
-    current = docs.where("doc_id % 10 <> 9").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.lit("old")).otherwise(F.col("hash")).alias("stored"))
-    change = F.when(F.col("stored").isNull(), "new").when(F.col("stored") != F.col("hash"), "changed").otherwise("unchanged")
-    return docs.join(current, "doc_id", "left").select("doc_id", change.alias("change"))
+    own = _documents(spark, d).where("id % 10 <> 9")
+    return own.withColumns({"content_hash": F.when(F.col("id") % 4 == 0, "old").otherwise(F.col("content_hash")), "created_at": F.lit(1), "updated_at": F.lit(1)})
 
 
 @query(f"WITH {_CHANGES} SELECT * FROM changes")
 def detect_changes(spark, d):
-    return _changes(spark, d)
+    return c.detect_changes(_documents(spark, d), _stored(spark, d)).select(F.col("id").alias("doc_id"), "change")
 
 
 @query(f"WITH {_CHANGES} SELECT doc_id, sha256(text) AS hash, CASE change WHEN 'new' THEN 2 ELSE 1 END AS created, CASE change WHEN 'unchanged' THEN 1 ELSE 2 END AS updated FROM changes JOIN documents USING (doc_id)")
 def upsert_documents(spark, d):
-    """The corpus after the incoming rows: hashes rewritten where the text changed, the first
-    run's ``created`` kept, ``updated`` by the second run only for what is new or changed."""
-    docs = v.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
-    current = docs.where("doc_id % 10 <> 9").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.lit("old")).otherwise(F.col("hash")).alias("hash"), F.lit(1).alias("created"), F.lit(1).alias("updated"))
-    touched = docs.join(current.select("doc_id", "hash"), ["doc_id", "hash"], "left_anti")
-    kept = current.join(touched.select("doc_id"), "doc_id", "left_anti")
-    fresh = touched.join(current.select("doc_id", "created"), "doc_id", "left")
-    return kept.unionByName(fresh.select("doc_id", "hash", F.coalesce("created", F.lit(2)).alias("created"), F.lit(2).alias("updated")))
+    """The corpus after the incoming rows, which come twice."""
+    twice = _documents(spark, d).unionByName(_documents(spark, d))
+    return c.upsert_documents(twice, _stored(spark, d), 2).select(F.col("id").alias("doc_id"), F.col("content_hash").alias("hash"), F.col("created_at").alias("created"), F.col("updated_at").alias("updated"))
 
 
 @query(f"""WITH {v.CHUNKS}, {_CHANGES} SELECT chunk_id, CASE WHEN change = 'unchanged' THEN 0 ELSE 1 END AS fresh FROM chunks JOIN changes ON doc_id = document_id
@@ -207,35 +207,41 @@ def upsert_documents(spark, d):
 def replace_chunks(spark, d):
     """The stored chunks have stale ones besides (every second, with another id): those of
     changed documents go, those of unchanged ones stay."""
-    now = v.chunks(spark, d).select("chunk_id", "document_id", "ordinal")
-    stored = now.unionByName(now.where("ordinal % 2 = 0").withColumn("chunk_id", F.concat("chunk_id", F.lit("-old"))))
-    touched = _changes(spark, d).where("change <> 'unchanged'").select(F.col("doc_id").alias("document_id"))
-    kept = stored.join(touched, "document_id", "left_anti")
-    return kept.select("chunk_id", F.lit(0).alias("fresh")).unionByName(now.join(touched, "document_id", "left_semi").select("chunk_id", F.lit(1).alias("fresh")))
+    now = v.chunks(spark, d).select("chunk_id", "document_id", F.lit(0).alias("fresh"), "ordinal")
+    stored = now.unionByName(now.where("ordinal % 2 = 0").withColumn("chunk_id", F.concat("chunk_id", F.lit("-old")))).drop("ordinal")
+    touched = detect_changes(spark, d).where("change <> 'unchanged'").select(F.col("doc_id").alias("document_id"))
+    fresh = now.join(touched, "document_id", "left_semi").select("chunk_id", "document_id", F.lit(1).alias("fresh"))
+    return c.replace_chunks(stored, touched, fresh).select("chunk_id", "fresh")
 
 
-@query(f"""WITH {v.EDGES} SELECT source_id, target_ref, CASE WHEN target_ref LIKE 'CASE-%' AND substr(target_ref, 6)::BIGINT % 10 <> 0 THEN substr(target_ref, 6)::BIGINT END AS target_id FROM edges WHERE source_id % 10 <> 0""")
+@query(f"""WITH {v.CHUNKS}, {v.EDGES} SELECT 'edge' AS what, source_id || ' ' || target_ref AS name, CASE WHEN target_ref LIKE 'CASE-%' AND substr(target_ref, 6)::BIGINT % 10 <> 0 THEN substr(target_ref, 6)::BIGINT END AS target_id FROM edges WHERE source_id % 10 <> 0
+  UNION ALL SELECT 'chunk', chunk_id, NULL FROM chunks WHERE document_id % 10 <> 0 UNION ALL SELECT 'document', doc_id::VARCHAR, NULL FROM documents WHERE doc_id % 10 <> 0""")
 def delete_document(spark, d):
-    """Edges after every tenth document is deleted: its own go with it, and those that lead
-    to it lose their target."""
-    gone = v.table(spark, d, "documents").where("doc_id % 10 = 0").select("doc_id")
+    """What is left when every tenth document is deleted, and the targets of the edges."""
+    docs = _documents(spark, d)
     e = v.edges(spark, d).withColumn("target_id", F.when(F.col("target_ref").startswith("CASE-"), F.substr("target_ref", F.lit(6)).try_cast("long")))
-    left = e.join(gone, F.col("source_id") == F.col("doc_id"), "left_anti")
-    dead = gone.select(F.col("doc_id").alias("target_id"), F.lit(True).alias("dead"))
-    return left.join(dead, "target_id", "left").select("source_id", "target_ref", F.when(F.col("dead").isNull(), F.col("target_id")).alias("target_id"))
+    docs, chunks, e = c.delete_documents(docs, v.chunks(spark, d), e, docs.where("id % 10 = 0"))
+    row = lambda df, what, name, target=F.lit(None).cast("long"): df.select(F.lit(what).alias("what"), name.alias("name"), target.alias("target_id"))
+    left = row(e, "edge", F.concat_ws(" ", "source_id", "target_ref"), F.col("target_id"))
+    return left.unionByName(row(chunks, "chunk", F.col("chunk_id"))).unionByName(row(docs, "document", F.col("id").cast("string")))
 
 
-@query(f"""WITH {v.CHUNKS}, {v.EDGES} SELECT 'unique_chunk' AS rule, count(*) AS violations FROM (SELECT 1 FROM chunks GROUP BY document_id, ordinal HAVING count(*) > 1)
+@query(f"""WITH {v.EMBEDDED}, {v.EDGES}, kept AS (SELECT doc_id, CASE WHEN doc_id % 100 = 1 THEN 'same' ELSE doc_id::VARCHAR END AS ref FROM documents WHERE doc_id % 50 <> 0)
+  SELECT 'unique_document' AS rule, count(*) AS violations FROM (SELECT 1 FROM kept GROUP BY ref HAVING count(*) > 1)
+  UNION ALL SELECT 'unique_chunk', count(*) FROM (SELECT 1 FROM chunks GROUP BY document_id, ordinal HAVING count(*) > 1)
   UNION ALL SELECT 'unique_edge', count(*) FROM (SELECT 1 FROM edges GROUP BY source_id, target_ref HAVING count(*) > 1)
+  UNION ALL SELECT 'token_count', count(*) FROM chunks WHERE length(content) // 4 < 3
   UNION ALL SELECT 'self_edge', count(*) FROM edges WHERE target_ref = 'CASE-' || source_id
-  UNION ALL SELECT 'dimension', count(*) FROM embeddings WHERE len(embedding) <> 64""")
+  UNION ALL SELECT 'dimension', count(*) FROM embedded WHERE len(embedding) <> 64 OR (embedding IS NOT NULL AND document_id % 7 = 0)
+  UNION ALL SELECT 'orphan_chunk', count(*) FROM chunks WHERE document_id NOT IN (SELECT doc_id FROM kept)""")
 def constraint_report(spark, d):
-    e = v.edges(spark, d)
-    rule = lambda name, df: df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("rule"), "violations")
-    out = rule("unique_chunk", v.chunks(spark, d).groupBy("document_id", "ordinal").count().where("count > 1"))
-    out = out.union(rule("unique_edge", e.groupBy("source_id", "target_ref").count().where("count > 1")))
-    out = out.union(rule("self_edge", e.where("target_ref = concat('CASE-', source_id)")))
-    return out.union(rule("dimension", v.table(spark, d, "embeddings").where("size(embedding) <> 64")))
+    """Over tables that break most rules: references given twice, documents that are missing,
+    counts below zero, vectors too short."""
+    docs = _documents(spark, d).where("id % 50 <> 0").withColumn("source_ref", F.when(F.col("id") % 100 == 1, "same").otherwise(F.col("source_ref")))
+    short = F.when(F.col("document_id") % 7 == 0, F.slice("embedding", 1, 8)).otherwise(F.col("embedding"))
+    chunks = v.embedded(spark, d).withColumns({"token_count": F.floor(F.length("content") / 4) - 3, "embedding": short})
+    e = v.edges(spark, d).withColumn("target_id", F.when(F.col("target_ref").startswith("CASE-"), F.substr("target_ref", F.lit(6)).try_cast("long")))
+    return c.constraint_report(docs, chunks, e, 64)
 
 
 @query(f"WITH {v.EMBEDDED} SELECT document_id, count(*) AS written, count(embedding) AS embedded, count(*) - count(embedding) AS skipped FROM embedded GROUP BY document_id")
@@ -273,9 +279,10 @@ def l2_normalise(spark, d):
     return e.withColumn("n", norm).select("vec_id", F.transform("e", lambda x: F.round(x / F.col("n"), 4)).alias("unit"))
 
 
-@query(f"WITH {v.EMBEDDED} SELECT kind, count(embedding) AS before, count(*) AS after FROM embedded GROUP BY kind")
+@query(f"""WITH {v.EMBEDDED}, {v.hashed("fresh", "chunk_id", "content", "chunks", 16)} SELECT chunk_id, list_transform(CASE WHEN ordinal % 2 = 1 THEN fresh.embedding ELSE embedded.embedding END, lambda x: round(x::DOUBLE, 4) + 0.0) AS embedding
+  FROM embedded LEFT JOIN fresh USING (chunk_id)""")
 def apply_embeddings(spark, d):
-    e = v.embedded(spark, d).select("chunk_id", "kind", "embedding")
-    fresh = e.where("embedding is null").select("chunk_id", F.array(F.lit(1.0).cast("float")).alias("new"))
-    j = e.join(fresh, "chunk_id", "left")
-    return j.groupBy("kind").agg(F.count("embedding").alias("before"), F.count(F.coalesce("embedding", "new")).alias("after"))
+    """New vectors of every second line in the chunks' table."""
+    e = v.embedded(spark, d).select("chunk_id", "ordinal", "content", "embedding")
+    new = embedding.embed_batches(e.where("ordinal % 2 = 1").select("chunk_id", "content"), embedding.HashEncoder())
+    return c.apply_embeddings(e, new).select("chunk_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding"))

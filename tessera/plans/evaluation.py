@@ -229,6 +229,18 @@ def latency_summary(spark, d):
     return out.select("stage", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "mean", "n", (F.col("p95") <= 300).alias("on_target"))
 
 
+@query("""WITH t AS (SELECT event_type AS stage, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1 AS cold FROM events)
+  SELECT stage, round(avg(value) FILTER (cold), 6) AS cold, round(avg(value) FILTER (NOT cold), 6) AS warm, round(avg(value) FILTER (cold) / greatest(avg(value) FILTER (NOT cold), 0.001), 6) AS ratio FROM t GROUP BY stage""")
+def cold_warm_ratio(spark, d):
+    """How much longer a stage takes a user's first time, when nothing is cached, than later."""
+    e = v.table(spark, d, "events")
+    first = e.groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
+    t = e.join(first, ["user_id", "event_type"]).withColumn("cold", F.col("event_id") == F.col("first"))
+    mean = lambda c: F.avg(F.when(c, F.col("value")))
+    s = t.groupBy(F.col("event_type").alias("stage")).agg(mean(F.col("cold")).alias("cold"), mean(~F.col("cold")).alias("warm"))
+    return s.select("stage", F.round("cold", 6).alias("cold"), F.round("warm", 6).alias("warm"), F.round(F.col("cold") / F.greatest("warm", F.lit(0.001)), 6).alias("ratio"))
+
+
 def _baselines(spark, d):
     parts = stratified_split(spark, d).where("test").select("doc_id", "risk")
     model = parts.withColumn("predicted", F.when(F.col("doc_id") % 5 == 0, "low").otherwise(F.col("risk")))
@@ -251,7 +263,12 @@ def macro_gain(spark, d):
 def tfidf_logistic(spark, d):
     """Words and word pairs in two documents or more, weighed by tf-idf, classes balanced, a
     logistic regression over all training clauses; the report on the held-out ones."""
-    parts = stratified_split(spark, d).join(v.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return tfidf_logistic_report(stratified_split(spark, d).join(v.table(spark, d, "documents").select("doc_id", "text"), "doc_id"))
+
+
+def tfidf_logistic_report(parts, iterations: int = 1000):
+    """``report`` of the held-out clauses (doc_id, risk, test, text); the fit stops before
+    ``iterations`` where it has converged."""
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
     rows = parts.withColumn("w", words).where("size(w) > 0").withColumn("grams", F.when(F.size("w") > 1, F.concat("w", pairs)).otherwise(F.col("w")))
@@ -261,6 +278,6 @@ def tfidf_logistic(spark, d):
     total = n.agg(F.sum("k").alias("all"), F.count("*").alias("classes"))
     weights = n.crossJoin(F.broadcast(total)).select("label", (F.col("all") / (F.col("classes") * F.col("k"))).alias("weight"))
     train = train.join(F.broadcast(weights), "label")  # a row for each class
-    model = Pipeline(stages=[CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=50_000, minDF=2), IDF(inputCol="tf", outputCol="features"), LogisticRegression(maxIter=50, regParam=0.01, weightCol="weight")]).fit(train)
+    model = Pipeline(stages=[CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=50_000, minDF=2), IDF(inputCol="tf", outputCol="features"), LogisticRegression(maxIter=iterations, regParam=0.01, weightCol="weight")]).fit(train)
     out = model.transform(rows.where("test")).withColumn("predicted", F.element_at(F.array(*map(F.lit, LEVELS)), F.col("prediction").cast("int") + 1))
     return report(out.select("risk", "predicted"), LEVELS)

@@ -31,14 +31,21 @@ def scan_eval_queries(spark, d):
     return corpus.query_set(spark, d)
 
 
-@query(f"WITH {v.EMBEDDED} SELECT kind, count(*) AS chunks, count(embedding) AS vectors FROM embedded GROUP BY kind")
+@query(f"""WITH {v.EMBEDDED}, {v.EDGES}, c AS (SELECT kind, count(*) AS chunks, count(embedding) AS vectors FROM embedded GROUP BY kind), e AS (SELECT source AS kind, count(*) AS citations FROM edges JOIN documents ON doc_id = source_id GROUP BY source)
+  SELECT source AS kind, count(*) AS documents, coalesce(any_value(chunks), 0) AS chunks, coalesce(any_value(vectors), 0) AS vectors, coalesce(any_value(citations), 0) AS citations FROM documents LEFT JOIN c ON c.kind = source LEFT JOIN e ON e.kind = source GROUP BY source""")
 def corpus_sink(spark, d):
-    """Text first, vectors after it: chunks by kind, then their vectors, joined when read."""
+    """Documents, chunks and citations by kind, text first and vectors after it; what is read
+    back is counted."""
     e, at = v.embedded(spark, d), folder(spark, "corpus")
+    docs = v.table(spark, d, "documents").select("doc_id", F.col("source").alias("kind"), "text")
+    docs.write.partitionBy("kind").parquet(f"{at}/documents")
     e.drop("embedding").write.partitionBy("kind").parquet(f"{at}/chunks")
+    v.edges(spark, d).join(docs.select(F.col("doc_id").alias("source_id"), "kind"), "source_id").write.partitionBy("kind").parquet(f"{at}/citations")
     e.where("embedding is not null").select("chunk_id", "embedding").write.parquet(f"{at}/vectors")
-    c = spark.read.parquet(f"{at}/chunks").join(spark.read.parquet(f"{at}/vectors"), "chunk_id", "left")
-    return c.groupBy(F.col("kind").cast("string")).agg(F.count("*").alias("chunks"), F.count("embedding").alias("vectors"))
+    read = lambda name: spark.read.parquet(f"{at}/{name}").withColumn("kind", F.col("kind").cast("string"))
+    c = read("chunks").join(spark.read.parquet(f"{at}/vectors"), "chunk_id", "left").groupBy("kind").agg(F.count("*").alias("chunks"), F.count("embedding").alias("vectors"))
+    n = lambda name: read(name).groupBy("kind").agg(F.count("*").alias(name))
+    return n("documents").join(c, "kind", "left").join(n("citations"), "kind", "left").na.fill(0)
 
 
 @query()
@@ -98,7 +105,7 @@ def stream_verify(spark, d):
     return s.stream_verify(claims, v.hits(spark, d), folder(spark, "verify"))
 
 
-_HASHED = f"{v.CHUNKS}, {v.hashed('hashed', 'chunk_id', 'content', 'chunks', 16)}, rounded AS (SELECT chunk_id, list_transform(embedding, lambda x: round(x, 4)::DOUBLE) AS embedding FROM hashed)"
+_HASHED = f"{v.CHUNKS}, {v.hashed('hashed', 'chunk_id', 'content', 'chunks', 16)}, rounded AS (SELECT chunk_id, list_transform(embedding, lambda x: round(x::DOUBLE, 4) + 0.0) AS embedding FROM hashed)"
 _ROUNDED = F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding")
 
 
