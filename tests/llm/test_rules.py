@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import struct
 from collections import Counter
@@ -83,3 +84,25 @@ def test_urls(spark):
     assert got[4] == ("example.org", "/en/12", "example.org/en/1", "block")
     assert got[5] == ("org", "", None, "allow") and got[6] == ("xorg", "/", None, "allow")
     assert got[7] == ("a.com", "/de/", "com/de/", "block") and got[8] == ("com", "/fr/", "com/fr/", "allow") and got[9] == ("example.org", "", None, "allow")
+
+
+def test_many_nested_rules_against_all_pairs(spark):
+    r = random.Random(5)
+    label = lambda: r.choice(["a", "b", "c", "ab", "", "a\x01b", "z\x02"])
+    host = lambda n: ".".join(label() for _ in range(r.randrange(n)))
+    path = lambda: "".join(r.choice("/ab") for _ in range(r.randrange(5)))
+    rules = [(r.choice(["allow", "block"]), h, path()) for h in (host(6) for _ in range(300)) if not set("\x01\x02") & set(h)]
+    pages = [(i, f"http://{host(7)}{p}") for i in range(600) for p in [r.choice(["", "/"]) and "/" + path()]]
+    pages += [(1000 + i, "x://hot.a.b.c/ab/" + path()) for i in range(300)]
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        out = judge_urls(spark.createDataFrame(pages, "page_id long, url string").repartition(9), spark.createDataFrame([*rules, (None, "a", "/"), ("allow", None, "/"), ("block", "q", None)], "action string, host string, path string"))
+        got = {x.page_id: x for x in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len(got) == len(pages)
+    for i, _ in pages:
+        x = got[i]
+        fit = [(len(h) + len(p), a, h + p) for a, h, p in rules if (x.host == h or x.host.endswith("." + h)) and x.path.startswith(p)]
+        assert (x.verdict, x.rule) == (max(fit)[1:] if fit else ("allow", None)), (x, sorted(fit)[-3:])
+    assert sum(x.rule is not None for x in got.values()) > 300
