@@ -94,11 +94,11 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = F.array(F.struct("label", "content"))
     s = s.select("doc_id", "pos", "chapter", F.posexplode(F.when(long(F.col("content")), split_subsections(F.col("label"), F.col("content"))).otherwise(whole)).alias("sub", "x"))
     s = s.select("doc_id", "pos", "sub", "chapter", "x.*").where("content <> ''")
-    # only what is too long passes a Python worker
-    packed = s.where(long(F.col("content"))).withColumn("parts", pack_sentences(F.col("content"), max_tokens, overlap_tokens))
-    packed = packed.select("doc_id", "pos", "sub", "chapter", "label", F.posexplode("parts").alias("part", "content"))
-    packed = packed.withColumn("label", F.concat("label", F.lit(" [part "), F.col("part") + 1, F.lit("]")))
-    s = s.where(~long(F.col("content"))).withColumn("part", F.lit(0)).unionByName(packed).withColumn("content", strip(F.col("content")))
+    # of what isn't too long, a Python worker sees nulls
+    parts = F.coalesce(pack_sentences(F.when(long(F.col("content")), F.col("content")), max_tokens, overlap_tokens), F.array("content"))
+    s = s.withColumn("long", long(F.col("content"))).select("doc_id", "pos", "sub", "chapter", "label", "long", F.posexplode(parts).alias("part", "content"))
+    label = F.when(F.col("long"), F.concat("label", F.lit(" [part "), F.col("part") + 1, F.lit("]"))).otherwise(F.col("label"))
+    s = s.withColumn("label", label).withColumn("content", strip(F.col("content")))
     s = s.withColumn("spans", F.count("*").over(Window.partitionBy("doc_id"))).withColumn("token_count", token_estimate(F.col("content")))
     s = s.where((F.col("spans") == 1) | ((F.col("token_count") >= min_tokens) & is_substantive(F.col("content"))))
     order = Window.partitionBy("doc_id").orderBy("pos", "sub", "part")

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import evaluation as e
 from tessera.operators import labels
-from tessera.operators.assess import order_of as a_order
 from tessera.sources import views as v
 
 from . import search
@@ -49,18 +46,7 @@ _SPLIT = f"{_CLAUSES}, parts AS (SELECT doc_id, risk, row_number() OVER (PARTITI
 
 @query(f"WITH {_SPLIT} SELECT * FROM parts")
 def stratified_split(spark, d):
-    """Of each class, the fifth with the smallest hashes is for testing. Which hash that
-    is, counts by the hashes' first four digits tell; only the one bucket where the
-    cut-off lies is sorted, so no task orders a class."""
-    c = _clauses(spark, d).withColumn("h", F.md5(F.concat(F.lit("7"), F.col("doc_id").cast("string")))).withColumn("b", F.left("h", F.lit(4)))
-    sizes = c.groupBy("risk", "b").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("risk").orderBy("b")
-    edge = sizes.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("goal", F.floor(0.2 * F.sum("n").over(Window.partitionBy("risk"))))
-    edge = edge.where("before <= goal and goal < before + n").select("risk", F.col("b").alias("at"), (F.col("goal") - F.col("before")).alias("more"))
-    j = c.join(F.broadcast(edge), "risk", "left")  # a row for each class
-    inside = j.where("b = at").withColumn("test", F.row_number().over(Window.partitionBy("risk", "b").orderBy("h", "doc_id")) <= F.col("more"))
-    out = j.where("b <> at or at is null").withColumn("test", F.coalesce(F.col("b") < F.col("at"), F.lit(True)))
-    return out.unionByName(inside).select("doc_id", "risk", "test")
+    return e.stratified_split(_clauses(spark, d), "doc_id", "risk")
 
 
 @query(f"WITH {_SPLIT} SELECT doc_id, risk, (SELECT mode(risk) FROM parts WHERE NOT test) AS predicted FROM parts WHERE test")
@@ -78,19 +64,7 @@ def classification_report(spark, d):
     """Precision, recall and F1 of each class, and accuracy and macro-F1 with each row; what
     would be divided by zero is 0. The high class's F1 is its row's."""
     p = _clauses(spark, d).withColumn("predicted", F.when(F.col("doc_id") % 5 == 0, "low").otherwise(F.col("risk")))
-    return report(p, ["high", "medium", "low"])
-
-
-def report(p, levels):
-    cells = p.groupBy("risk", "predicted").agg(F.count("*").alias("n"))
-    l = F.explode(F.array(*map(F.lit, levels)))
-    at = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    said, real = F.col("predicted") == F.col("l"), F.col("risk") == F.col("l")
-    s = cells.select("*", l.alias("l")).groupBy("l").agg(at(said & real).alias("tp"), at(said).alias("np"), at(real).alias("nr"), at(F.col("risk") == F.col("predicted")).alias("hits"), F.sum("n").alias("total"))
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    s = s.select(F.col("l").alias("risk"), ratio(F.col("tp"), F.col("np")).alias("precision"), ratio(F.col("tp"), F.col("nr")).alias("recall"), ratio(2 * F.col("tp"), F.col("np") + F.col("nr")).alias("f1"), ratio(F.col("hits"), F.col("total")).alias("accuracy"))
-    s = s.withColumn("macro_f1", F.avg("f1").over(Window.partitionBy(F.lit(1))))  # a row for each class
-    return s.select("risk", *[F.round(c, 6).alias(c) for c in s.columns[1:]])
+    return e.report(p, ["high", "medium", "low"])
 
 
 _ARMS = f"""{search.HYBRID}, arms AS (SELECT 'vector' AS retriever, query_id, rank, document_id FROM knn JOIN chunks USING (chunk_id) WHERE rank <= 8
@@ -100,27 +74,12 @@ _ARMS = f"""{search.HYBRID}, arms AS (SELECT 'vector' AS retriever, query_id, ra
     FROM queries CROSS JOIN (VALUES ('vector'), ('lexical'), ('hybrid')) x(retriever) JOIN wanted USING (query_id) LEFT JOIN good USING (retriever, query_id) GROUP BY ALL)"""
 
 
-def scores(hits, queries, relevant, k=8):
-    """(query_id, precision, recall, rr, hit): hits (query_id, document_id, rank) against
-    (query_id, document_id); a document found twice counts twice for precision, once for
-    recall; a query without hits has zeros."""
-    rel = relevant.select("query_id", "document_id", F.lit(True).alias("good"))
-    n = relevant.groupBy("query_id").agg(F.count_distinct("document_id").alias("wanted"))
-    good = F.coalesce("good", F.lit(False))
-    s = hits.join(rel, ["query_id", "document_id"], "left").groupBy("query_id").agg(
-        (F.count_if(good) / float(k)).alias("p"), F.count_distinct(F.when(good, F.col("document_id"))).alias("found"), F.max(F.when(good, 1.0 / F.col("rank")).otherwise(0.0)).alias("rr")
-    )
-    q = queries.select("query_id").join(s, "query_id", "left").join(n, "query_id", "left").na.fill(0)
-    rec = F.when(F.col("wanted") > 0, F.col("found") / F.col("wanted")).otherwise(0.0)
-    return q.select("query_id", F.round("p", 6).alias("precision"), F.round(rec, 6).alias("recall"), F.round("rr", 6).alias("rr"), (F.col("rr") > 0).alias("hit"))
-
-
 def by_arm(x) -> dict:
     """Scores of each retriever's hits against the query set's documents."""
     relevant = x.asked.select(F.col("id").alias("query_id"), F.explode("relevant").alias("document_id"))
     docs = x.chunks.select("chunk_id", "document_id")
     arms = {"vector": x.arms[0].where("rank <= 8"), "lexical": x.arms[1], "hybrid": x.fused}
-    return {name: scores(hits.join(docs, "chunk_id"), x.queries, relevant) for name, hits in arms.items()}
+    return {name: e.scores(hits.join(docs, "chunk_id"), x.queries, relevant) for name, hits in arms.items()}
 
 
 @query(f"{_ARMS} SELECT query_id, round(p, 6)::DOUBLE AS precision, round(rec, 6)::DOUBLE AS recall, round(rr, 6)::DOUBLE AS rr, rr > 0 AS hit FROM scores WHERE retriever = 'hybrid'")
@@ -128,25 +87,6 @@ def score_queries(spark, d):
     return by_arm(search.Retrieval(spark, d))["hybrid"]
 
 
-def means(arms: dict):
-    """(retriever, precision, recall, mrr, hit_rate) of scores by retriever."""
-    out = None
-    for name, s in arms.items():
-        one = s.agg(*[F.round(F.avg(F.col(c).cast("double")), 6).alias(to) for c, to in (("precision", "precision"), ("recall", "recall"), ("rr", "mrr"), ("hit", "hit_rate"))]).withColumn("retriever", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def nearest_ranks(timings, by: str, value: str):
-    """(by, p50, p95) without interpolation: the values at n // 2 and at 95 % of n, from 0, in
-    order; at most the last. Counts of equal values are summed up in order."""
-    per = timings.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
-    n = per.groupBy(by).agg(F.sum("c").alias("n"))
-    upto = per.withColumn("upto", F.sum("c").over(Window.partitionBy(by).orderBy(value))).join(n, by)
-    at = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
-    return upto.groupBy(by).agg(at(F.floor(F.col("n") / 2)).alias("p50"), at(F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)).alias("p95"))
-
-
 _TIMINGS = "timings AS (SELECT ['vector', 'lexical', 'hybrid'][event_id % 3 + 1] AS retriever, round(value, 2) AS ms FROM events)"
 
 
@@ -157,7 +97,7 @@ def aggregate_metrics(spark, d):
     """Means of each retriever's scores, and its latencies (events stand for what was timed)."""
     name = F.element_at(F.array(*map(F.lit, ("vector", "lexical", "hybrid"))), (F.col("event_id") % 3 + 1).cast("int"))
     timings = v.table(spark, d, "events").select(name.alias("retriever"), F.round("value", 2).alias("ms"))
-    return means(by_arm(search.Retrieval(spark, d))).join(nearest_ranks(timings, "retriever", "ms"), "retriever")
+    return e.means(by_arm(search.Retrieval(spark, d))).join(e.nearest_ranks(timings, "retriever", "ms"), "retriever")
 
 
 @query(f"{_ARMS} SELECT query_id FROM scores WHERE retriever = 'hybrid' AND rr = 0")
@@ -173,7 +113,7 @@ _DELTA = "round(max({c}) FILTER (retriever = 'hybrid') - max({c}) FILTER (retrie
   SELECT *, CASE WHEN recall_delta > 0 THEN 'adds recall' WHEN mrr_delta >= 0 THEN 'holds ranking' ELSE 'does not pay' END AS verdict FROM x""")
 def fusion_delta(spark, d):
     """What fusion adds to the better of its arms."""
-    m = means(by_arm(search.Retrieval(spark, d)))
+    m = e.means(by_arm(search.Retrieval(spark, d)))
     most = lambda c, own: F.max(F.when((F.col("retriever") == "hybrid") == F.lit(own), F.col(c)))
     x = m.agg(*[F.round(most(c, True) - most(c, False), 6).alias(f"{c}_delta") for c in ("mrr", "recall")])
     return x.withColumn("verdict", F.when(F.col("recall_delta") > 0, "adds recall").when(F.col("mrr_delta") >= 0, "holds ranking").otherwise("does not pay"))
@@ -208,34 +148,17 @@ def weight_sweep(spark, d):
 @query("""SELECT event_type AS stage, round(median(value), 6) AS p50, round(list_sort(list(value))[least(floor(count(value) * 0.95)::INT, count(value) - 1) + 1], 6) AS p95, round(avg(value), 6) AS mean, count(value) AS n,
   list_sort(list(value))[least(floor(count(value) * 0.95)::INT, count(value) - 1) + 1] <= 300 AS on_target FROM events GROUP BY event_type""")
 def latency_summary(spark, d):
-    """Median, nearest-rank 95th percentile, mean, number and verdict per stage. Values are
-    counted first; running counts over (stage, coarse value) tell the few values that the
-    ranks fall into, and only those are ordered, so no task sorts a stage."""
-    e = v.table(spark, d, "events").select(F.col("event_type").alias("stage"), "value").where("value is not null")
-    per = e.groupBy("stage", "value").agg(F.count("*").alias("c")).withColumn("b", F.floor(F.col("value")))
-    n = per.groupBy("stage").agg(F.sum("c").alias("n"), F.round(F.sum(F.col("value") * F.col("c")) / F.sum("c"), 6).alias("mean"))
-    coarse = per.groupBy("stage", "b").agg(F.sum("c").alias("k"))
-    before = Window.partitionBy("stage").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    coarse = coarse.withColumn("first", F.coalesce(F.sum("k").over(before), F.lit(0)))
-    ranks = n.select("stage", "n", F.explode(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2), F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1))).alias("rank")).distinct()
-    near = ranks.join(coarse, "stage").where("first <= rank and rank < first + k").select("stage", "rank", "b", "first")
-    inside = Window.partitionBy("stage", "b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    fine = per.join(near.select("stage", "b").distinct(), ["stage", "b"], "left_semi").withColumn("skip", F.coalesce(F.sum("c").over(inside), F.lit(0)))
-    at = near.join(fine, ["stage", "b"]).where("first + skip <= rank and rank < first + skip + c").select("stage", "rank", "value")
-    x = at.join(n, "stage")
-    pick = lambda r: F.max(F.when(F.col("rank") == r, F.col("value")))
-    p95 = pick(F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1))
-    out = x.groupBy("stage").agg(((pick(F.floor((F.col("n") - 1) / 2)) + pick(F.floor(F.col("n") / 2))) / 2).alias("p50"), p95.alias("p95"), F.max("mean").alias("mean"), F.max("n").alias("n"))
-    return out.select("stage", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "mean", "n", (F.col("p95") <= 300).alias("on_target"))
+    """Median, nearest-rank 95th percentile, mean, number and verdict per stage."""
+    return e.latency_summary(v.table(spark, d, "events").select(F.col("event_type").alias("stage"), "value"), 300)
 
 
 @query("""WITH t AS (SELECT event_type AS stage, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1 AS cold FROM events)
   SELECT stage, round(avg(value) FILTER (cold), 6) AS cold, round(avg(value) FILTER (NOT cold), 6) AS warm, round(avg(value) FILTER (cold) / greatest(avg(value) FILTER (NOT cold), 0.001), 6) AS ratio FROM t GROUP BY stage""")
 def cold_warm_ratio(spark, d):
     """How much longer a stage takes a user's first time, when nothing is cached, than later."""
-    e = v.table(spark, d, "events")
-    first = e.groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
-    t = e.join(first, ["user_id", "event_type"]).withColumn("cold", F.col("event_id") == F.col("first"))
+    events = v.table(spark, d, "events")
+    first = events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
+    t = events.join(first, ["user_id", "event_type"]).withColumn("cold", F.col("event_id") == F.col("first"))
     mean = lambda c: F.avg(F.when(c, F.col("value")))
     s = t.groupBy(F.col("event_type").alias("stage")).agg(mean(F.col("cold")).alias("cold"), mean(~F.col("cold")).alias("warm"))
     return s.select("stage", F.round("cold", 6).alias("cold"), F.round("warm", 6).alias("warm"), F.round(F.col("cold") / F.greatest("warm", F.lit(0.001)), 6).alias("ratio"))
@@ -244,7 +167,7 @@ def cold_warm_ratio(spark, d):
 def _baselines(spark, d):
     parts = stratified_split(spark, d).where("test").select("doc_id", "risk")
     model = parts.withColumn("predicted", F.when(F.col("doc_id") % 5 == 0, "low").otherwise(F.col("risk")))
-    return report(model, LEVELS).agg(F.max("macro_f1").alias("model")), report(majority_baseline(spark, d), LEVELS).agg(F.max("macro_f1").alias("baseline"))
+    return e.report(model, LEVELS).agg(F.max("macro_f1").alias("model")), e.report(majority_baseline(spark, d), LEVELS).agg(F.max("macro_f1").alias("baseline"))
 
 
 LEVELS = ["high", "medium", "low"]
@@ -263,21 +186,4 @@ def macro_gain(spark, d):
 def tfidf_logistic(spark, d):
     """Words and word pairs in two documents or more, weighed by tf-idf, classes balanced, a
     logistic regression over all training clauses; the report on the held-out ones."""
-    return tfidf_logistic_report(stratified_split(spark, d).join(v.table(spark, d, "documents").select("doc_id", "text"), "doc_id"))
-
-
-def tfidf_logistic_report(parts, iterations: int = 1000):
-    """``report`` of the held-out clauses (doc_id, risk, test, text); the fit stops before
-    ``iterations`` where it has converged."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
-    rows = parts.withColumn("w", words).where("size(w) > 0").withColumn("grams", F.when(F.size("w") > 1, F.concat("w", pairs)).otherwise(F.col("w")))
-    rows = rows.withColumn("label", a_order("risk", LEVELS) - 1.0).select("doc_id", "risk", "test", "grams", "label")
-    train = rows.where("not test")
-    n = train.groupBy("label").agg(F.count("*").alias("k"))
-    total = n.agg(F.sum("k").alias("all"), F.count("*").alias("classes"))
-    weights = n.crossJoin(F.broadcast(total)).select("label", (F.col("all") / (F.col("classes") * F.col("k"))).alias("weight"))
-    train = train.join(F.broadcast(weights), "label")  # a row for each class
-    model = Pipeline(stages=[CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=50_000, minDF=2), IDF(inputCol="tf", outputCol="features"), LogisticRegression(maxIter=iterations, regParam=0.01, weightCol="weight")]).fit(train)
-    out = model.transform(rows.where("test")).withColumn("predicted", F.element_at(F.array(*map(F.lit, LEVELS)), F.col("prediction").cast("int") + 1))
-    return report(out.select("risk", "predicted"), LEVELS)
+    return e.tfidf_logistic_report(stratified_split(spark, d).join(v.table(spark, d, "documents").select("doc_id", "text"), "doc_id"))

@@ -106,14 +106,17 @@ def stream_verify(spark, d):
 
 
 _HASHED = f"{v.CHUNKS}, {v.hashed('hashed', 'chunk_id', 'content', 'chunks', 16)}, rounded AS (SELECT chunk_id, list_transform(embedding, lambda x: round(x::DOUBLE, 4) + 0.0) AS embedding FROM hashed)"
-_ROUNDED = F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding")
+
+
+def rounded(df):
+    return df.select("chunk_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding"))
 
 
 @query(f"WITH {_HASHED} SELECT chunk_id, embedding FROM chunks LEFT JOIN rounded USING (chunk_id) WHERE ordinal > 0")
 def embed_batches(spark, d):
     """Vectors of the chunks that have none, by an encoder in batches."""
     pending = v.chunks(spark, d).where("ordinal > 0").select("chunk_id", "content")
-    return embedding.embed_batches(pending, embedding.HashEncoder()).select("chunk_id", _ROUNDED)
+    return rounded(embedding.embed_batches(pending, embedding.HashEncoder()))
 
 
 @query(f"WITH {_HASHED} SELECT chunk_id, embedding FROM chunks LEFT JOIN rounded USING (chunk_id)")
@@ -126,4 +129,4 @@ def reembed_corpus(spark, d):
     written(old, f"{at}/vectors", ("part",))
     for rounds in (1, None):
         embedding.reembed_corpus(chunks.drop("embedding"), f"{at}/vectors", embedding.HashEncoder(), at_once=3, rounds=rounds)
-    return spark.read.parquet(f"{at}/vectors").select("chunk_id", _ROUNDED)
+    return rounded(spark.read.parquet(f"{at}/vectors"))

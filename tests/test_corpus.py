@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from tessera.operators import corpus as c
-from tessera.plans.evaluation import LEVELS, tfidf_logistic_report
+from tessera.operators import evaluation as ev
+from tessera.operators.evaluation import LEVELS, tfidf_logistic_report
 
 DOC = "id string, kind string, source_ref string, content_hash string, title string, created_at int, updated_at int"
 
@@ -49,3 +50,33 @@ def test_tfidf_logistic_learns_what_words_tell(spark):
     rows += [(1000 + i, "high", i % 2 == 0, None) for i in range(4)]
     out = {x.risk: x for x in tfidf_logistic_report(spark.createDataFrame(rows, "doc_id long, risk string, test boolean, text string"), 20).collect()}
     assert set(out) == set(LEVELS) and min(x.f1 for x in out.values()) > 0.97 and out["low"].macro_f1 > 0.97
+
+
+def test_order_statistics_and_split(spark):
+    r = random.Random(2)
+    rows = [(k, r.choice([r.random(), 5.0, 1e6 * r.random(), -3.0])) for k in "ab" for _ in range(301)] + [("one", 4.0), ("same", 2.0), ("same", 2.0), ("none", None), (None, 1.0)]
+    t = spark.createDataFrame(rows, "stage string, value double")
+    got = {x.stage: (x.p50, x.p95) for x in ev.nearest_ranks(t, "stage", "value").collect()}
+    want = {}
+    for k in ("a", "b", "one", "same"):
+        o = sorted(x for s, x in rows if s == k)
+        want[k] = (o[len(o) // 2], o[min(int(len(o) * 0.95), len(o) - 1)])
+    assert {k: x for k, x in got.items() if k} == want
+    latency = {x.stage: x for x in ev.latency_summary(t, 3.0).collect()}
+    o = sorted(x for s, x in rows if s == "a")
+    assert latency["a"].p50 == round(o[150], 6) and latency["same"].on_target and not latency["one"].on_target and latency["one"].n == 1
+    assert ev.nearest_ranks(t.where("false"), "stage", "value").count() == 0
+    clauses = spark.createDataFrame([(i, "abc"[min(i // 40, 2)]) for i in range(103)] + [(999, None)], "id long, kind string")
+    parts = ev.stratified_split(clauses, "id", "kind").collect()
+    assert len(parts) == 104 and {k: sum(p.test for p in parts if p.kind == k) for k in ("a", "b", "c", None)} == {"a": 8, "b": 8, "c": 4, None: 0}
+    assert [p.id for p in sorted(ev.stratified_split(clauses, "id", "kind").collect(), key=lambda p: p.id) if p.test] == sorted(p.id for p in parts if p.test)
+
+
+def test_scores(spark):
+    hits = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 11, 3), (2, 9, 1)], "query_id long, document_id long, rank int")
+    queries = spark.createDataFrame([(1,), (2,), (3,)], "query_id long")
+    relevant = spark.createDataFrame([(1, 11), (1, 12), (2, 8), (3, 10)], "query_id long, document_id long")
+    got = {x.query_id: (x.precision, x.recall, x.rr, x.hit) for x in ev.scores(hits, queries, relevant, k=4).collect()}
+    assert got == {1: (0.5, 0.5, 0.5, True), 2: (0.0, 0.0, 0.0, False), 3: (0.0, 0.0, 0.0, False)}
+    m = ev.means({"x": ev.scores(hits, queries, relevant, k=4)}).first()
+    assert (m.retriever, m.precision, m.recall, m.mrr, m.hit_rate) == ("x", round(0.5 / 3, 6), round(0.5 / 3, 6), round(0.5 / 3, 6), round(1 / 3, 6))
