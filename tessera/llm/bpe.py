@@ -36,13 +36,9 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-@lru_cache(maxsize=1)
-def unassigned():
-    """Looks for a code point that Python's Unicode tables don't know."""
-    codes = [c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn"]
-    edges = [i for i in range(1, len(codes)) if codes[i] != codes[i - 1] + 1]
-    spans = [(codes[a], codes[z - 1]) for a, z in zip([0, *edges], [*edges, len(codes)])]
-    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in spans) + "]").search
+def unassigned(pieces: list[bytes]) -> set[str]:
+    """The characters of some pieces that Python's Unicode tables don't know."""
+    return {c for c in set(b"".join(pieces).decode()) if unicodedata.category(c) == "Cn"}
 
 
 class Vocabulary:
@@ -63,11 +59,11 @@ class Vocabulary:
         self.letter = byte_letters()
         self.path, self.library = path, None
 
-    def split(self, text: str) -> list[str]:
+    def split(self, text: str, unknown: set[str]) -> list[str]:
         """The words of a text without special tokens, normalised. Python's tables and the
         library's class code points alike but for those that Python's lack, so texts with
-        such ones are split by the library."""
-        if text.isascii() or not unassigned()(text):
+        such ones (``unknown``) are split by the library."""
+        if not unknown or unknown.isdisjoint(text):
             return self.words(self.normal(text))
         if self.library is None:
             from tokenizers import Tokenizer
@@ -266,14 +262,14 @@ class Encoder:
         return ids.take(back)
 
     def find(self, pieces: list[bytes]) -> Ragged:
-        v, place, number, sizes = self.vocabulary, {}, [], []
+        v, place, number, sizes, unknown = self.vocabulary, {}, [], [], unassigned(pieces)
         for piece in pieces:
             n = len(number)
             for i, part in enumerate(v.parts(piece.decode()) if b"<" in piece else (piece.decode(),)):
                 if i % 2:
                     number.append(-1 - v.special[part])
                 else:
-                    number += [place.setdefault(w, len(place)) for w in v.split(part)]
+                    number += [place.setdefault(w, len(place)) for w in v.split(part, unknown)]
             sizes.append(len(number) - n)
         number = np.array(number, dtype=np.int64)
         own = self.words([w.encode() for w in place])
@@ -328,8 +324,9 @@ def frequent_words(docs: DataFrame, path: str, text_col: str = "text", most: int
 
         for s in (s for b in batches for s in slices(b, 0, SLICE)):
             distinct, number, _ = cut_pieces(s.column(0))
+            unknown = unassigned(distinct)
             for piece, n in zip(distinct, np.bincount(number, minlength=len(distinct)).tolist()):
-                for w in v.split(piece.decode()):
+                for w in v.split(piece.decode(), unknown):
                     words[w] += n
             if len(words) > 300_000:
                 yield flush()
