@@ -183,7 +183,7 @@ def candidates(text: bytes, length: int, gram: int, rare: np.ndarray) -> tuple[n
     return np.flatnonzero(go), at[go], h
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 32, block: int = 3 << 19, crowd: int = 20_000, contents: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 32, block: int = 3 << 19, crowd: int = 2_000, contents: bool = True) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and,
     with ``contents``, kept (binary).
 
