@@ -39,8 +39,10 @@ def parse_model_json(replies: DataFrame, schema: str, required: list[str], text_
 
 def override_risk(findings: DataFrame, predictions: DataFrame, least: float = 0.6) -> DataFrame:
     """A classifier's level (key, label, confidence) takes the place of a finding's risk when
-    it is confident enough and a known level; risk_source, risk_confidence and changed tell so."""
-    p = predictions.select("key", "label", "confidence").dropDuplicates(["key"])
+    it is confident enough and a known level; risk_source, risk_confidence and changed tell so.
+    Findings without a key, or whose key has no prediction, keep theirs; of several
+    predictions of a key the most confident counts. Other columns are carried along."""
+    p = predictions.groupBy("key").agg(F.max(F.struct("confidence", "label")).alias("p")).select("key", "p.label", "p.confidence")
     j = findings.join(p, "key", "left")
     use = F.coalesce((F.col("confidence") >= least) & F.col("label").isin(RISKS), F.lit(False))
     return j.select(
@@ -63,8 +65,9 @@ def order_of(column: str, levels: list[str]) -> Column:
 
 def rank_cases(cases: DataFrame) -> DataFrame:
     """Cases of each run by use: those that take a side first, then by confidence, then by
-    how often they are cited; ties by id."""
-    w = Window.partitionBy("run").orderBy(F.col("stance") == "neutral", F.desc("confidence"), F.desc("cited_by"), "case_id")
+    how often they are cited; ties by id. Null confidences and counts come last, a null
+    stance takes a side no more than neutral does and comes after it."""
+    w = Window.partitionBy("run").orderBy(F.when(F.col("stance").isNull(), 2).when(F.col("stance") == "neutral", 1).otherwise(0), F.desc("confidence"), F.desc("cited_by"), "case_id")
     return cases.withColumn("rank", F.row_number().over(w))
 
 

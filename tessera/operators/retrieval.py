@@ -28,7 +28,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
-    """The k best hits of each query with ranks from 1; ties by chunk id."""
+    """The k best hits of each query with ranks from 1; ties by chunk id, null scores last."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -142,7 +142,13 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def rrf_fuse(arms: list[tuple[str, DataFrame, float]], limit: int, k: int = 60) -> DataFrame:
-    """Sum of weight / (k + rank) over arms; ties keep the first arm's order."""
+    """(query_id, chunk_id, score, matched_by, rank): the sum of weight / (k + rank) over arms
+    (name, hits, weight), ``limit`` of each query after the ranking.
+
+    Equal sums keep the order of the arms, then of the ranks there, then of the ids.
+    ``matched_by`` names the arms that found a chunk, also those of weight 0. A chunk that
+    an arm names twice adds up. Queries without hits have no rows; arms may be empty.
+    """
     union = None
     for i, (name, hits, weight) in enumerate(arms):
         h = hits.select("query_id", "chunk_id", F.lit(name).alias("arm"), F.lit(i).alias("a"), "rank", (F.lit(weight) / (F.col("rank") + k)).alias("s"))
