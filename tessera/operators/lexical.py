@@ -15,26 +15,29 @@ from tessera.sources.store import folder, get_text, listed, put_text, written
 
 ENTRY = "chunk_id string, document_id long, kind string, digest string"
 POSTING = "struct<chunk_id: string, document_id: bigint, kind: string, tf: bigint>"
-BLOCKS = f"term string, most bigint, postings array<{POSTING}>, bucket int"
+BLOCKS = f"term string, most bigint, longest int, postings array<{POSTING}>, bucket int"
 
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, document_id, kind, term): each occurrence in label and content, without stop words."""
+    """(chunk_id, document_id, kind, size, term): each occurrence in label and content, without
+    stop words; ``size`` is how many there are."""
     text = F.concat_ws(" ", *[c for c in ("label", "content") if c in chunks.columns])
-    own = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("document_id").cast("long").alias("document_id"), "kind", F.explode(terms(text)).alias("term"))
-    return own.where(~F.col("term").isin(STOP))
+    own = F.filter(terms(text), lambda t: ~t.isin(STOP))
+    rows = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("document_id").cast("long").alias("document_id"), "kind", own.alias("own"))
+    return rows.select("chunk_id", "document_id", "kind", F.size("own").alias("size"), F.explode("own").alias("term"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, document_id, kind, term, tf)."""
-    return chunk_terms(chunks).groupBy("chunk_id", "document_id", "kind", "term").agg(F.count("*").alias("tf"))
+    """(chunk_id, document_id, kind, size, term, tf)."""
+    return chunk_terms(chunks).groupBy("chunk_id", "document_id", "kind", "size", "term").agg(F.count("*").alias("tf"))
 
 
 class LexicalIndex:
     """Postings of chunks (chunk_id, document_id, kind, label, content), stored at ``at``.
 
-    Blocks hold up to ``block`` postings of one term, in falling frequency, under the
-    block's largest one, and lie in ``buckets`` partitions by a hash of the term. A
+    Blocks hold up to ``block`` postings of one term, from the longest chunk down, with the
+    block's largest frequency and longest chunk, and lie in ``buckets`` partitions by a
+    hash of the term. A
     refresh adds a segment with the chunks that are new or changed and notes which
     postings of older segments no longer hold; what did not change is not read again,
     but for its digest. A manifest makes a segment visible whole or not at all.
@@ -78,7 +81,7 @@ class LexicalIndex:
         fresh = postings(rows.join(new.select("chunk_id"), "chunk_id", "left_semi") if number else rows)
         bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
         # ranges, not terms, are dealt, so that a term that most chunks have is no task of its own
-        dealt = fresh.withColumns({"bucket": bucket, "less": -F.col("tf")}).repartitionByRange("bucket", "term", "less", "chunk_id").sortWithinPartitions("bucket", "term", "less", "chunk_id")
+        dealt = fresh.withColumns({"bucket": bucket, "less": -F.col("size")}).repartitionByRange("bucket", "term", "less", "chunk_id").sortWithinPartitions("bucket", "term", "less", "chunk_id")
         self._pack(dealt).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.at}/blocks/segment={number}")
         put_text(self.spark, f"{self.at}/commits/{number}.json", json.dumps({"entries": True, "stale": True, "blocks": n > 0}))
         return n
@@ -96,7 +99,9 @@ class LexicalIndex:
                 at = np.flatnonzero(place % block == 0)
                 rows = pa.StructArray.from_arrays([b.column(c) for c in ("chunk_id", "document_id", "kind", "tf")], ["chunk_id", "document_id", "kind", "tf"])
                 lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(code)), pa.int32()), rows)
-                yield pa.RecordBatch.from_arrays([term.take(pa.array(at)), pa.array(tf[at]), lists, b.column("bucket").take(pa.array(at))], ["term", "most", "postings", "bucket"])
+                first = pa.array(at)
+                cols = [term.take(first), pa.array(np.maximum.reduceat(tf, at)), b.column("size").take(first), lists, b.column("bucket").take(first)]
+                yield pa.RecordBatch.from_arrays(cols, ["term", "most", "longest", "postings", "bucket"])
 
         return dealt.mapInArrow(run, BLOCKS)
 
@@ -109,19 +114,20 @@ class LexicalIndex:
         """(query_id, chunk_id, score, rank): the k chunks of each query with the largest sum of
         frequencies of its terms, any of which matches; ties by chunk id.
 
-        First the best block of each term is read; the k-th sum there is one that the
-        answer reaches. A block whose largest frequency, with the largest ones of the
-        query's other terms, stays below it can't hold a chunk of the answer, so its
-        postings are not unpacked: no chunk is lost, as what it lacks in the sum is
-        less than it lacked already. Filters hold before the ranking. A query of stop words
-        only has no rows.
+        First the block of each term with the longest chunks is read; the k-th sum there is
+        one that the answer reaches. No sum exceeds the length of its chunk, nor the chunk's
+        frequency of one term with the largest ones of the query's other terms. A block
+        that stays below the k-th sum by either can't hold a chunk of the answer, so its
+        postings are not unpacked: no chunk is lost, as what it lacks in the sum is less
+        than it lacked already. Filters hold before the ranking. A query of stop words only
+        has no rows.
         """
         spark = self.spark
         q = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term")).where(~F.col("term").isin(STOP))
         q = written(q.distinct(), folder(spark, "terms"))
         bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
         asked = q.select("term").distinct().withColumn("bucket", bucket)
-        blocks = written(self._read("blocks", BLOCKS).join(asked, ["bucket", "term"]).select("term", "segment", "most", "postings"), folder(spark, "blocks"))
+        blocks = written(self._read("blocks", BLOCKS).join(asked, ["bucket", "term"]).select("term", "segment", "most", "longest", "postings"), folder(spark, "blocks"))
         most = blocks.groupBy("term").agg(F.max("most").alias("top"))
         together = q.join(most, "term").groupBy("query_id").agg(F.sum("top").alias("all"))
         stale = self.stale()
@@ -136,11 +142,12 @@ class LexicalIndex:
             return hits.groupBy("query_id", "chunk_id").agg(F.sum("tf").cast("double").alias("score"))
 
         rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-        first = Window.partitionBy("term").orderBy(F.desc("most"), "segment", "postings")
+        first = Window.partitionBy("term").orderBy(F.desc("longest"), F.desc("most"), "segment")
         best = q.join(blocks.withColumn("__r", F.row_number().over(first)).where("__r = 1"), "term")
         sure = scored(best).withColumn("r", F.row_number().over(rank)).where(F.col("r") == k).select("query_id", F.col("score").alias("least"))
         bounds = q.join(most, "term").join(together, "query_id").join(sure, "query_id", "left")
         # what this term has to bring at least
-        bounds = bounds.select("query_id", "term", (F.coalesce("least", F.lit(0.0)) - F.col("all") + F.col("top")).alias("need"))
-        needed = bounds.join(blocks, "term").where(F.col("most") >= F.col("need"))
+        least = F.coalesce("least", F.lit(0.0))
+        bounds = bounds.select("query_id", "term", least.alias("least"), (least - F.col("all") + F.col("top")).alias("need"))
+        needed = bounds.join(blocks, "term").where((F.col("most") >= F.col("need")) & (F.col("longest") >= F.col("least")))
         return scored(needed).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
