@@ -30,3 +30,8 @@ def test_query_matches_its_sql(spark, con, name):
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
     assert plain(map(tuple, got.select(*cols).collect())) == plain(want.select(*cols).fetchall())
+
+
+def test_feedback_names_every_rejected_claim(spark):
+    bad = QUERIES["verify_claims"](spark, DIR).where("verdict <> 'verified'").count()
+    assert sum(len(r.feedback.split("\n")) for r in QUERIES["rejection_feedback"](spark, DIR).collect()) == bad
