@@ -40,9 +40,13 @@ def run_status(events: DataFrame) -> DataFrame:
 
 def counters(events: DataFrame) -> DataFrame:
     """(run, retries, completed, progress): progress is the share of completed ones among a
-    run's events in whole per cent, at most 95 while it runs, 100 once it has ended. Also
-    for a stream, whose counts go on with each batch."""
+    run's events in whole per cent, at most 95 while it runs, 100 once it has ended."""
     of = lambda s: F.count_if(F.coalesce(F.col("status") == s, F.lit(False)) & F.col("node").isNotNull())
     s = events.groupBy("run").agg(of("retrying").alias("retries"), of("completed").alias("completed"), F.count("node").alias("n"), F.count_if(F.col("node").isNull()).alias("ends"))
+    return with_progress(s)
+
+
+def with_progress(counts: DataFrame) -> DataFrame:
+    """(run, retries, completed, progress) of counts (run, retries, completed, n, ends)."""
     share = F.floor(F.col("completed") * 100 / F.greatest("n", F.lit(1)) + 0.5)
-    return s.select("run", "retries", "completed", F.when(F.col("ends") > 0, F.lit(100).cast("long")).otherwise(F.least(share, F.lit(95).cast("long"))).alias("progress"))
+    return counts.select("run", "retries", "completed", F.when(F.col("ends") > 0, F.lit(100).cast("long")).otherwise(F.least(share, F.lit(95).cast("long"))).alias("progress"))

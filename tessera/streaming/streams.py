@@ -7,10 +7,12 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tessera.operators.trace import with_progress
 from tessera.operators.verify import folded_hits, judge_claims
 from tessera.sources.store import folder, listed, written
 
@@ -55,115 +57,115 @@ def timed(events: DataFrame, delay_ms: int) -> DataFrame:
     return events.withColumn("time", F.timestamp_micros("at")).withWatermark("time", f"{delay_ms} milliseconds")
 
 
+EVENTS = "run string, seq long, node string, status string, at long"
+
+
+def bytes_of(rows: pd.DataFrame) -> bytes:
+    out = pa.BufferOutputStream()
+    t = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(out, t.schema) as w:
+        w.write_table(t)
+    return out.getvalue().to_pybytes()
+
+
+def rows_of(state) -> pd.DataFrame | None:
+    return pa.ipc.open_stream(bytes(state.get()[0])).read_all().to_pandas() if state.exists() else None
+
+
 class UntilDone(StatefulProcessor):
-    """Holds a run's events back until none that is older can come, then forwards them in
-    order up to the terminal one. What a run is known by goes ``keep`` ms after its end."""
+    """Holds events back until none that is older can come, then forwards each run's in
+    order up to the terminal one. What a run is known by goes ``keep`` ms after its end.
 
-    EVENT = "seq long, node string, status string, at long"
+    A key is a bucket of runs, whose events are told apart by columns: a call for each run
+    costs over a millisecond, however few events it has."""
 
     def __init__(self, keep: int):
         self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.EVENT)
-        self.done = handle.getValueState("done", "done boolean, until long")
+        self.waiting = handle.getValueState("waiting", "rows binary")
+        self.done = handle.getValueState("done", "rows binary")  # runs, and until when they are known
+
+    def _hold(self, state, rows: pd.DataFrame) -> None:
+        state.update((bytes_of(rows),)) if len(rows) else state.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.done.exists():
-            # rows come before timers, so the time may be over already
-            if timerValues.getCurrentWatermarkInMs() < self.done.get()[1]:
-                return
-            self.done.clear()
-        new = [(int(r.seq), r.node, r.status, int(r.at)) for part in rows for r in part.astype(object).where(part.notna(), None).itertuples()]
-        self.waiting.appendList(new)
-        self.handle.registerTimer(min(at for *_, at in new) // 1000)
+        new = pd.concat([part[["run", "seq", "node", "status", "at"]] for part in rows], ignore_index=True)
+        done = rows_of(self.done)
+        if done is not None:
+            # rows come before timers, so the time of some may be over already
+            new = new[~new["run"].isin(done["run"][done["until"] > timerValues.getCurrentWatermarkInMs()])]
+        if len(new):
+            held = rows_of(self.waiting)
+            self._hold(self.waiting, new if held is None else pd.concat([held, new], ignore_index=True))
+            self.handle.registerTimer(int(new["at"].min()) // 1000)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        if self.done.exists():
-            # that of the end; timers of events that were dropped with it come earlier
-            if expiredTimerInfo.getExpiryTimeInMs() >= self.done.get()[1]:
-                self.done.clear()
-            return
-        held = sorted(((x[3], x[0], x[1], x[2]) for x in self.waiting.get()) if self.waiting.exists() else [])
-        ready = [x for x in held if x[0] // 1000 < now]
-        end = next((i for i, x in enumerate(ready) if x[2] is None), None)
-        if end is not None:
-            ready = ready[: end + 1]
-            self.waiting.clear()
-            self.done.update((True, now + self.keep))
-            self.handle.registerTimer(now + self.keep)
-        elif later := held[len(ready) :]:
-            self.waiting.put([(seq, node, status, at) for at, seq, node, status in later])
-            self.handle.registerTimer(later[0][0] // 1000)
-        else:
-            self.waiting.clear()
-        if ready:
-            yield pd.DataFrame([(key[0], seq, node, status, at) for at, seq, node, status in ready], columns=["run", "seq", "node", "status", "at"])
+        done, held = rows_of(self.done), rows_of(self.waiting)
+        left = None if done is None else done[done["until"] > now]
+        ready = None
+        if held is not None:
+            old = held["at"] // 1000 < now
+            ready = held[old].sort_values(["run", "at", "seq"], kind="stable")
+            end = ready["node"].isna()
+            ended = ready["run"][end].unique()
+            # how many ends of the run come before
+            before = end.astype("int64").groupby(ready["run"]).cumsum() - end
+            ready = ready[before == 0]
+            later = held[~old & ~held["run"].isin(ended)]
+            if old.any():
+                self._hold(self.waiting, later)
+            if len(later):
+                self.handle.registerTimer(int(later["at"].min()) // 1000)
+            if len(ended):
+                known = pd.DataFrame({"run": ended, "until": now + self.keep})
+                left = known if left is None else pd.concat([left, known], ignore_index=True)
+        if left is not None:
+            self._hold(self.done, left)
+            if len(left):
+                self.handle.registerTimer(int(left["until"].min()))
+        if ready is not None and len(ready):
+            yield ready.reset_index(drop=True)
 
     def close(self) -> None:
         pass
 
 
-def stream_until_done(events: DataFrame, at: str, delay_ms: int = 24 * HOUR, keep_ms: int = 24 * HOUR) -> DataFrame:
+def stream_until_done(events: DataFrame, at: str, delay_ms: int = 24 * HOUR, keep_ms: int = 24 * HOUR, buckets: int = 1024) -> DataFrame:
     """(run, seq, node, status, at) of a stream of events: each run's in order of (at, seq) up
     to its first terminal one, however they are dealt over batches.
 
     An event may be up to ``delay_ms`` late: it waits that long, and what comes later
     is dropped. A run's state goes ``keep_ms`` after its end, so ids of runs must not be used
     again sooner; a run that never ends holds only what still waits. Runs must not be null.
+    Runs are dealt over ``buckets``, each of which has its events in memory at one time.
     """
     spark = events.sparkSession
-    out = timed(events.select("run", "seq", "node", "status", "at"), delay_ms).groupBy("run").transformWithStateInPandas(
-        UntilDone(keep_ms), f"run string, {UntilDone.EVENT}", "Append", "EventTime"
-    )
+    dealt = timed(events.select("run", "seq", "node", "status", "at"), delay_ms).withColumn("bucket", F.pmod(F.xxhash64("run"), F.lit(buckets)))
+    out = dealt.groupBy("bucket").transformWithStateInPandas(UntilDone(keep_ms), EVENTS, "Append", "EventTime")
     with rocksdb(spark):
         run_to_end(out, at)
-    return spark.read.schema(f"run string, {UntilDone.EVENT}").parquet(*[f"{at}/out/{x}" for x in listed(spark, f"{at}/out")])
-
-
-class Counters(StatefulProcessor):
-    """A run's counts so far; they go when nothing was heard of it for ``keep`` ms."""
-
-    def __init__(self, keep: int):
-        self.keep = keep
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.counts = handle.getValueState("counts", "retries long, completed long, n long, ends long, last long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        retries, completed, n, ends, last = self.counts.get() if self.counts.exists() else (0, 0, 0, 0, 0)
-        for part in rows:
-            own = part["node"].notna()
-            retries += int((own & (part["status"] == "retrying")).sum())
-            completed += int((own & (part["status"] == "completed")).sum())
-            n, ends, last = n + int(own.sum()), ends + int((~own).sum()), max(last, int(part["at"].max()) // 1000)
-        self.counts.update((retries, completed, n, ends, last))
-        self.handle.registerTimer(last + self.keep)
-        progress = 100 if ends else min(95, int(100 * completed / max(n, 1) + 0.5))
-        yield pd.DataFrame({"run": [key[0]], "retries": [retries], "completed": [completed], "progress": [progress]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.counts.exists() and self.counts.get()[4] + self.keep <= expiredTimerInfo.getExpiryTimeInMs():
-            self.counts.clear()
-        yield from ()
-
-    def close(self) -> None:
-        pass
+    return spark.read.schema(EVENTS).parquet(*[f"{at}/out/{x}" for x in listed(spark, f"{at}/out")])
 
 
 def stream_counters(events: DataFrame, at: str, delay_ms: int = 24 * HOUR, keep_ms: int = 24 * HOUR) -> DataFrame:
     """(run, retries, completed, progress) of a stream of events, as ``operators.trace.counters``
-    counts them: a row for each run and batch that hears of it, of which the last is returned."""
-    spark, kind = events.sparkSession, "run string, retries long, completed long, progress long"
-    out = timed(events.select("run", "node", "status", "at"), delay_ms).groupBy("run").transformWithStateInPandas(Counters(keep_ms), kind, "Update", "EventTime")
+    counts them. A run's counts are kept by windows of ``keep_ms``; a batch writes those that
+    it changes, and the last of each window are added up. A window's counts leave the state
+    when no event of it can come any more, but not what was written."""
+    spark, n = events.sparkSession, ("retries", "completed", "n", "ends")
+    e, own = timed(events.select("run", "node", "status", "at"), delay_ms), F.col("node").isNotNull()
+    of = lambda s: F.count_if(F.coalesce(F.col("status") == s, F.lit(False)) & own)
+    counts = (of("retrying").alias("retries"), of("completed").alias("completed"), F.count("node").alias("n"), F.count_if(~own).alias("ends"))
+    out = e.groupBy("run", F.window("time", f"{keep_ms} milliseconds")).agg(*counts).select("run", F.unix_millis("window.start").alias("start"), *n)
     with rocksdb(spark):
         run_to_end(out, at, "update")
-    rows = spark.read.schema(f"{kind}, batch long").option("basePath", f"{at}/out").parquet(f"{at}/out")
-    return rows.groupBy("run").agg(F.max_by(F.struct("retries", "completed", "progress"), "batch").alias("x")).select("run", "x.*")
+    rows = spark.read.schema(f"run string, start long, {', '.join(f'{c} long' for c in n)}, batch long").option("basePath", f"{at}/out").parquet(f"{at}/out")
+    last = rows.groupBy("run", "start").agg(F.max_by(F.struct(*n), "batch").alias("x"))
+    return with_progress(last.groupBy("run").agg(*[F.sum(f"x.{c}").alias(c) for c in n]))
 
 
 def stream_verify(claims: DataFrame, hits: DataFrame, at: str) -> DataFrame:

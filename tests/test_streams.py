@@ -71,6 +71,22 @@ def test_counters_over_batches_and_again(spark, tmp_path):
     assert go() == plain(rows + more)
 
 
+def test_runs_of_one_bucket_are_told_apart(spark, tmp_path):
+    rows = [(f"r{k}", k * 10 + i, None if i == 2 else "a", 1, "ok", (k % 7 + i + 1) * HOUR) for k in range(500) for i in range(4)]
+    for i in range(2):
+        put(spark, rows[i::2] + [("last", 10**6 + i, "a", 1, "started", (20 + 30 * i) * HOUR)], EVENT, tmp_path)
+    out = streams.stream_until_done(read(spark, tmp_path, EVENT), f"{tmp_path}/s", delay_ms=30 * streams.HOUR, buckets=1)
+    assert sorted((r.run, r.seq) for r in out.collect()) == sorted((x[0], x[1]) for x in rows if x[1] % 10 < 3)
+
+
+def test_counts_outlive_their_state(spark, tmp_path):
+    """A run that is heard of again long after goes on from what was counted."""
+    for row in [("x", 1, "a", 1, "completed", 10 * HOUR), ("y", 2, "a", 1, "started", 900 * HOUR), ("y", 3, "a", 1, "retrying", 901 * HOUR), ("x", 4, "a", 1, "completed", 902 * HOUR)]:
+        put(spark, [row], EVENT, tmp_path)
+    out = streams.stream_counters(read(spark, tmp_path, EVENT), f"{tmp_path}/s", delay_ms=streams.HOUR, keep_ms=5 * streams.HOUR)
+    assert {tuple(r) for r in out.collect()} == {("x", 0, 2, 95), ("y", 1, 0, 0)}
+
+
 DOC = "doc_id long, source_ref string, text string"
 
 
