@@ -49,33 +49,40 @@ def split_subsections(label: Column, content: Column) -> Column:
     return F.when(F.size(parts) < 3, F.array(F.struct(label.alias("label"), content.alias("content")))).otherwise(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one))
 
 
-def windows(sentences: list[str], most: int, overlap: int) -> list[str]:
-    """Greedy windows of at most ``most`` tokens; each begins with the sentences at the end
-    of the one before that together have at most ``overlap`` tokens."""
-    size = [max(1, len(s) // 4) for s in sentences]
+def spans(size: list[int], most: int, overlap: int) -> list[tuple[int, int]]:
+    """(first, end) of greedy windows of at most ``most`` tokens over sentences of these sizes;
+    each begins with the sentences at the end of the one before that together have at most
+    ``overlap`` tokens."""
     out, first, total = [], 0, 0  # the window now open, and its tokens
     for i, n in enumerate(size):
         if i > first and total + n > most:
-            out.append(" ".join(sentences[first:i]).strip())
+            out.append((first, i))
             before, first, total = first, i, 0
             while first > before and total + size[first - 1] <= overlap:
                 first -= 1
                 total += size[first]
         total += n
-    if sentences:
-        out.append(" ".join(sentences[first:]).strip())
-    return out
+    return [*out, (first, len(size))] if size else out
 
 
-def pack_sentences(content: Column, max_tokens: int = 512, overlap_tokens: int = 48) -> Column:
-    """Array of windows of the sentences of ``content``. The fold over sentences that
-    carries a tail along is a vectorised Arrow function over spans that are too long."""
+def windows(sentences: list[str], most: int, overlap: int) -> list[str]:
+    """The sentences of each of ``spans`` as one text."""
+    return [" ".join(sentences[a:z]).strip() for a, z in spans([max(1, len(s) // 4) for s in sentences], most, overlap)]
 
-    @F.pandas_udf("array<string>")
-    def pack(spans: pd.Series) -> pd.Series:
-        return spans.map(lambda s: None if s is None else windows(list(s), max_tokens, overlap_tokens))
 
-    return pack(F.split(content, "(?Ud)" + SENTENCE_END))
+def pack_sentences(content: Column, max_tokens: int = 512, overlap_tokens: int = 48) -> Column:
+    """Array of windows of the sentences of ``content``, as ``windows`` makes them. The fold over
+    sentences that carries a tail along is a vectorised Arrow function; it sees their sizes
+    only, so that no text goes through a Python worker."""
+
+    @F.pandas_udf("array<struct<first: int, size: int>>")
+    def pack(sizes: pd.Series) -> pd.Series:
+        return sizes.map(lambda s: None if s is None else [{"first": a + 1, "size": z - a} for a, z in spans(list(map(int, s)), max_tokens, overlap_tokens)])
+
+    sentences = F.split(content, "(?Ud)" + SENTENCE_END)
+    edge = "[\\s\x1c-\x1f]+"  # what Python's strip takes for white space
+    text = lambda w: F.regexp_replace(F.array_join(F.slice(sentences, w["first"], w["size"]), " "), f"(?U)^{edge}|{edge}\\z", "")
+    return F.transform(pack(F.transform(sentences, token_estimate)), text)
 
 
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 512, min_tokens: int = 24, overlap_tokens: int = 48) -> DataFrame:
