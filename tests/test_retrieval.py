@@ -99,6 +99,16 @@ def test_lexical_index_and_search(spark, tmp_path):
     assert index.refresh(frame(rows)) > 0 and found() == by_words(QUERY, rows, 5)
 
 
+def test_a_posting_is_shuffled_once_for_all_queries(spark, tmp_path):
+    rows = [(f"c{i:03}", 1, "x", None, "w0 " * (i % 5 + 1) + f"w{i % 3 + 1}", None) for i in range(300)]
+    index = LexicalIndex(spark, str(tmp_path), block=8, buckets=2)
+    index.refresh(spark.createDataFrame(rows, CHUNK))
+    out = index.search(spark.createDataFrame([(q, "w0 w1") for q in range(50)], "query_id long, query string"), 3)
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    best = sorted(range(300), key=lambda i: (-(i % 5 + 1) - (i % 3 == 0), i))[:3]
+    assert sorted((x.query_id, x["rank"], x.chunk_id) for x in out.collect()) == [(q, r + 1, f"c{i:03}") for q in range(50) for r, i in enumerate(best)]
+
+
 def test_blocks_are_skipped(spark, tmp_path, monkeypatch):
     """What can't reach the k-th sum isn't unpacked: without these postings it's the same."""
     rows = [(f"c{i:03}", 1, "x", None, "w0 " * (400 - i) + "w1", None) for i in range(400)]
