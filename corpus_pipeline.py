@@ -48,7 +48,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (shingles of five words, Jaccard 0.8 or more),
-    the row with the smallest id."""
+    the row with the smallest id: SimHash links within three bits, held against the sets,
+    then what SimHash left apart."""
     docs = _numbered(docs)
     groups = jaccard_duplicates(docs, id_col="__row", percent=80, shingle=5)
     groups = groups.withColumnRenamed("doc_id", "__row")

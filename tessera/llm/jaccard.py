@@ -1,4 +1,4 @@
-"""Near duplicates by exact shingle Jaccard, with candidates by prefix filter."""
+"""Near duplicates by exact shingle Jaccard: SimHash links first, a prefix filter finds the rest."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .common import cut, stored
 from .components import connected_components
 from .pieces import slices
+from .simhash import majority, near_links
 from .windows import U, WordCodes, gram_hash, mix
 
 BUCKETS = 1 << 18  # of the counts by which shingles are ordered, rare ones first
@@ -86,6 +87,41 @@ def hashed_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, sig long, hs array<long>")
 
 
+def fingerprinted(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, sig, fp): a hash of the set of each text, and its SimHash fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = WordCodes()
+        for b in (s for b in batches for s in slices(b, 1, SLICE)):
+            sets = [shingle_set(t.as_py(), codes, shingle) for t in b.column(1)]
+            sig = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], dtype=U).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sig), pa.array([majority(h) for h in sets], pa.int64())], ["id", "sig", "fp"])
+
+    return docs.mapInArrow(run, "id long, sig long, fp long")
+
+
+def alike(pairs: DataFrame, docs: DataFrame, ids: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (u, su, v, sv) that are at least ``percent`` % similar, and the sets of ``ids``."""
+    sets = stored(hashed_sets(docs.join(ids, "id", "left_semi").dropDuplicates(["id", "t"]), shingle))
+    hu, hv = (sets.select(F.col("id").alias(x), F.col("sig").alias(f"s{x}"), F.col("hs").alias(f"h{x}")) for x in "uv")
+    both = F.size(F.array_intersect("hu", "hv"))
+    return pairs.join(hu, ["u", "su"]).join(hv, ["v", "sv"]).where(100 * both >= percent * (F.size("hu") + F.size("hv") - both)), sets
+
+
+def simhash_links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, distance: int) -> DataFrame:
+    """(u, v): links of SimHash fingerprints that differ in at most ``distance`` bits, those of
+    them whose sets are ``percent`` % similar. ``nodes`` has (node, sig, fp) of each different
+    set; of those with one fingerprint each is held against the smallest, which stands for them."""
+    n = nodes.where("node is not null")
+    first = stored(n.groupBy("fp").agg(F.min(F.struct("node", "sig")).alias("x")).select("fp", "x.*"))
+    sig = lambda x: first.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}"))
+    near = near_links(first.select("node", "fp"), distance).distinct().join(sig("u"), "u").join(sig("v"), "v").select("u", "su", "v", "sv")
+    equal = n.select("fp", F.col("node").alias("u"), F.col("sig").alias("su")).join(first.select("fp", F.col("node").alias("v"), F.col("sig").alias("sv")), "fp").where("su <> sv")
+    pairs = stored(near.unionByName(equal.select("u", "su", "v", "sv")))
+    ids = stored(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
+    return alike(pairs, docs, ids, shingle, percent)[0].select("u", "v")
+
+
 def similar_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Index pairs that connect what links of at least ``percent`` % connect; like
     ``simhash.forest``, no more pairs than sets come out."""
@@ -118,8 +154,9 @@ def similar_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
     return out
 
 
-def jaccard_links(docs: DataFrame, shingle: int, percent: int, small: int = 32, chunk: int = 1024) -> DataFrame:
-    """(u, v) links that connect all pairs of ids at least ``percent`` % similar.
+def jaccard_links(docs: DataFrame, shingle: int, percent: int, small: int = 32, chunk: int = 1024, known: DataFrame | None = None) -> DataFrame:
+    """(u, v) links that connect all pairs of ids at least ``percent`` % similar, but for those
+    that ``known`` (sig, c) has in one component already.
 
     Two such texts share a key of ``prefix_keys``. Where at most ``small`` different
     sets have a key, all their pairs are compared, each pair once; the sets of a more
@@ -131,11 +168,14 @@ def jaccard_links(docs: DataFrame, shingle: int, percent: int, small: int = 32,
     # the keys are made again rather than stored, so that only shared ones take up disk
     shared = found.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     keys = stored(found.join(shared, "key", "left_semi").groupBy("key", "sig").agg(F.min("id").alias("node"), F.first("n").alias("n")))
-    size = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    c = F.col("node") if known is None else F.coalesce("c", "node")
+    keys = (keys if known is None else keys.join(known, "sig", "left")).withColumn("c", c)
+    # a key whose sets are all connected already has no pair that is wanted
+    size = keys.groupBy("key").agg(F.count("*").alias("k"), F.min("c").alias("low"), F.max("c").alias("high")).where("k > 1 and low < high").select("key", "k")
     keys = stored(keys.join(size, "key"))
     few, many = keys.where(F.col("k") <= small), keys.where(F.col("k") > small)
-    a, b = few.select("key", F.col("node").alias("u"), F.col("sig").alias("su"), F.col("n").alias("nu")), few.select("key", F.col("node").alias("v"), F.col("sig").alias("sv"), F.col("n").alias("nv"))
-    fits = (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (F.col("su") < F.col("sv"))
+    a, b = few.select("key", F.col("node").alias("u"), F.col("sig").alias("su"), F.col("n").alias("nu"), F.col("c").alias("cu")), few.select("key", F.col("node").alias("v"), F.col("sig").alias("sv"), F.col("n").alias("nv"), F.col("c").alias("cv"))
+    fits = (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (F.col("su") < F.col("sv")) & (F.col("cu") != F.col("cv"))
     # two sets have in common the keys they share and at most what lies beyond one's own keys; those
     # that share a more common key too are compared below, so here all that they share is counted
     beyond = F.ceil(F.lit(percent) * F.greatest("nu", "nv") / 100) - 1
@@ -144,11 +184,8 @@ def jaccard_links(docs: DataFrame, shingle: int, percent: int, small: int = 32,
     pairs = stored(met.where(enough).select("u", "su", "v", "sv"))
     # as a table the ids have a known size, by which Spark sends them to the texts or shuffles both
     ids = stored(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).union(many.select("node")).distinct())
-    sets = stored(hashed_sets(docs.join(ids, "id", "left_semi").dropDuplicates(["id", "t"]), shingle))
-    hu, hv = (sets.select(F.col("id").alias(x), F.col("sig").alias(f"s{x}"), F.col("hs").alias(f"h{x}")) for x in "uv")
-    both = F.size(F.array_intersect("hu", "hv"))
-    same = pairs.join(hu, ["u", "su"]).join(hv, ["v", "sv"]).where(100 * both >= percent * (F.size("hu") + F.size("hv") - both))
-
+    same, sets = alike(pairs, docs, ids, shingle, percent)
+    hu = sets.select(F.col("id").alias("u"), F.col("sig").alias("su"), F.col("hs").alias("hu"))
     dealt = (
         many.withColumn("c", F.ceil(F.col("k") / chunk).cast("int"))
         .withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("c")).cast("int"))
@@ -178,7 +215,7 @@ def jaccard_links(docs: DataFrame, shingle: int, percent: int, small: int = 32,
     return same.select("u", "v").union(crowded)
 
 
-def jaccard_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5, **how) -> DataFrame:
+def jaccard_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5, distance: int = 3, **how) -> DataFrame:
     """(doc_id, component_id) of every id: the smallest id that links reach.
 
     Texts are lower-cased (A-Z), cut into words at ASCII white space and into
@@ -186,14 +223,20 @@ def jaccard_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of shingles, compared by 64-bit hashes, are at least ``percent`` % alike
     (common to all of both). Texts without words link to each other.
 
+    SimHash goes first: fingerprints of the sets that differ in at most ``distance`` bits
+    link their texts, if the sets are alike. Texts may be alike and differ in more bits,
+    so what SimHash left apart meets by ``jaccard_links``: no link is lost.
+
     A null id never is a component's id (null where all equal texts' ids are null);
     repeated rows are repeated in the result; an empty table gives no rows.
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    rows = cut(hashed_sets(d, shingle).select("id", "sig"))
-    nodes = rows.groupBy("sig").agg(F.min("id").alias("node"))
+    rows = cut(fingerprinted(d, shingle))
+    nodes = stored(rows.groupBy("sig").agg(F.min("id").alias("node"), F.first("fp").alias("fp")))
     # equal sets, among them the empty ones, link by their hash
-    equal = rows.join(nodes, "sig").where("id != node").select(F.col("id").alias("u"), F.col("node").alias("v"))
-    comp = connected_components(jaccard_links(d, shingle, percent, **how).union(equal))
+    equal = rows.join(nodes.select("sig", "node"), "sig").where("id != node").select(F.col("id").alias("u"), F.col("node").alias("v"))
+    close = cut(simhash_links(d, nodes, shingle, percent, distance))
+    known = stored(nodes.join(connected_components(close), "node").select("sig", F.col("component").alias("c")))
+    comp = connected_components(jaccard_links(d, shingle, percent, known=known, **how).union(close).union(equal))
     named = nodes.join(comp, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
     return rows.join(named, "sig", "left").select(F.col("id").alias("doc_id"), "component_id")

@@ -17,17 +17,21 @@ from .components import connected_components
 BITS = 64
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the 64-bit hashes, as a signed long."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for i in range(0, len(h), 65536):  # memory stays bounded for very long texts
+        ones += np.unpackbits(h[i : i + 65536].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     """Majority bits of the XXH64 values of all word shingles, as a signed long."""
     words = text.lower().split()  # of bytes: ASCII letters and white space only
     if not words:
         return 0
     shingles = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), dtype="<u8")
-    ones = np.zeros(BITS, dtype=np.int64)
-    for i in range(0, len(h), 65536):  # memory stays bounded for very long texts
-        ones += np.unpackbits(h[i : i + 65536].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), dtype="<u8"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

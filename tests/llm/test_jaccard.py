@@ -76,3 +76,31 @@ def test_null_ids_and_empty_tables(spark, nothing):
     d = spark.createDataFrame([(None, "a b c " * 30), (1, "a b c " * 30), (1, "a b c " * 30), (None, "x y z u v w"), (7, None), (5, "")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in jaccard_duplicates(d).collect()), key=str)
     assert got == sorted([(None, 1), (1, 1), (1, 1), (None, None), (7, 5), (5, 5)], key=str)
+
+
+def test_simhash_links_are_found_first_and_are_alike(spark):
+    """Links come from fingerprints at most three bits apart whose sets are alike; they leave some apart."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm.jaccard import fingerprinted, simhash_links
+
+    rows = edited()
+    d = spark.createDataFrame([(i, t.encode()) for i, t in rows], "id long, t binary")
+    fps = stored(fingerprinted(d, 5))
+    bits = {r.id: r.fp for r in fps.collect()}
+    nodes = stored(fps.groupBy("sig").agg(F.min("id").alias("node"), F.first("fp").alias("fp")))
+    links = {(r.u, r.v) for r in simhash_links(d, nodes, 5, 80, 3).collect()}
+    comp = components(rows)
+    assert links and len(links) < sum(i != c for i, c in comp.items())
+    assert all(bin((bits[u] ^ bits[v]) & (2**64 - 1)).count("1") <= 3 and comp[u] == comp[v] for u, v in links)
+
+
+def test_near_stage_goes_by_simhash(spark, monkeypatch):
+    import tessera.llm.jaccard as jaccard
+
+    asked = []
+    links = jaccard.near_links
+    monkeypatch.setattr(jaccard, "near_links", lambda nodes, distance: asked.append(distance) or links(nodes, distance))
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in edited()], DOCS)
+    corpus_pipeline.near_stage(spark, stored(d), "").collect()
+    assert asked == [3]
