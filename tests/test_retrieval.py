@@ -109,6 +109,15 @@ def test_a_posting_is_shuffled_once_for_all_queries(spark, tmp_path):
     assert sorted((x.query_id, x["rank"], x.chunk_id) for x in out.collect()) == [(q, r + 1, f"c{i:03}") for q in range(50) for r, i in enumerate(best)]
 
 
+def test_first_blocks_are_found_before_the_shuffle(spark):
+    one = lambda c, tf: [(c, 1, "x", tf)]
+    rows = [("w0", 0, 5, 9, one("a", 5)), ("w0", 1, 7, 9, one("b", 7)), ("w0", 2, 7, 9, one("c", 7)), ("w0", 0, 8, 3, one("d", 8)), ("w1", 3, 1, 1, one("e", 1))]
+    blocks = spark.createDataFrame(rows, "term string, segment int, most long, longest int, postings array<struct<chunk_id: string, document_id: long, kind: string, tf: long>>")
+    out = LexicalIndex._longest(blocks)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x.term, x.segment, x.postings[0].chunk_id) for x in out.collect()) == [("w0", 1, "b"), ("w1", 3, "e")]
+
+
 def test_blocks_are_skipped(spark, tmp_path, monkeypatch):
     """What can't reach the k-th sum isn't unpacked: without these postings it's the same."""
     rows = [(f"c{i:03}", 1, "x", None, "w0 " * (400 - i) + "w1", None) for i in range(400)]
