@@ -52,6 +52,29 @@ def test_tfidf_logistic_learns_what_words_tell(spark):
     assert set(out) == set(LEVELS) and min(x.f1 for x in out.values()) > 0.97 and out["low"].macro_f1 > 0.97
 
 
+def test_tfidf_logistic_reads_a_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(x):
+        seen.add(1)
+        return x
+
+    rows = [(i, LEVELS[i % 3], i % 5 == 0, f"{'alpha beta gamma'.split()[i % 3]} the x{i % 7}") for i in range(60)]
+    parts = spark.createDataFrame(rows, "doc_id long, risk string, test boolean, text string").withColumn("text", read.asNondeterministic()("text"))
+    assert {x.risk for x in tfidf_logistic_report(parts, 5).collect()} == set(LEVELS) and seen.value == len(rows)
+
+
+def test_vocabulary_is_of_the_most_frequent_grams_whatever_the_partitions(spark, tmp_path):
+    texts = ["b a b a", "d c b a", "e e e e", "c d", "d c", None, ""]
+    t = spark.createDataFrame([(x,) for x in texts], "text string").select(F.split("text", " ").alias("w")).where("w[0] <> ''")
+    for parts in (1, 3):
+        t.repartition(parts).write.mode("overwrite").parquet(f"{tmp_path}/{parts}")
+        at = spark.read.parquet(f"{tmp_path}/{parts}")
+        # a, b: 3 times; b a: 3; c, d: 3; d c: 2; a b and e in one row only, c b and c d once
+        assert ev.vocabulary(at, "w", 9) == ["a", "b", "b a", "c", "d", "d c"] and ev.vocabulary(at, "w", 3) == ["a", "b", "b a"]
+
+
 def test_order_statistics_and_split(spark):
     r = random.Random(2)
     rows = [(k, r.choice([r.random(), 5.0, 1e6 * r.random(), -3.0])) for k in "ab" for _ in range(301)] + [("one", 4.0), ("same", 2.0), ("same", 2.0), ("none", None), (None, 1.0)]
