@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import admission, assess, labels, trace
 from tessera.operators.graph import expand_via_graph, resolve_targets
+from tessera.plans import search
+from tessera.plans.catalog import QUERIES
 
 
 def test_parse_model_json(spark):
@@ -131,3 +133,17 @@ def test_spans_status_and_counters(spark):
     only = spark.createDataFrame([("c", 1, "x", 1, "completed", 1), (None, 1, None, None, "error", 1)], EVENT)
     assert {tuple(r) for r in trace.counters(only).collect()} == {("c", 0, 1, 95), (None, 0, 0, 100)}
     assert all(f(e.where("false")).count() == 0 for f in (trace.node_spans, trace.run_status, trace.counters, trace.until_done))
+
+
+def test_findings_are_verified_once(spark, monkeypatch):
+    seen, verify = spark.sparkContext.accumulator(0), search.verify_claims
+
+    @F.udf("string")
+    def read(x):
+        seen.add(1)
+        return x
+
+    monkeypatch.setattr(search, "verify_claims", lambda s, d: verify(s, d).withColumn("quote", read.asNondeterministic()("quote")))
+    at = "/root/testdata/sf0.001"
+    assert QUERIES["findings_by_risk"](spark, at).count() > 0
+    assert seen.value == verify(spark, at).count()
