@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import bpe_round_trip
-from tessera.llm.common import stored, table
+from tessera.llm.common import gathered, stored, table
 from tessera.llm.exact import exact_dedup
-from tessera.llm.jaccard import jaccard_duplicates
+from tessera.llm.jaccard import TEXTS, jaccard_duplicates
 from tessera.llm.mixing import mix
 from tessera.llm.quality import quality_rules
 
@@ -28,7 +28,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows of numbered ``docs`` whose numbers are in ``rows``."""
-    return docs.join(rows.select("__row"), "__row", "left_semi").drop("__row")
+    return gathered(docs.join(rows.select("__row"), "__row", "left_semi").drop("__row"), docs.count(), TEXTS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard_duplicates(docs, id_col="__row", percent=80, shingle=5)
     groups = groups.withColumnRenamed("doc_id", "__row")
     several = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    ids = stored(groups.join(several, "component_id", "left_semi").join(docs.select("doc_id", "__row"), "__row"))
+    most = docs.count()
+    ids = groups.join(several, "component_id", "left_semi").join(docs.select("doc_id", "__row"), "__row")
+    ids = stored(gathered(ids, most))
     first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first"))
     # few rows go; as a table they have a known size, by which Spark sends them to the texts or shuffles both
-    gone = stored(ids.join(first.select("first.__row"), "__row", "left_anti").select("__row"))
+    gone = stored(gathered(ids.join(first.select("first.__row"), "__row", "left_anti").select("__row"), most))
     return docs.join(gone, "__row", "left_anti").drop("__row")
 
 

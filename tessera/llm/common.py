@@ -52,6 +52,13 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame, rows: int, each: int = 1 << 17) -> DataFrame:
+    """``df`` of at most ``rows`` rows in no more partitions than rows of that size need,
+    ``each`` in one, and at least one for each core. What is written next has as many files,
+    and for each an executor starts processes, where the file system is a local one."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def most_frequent(rows: DataFrame, most: int, count: str = "n") -> DataFrame:
     """The rows with the largest counts, at most ``most``: all from a cut-off on, which is
     exact to nine bits. A histogram of the counts, of at most 256 rows for each power

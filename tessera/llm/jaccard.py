@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, gathered, stored
 from .components import connected_components
 from .pieces import slices
 from .simhash import majority, near_links
@@ -18,6 +18,7 @@ from .windows import U, WordCodes, gram_hash, mix
 
 BUCKETS = 1 << 18  # of the counts by which shingles are ordered, rare ones first
 SLICE = 8 << 20  # bytes of text in work at a time
+TEXTS = 4096  # in a partition, where there are few
 
 
 def shingle_set(text: bytes | None, codes: WordCodes, shingle: int) -> np.ndarray:
@@ -102,7 +103,8 @@ def fingerprinted(docs: DataFrame, shingle: int) -> DataFrame:
 
 def alike(pairs: DataFrame, docs: DataFrame, ids: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The pairs (u, su, v, sv) that are at least ``percent`` % similar, and the sets of ``ids``."""
-    sets = stored(hashed_sets(docs.join(ids, "id", "left_semi").dropDuplicates(["id", "t"]), shingle))
+    found = hashed_sets(docs.join(ids, "id", "left_semi").dropDuplicates(["id", "t"]), shingle)
+    sets = stored(gathered(found, docs.count(), TEXTS))
     hu, hv = (sets.select(F.col("id").alias(x), F.col("sig").alias(f"s{x}"), F.col("hs").alias(f"h{x}")) for x in "uv")
     both = F.size(F.array_intersect("hu", "hv"))
     return pairs.join(hu, ["u", "su"]).join(hv, ["v", "sv"]).where(100 * both >= percent * (F.size("hu") + F.size("hv") - both)), sets
@@ -113,12 +115,15 @@ def simhash_links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int,
     them whose sets are ``percent`` % similar. ``nodes`` has (node, sig, fp) of each different
     set; of those with one fingerprint each is held against the smallest, which stands for them."""
     n = nodes.where("node is not null")
-    first = stored(n.groupBy("fp").agg(F.min(F.struct("node", "sig")).alias("x")).select("fp", "x.*"))
+    most = n.count()
+    first = stored(gathered(n.groupBy("fp").agg(F.min(F.struct("node", "sig")).alias("x")).select("fp", "x.*"), most))
     sig = lambda x: first.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}"))
     near = near_links(first.select("node", "fp"), distance).distinct().join(sig("u"), "u").join(sig("v"), "v").select("u", "su", "v", "sv")
     equal = n.select("fp", F.col("node").alias("u"), F.col("sig").alias("su")).join(first.select("fp", F.col("node").alias("v"), F.col("sig").alias("sv")), "fp").where("su <> sv")
-    pairs = stored(near.unionByName(equal.select("u", "su", "v", "sv")))
-    ids = stored(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
+    pairs = near.unionByName(equal.select("u", "su", "v", "sv"))
+    # a fingerprint has 20 keys, in each of which a forest links it, and equal ones one first id
+    pairs = stored(gathered(pairs, 21 * most))
+    ids = stored(gathered(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), most))
     return alike(pairs, docs, ids, shingle, percent)[0].select("u", "v")
 
 
@@ -154,25 +159,29 @@ def similar_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
     return out
 
 
-def jaccard_links(docs: DataFrame, shingle: int, percent: int, small: int = 32, chunk: int = 1024, known: DataFrame | None = None) -> DataFrame:
+def jaccard_links(docs: DataFrame, shingle: int, percent: int, small: int = 32, chunk: int = 1024, known: DataFrame | None = None) -> tuple[DataFrame, int]:
     """(u, v) links that connect all pairs of ids at least ``percent`` % similar, but for those
-    that ``known`` (sig, c) has in one component already.
+    that ``known`` (sig, c) has in one component already; and how many they are at most.
 
     Two such texts share a key of ``prefix_keys``. Where at most ``small`` different
     sets have a key, all their pairs are compared, each pair once; the sets of a more
     common key are dealt over pairs of chunks, each one bounded group that gives a
     spanning forest. Nothing is sampled or capped.
     """
-    found = prefix_keys(docs, bucket_counts(docs, shingle), shingle, percent)
+    counts = bucket_counts(docs, shingle)
+    found = prefix_keys(docs, counts, shingle, percent)
+    most = int(counts.sum()) * (100 - percent) // 100 + docs.count()
     # most keys are one text's alone: counts, combined before their shuffle, tell which, and
     # the keys are made again rather than stored, so that only shared ones take up disk
     shared = found.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    keys = stored(found.join(shared, "key", "left_semi").groupBy("key", "sig").agg(F.min("id").alias("node"), F.first("n").alias("n")))
+    keys = found.join(shared, "key", "left_semi").groupBy("key", "sig").agg(F.min("id").alias("node"), F.first("n").alias("n"))
+    keys = stored(gathered(keys, most))
+    most = keys.count()
     c = F.col("node") if known is None else F.coalesce("c", "node")
     keys = (keys if known is None else keys.join(known, "sig", "left")).withColumn("c", c)
     # a key whose sets are all connected already has no pair that is wanted
     size = keys.groupBy("key").agg(F.count("*").alias("k"), F.min("c").alias("low"), F.max("c").alias("high")).where("k > 1 and low < high").select("key", "k")
-    keys = stored(keys.join(size, "key"))
+    keys = stored(gathered(keys.join(size, "key"), most))
     few, many = keys.where(F.col("k") <= small), keys.where(F.col("k") > small)
     a, b = few.select("key", F.col("node").alias("u"), F.col("sig").alias("su"), F.col("n").alias("nu"), F.col("c").alias("cu")), few.select("key", F.col("node").alias("v"), F.col("sig").alias("sv"), F.col("n").alias("nv"), F.col("c").alias("cv"))
     fits = (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (F.col("su") < F.col("sv")) & (F.col("cu") != F.col("cv"))
@@ -181,9 +190,10 @@ def jaccard_links(docs: DataFrame, shingle: int, percent: int, small: int = 32,
     beyond = F.ceil(F.lit(percent) * F.greatest("nu", "nv") / 100) - 1
     enough = (100 + percent) * F.least("nu", "nv", F.col("shared") + beyond) >= percent * (F.col("nu") + F.col("nv"))
     met = a.join(b, "key").where(fits).groupBy("u", "su", "nu", "v", "sv", "nv").agg(F.count("*").alias("shared"))
-    pairs = stored(met.where(enough).select("u", "su", "v", "sv"))
+    pairs = stored(gathered(met.where(enough).select("u", "su", "v", "sv"), most * small // 2))
     # as a table the ids have a known size, by which Spark sends them to the texts or shuffles both
-    ids = stored(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).union(many.select("node")).distinct())
+    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).union(many.select("node")).distinct()
+    ids = stored(gathered(ids, docs.count()))
     same, sets = alike(pairs, docs, ids, shingle, percent)
     hu = sets.select(F.col("id").alias("u"), F.col("sig").alias("su"), F.col("hs").alias("hu"))
     dealt = (
@@ -212,7 +222,8 @@ def jaccard_links(docs: DataFrame, shingle: int, percent: int, small: int = 32,
         yield links(ids, sets)
 
     crowded = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long")
-    return same.select("u", "v").union(crowded)
+    most = pairs.count() + (many.agg(F.sum(F.ceil(F.col("k") / chunk))).first()[0] or 0)
+    return same.select("u", "v").union(crowded), most
 
 
 def jaccard_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5, distance: int = 3, **how) -> DataFrame:
@@ -232,11 +243,14 @@ def jaccard_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
     rows = cut(fingerprinted(d, shingle))
-    nodes = stored(rows.groupBy("sig").agg(F.min("id").alias("node"), F.first("fp").alias("fp")))
+    nodes = stored(gathered(rows.groupBy("sig").agg(F.min("id").alias("node"), F.first("fp").alias("fp")), d.count()))
+    most = nodes.count()
     # equal sets, among them the empty ones, link by their hash
     equal = rows.join(nodes.select("sig", "node"), "sig").where("id != node").select(F.col("id").alias("u"), F.col("node").alias("v"))
-    close = cut(simhash_links(d, nodes, shingle, percent, distance))
-    known = stored(nodes.join(connected_components(close), "node").select("sig", F.col("component").alias("c")))
-    comp = connected_components(jaccard_links(d, shingle, percent, known=known, **how).union(close).union(equal))
+    close = cut(gathered(simhash_links(d, nodes, shingle, percent, distance), 21 * most))
+    known = nodes.join(connected_components(close, close.count()), "node").select("sig", F.col("component").alias("c"))
+    known = stored(gathered(known, most))
+    links, found = jaccard_links(d, shingle, percent, known=known, **how)
+    comp = connected_components(links.union(close).union(equal), found + close.count() + d.count())
     named = nodes.join(comp, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
     return rows.join(named, "sig", "left").select(F.col("id").alias("doc_id"), "component_id")

@@ -104,3 +104,24 @@ def test_near_stage_goes_by_simhash(spark, monkeypatch):
     d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in edited()], DOCS)
     corpus_pipeline.near_stage(spark, stored(d), "").collect()
     assert asked == [3]
+
+
+def test_near_stage_writes_few_files_where_partitions_are_many(spark, tmp_path, monkeypatch):
+    """A table of few rows gets as many files as there are cores, not one for each shuffle partition."""
+    import tessera.llm.common as common
+
+    rows = edited()
+    d = stored(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS))
+    monkeypatch.setattr(common, "shared_dir", lambda s, own=common.shared_dir: own(s) and str(tmp_path))
+    conf = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        kept = {r.doc_id for r in corpus_pipeline.near_stage(spark, d, "").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert kept == {i for i, c in components(rows).items() if i == c}
+    tables = [sum(1 for _ in t.glob("part-*.parquet")) for t in tmp_path.glob("table-*")]
+    assert len(tables) > 10 and max(tables) <= spark.sparkContext.defaultParallelism
