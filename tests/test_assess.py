@@ -68,6 +68,12 @@ def test_rankings(spark):
     assert n == {"supports": 3, "opposes": 1, "neutral": 2, "none": 0}
 
 
+def test_memo_ends_in_the_break_before_a_line(spark):
+    ranked = spark.createDataFrame([("r", 1, "a", "supports", 0.5, "x" * 11), ("r", 2, "b", "opposes", 0.5, "y")], "run string, rank int, case_id string, stance string, confidence double, quote string")
+    line = "a | supports | 0.50 | " + "x" * 11
+    assert [assess.memo_input(ranked, len(line) + n).first().memo for n in (0, 1, 2)] == [line, line + "\n", line + "\nb"]
+
+
 def test_case_research(spark):
     kind = "run long, chunk_id string, document_id long, content string"
     text = "It was held that the ladder belongs to whoever paid for its rungs."
