@@ -109,6 +109,21 @@ def test_a_posting_is_shuffled_once_for_all_queries(spark, tmp_path):
     assert sorted((x.query_id, x["rank"], x.chunk_id) for x in out.collect()) == [(q, r + 1, f"c{i:03}") for q in range(50) for r, i in enumerate(best)]
 
 
+def test_postings_are_packed_without_a_shuffle(spark, tmp_path):
+    from tessera.operators.lexical import chunk_terms
+
+    rows = texts(200, 5)
+    index = LexicalIndex(spark, str(tmp_path), block=4, buckets=3, run=500)  # so a task packs several times
+    packed = index._pack(chunk_terms(spark.createDataFrame(rows, CHUNK).repartition(2).cache()))
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("InMemoryRelation")[0] and "Aggregate" not in plan
+    blocks, of = packed.collect(), {c: words(l) + words(t) for c, _, _, l, t, _ in rows}
+    assert sorted((p.chunk_id, b.term, p.tf) for b in blocks for p in b.postings) == sorted((c, w, own.count(w)) for c, own in of.items() for w in set(own))
+    for b in blocks:
+        sizes = [len(of[p.chunk_id]) for p in b.postings]
+        assert sizes == sorted(sizes, reverse=True) and b.longest == sizes[0] and b.most == max(p.tf for p in b.postings) and len(sizes) <= 4
+
+
 def test_first_blocks_are_found_before_the_shuffle(spark):
     one = lambda c, tf: [(c, 1, "x", tf)]
     rows = [("w0", 0, 5, 9, one("a", 5)), ("w0", 1, 7, 9, one("b", 7)), ("w0", 2, 7, 9, one("c", 7)), ("w0", 0, 8, 3, one("d", 8)), ("w1", 3, 1, 1, one("e", 1))]
