@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import admission, assess, labels, trace
+from tessera.operators.embedding import HashEncoder
 from tessera.operators.graph import expand_via_graph, resolve_targets
 from tessera.plans import search
 from tessera.plans.catalog import QUERIES
@@ -97,6 +98,20 @@ def test_graph(spark):
     assert expand_via_graph(hits.where("false"), got, queries, chunks).count() == 0
 
 
+def test_passages_of_cited_documents_are_found_by_both_arms(spark):
+    """By words alone where no vector stands out, and the vectors' best first otherwise."""
+    from tessera.operators.graph import passages
+
+    e = HashEncoder(64)
+    v = lambda t: e.encode([t])[0]
+    text = [("4-0", 4, None, "nothing of it"), ("4-1", 4, "Section 12", "nothing of it"), ("4-2", 4, None, None), ("5-0", 5, None, "see CASE-12 here"), ("5-1", 5, None, "case 12 case 12"), ("6-0", 6, None, "CASE-12")]
+    chunks = spark.createDataFrame([(c, d, l, t, v(t) if t and d == 5 else None) for c, d, l, t in text], "chunk_id string, document_id long, label string, content string, embedding array<float>")
+    targets = spark.createDataFrame([(4, "CASE-12"), (4, "CASE-12"), (5, "CASE-12"), (7, "CASE-12")], "target_id long, ref string")
+    got = sorted(map(tuple, passages(targets, chunks, e).collect()))
+    both = round(1 / 61 + 0.1 / 62, 9)
+    assert got == [(4, "CASE-12", "4-1", round(0.1 / 61, 9)), (5, "CASE-12", "5-0", both)]
+
+
 def test_labels(spark):
     assert len(labels.RISK) == 41 and {v: list(labels.RISK.values()).count(v) for v in ("high", "medium", "low")} == {"high": 13, "medium": 21, "low": 7}
     c = spark.createDataFrame([(1, "Exclusivity", "old"), (2, "Insurance", "old"), (2, "Insurance", "old"), (3, "Parties", "old")], "id long, clause_type string, risk string")
